@@ -6,12 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import mixing, quality
+from . import mixing, packing, quality, simhash
 from .common import documents
 
 LLM = Catalog()
 
 
+@LLM.add("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(documents(spark, sf_dir))
+
+
+@LLM.add("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
+
+
 @LLM.add("op6_mixing", mixing.SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
