@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import mixing, packing, quality, simhash
+from . import chunks, mixing, packing, quality, simhash, suffixes
 from .common import documents
 
 LLM = Catalog()
@@ -22,6 +22,16 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
 
+@LLM.add("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summary(documents(spark, sf_dir))
+
+
+@LLM.add("op5_chunk_dedup")
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.deduplicated(documents(spark, sf_dir)).drop("spans")
+
+
 @LLM.add("op6_mixing", mixing.SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
