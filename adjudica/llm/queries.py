@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import chunks, mixing, packing, quality, simhash, suffixes
+from . import chunks, mixing, neighbours, packing, quality, simhash, suffixes
 from .common import documents
 
 LLM = Catalog()
@@ -40,3 +40,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@LLM.add("op9_neighbours")
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
