@@ -85,6 +85,13 @@ def mix(docs: DataFrame) -> DataFrame:
     return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents of the mix, with their own columns: a row for each copy."""
+    keyed = written(docs.withColumn("mix_key", F.monotonically_increasing_id()), "mix-documents")
+    taken = copies(keyed.select(F.col("mix_key").alias("doc_id"), "text", "source")).where("copies > 0").select(F.col("doc_id").alias("mix_key"), "copies")
+    return keyed.join(taken, "mix_key").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import chunks, mixing, neighbours, packing, quality, simhash, suffixes
+from . import chunks, editcounts, markov, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
 from .common import documents
 
 LLM = Catalog()
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.grouped(documents(spark, sf_dir))
 
 
+@LLM.add("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @LLM.add("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
@@ -37,6 +42,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@LLM.add("op7_hidden_markov")
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markov.scored(documents(spark, sf_dir))
+
+
 @LLM.add("op8_quality_rules")
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -45,3 +55,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op9_neighbours")
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@LLM.add("op10_edit_counts")
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editcounts.counted(editcounts.with_edits(documents(spark, sf_dir)))

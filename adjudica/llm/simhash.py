@@ -204,3 +204,11 @@ def grouped(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFram
     tied = components(links(written(nodes.where("node is not null"), "fp-nodes"), bits))
     labels = nodes.join(tied, F.col("node") == F.col("a"), "left").select("fp", F.coalesce("b", "node").alias("component_id"))
     return own.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """The document with the smallest id of each component, with its own columns; of rows with that id one stays. Rows
+    without an id stay, one for each text."""
+    own = grouped(docs, width, bits).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(own, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))

@@ -164,9 +164,17 @@ def removed(own: Block, answers: pa.Table) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), kept_bytes: bool = True) -> DataFrame:
+def whole_characters(buf: np.ndarray, gone: np.ndarray) -> str:
+    """The text without the characters all of whose bytes are gone."""
+    if gone.any():
+        begins = np.flatnonzero((buf & 0xC0) != 0x80)
+        buf = buf[~np.repeat(np.logical_and.reduceat(gone, begins), np.diff(np.r_[begins, len(buf)]))]
+    return buf.tobytes().decode()
+
+
+def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = True) -> DataFrame:
     """doc_id, the columns of `keep`, n_bytes, n_removed, spans (removed stretches: start, length), kept_sha256 and, if
-    asked for, kept (the remaining bytes)."""
+    asked for, kept (the remaining text, in which a character that is only partly removed stays whole; null for null)."""
     docs = columns_of(docs, "doc_id", "text", *keep)
     rows, size = corpus_size(docs)
     buckets = max(8, -(-size // BUCKET_BYTES))
@@ -177,20 +185,21 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), kept_bytes: bool =
     to_bucket = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: send(b, a, buckets), PART)
     matched = written(to_bucket.groupBy("bucket").applyInArrow(index, PART), "matched")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields.items() if n != "text") + ", n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept binary"
+    schema = ", ".join(f"`{n}` {t}" for n, t in fields.items() if n != "text") + ", n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept string"
 
     def mark(b: pa.Table, a: pa.Table) -> pa.Table:
         own = Block(b.column("payload")[0].as_py(), buckets)
         gone = removed(own, a)
         out: list[tuple] = []
         ends = np.cumsum(own.lengths)
-        for end, n in zip(ends, own.lengths):
+        absent = own.table.column("text").is_null().to_pylist()
+        for end, n, null in zip(ends, own.lengths, absent):
             flags = gone[end - n : end]
             edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2).tolist()
             rest = own.buf[end - n : end][~flags].tobytes()
-            out.append((int(n), int(n) - len(rest), [{"start": x, "length": y - x} for x, y in edges], hashlib.sha256(rest).hexdigest(), rest if kept_bytes else None))
+            out.append((int(n), int(n) - len(rest), [{"start": x, "length": y - x} for x, y in edges], hashlib.sha256(rest).hexdigest(), whole_characters(own.buf[end - n : end], flags) if texts and not null else None))
         spans = pa.list_(pa.struct({"start": pa.int64(), "length": pa.int64()}))
-        new = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), spans, pa.string(), pa.binary()))]
+        new = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), spans, pa.string(), pa.string()))]
         own_columns = own.table.drop_columns("text")
         return pa.table([*own_columns.columns, *new], names=[*own_columns.column_names, "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
@@ -200,5 +209,5 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), kept_bytes: bool =
 
 def summary(docs: DataFrame) -> DataFrame:
     """Counts for each document."""
-    done = deduplicated(docs, kept_bytes=False)
+    done = deduplicated(docs, texts=False)
     return done.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
