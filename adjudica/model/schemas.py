@@ -1,9 +1,7 @@
-"""Schemas of the claim tables; nothing is inferred."""
+"""Schemas of the claim tables as DDL, for readers; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
 _DDL = {
     "claims": """claim_id bigint, facility_id int, department_id int, patient_account_number string, patient_name string, date_of_birth date,
         gender string, service_from_date date, service_to_date date, primary_diagnosis string, financial_class string, secondary_insurance string,
@@ -32,4 +30,4 @@ _DDL = {
     "daily_processing_summary": """summary_date date, facility_id int, claims bigint, failed bigint, lines bigint, charges decimal(22,2), reimbursement decimal(24,4),
         error_rate double, pass_rate double""",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(" ".join(ddl.split())) for name, ddl in _DDL.items()}
+SCHEMAS: dict[str, str] = {name: " ".join(ddl.split()) for name, ddl in _DDL.items()}

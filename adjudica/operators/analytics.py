@@ -106,7 +106,7 @@ def rvu_stats(rvu: DataFrame) -> DataFrame:
 
 def dashboard(failed: DataFrame, audit_events: DataFrame, archived: DataFrame, since: Column, top: int = 5) -> DataFrame:
     """One row: audit events, archives and the latest, the most frequent error lists, days with failures, losses."""
-    reasons = counts(failed, "errors").orderBy(F.desc("n"), "errors").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "errors", "n"))), lambda x: F.concat_ws(":", x["errors"], x["n"])), ";").alias("top_errors"))
+    reasons = counts(failed.withColumn("errors", F.coalesce("errors", F.lit("unknown"))), "errors").orderBy(F.desc("n"), "errors").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "errors", "n"))), lambda x: F.concat_ws(":", x["errors"], x["n"])), ";").alias("top_errors"))
     days = counts(failed.where(F.col("failed_on") >= since), "failed_on").agg(F.count(F.lit(1)).alias("days"), F.coalesce(F.max("n"), F.lit(0)).alias("most_in_a_day"))
     parts = [audit_events.agg(F.count(F.lit(1)).alias("audit_events")), archived.agg(F.count(F.lit(1)).alias("archives"), F.max("day").alias("latest_archive")), reasons, days, revenue_loss(failed)]
     out = parts[0]

@@ -3,3 +3,4 @@
 from adjudica.catalog import CLAIMS  # noqa: F401
 from adjudica.plans import claims_queries  # noqa: F401
 from adjudica.plans import report_queries  # noqa: F401
+from adjudica.plans import flow_queries  # noqa: F401

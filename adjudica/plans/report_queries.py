@@ -117,10 +117,10 @@ def alerts(spark, sf):
 
 @CLAIMS.add("compliance_dashboard", CTE + f""", top AS (SELECT errors, count(*) AS n FROM failed GROUP BY errors ORDER BY n DESC, errors LIMIT 5),
 days AS (SELECT failed_on, count(*) AS n FROM failed WHERE failed_on >= DATE '{NOW}' - 180 GROUP BY failed_on)
-SELECT (SELECT count(*) FROM events) AS audit_events, (SELECT count(DISTINCT service_to_date) FROM claims WHERE service_to_date < DATE '1992-06-01') AS archives, (SELECT max(service_to_date) FROM claims WHERE service_to_date < DATE '1992-06-01') AS latest_archive,
+SELECT (SELECT count(*) FROM events) AS audit_events, (SELECT count(DISTINCT service_to_date) FROM claims WHERE service_to_date < DATE '1996-06-01') AS archives, (SELECT max(service_to_date) FROM claims WHERE service_to_date < DATE '1996-06-01') AS latest_archive,
   (SELECT string_agg(errors || ':' || n, ';' ORDER BY n DESC, errors) FROM top) AS top_errors, (SELECT count(*) FROM days) AS days, (SELECT coalesce(max(n), 0) FROM days) AS most_in_a_day, (SELECT coalesce(sum(potential_revenue_loss), 0)::DECIMAL(28,4)::DOUBLE FROM failed) AS loss""")
 def compliance_dashboard(spark, sf):
-    archived = m.claims(spark, sf).where("service_to_date < date'1992-06-01'").select(F.col("service_to_date").alias("day")).distinct()
+    archived = m.claims(spark, sf).where("service_to_date < date'1996-06-01'").select(F.col("service_to_date").alias("day")).distinct()
     return analytics.dashboard(failed(spark, sf), m.events(spark, sf), archived, days_ago(180))
 
 
