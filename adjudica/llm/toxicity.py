@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import columns_of
 
 #: Labelled documents of each class at most, hash buckets, length of a vector, passes over the words.
-TRAIN, BUCKETS, SIZE, PASSES = 3_000, 1 << 17, 16, 6
+TRAIN, BUCKETS, SIZE, PASSES = 2_000, 1 << 17, 16, 6
 GRAMS = (3, 4, 5)
 FOLDS = 5
 #: Logit of a text without words.
@@ -68,13 +68,18 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def trained(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """One number for each bucket (its vector's part of the toxic logit) and the bias."""
-    counts: dict[bytes, list[int]] = {}
+    counts: dict[bytes, int] = {}  # clean documents with the word, and toxic ones above bit 20
     for text, t in zip(texts, toxic.tolist()):
         for w in set(words_of(text)):
-            counts.setdefault(w, [0, 0])[t] += 1
+            counts[w] = counts.get(w, 0) + (1 << 20 * t)
     words = sorted(counts)
-    weight = np.array([counts[w] for w in words], float)
-    buckets, sizes = ngrams(words)
+    both = np.fromiter((counts[w] for w in words), np.int64, len(words))
+    weight = np.c_[both & ((1 << 20) - 1), both >> 20].astype(np.float32)
+    del counts
+    parts = [ngrams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+    del words
+    buckets, sizes = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     keep = sizes > 0
     start = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
@@ -139,11 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarr
     usual = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
     chosen = [marks.where(F.col("mark") == k).orderBy(F.xxhash64("marked"), "marked").limit(TRAIN) for k in (0, 1)]
     rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("marked")).select("doc_id", "text", "mark").dropDuplicates(["doc_id"]).collect()
-    rows = sorted(((r["doc_id"], r["text"] or "", r["mark"]) for r in rows))
+    rows = sorted((r["doc_id"], r["text"] or "", r["mark"]) for r in rows)
     toxic = np.array([m for _, _, m in rows], int)
     if len(set(toxic.tolist())) < 2:
         return None
     texts = [t for _, t, _ in rows]
+    del rows
     # vectors learn from one part, the logistic fit from the other, where their logits are as they will be
     part = np.arange(len(texts)) % 4 == 0
     table, bias = trained([t for t, p in zip(texts, part) if not p], toxic[~part])
