@@ -372,7 +372,7 @@ def rvu_full_sync(spark, sf):
     return sync.full(m.rvu(spark, sf)).select("procedure_code", "status")
 
 
-@CLAIMS.add("rvu_bulk_update", CTE + "SELECT count(*) FILTER (code <= 2000) AS updated, count(*) FILTER (code > 2000) AS failed FROM (SELECT procedure_code * 3 AS code FROM rvu WHERE procedure_code <= 700)")
+@CLAIMS.add("rvu_bulk_update", CTE + "SELECT count(*) FILTER (code <= top) AS updated, count(*) FILTER (code > top) AS failed FROM (SELECT procedure_code * 3 AS code, (SELECT max(procedure_code) FROM rvu) AS top FROM rvu WHERE procedure_code <= 700)")
 def rvu_bulk_update(spark, sf):
     rvu = m.rvu(spark, sf).select("procedure_code", "category")
     changes = rvu.where("procedure_code <= 700").select((F.col("procedure_code") * 3).alias("procedure_code"), F.lit("NEW").alias("category"))
