@@ -15,8 +15,8 @@ Step = Callable[[DataFrame], dict[str, Column]]
 def extract(df: DataFrame) -> dict[str, Column]:
     """Length of the code, a bucket of the class, whether there is a diagnosis."""
     return {
-        "code_length": F.coalesce(F.length(F.col("procedure_code").cast("string")), F.lit(0)).cast("double"),
-        "class_bucket": F.coalesce(bucket(F.col("financial_class"), 1000), F.lit(0)).cast("double"),
+        "procedure_code_len": F.coalesce(F.length(F.col("procedure_code").cast("string")), F.lit(0)).cast("double"),
+        "financial_class_id": bucket(F.coalesce("financial_class", F.lit("")), 1000).cast("double"),
         "has_diagnosis": F.coalesce((F.col("primary_diagnosis") != "").cast("double"), F.lit(0.0)),
     }
 

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What to do about each failure reason, and otherwise.
+#: Guidance for each failure reason, and otherwise.
 REMEDIES = {
-    "invalid_facility": "Update facility reference data",
-    "invalid_financial_class": "Review financial class mappings",
-    "invalid_dob": "Verify patient demographics",
-    "invalid_service_dates": "Check service date entry",
-    "line_item_date_out_of_range": "Align line item dates with the claim",
+    "invalid_facility": "Verify facility_id mappings in source data",
+    "invalid_financial_class": "Check financial_class values",
+    "invalid_dob": "Ensure patient date_of_birth is valid",
 }
-OTHER_REMEDY = "Investigate data quality"
+OTHER_REMEDY = "Investigate data quality issues"
 
 
 def priority_rank(c: Column) -> Column:

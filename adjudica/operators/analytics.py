@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from adjudica.functions.scalar import remedy
 
 
+#: Metric, comparison, threshold, message.
+ALERTS = (
+    ("cpu_usage_percent", ">", 85.0, "CPU usage high"),
+    ("memory_usage_percent", ">", 85.0, "Memory usage high"),
+    ("batch_processing_rate_per_sec", "<", 1000.0, "Throughput below threshold"),
+    ("error_rate", ">", 0.05, "High error rate"),
+)
+
+
 def counts(df: DataFrame, *keys: str | Column, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
@@ -66,9 +75,13 @@ def error_patterns(validated: DataFrame, threshold: int = 20) -> DataFrame:
     return error_counts(validated).where(F.col("n") >= threshold).withColumn("remedy", remedy(F.col("error")))
 
 
-def alerts(metrics: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame:
-    """metrics: metric, value. rules: (metric, '>' or '<', threshold). A value of zero never fires."""
-    fired = [F.when((F.col("metric") == m) & (F.col("value") != 0) & (F.col("value") > t if op == ">" else F.col("value") < t), F.struct(F.lit(m).alias("rule"), F.format_string(f"{m} %.2f {op} {t:.2f}", "value").alias("message"))) for m, op, t in rules]
+def alerts(metrics: DataFrame, rules: tuple[tuple[str, str, float, str], ...] = ALERTS) -> DataFrame:
+    """metrics: metric, value. A value of zero never fires. Messages hold the value, the error rate in percent."""
+    fired = []
+    for metric, operator, threshold, text in rules:
+        hit = (F.col("metric") == metric) & (F.col("value") != 0) & (F.col("value") > threshold if operator == ">" else F.col("value") < threshold)
+        message = F.format_string(f"{text}: %.2f%%", F.col("value") * 100) if metric == "error_rate" else F.format_string(f"{text}: %.2f", "value")
+        fired.append(F.when(hit, F.struct(F.lit(metric).alias("metric"), message.alias("message"))))
     return metrics.select(F.explode(F.array_compact(F.array(*fired))).alias("a")).select("a.*")
 
 

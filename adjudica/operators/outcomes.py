@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from adjudica.functions.scalar import priority_rank
 
-#: Repair text for each error, in the order in which they are joined.
+#: Repair text for each error, in the order in which they are joined.
 REPAIRS = {
     "invalid_facility": "Verify facility_id",
-    "invalid_financial_class": "Verify financial_class",
+    "invalid_financial_class": "Check financial_class",
     "invalid_dob": "Check date_of_birth",
     "invalid_service_dates": "Correct service dates",
 }
-#: Characters that the failed-claims table holds.
+#: Characters that the failed-claims table holds.
 WIDTHS = {"claim_id": 50, "facility_id": 20, "patient_account_number": 50, "failure_reason": 1000, "failure_category": 50, "processing_stage": 50}
 
 
@@ -23,13 +23,14 @@ def suggest_repairs(errors: Column) -> Column:
 
 
 def auto_repair(df: DataFrame) -> DataFrame:
-    """Unknown classes and facilities are marked, a birth date after the service takes the service's date, reversed
+    """Missing classes and facilities are marked, a birth date after the service takes the service's date, reversed
     service dates collapse to the first. Facility ids are compared as text."""
     has = lambda e: F.array_contains("errors", e)
+    known = lambda c: F.coalesce(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")), F.lit("UNKNOWN"))
     return df.withColumns({
-        "facility_id": F.when(has("invalid_facility"), F.coalesce(F.col("facility_id").cast("string"), F.lit("UNKNOWN"))).otherwise(F.col("facility_id").cast("string")),
-        "financial_class": F.when(has("invalid_financial_class"), F.coalesce("financial_class", F.lit("UNKNOWN"))).otherwise(F.col("financial_class")),
-        "date_of_birth": F.when(has("invalid_dob"), F.coalesce("service_from_date", "service_to_date")).otherwise(F.col("date_of_birth")),
+        "facility_id": F.when(has("invalid_facility"), known("facility_id")).otherwise(F.col("facility_id").cast("string")),
+        "financial_class": F.when(has("invalid_financial_class"), known("financial_class")).otherwise(F.col("financial_class")),
+        "date_of_birth": F.when(has("invalid_dob"), F.coalesce("service_from_date", "service_to_date", "date_of_birth")).otherwise(F.col("date_of_birth")),
         "service_to_date": F.when(has("invalid_service_dates"), F.col("service_from_date")).otherwise(F.col("service_to_date")),
     })
 

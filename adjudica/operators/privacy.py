@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adjudica.functions.scalar import decrypted, encrypted, hidden, mask_account
+from adjudica.functions.scalar import decrypted, encrypted, mask_account
 
 SECRET = ("patient_account_number", "patient_name")
 
 
 def mask(df: DataFrame) -> DataFrame:
     """Account numbers keep two characters, names and birth dates none."""
-    out = {"patient_account_number": mask_account(F.col("patient_account_number")), "patient_name": hidden(F.col("patient_name")), "date_of_birth": hidden(F.col("date_of_birth"))}
+    out = {"patient_account_number": mask_account(F.col("patient_account_number")), "patient_name": F.lit("***"), "date_of_birth": F.lit("***")}
     return df.withColumns({c: v for c, v in out.items() if c in df.columns})
 
 

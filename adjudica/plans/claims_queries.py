@@ -188,13 +188,13 @@ def outcome_split(spark, sf):
     return good.select("claim_id", F.lit("valid").alias("outcome")).unionByName(bad.select("claim_id", F.lit("failed").alias("outcome")))
 
 
-@CLAIMS.add("failed_records", CTE + """SELECT claim_id, failure_reason, errors, concat_ws('; ', CASE WHEN errors LIKE '%invalid_facility%' THEN 'Verify facility_id' END, CASE WHEN errors LIKE '%invalid_financial_class%' THEN 'Verify financial_class' END,
+@CLAIMS.add("failed_records", CTE + """SELECT claim_id, failure_reason, errors, concat_ws('; ', CASE WHEN errors LIKE '%invalid_facility%' THEN 'Verify facility_id' END, CASE WHEN errors LIKE '%invalid_financial_class%' THEN 'Check financial_class' END,
   CASE WHEN errors LIKE '%invalid_dob%' THEN 'Check date_of_birth' END, CASE WHEN errors LIKE '%invalid_service_dates%' THEN 'Correct service dates' END) AS repair_suggestions, potential_revenue_loss::DOUBLE AS loss FROM failed""")
 def failed_records(spark, sf):
     return failed(spark, sf).select("claim_id", "failure_reason", "errors", "repair_suggestions", F.col("potential_revenue_loss").cast("double").alias("loss"))
 
 
-@CLAIMS.add("suggest_repairs", CTE + """SELECT claim_id, concat_ws('; ', CASE WHEN e1 THEN 'Verify facility_id' END, CASE WHEN e2 THEN 'Verify financial_class' END, CASE WHEN e3 THEN 'Check date_of_birth' END, CASE WHEN e4 THEN 'Correct service dates' END) AS suggestions FROM checked""")
+@CLAIMS.add("suggest_repairs", CTE + """SELECT claim_id, concat_ws('; ', CASE WHEN e1 THEN 'Verify facility_id' END, CASE WHEN e2 THEN 'Check financial_class' END, CASE WHEN e3 THEN 'Check date_of_birth' END, CASE WHEN e4 THEN 'Correct service dates' END) AS suggestions FROM checked""")
 def suggest_repairs(spark, sf):
     return checked(spark, sf).select("claim_id", outcomes.suggest_repairs(F.col("errors")).alias("suggestions"))
 
@@ -322,11 +322,11 @@ def retry_by_priority(spark, sf):
     return again.select("claim_id", errors_text(), priority_rank(F.col("priority")).alias("priority"))
 
 
-@CLAIMS.add("error_patterns", CTE + "SELECT error, n, CASE error WHEN 'invalid_facility' THEN 'Update facility reference data' WHEN 'invalid_financial_class' THEN 'Review financial class mappings' WHEN 'invalid_dob' THEN 'Verify patient demographics' WHEN 'invalid_service_dates' THEN 'Check service date entry' ELSE 'Align line item dates with the claim' END AS remedy FROM (SELECT error, count(*) AS n FROM (SELECT unnest(string_split(errors, ',')) AS error FROM validated WHERE errors <> '') GROUP BY error) WHERE n >= 20")
+@CLAIMS.add("error_patterns", CTE + "SELECT error, n, CASE error WHEN 'invalid_facility' THEN 'Verify facility_id mappings in source data' WHEN 'invalid_financial_class' THEN 'Check financial_class values' WHEN 'invalid_dob' THEN 'Ensure patient date_of_birth is valid' ELSE 'Investigate data quality issues' END AS remedy FROM (SELECT error, count(*) AS n FROM (SELECT unnest(string_split(errors, ',')) AS error FROM validated WHERE errors <> '') GROUP BY error) WHERE n >= 20")
 def error_patterns(spark, sf):
     return analytics.error_patterns(checked(spark, sf), 20)
 
 
-@CLAIMS.add("remediation", CTE + "SELECT errors AS reason, CASE errors WHEN 'invalid_facility' THEN 'Update facility reference data' WHEN 'invalid_financial_class' THEN 'Review financial class mappings' WHEN 'invalid_dob' THEN 'Verify patient demographics' WHEN 'invalid_service_dates' THEN 'Check service date entry' WHEN 'line_item_date_out_of_range' THEN 'Align line item dates with the claim' ELSE 'Investigate data quality' END AS remedy, count(*) AS n FROM failed GROUP BY errors")
+@CLAIMS.add("remediation", CTE + "SELECT errors AS reason, CASE errors WHEN 'invalid_facility' THEN 'Verify facility_id mappings in source data' WHEN 'invalid_financial_class' THEN 'Check financial_class values' WHEN 'invalid_dob' THEN 'Ensure patient date_of_birth is valid' ELSE 'Investigate data quality issues' END AS remedy, count(*) AS n FROM failed GROUP BY errors")
 def remediation(spark, sf):
     return analytics.counts(failed(spark, sf), F.col("errors").alias("reason")).withColumn("remedy", remedy(F.col("reason")))

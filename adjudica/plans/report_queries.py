@@ -104,15 +104,12 @@ def sla_violations(spark, sf):
     return analytics.sla_violations(batches(spark, sf), 50.0)
 
 
-_ALERTS = [("throughput", "<", 1000.0), ("error_rate", ">", 0.05), ("purchases", ">", 1.0)]
-
-
-@CLAIMS.add("alerts", CTE + """, metrics AS (SELECT 'throughput' AS metric, round(count(*) / 30.0, 4)::DOUBLE AS value FROM claims UNION ALL SELECT 'error_rate', round(avg((errors <> '')::INT), 6) FROM validated UNION ALL SELECT 'purchases', 0.0)
-SELECT metric AS rule, CASE metric WHEN 'throughput' THEN printf('throughput %.2f < 1000.00', value) ELSE printf('error_rate %.2f > 0.05', value) END AS message FROM metrics WHERE value <> 0 AND (metric = 'throughput' AND value < 1000 OR metric = 'error_rate' AND value > 0.05 OR metric = 'purchases' AND value > 1)""")
+@CLAIMS.add("alerts", CTE + """, metrics AS (SELECT 'batch_processing_rate_per_sec' AS metric, round(count(*) / 30.0, 4)::DOUBLE AS value FROM claims UNION ALL SELECT 'error_rate', round(avg((errors <> '')::INT), 6) FROM validated UNION ALL SELECT 'cpu_usage_percent', 0.0)
+SELECT metric, CASE metric WHEN 'error_rate' THEN printf('High error rate: %.2f%%', value * 100) ELSE printf('Throughput below threshold: %.2f', value) END AS message FROM metrics WHERE metric = 'batch_processing_rate_per_sec' AND value <> 0 AND value < 1000 OR metric = 'error_rate' AND value > 0.05""")
 def alerts(spark, sf):
-    v = checked(spark, sf).agg(F.round(F.count(F.lit(1)) / 30.0, 4).alias("throughput"), F.round(F.avg((F.size("errors") > 0).cast("double")), 6).alias("error_rate"), F.lit(0.0).alias("purchases"))
+    v = checked(spark, sf).agg(F.round(F.count(F.lit(1)) / 30.0, 4).alias("batch_processing_rate_per_sec"), F.round(F.avg((F.size("errors") > 0).cast("double")), 6).alias("error_rate"), F.lit(0.0).alias("cpu_usage_percent"))
     metrics = v.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in v.columns])).alias("x")).select("x.*")
-    return analytics.alerts(metrics, _ALERTS)
+    return analytics.alerts(metrics)
 
 
 @CLAIMS.add("compliance_dashboard", CTE + f""", top AS (SELECT errors, count(*) AS n FROM failed GROUP BY errors ORDER BY n DESC, errors LIMIT 5),
@@ -278,9 +275,9 @@ def sequential_codes(spark, sf):
 # --- models
 
 
-@CLAIMS.add("features", CTE + "SELECT claim_id, length(procedure_code::VARCHAR)::DOUBLE AS code_length, (('0x' || substr(md5(financial_class), 1, 8))::BIGINT % 1000)::DOUBLE AS class_bucket, (primary_diagnosis IS NOT NULL)::INT::DOUBLE AS has_diagnosis FROM claims")
+@CLAIMS.add("features", CTE + "SELECT claim_id, length(procedure_code::VARCHAR)::DOUBLE AS procedure_code_len, (('0x' || substr(md5(financial_class), 1, 8))::BIGINT % 1000)::DOUBLE AS financial_class_id, (primary_diagnosis IS NOT NULL)::INT::DOUBLE AS has_diagnosis FROM claims")
 def features(spark, sf):
-    return FeaturePipeline().run(m.claims(spark, sf)).select("claim_id", "code_length", "class_bucket", "has_diagnosis")
+    return FeaturePipeline().run(m.claims(spark, sf)).select("claim_id", "procedure_code_len", "financial_class_id", "has_diagnosis")
 
 
 _AB = "CASE WHEN ('0x' || substr(md5(claim_id::VARCHAR), 1, 8))::BIGINT % 10000 < 3000 THEN 'a' ELSE 'b' END"

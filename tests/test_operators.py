@@ -86,7 +86,7 @@ def test_nesting_keeps_claims_without_lines(spark):
 
 def test_repairs(spark):
     df = spark.createDataFrame([(["invalid_facility", "invalid_service_dates"], None, "A", D("2001-01-01"), D("2000-01-02"), D("2000-01-01")), (["invalid_dob", "invalid_financial_class"], 3, None, D("2001-01-01"), None, D("2000-01-01"))], "errors array<string>, facility_id int, financial_class string, date_of_birth date, service_from_date date, service_to_date date")
-    assert one(df.select(outcomes.suggest_repairs(F.col("errors")).alias("s")), "s") == ["Verify facility_id; Correct service dates", "Verify financial_class; Check date_of_birth"]
+    assert one(df.select(outcomes.suggest_repairs(F.col("errors")).alias("s")), "s") == ["Verify facility_id; Correct service dates", "Check financial_class; Check date_of_birth"]
     a, b = outcomes.auto_repair(df).collect()
     assert (a["facility_id"], a["service_to_date"]) == ("UNKNOWN", D("2000-01-02")) and (b["facility_id"], b["financial_class"], b["date_of_birth"]) == ("3", "UNKNOWN", D("2000-01-01"))
 
@@ -114,7 +114,7 @@ def test_scalars(spark):
     df = spark.createDataFrame([("High",), ("2",), ("odd",), (None,), ("LOW",), ("7",)], "p string")
     assert one(df.select(scalar.priority_rank(F.col("p")).alias("r")), "r") == [3, 2, 2, 2, 1, 7]
     masked = privacy.mask(spark.createDataFrame([("123456", "Jane Doe", D("1990-01-01"), "value"), ("", None, None, "v")], "patient_account_number string, patient_name string, date_of_birth date, other string"))
-    assert [tuple(r) for r in masked.collect()] == [("12***", "***", "***", "value"), ("", None, None, "v")]
+    assert [tuple(r) for r in masked.collect()] == [("12***", "***", "***", "value"), ("", "***", "***", "v")]
     plain = spark.createDataFrame([("123", "Jane"), ("", None)], "patient_account_number string, patient_name string")
     secret = privacy.encrypt(plain, "k" * 32)
     assert secret.first()["patient_name"] != "Jane" and [tuple(r) for r in privacy.decrypt(secret, "k" * 32).collect()] == [("123", "Jane"), ("", None)]
@@ -144,11 +144,11 @@ def test_reports(spark):
     failed = spark.createDataFrame([("x", Decimal(50), D("2020-01-01")), (None, Decimal(30), D("2020-01-02")), ("x", None, D("2020-01-02"))], "errors string, potential_revenue_loss decimal(12,2), failed_on date")
     assert {tuple(r) for r in analytics.revenue_loss_by(failed, F.col("errors"), "c").collect()} == {("x", 50.0), ("unknown", 30.0)} and analytics.revenue_loss(failed.limit(0)).first()[0] == 0
     v = spark.createDataFrame([(["invalid_facility"],), (["invalid_facility"],), ([],)], "errors array<string>")
-    assert [tuple(r) for r in analytics.error_patterns(v, 2).collect()] == [("invalid_facility", 2, "Update facility reference data")] and analytics.error_patterns(v, 3).collect() == []
+    assert [tuple(r) for r in analytics.error_patterns(v, 2).collect()] == [("invalid_facility", 2, "Verify facility_id mappings in source data")] and analytics.error_patterns(v, 3).collect() == []
     board = analytics.dashboard(failed, spark.range(5), spark.createDataFrame([(D("2024-01-01"),)], "day date"), F.lit(D("2020-01-02")))
     assert tuple(board.first()) == (5, 1, D("2024-01-01"), "x:2;unknown:1", 1, 2, 80.0)
-    fired = analytics.alerts(spark.createDataFrame([("a", 5.0), ("b", 0.0), ("c", None)], "metric string, value double"), [("a", ">", 1.0), ("b", "<", 9.0), ("c", ">", 1.0)])
-    assert [tuple(r) for r in fired.collect()] == [("a", "a 5.00 > 1.00")]
+    fired = analytics.alerts(spark.createDataFrame([("cpu_usage_percent", 90.0), ("batch_processing_rate_per_sec", 0.0), ("memory_usage_percent", None), ("error_rate", 0.125)], "metric string, value double"))
+    assert [tuple(r) for r in fired.collect()] == [("cpu_usage_percent", "CPU usage high: 90.00"), ("error_rate", "High error rate: 12.50%")]
     assert analytics.sla_violations(spark.createDataFrame([(10, 30.0), (0, 9.0), (5, 1.0)], "claims long, seconds double")).first()[0] == 10
     shares = analytics.exposure(spark.createDataFrame([("a",), ("a",)], "variant string"))
     assert {(r["variant"], r["n"], r["share"]) for r in shares.collect()} == {("a", 2, 1.0), ("b", 0, 0.0)}
@@ -157,10 +157,10 @@ def test_reports(spark):
 def test_models(spark):
     df = spark.createDataFrame([(k, "ABC" if k % 2 else "A", "X", "D" if k % 3 else None, float(k % 2)) for k in range(60)], "claim_id int, procedure_code string, financial_class string, primary_diagnosis string, bad double")
     row = FeaturePipeline(extract).add_step(lambda d: {"has_diagnosis": F.lit(9.0)}).run(df).orderBy("claim_id").first()
-    assert row["code_length"] == 1 and row["has_diagnosis"] == 9
+    assert row["procedure_code_len"] == 1 and row["has_diagnosis"] == 9
     model, accuracy = models.train_filter(df, "bad", trees=5)
     assert accuracy > 0.9 and models.predict_filter(df, model).where("filter_number <> cast(bad as int)").count() == 0
-    assert models.predict_filter(df, lambda x: (x["code_length"] > 2).astype("int32")).where("filter_number = 1").count() == 30
+    assert models.predict_filter(df, lambda x: (x["procedure_code_len"] > 2).astype("int32")).where("filter_number = 1").count() == 30
     p = {r["claim_id"] % 2: r["p_fail"] for r in models.failure_probability(df, "bad").collect()}
     assert p[1] > 0.9 > 0.1 > p[0]
     both = models.ab_predict(df, None, model, "claim_id", 0.5)
