@@ -224,10 +224,10 @@ def status_update(spark, sf):
     return outcomes.update_status(m.claims(spark, sf).withColumn("processing_stage", F.lit(None).cast("string")), changes).select("claim_id", "processing_status", "processing_stage")
 
 
-@CLAIMS.add("amend", CTE + "SELECT claim_id, CASE WHEN claim_id % 11 = 0 THEN 'AMENDED' ELSE financial_class END AS financial_class, CASE WHEN claim_id % 22 = 0 THEN 'high' ELSE priority END AS priority FROM claims")
+@CLAIMS.add("amend", CTE + "SELECT claim_id, CASE WHEN processing_status = 'processing' THEN 'AMENDED' ELSE financial_class END AS financial_class, CASE WHEN processing_status = 'processing' AND primary_diagnosis IS NULL THEN 'high' ELSE priority END AS priority FROM claims")
 def amend(spark, sf):
     claims = m.claims(spark, sf)
-    changes = claims.where("claim_id % 11 = 0").select("claim_id", F.lit("AMENDED").alias("financial_class"), F.when(F.col("claim_id") % 22 == 0, "high").alias("priority"))
+    changes = claims.where("processing_status = 'processing'").select("claim_id", F.lit("AMENDED").alias("financial_class"), F.when(F.col("primary_diagnosis").isNull(), "high").alias("priority"))
     return outcomes.amend(claims, changes).select("claim_id", "financial_class", "priority")
 
 

@@ -99,5 +99,5 @@ def stream_process(spark, sf):
 
 @CLAIMS.add("checkpoint_upsert", "SELECT user_id AS claim_id, event_type AS stage, max(ts) AS checkpoint_at FROM events GROUP BY 1, 2")
 def checkpoint_upsert(spark, sf):
-    own = m.events(spark, sf).select(F.col("user_id").alias("claim_id"), F.col("name").alias("stage"), F.col("at").cast("timestamp_ntz").alias("checkpoint_at"), "event_id")
-    return cs.checkpoints(own.where("event_id % 2 = 0").drop("event_id"), own.where("event_id % 2 <> 0").drop("event_id"))
+    own = m.events(spark, sf).select(F.col("user_id").alias("claim_id"), F.col("name").alias("stage"), F.col("at").cast("timestamp_ntz").alias("checkpoint_at"), "value")
+    return cs.checkpoints(own.where("value < 50").drop("value"), own.where("not value < 50 or value is null").drop("value"))

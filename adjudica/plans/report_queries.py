@@ -331,20 +331,23 @@ def ab_predictions(spark, sf):
 
 # --- reference data and records that change
 
-#: The cache lags behind: codes above 1900 are missing there, every 50th has another value.
-_CACHE = "cache AS (SELECT procedure_code, CASE WHEN procedure_code % 50 = 0 THEN total_rvu + 1 ELSE total_rvu END AS total_rvu, status, updated_on FROM rvu WHERE procedure_code <= 1900)"
+#: The cache lags behind: what changed after LAST_SYNC is missing there, one category has other values.
+LAST_SYNC, CHANGED = "1998-11-10", "1998-11-01"
+_CACHE = f"cache AS (SELECT procedure_code, CASE WHEN category = 'PROMO' THEN total_rvu + 1 ELSE total_rvu END AS total_rvu, status, updated_on FROM rvu WHERE updated_on <= DATE '{LAST_SYNC}')"
+_NEWER = f"r.updated_on > DATE '{CHANGED}'"
 
 
 def source_and_cache(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    source = m.rvu(spark, sf).select("procedure_code", F.col("total_rvu").cast("decimal(12,5)").alias("total_rvu"), "status", "updated_on")
-    cache = source.where("procedure_code <= 1900").withColumn("total_rvu", F.when(F.col("procedure_code") % 50 == 0, F.col("total_rvu") + 1).otherwise(F.col("total_rvu")).cast("decimal(12,5)"))
-    return source, cache
+    rvu = m.rvu(spark, sf).withColumn("total_rvu", F.col("total_rvu").cast("decimal(12,5)"))
+    source = rvu.select("procedure_code", "total_rvu", "status", "updated_on")
+    stale = F.when(F.col("category") == "PROMO", F.col("total_rvu") + 1).otherwise(F.col("total_rvu")).cast("decimal(12,5)")
+    return source, rvu.where(F.col("updated_on") <= F.to_date(F.lit(LAST_SYNC))).withColumn("total_rvu", stale).select(*source.columns)
 
 
-@CLAIMS.add("upsert_rvu", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR r.procedure_code % 100 = 0 THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR r.procedure_code > 1950")
+@CLAIMS.add("upsert_rvu", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER}")
 def upsert_rvu(spark, sf):
     source, cache = source_and_cache(spark, sf)
-    return outcomes.upsert(cache, source.where("procedure_code > 1950 or procedure_code % 100 = 0"), "procedure_code").select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
+    return outcomes.upsert(cache, source.where(F.col("updated_on") > F.to_date(F.lit(CHANGED))), "procedure_code").select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
 
 
 @CLAIMS.add("reconcile_rvu", CTE + f", {_CACHE} SELECT procedure_code, CASE WHEN c.total_rvu IS NULL THEN 'only_source' WHEN abs(r.total_rvu - c.total_rvu) > 0.01 THEN 'differs' ELSE 'same' END AS state FROM rvu r FULL JOIN cache c USING (procedure_code)")
@@ -357,10 +360,10 @@ def rvu_status(spark, sf):
     return sync.status(*source_and_cache(spark, sf))
 
 
-@CLAIMS.add("rvu_incremental_sync", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR r.updated_on > DATE '1998-11-10' THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR r.updated_on > DATE '1998-11-10'")
+@CLAIMS.add("rvu_incremental_sync", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER}")
 def rvu_incremental_sync(spark, sf):
     source, cache = source_and_cache(spark, sf)
-    log = m.table(spark, sf, "region").select(F.lit("completed").alias("sync_status"), F.expr("date_sub(date'1998-11-10', r_regionkey)").alias("completed_on"))
+    log = m.table(spark, sf, "region").select(F.lit("completed").alias("sync_status"), F.date_sub(F.to_date(F.lit(CHANGED)), F.col("r_regionkey")).alias("completed_on"))
     return sync.incremental(source, cache, log).select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
 
 
@@ -369,10 +372,10 @@ def rvu_full_sync(spark, sf):
     return sync.full(m.rvu(spark, sf)).select("procedure_code", "status")
 
 
-@CLAIMS.add("rvu_bulk_update", CTE + "SELECT count(*) FILTER (code <= top) AS updated, count(*) FILTER (code > top) AS failed FROM (SELECT procedure_code * 3 AS code, (SELECT max(procedure_code) FROM rvu) AS top FROM rvu WHERE procedure_code <= 700)")
+@CLAIMS.add("rvu_bulk_update", CTE + "SELECT count(*) FILTER (code <= top) AS updated, count(*) FILTER (code > top) AS failed FROM (SELECT procedure_code * 3 AS code, (SELECT max(procedure_code) FROM rvu) AS top FROM rvu)")
 def rvu_bulk_update(spark, sf):
     rvu = m.rvu(spark, sf).select("procedure_code", "category")
-    changes = rvu.where("procedure_code <= 700").select((F.col("procedure_code") * 3).alias("procedure_code"), F.lit("NEW").alias("category"))
+    changes = rvu.select((F.col("procedure_code") * 3).alias("procedure_code"), F.lit("NEW").alias("category"))
     return sync.bulk_update(rvu, changes)[1]
 
 
@@ -387,9 +390,9 @@ def audit_diff(spark, sf):
     return outcomes.audit_diff(cache, source, "procedure_code", "rvu_data", "sync", "incremental").select("record_id", "operation", "changed")
 
 
-@CLAIMS.add("seed_classes", CTE + ", pairs AS (SELECT DISTINCT facility_id, financial_class FROM claims WHERE facility_id % 3 = 0) SELECT facility_id, financial_class, false AS seeded FROM pairs UNION ALL SELECT f.facility_id, k.financial_class, true FROM facilities f, classes k WHERE f.active AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.facility_id = f.facility_id AND p.financial_class = k.financial_class)")
+@CLAIMS.add("seed_classes", CTE + ", pairs AS (SELECT DISTINCT facility_id, financial_class FROM claims WHERE processing_status = 'processing' AND priority = 'low') SELECT facility_id, financial_class, false AS seeded FROM pairs UNION ALL SELECT f.facility_id, k.financial_class, true FROM facilities f, classes k WHERE f.active AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.facility_id = f.facility_id AND p.financial_class = k.financial_class)")
 def seed_classes(spark, sf):
-    present = m.claims(spark, sf).where("facility_id % 3 = 0").select("facility_id", "financial_class").distinct()
+    present = m.claims(spark, sf).where("processing_status = 'processing' and priority = 'low'").select("facility_id", "financial_class").distinct()
     return outcomes.seed_classes(m.facilities(spark, sf), m.financial_classes(spark, sf), present)
 
 
