@@ -13,9 +13,9 @@ WINDOW, GRAM = 100, 40
 #: Windows that one fragment can have: they fit the bits of a long.
 MOST = WINDOW - GRAM + 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: A value for each byte, and the base, of the fragments' polynomial digest.
-_TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = np.uint64(0x5851F42D4C957F2D)
+#: A value for each byte, and the base, of two polynomial digests.
+_TABLES = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_BASES = (np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95))
 _STRETCH = 1 << 18
 
 
@@ -82,9 +82,9 @@ def _fragments(buf, lengths, first, start):
     return doc[new] + first, at[new] + start, np.diff(np.r_[new, len(at)]), anchor[new] + start, h[anchor[new]]
 
 
-def digests(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of buf[start : start + length] for each pair."""
-    power = np.cumprod(np.full(len(buf) + 1, _BASE), dtype=np.uint64)
+def digests(buf: np.ndarray, start: np.ndarray, length: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit digest of buf[start : start + length] for each pair; `which` chooses one of two functions."""
+    power = np.cumprod(np.full(len(buf) + 1, _BASES[which]), dtype=np.uint64)
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_TABLE[buf] * power[: len(buf)], dtype=np.uint64, out=sums[1:])
+    np.cumsum(_TABLES[which][buf] * power[: len(buf)], dtype=np.uint64, out=sums[1:])
     return mixed((sums[start + length] - sums[start]) * power[len(buf) - start] + length.astype(np.uint64))

@@ -8,10 +8,15 @@ them. Four passes over blocks of whole documents, each a Spark job whose result
 1. blocks: documents are read once, cut into fragments, and each fragment's anchor hash and digest go to its bucket.
 2. resolve: copies of a fragment all but the first are repeats as a whole; first ones that share their anchor with other
    contents have to be indexed.
-3. index: the blocks send these fragments to their bucket, where a run-length index of them is built, group by group of
-   bounded size, and each fragment's matching statistics are streamed through it.
+3. index: the blocks send these fragments to their bucket. What shares neither the bytes to the left nor to the right of
+   its anchor with another is set aside; of the others a run-length index is built, group by group of bounded size, and
+   each fragment's matching statistics are streamed through it.
 4. marks: the blocks turn both answers into removed spans.
 
+An anchor that is too frequent for one bucket (a line that a third of all documents share) is found beforehand by counts in
+``CELLS`` cells, and its fragments take another exact way: the digests of their windows go to buckets of their own, each
+block's distinct ones once, and the first occurrence of each is looked up there.
+
 What travels is packed in one binary value for each block and bucket, so a pass costs bytes, not rows. A block holds
 ``blocks.BLOCK_BYTES`` (or one longer document) and a bucket the anchors of about ``BUCKET_BYTES`` of text.
 
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runindex
-from .anchors import WINDOW, digests, fragments, gram_hashes_at
+from .anchors import GRAM, MOST, WINDOW, digests, fragments, gram_hashes_at, mixed
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
+from .chunks import resolve as first_of_each
 from .common import columns_of, corpus_size, written
 
 BUCKET_BYTES, INDEX_BYTES = 32 << 20, 1 << 20
+#: Cells in which anchors are counted; a cell with more than HOT_ANCHORS, or HOT_MEANS times the mean, takes the other way.
+CELLS, HOT_ANCHORS, HOT_MEANS = 1 << 16, 200_000, 8
 NOTHING, COPY, INDEXED = 0, 1, 2
+#: Every window holds so many bytes beside its anchor on one side.
+SIDE = (MOST - 1) // 2
 
 
 def six(x: np.ndarray) -> np.ndarray:
@@ -58,16 +69,49 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     shape = pack(np.bincount(doc, minlength=len(ids)).astype(np.uint32), windows.astype(np.uint8), (anchor - start).astype(np.uint8))
     rows = [(0, block, -1, pickle.dumps((to_ipc(table), shape), protocol=5))]
     d, h = six(digests(buf, start, windows + WINDOW - 1)), six(h)
+    cell = np.bincount((from_six(h) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    rows.append((5, block, -1, pack(cell.astype(np.uint32))))
     for bucket, own in by_bucket((from_six(h) % np.uint64(buckets)).astype(np.int64)):
         names, at = np.unique(doc[own], return_inverse=True)
         rows.append((1, block, bucket, pack(h[own], d[own], ids[names], at.astype(np.uint32))))
     return rows
 
 
+def hot_cells(table: DataFrame) -> np.ndarray:
+    """A flag for each cell; the counts are added up by cell, and only the hot ones' numbers (CELLS at most) are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                total += unpack(payload)[0]
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+    counts = table.where("kind = 5").select("payload").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    counts = written(counts, "cells")
+    mean = (counts.agg(F.sum("n")).first()[0] or 0) / CELLS
+    hot = np.zeros(CELLS, bool)
+    hot[[r["cell"] for r in counts.where(F.col("n") > max(HOT_ANCHORS, HOT_MEANS * mean)).select("cell").collect()]] = True
+    return hot
+
+
+def without_hot(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What blocks send to buckets, less the hot anchors."""
+    for batch in batches:
+        rows = []
+        for kind, block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            h, d, names, at = unpack(payload)
+            stays = ~hot[(from_six(h) % np.uint64(CELLS)).astype(np.int64)]
+            if stays.any():
+                rows.append((kind, block, bucket, pack(h[stays], d[stays], names, at[stays])))
+        yield from parts(rows).to_batches()
+
+
 class Block:
     """A block with its fragments, as cut_block has left it."""
 
-    def __init__(self, payload: bytes, buckets: int) -> None:
+    def __init__(self, payload: bytes, buckets: int, hot: np.ndarray) -> None:
         table, shape = pickle.loads(payload)
         self.table = from_ipc(table)
         self.buf, self.lengths = text_bytes(self.table)
@@ -75,11 +119,27 @@ class Block:
         counts, windows, offset = unpack(shape)
         self.windows = windows.astype(np.int64)
         self.doc = np.repeat(np.arange(len(counts)), counts)
+        self.offset = offset
         before = np.cumsum(self.windows) - self.windows
         firsts = np.cumsum(counts, dtype=np.int64) - counts
         self.start = before + np.repeat((np.cumsum(self.lengths) - self.lengths) - np.append(before, 0)[np.minimum(firsts, len(before))], counts)
         self.h = six(gram_hashes_at(self.buf, self.start + offset)) if len(offset) else np.zeros((0, 6), np.uint8)
-        self.buckets = dict(by_bucket((from_six(self.h) % np.uint64(buckets)).astype(np.int64)))
+        dealt = (from_six(self.h) % np.uint64(buckets)).astype(np.int64)
+        self.hot = hot[(from_six(self.h) % np.uint64(CELLS)).astype(np.int64)]
+        cool = np.flatnonzero(~self.hot)
+        self.buckets = {bucket: cool[own] for bucket, own in by_bucket(dealt[cool])}
+
+    def hot_windows(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+        """Starts of the windows of hot fragments, the places of each distinct one's first, its digest, and the buckets' shares of these."""
+        own = np.flatnonzero(self.hot)
+        n = self.windows[own]
+        start = np.repeat(self.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        length = np.full(len(start), WINDOW)
+        digest = np.c_[digests(self.buf, start, length), digests(self.buf, start, length, 1)]
+        ids = self.ids[np.repeat(self.doc[own], n)]
+        order = np.lexsort((start, ids, digest[:, 1], digest[:, 0]))
+        first = order[np.r_[True, (digest[order][1:] != digest[order][:-1]).any(1)][: len(order)]]
+        return start, first, digest[first], dict(by_bucket((digest[first, 0] % np.uint64(buckets)).astype(np.int64)))
 
 
 def resolve(table: pa.Table) -> pa.Table:
@@ -100,32 +160,73 @@ def resolve(table: pa.Table) -> pa.Table:
     return parts([(2, block, bucket, pack(a)) for (block, _), a in zip(rows, np.split(answer, ends[:-1]))])
 
 
-def send(blocks: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """The fragments of one block that have to be indexed, to their buckets."""
+def send(blocks: pa.Table, answers: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
+    """The fragments of one block that have to be indexed (kind 3), and the windows of hot ones (kind 6), to their buckets."""
     if not blocks.num_rows:
         return parts([])
-    own, out = Block(blocks.column("payload")[0].as_py(), buckets), []
+    own, out = Block(blocks.column("payload")[0].as_py(), buckets, hot), []
     block = blocks.column("block")[0].as_py()
     for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()):
         at = own.buckets[bucket][unpack(payload)[0] == INDEXED]
         if len(at):
             lengths = own.windows[at] + WINDOW - 1
             take = np.repeat(own.start[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take].tobytes())))
+            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take].tobytes(), own.offset[at])))
+    if own.hot.any():
+        start, first, digest, dealt = own.hot_windows(buckets)
+        owner = own.ids[np.searchsorted(np.cumsum(own.lengths), start[first], side="right")]
+        out += [(6, block, bucket, pack(digest[at], owner[at])) for bucket, at in dealt.items()]
     return parts(out)
 
 
+def shared(h: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Whether another fragment has the same anchor and context."""
+    order = np.lexsort((context, h))
+    same = (h[order][1:] == h[order][:-1]) & (context[order][1:] == context[order][:-1])
+    out = np.zeros(len(h), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def sharing_windows(h: np.ndarray, text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows [low, high) of each fragment that another fragment can have.
+
+    A window holds SIDE bytes next to its anchor on the left, or else on the right. So windows of the first kind have a
+    partner only where a fragment with the same anchor has the same bytes there, and likewise those of the second.
+    """
+    words = np.lib.stride_tricks.as_strided(text, (max(0, len(text) - 7), 8), (1, 1))
+    windows, alone = lengths - WINDOW + 1, np.arange(len(h), dtype=np.uint64)
+
+    def side(at: np.ndarray, there: np.ndarray) -> np.ndarray:
+        at, value = np.where(there, at, begin), np.zeros(len(h), np.uint64)
+        for k in (0, 8, 16, SIDE - 8):
+            value = mixed(value + words[at + k].copy().view("<u8").ravel())
+        return shared(h, np.where(there, value, alone)) & there
+
+    left = side(begin + offset - SIDE, offset >= SIDE)
+    right = side(begin + offset + GRAM, lengths - offset - GRAM >= SIDE)
+    edge = np.clip(offset - SIDE + 1, 0, windows)  # windows from here on are of the second kind
+    return np.where(left, 0, edge), np.where(right, windows, edge)
+
+
 def index(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each fragment sent, the windows that start earlier in another one."""
+    """Of one bucket: for each fragment sent, the windows that start earlier in another one. What no other fragment can
+    have is left out of the indexes."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
     parts_ = [unpack(p) for _, p in rows]
     h = from_six(np.concatenate([p[0] for p in parts_]))
     lengths = np.concatenate([p[1] for p in parts_]).astype(np.int64)
+    ids = np.concatenate([p[2] for p in parts_])
     text = np.frombuffer(b"".join(p[3] for p in parts_), np.uint8)
+    offset = np.concatenate([p[4] for p in parts_]).astype(np.int64)
     begin = np.cumsum(lengths) - lengths
-    order = np.lexsort((np.concatenate([p[2] for p in parts_]), h))
+    low, high = sharing_windows(h, text, begin, lengths, offset)
+    chosen = np.flatnonzero(high > low)
     masks = np.zeros(len(h), np.uint64)
-    new = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    lengths, begin = (high - low)[chosen] + WINDOW - 1, (begin + low)[chosen]
+    order = np.lexsort((ids[chosen], h[chosen]))
+    new = np.flatnonzero(np.r_[True, h[chosen][order][1:] != h[chosen][order][:-1]])
     size = np.cumsum(lengths[order])
     first = 0
     while first < len(order):  # whole groups of one anchor, up to INDEX_BYTES together
@@ -137,14 +238,22 @@ def index(table: pa.Table) -> pa.Table:
         at = np.cumsum(n + 1) - n - 1
         laid = np.zeros(int((n + 1).sum()), np.uint8)
         laid[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        masks[own] = runindex.matches(runindex.build(laid, n, WINDOW), n, WINDOW)
+        masks[chosen[own]] = runindex.matches(runindex.build(laid, n, WINDOW), n, WINDOW) << low[chosen[own]].astype(np.uint64)
         first = last
     bucket = table.column("bucket")[0].as_py()
     ends = np.cumsum([len(p[0]) for p in parts_])
     return parts([(4, block, bucket, pack(m)) for (block, _), m in zip(rows, np.split(masks, ends[:-1]))])
 
 
-def removed(own: Block, answers: pa.Table) -> np.ndarray:
+def bucket_of(table: pa.Table) -> pa.Table:
+    """A bucket of fragments, or one of window digests."""
+    if table.column("kind")[0].as_py() == 3:
+        return index(table)
+    answers = first_of_each(table)
+    return answers.set_column(0, "kind", pa.array([7] * answers.num_rows, pa.int8()))
+
+
+def removed(own: Block, answers: pa.Table, buckets: int) -> np.ndarray:
     """A flag for each byte of a block."""
     edge = np.zeros(len(own.buf) + 1, np.int32)
     found = {(k, b): p for k, b, p in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())}
@@ -161,6 +270,13 @@ def removed(own: Block, answers: pa.Table) -> np.ndarray:
             start = own.start[at[answer == INDEXED]][which] + bit
             np.add.at(edge, start, 1)
             np.add.at(edge, start + WINDOW, -1)
+    if own.hot.any():
+        start, first, _, dealt = own.hot_windows(buckets)
+        repeats = np.ones(len(start), bool)
+        for bucket, at in dealt.items():
+            repeats[first[at]] = ~unpack(found[7, bucket])[0]
+        np.add.at(edge, start[repeats], 1)
+        np.add.at(edge, start[repeats] + WINDOW, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -181,15 +297,19 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = True
 
     table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets)), "fragments")
     blocks = table.where("kind = 0")
-    answers = written(table.where("kind = 1").groupBy("bucket").applyInArrow(resolve, PART), "answers")
-    to_bucket = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: send(b, a, buckets), PART)
-    matched = written(to_bucket.groupBy("bucket").applyInArrow(index, PART), "matched")
+    hot = hot_cells(table)
+    sent = table.where("kind = 1")
+    if hot.any():
+        sent = sent.mapInArrow(lambda batches: without_hot(hot, batches), PART)
+    answers = written(sent.groupBy("bucket").applyInArrow(resolve, PART), "answers")
+    to_bucket = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: send(b, a, buckets, hot), PART)
+    matched = written(to_bucket.groupBy("kind", "bucket").applyInArrow(bucket_of, PART), "matched")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items() if n != "text") + ", n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept string"
 
     def mark(b: pa.Table, a: pa.Table) -> pa.Table:
-        own = Block(b.column("payload")[0].as_py(), buckets)
-        gone = removed(own, a)
+        own = Block(b.column("payload")[0].as_py(), buckets, hot)
+        gone = removed(own, a, buckets)
         out: list[tuple] = []
         ends = np.cumsum(own.lengths)
         absent = own.table.column("text").is_null().to_pylist()
