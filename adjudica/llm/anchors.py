@@ -83,8 +83,10 @@ def _fragments(buf, lengths, first, start):
 
 
 def digests(buf: np.ndarray, start: np.ndarray, length: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit digest of buf[start : start + length] for each pair; `which` chooses one of two functions."""
+    """A 64-bit digest of buf[start : start + length] for each pair, the same wherever the bytes stand; `which` chooses
+    one of two functions."""
     power = np.cumprod(np.full(len(buf) + 1, _BASES[which]), dtype=np.uint64)
+    back = np.cumprod(np.full(len(buf) + 1, pow(int(_BASES[which]), -1, 1 << 64), np.uint64), dtype=np.uint64)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_TABLES[which][buf] * power[: len(buf)], dtype=np.uint64, out=sums[1:])
-    return mixed((sums[start + length] - sums[start]) * power[len(buf) - start] + length.astype(np.uint64))
+    return mixed((sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64))

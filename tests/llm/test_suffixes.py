@@ -2,10 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from adjudica.llm import anchors, runindex, suffixes
+from adjudica.llm import anchors, blocks, runindex, suffixes
 from adjudica.llm.common import documents
 
 
@@ -62,7 +63,8 @@ def test_fragments_cover_every_window_once():
     assert (anchors.gram_hashes_at(buf, anchor) == h).all()
 
 
-def test_against_brute_force(spark, sf):
+def test_against_brute_force(spark, sf, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 100_000)
     docs = documents(spark, sf)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
     want = slow(rows)
@@ -70,6 +72,21 @@ def test_against_brute_force(spark, sf):
     assert result(suffixes.summary(docs)) == want
 
 
+def test_digests_do_not_depend_on_the_place():
+    a, b = np.frombuffer(b"xyzabcdefg", np.uint8), np.frombuffer(b"abcdefgpqrstu", np.uint8)
+    at = lambda buf, k: anchors.digests(buf, np.array([k]), np.array([7]), 1)[0]
+    assert at(a, 3) == at(b, 0) != at(b, 1)
+
+
+@pytest.mark.parametrize("hot", [0, 20])
+def test_hot_anchors_take_the_other_way(spark, sf, monkeypatch, hot):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(suffixes, "HOT_ANCHORS", hot)
+    monkeypatch.setattr(suffixes, "HOT_MEANS", 0)
+    docs = documents(spark, sf).where("doc_id < 300")
+    assert result(suffixes.summary(docs)) == slow([(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()])
+
+
 def test_special_cases(spark, monkeypatch):
     random.seed(5)
     word = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
