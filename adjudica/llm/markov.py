@@ -65,7 +65,7 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     suffix[0] = 0
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     ids = table.column("doc_id")
-    body = pack(flat, sizes, suffix, hashes)
+    body = pack(flat, sizes, suffix)
     rows = [(0, block, -1, pickle.dumps((ids.to_pylist(), held, body, pack(bucket.astype(np.uint16))), protocol=5))]
     for b, own in by_bucket(bucket):
         rows.append((1, block, b, pack(hashes[own], train[own], suffix[own])))
@@ -80,9 +80,14 @@ def count_bucket(table: pa.Table) -> pa.Table:
     count = np.bincount(place, np.concatenate([s[1] for s in sent]).astype(float), minlength=len(words)).astype(np.int64)
     suffix = np.concatenate([s[2] for s in sent])[first]
     bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([len(s[0]) for s in sent])
-    answers = [(2, block, bucket, pack(c)) for (block, _), c in zip(rows, np.split(count[place].astype(np.uint32 if count.max(initial=0) < 1 << 32 else np.uint64), ends[:-1]))]
     top = np.lexsort((words, -count))[:FREQUENT]
     top = top[count[top] > 0]
+    leading = np.zeros(len(words), bool)  # only these can turn out to be frequent: blocks get their hashes back
+    leading[top] = True
+    answers = []
+    for (block, _), own in zip(rows, np.split(place, ends[:-1])):
+        at = np.flatnonzero(leading[own])
+        answers.append((2, block, bucket, pack(count[own].astype(np.uint32 if count.max() < 1 << 32 else np.uint64), at.astype(np.uint32), words[own[at]])))
     kinds = np.bincount(suffix, count > 0, minlength=SUFFIXES + 1).astype(np.int64)
     sums = np.bincount(suffix, count, minlength=SUFFIXES + 1).astype(np.int64)
     return parts([*answers, (3, -1, bucket, pack(words[top], count[top], suffix[top], kinds, sums))])
@@ -119,7 +124,7 @@ class Vocabulary:
             self.mass = np.log10(mass / self.total)
 
     def encode(self, hashes: np.ndarray, suffix: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log10 base probability of each word."""
+        """Class and log10 base probability of each word; the hash of a word that can't be frequent may be zero."""
         kind = np.where(count > 0, suffix.astype(np.int64), self.unseen)
         if len(self.words):
             place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
@@ -133,10 +138,12 @@ def encode_block(blocks: pa.Table, answers: pa.Table, vocabulary: Vocabulary) ->
     rows = []
     if blocks.num_rows:
         ids, held, body, dealt = pickle.loads(blocks.column("payload")[0].as_py())
-        flat, sizes, suffix, hashes = unpack(body)
-        places, count = dict(by_bucket(unpack(dealt)[0].astype(np.int64))), np.zeros(len(hashes), np.int64)
+        flat, sizes, suffix = unpack(body)
+        places, count, hashes = dict(by_bucket(unpack(dealt)[0].astype(np.int64))), np.zeros(len(suffix), np.int64), np.zeros(len(suffix), np.uint64)
         for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()):
-            count[places[bucket]] = unpack(payload)[0]
+            own, at, words = unpack(payload)
+            count[places[bucket]] = own
+            hashes[places[bucket][at]] = words
         kind, base = vocabulary.encode(hashes, suffix, count)
         inside = base - vocabulary.mass[kind]
         at = np.cumsum(sizes) - sizes
