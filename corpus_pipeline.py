@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last one returns packed pieces.
 Each works on all rows that the stage before has kept. Null and empty texts fail the quality rules; the near-duplicate
-stage uses the fingerprints of op1 (3-word shingles, 3 bits).
+stage links texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import mixing, packing, quality, simhash, suffixes
+from adjudica.llm import mixing, neardup, packing, quality, simhash, suffixes
 from adjudica.llm.common import documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,9 +25,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """By op1's own rule (3-word shingles, 3 bits); not a stage, as it finds few near copies that aren't identical."""
     return simhash.one_of_each(own_columns(docs))
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(own_columns(docs))
+
+
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = suffixes.deduplicated(own_columns(docs), ("lang", "source"))
     return own_columns(done.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long")))
@@ -43,7 +48,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", simhash_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("suffix-array dedup", suffix_dedup),
     ("mixing sources to target weights", source_mixing),
     ("packing", sequence_packing),
