@@ -1,10 +1,11 @@
 """Quality rules: counts over each document's words and lines, then a hashed n-gram likelihood ratio.
 
-The ratio compares two multinomials over hashed n-grams (the last three characters of every word, in ``BUCKETS``
-buckets): one counted on trusted documents, one on the whole corpus. A document's score is the mean over its n-grams
-of log p_trusted - log p_raw; it is kept if the counts do not reject it and the score reaches ``THRESHOLD``. The raw
-counts come from every document. The trusted ones come from at most ``TRUSTED`` documents that ``labels`` marks as good,
-chosen by a hash of their id, so that their ids can be broadcast. Both tables have ``BUCKETS`` entries at most.
+The ratio compares two models over hashed n-grams: one counted on trusted documents, one on the whole corpus. Each is
+three multinomials of ``BUCKETS`` buckets: every whole word, every pair of neighbouring words, and the last three
+characters of every word, which stand for words too rare to be counted. A document's score is the sum over the three of
+the mean of log p_trusted - log p_raw; it is kept if the counts do not reject it and the score reaches ``THRESHOLD``. The
+raw counts come from every document. The trusted ones come from at most ``TRUSTED`` documents that ``labels`` marks as
+good, chosen by a hash of their id, so that their ids can be broadcast. Both models have 3 ``BUCKETS`` entries at most.
 
 Only DataFrame functions are used, and no document is exploded over the network: repeats are found inside the row by
 sorting the 64-bit hashes of its 3-word windows.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Hash buckets of the two multinomials, trusted documents at most, added to each bucket's count.
+#: Hash buckets of a multinomial, trusted documents at most, added to each bucket's count.
 BUCKETS, TRUSTED, PRIOR = 16_384, 20_000, 0.5
 #: Mean log ratio (natural) that a document has to reach.
 THRESHOLD = -0.5
@@ -72,35 +73,50 @@ def counted(docs: DataFrame, *keep: str) -> DataFrame:
     return five.withColumn("starts", starts).select("doc_id", *keep, "words", "n_words", "word_chars", "n_symbols", "n_dup_lines", _union_length(F.col("starts")).cast("long").alias("n_repeat_words"))
 
 
-def bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(F.substring(word, -3, 3)), F.lit(BUCKETS)).cast("int")
+def bucket(kind: int, *gram: Column) -> Column:
+    return (F.pmod(F.xxhash64(*gram), F.lit(BUCKETS)) + kind * BUCKETS).cast("int")
+
+
+def of_words(words: Column) -> Column:
+    """Two buckets a word: of its last three characters and of the whole."""
+    return F.concat(F.transform(words, lambda w: bucket(0, F.substring(w, -3, 3))), F.transform(words, lambda w: bucket(1, w)))
+
+
+def of_pairs(words: Column) -> Column:
+    return F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: bucket(2, F.get(words, i), w))
 
 
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """log p_trusted - log p_raw for each bucket, from all documents."""
+    """log p_trusted - log p_raw for each bucket of each kind, from all documents."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     good = good.orderBy(F.xxhash64("good_id"), "good_id").limit(TRUSTED)
-    seen = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().cast("long").alias("trusted"), F.explode(words(F.col("text"))).alias("word"))
-    counts = seen.groupBy(bucket(F.col("word")).alias("bucket")).agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted")).collect()  # BUCKETS rows at most
-    raw, trusted = sum(r["raw"] for r in counts), sum(r["trusted"] for r in counts)
-    if not trusted:
-        return [0.0] * BUCKETS
+    seen = docs.join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left").select(F.col("good_id").isNotNull().cast("long").alias("trusted"), words(F.col("text")).alias("words"))
+    grams = F.concat(of_words(F.col("words")), of_pairs(F.col("words")))
+    counts = seen.select("trusted", F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted")).collect()  # 3 BUCKETS rows at most
     found = {r["bucket"]: (r["trusted"], r["raw"]) for r in counts}
-    total = PRIOR * BUCKETS
-    odds = math.log((raw + total) / (trusted + total))
-    return [math.log((t + PRIOR) / (r + PRIOR)) + odds for t, r in (found.get(b, (0, 0)) for b in range(BUCKETS))]
+    out = []
+    for kind in range(3):
+        own = [found.get(b, (0, 0)) for b in range(kind * BUCKETS, (kind + 1) * BUCKETS)]
+        trusted, raw = (sum(x) for x in zip(*own))
+        total = PRIOR * BUCKETS
+        odds = math.log((raw + total) / (trusted + total))
+        out += [math.log((t + PRIOR) / (r + PRIOR)) + odds if trusted else 0.0 for t, r in own]
+    return out
 
 
 def judged(docs: DataFrame, labels: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, the counts, base_failed, llr (mean log ratio), kept; with `carry` also row, the document's own columns."""
+    """doc_id, the counts, base_failed, llr (sum of the mean log ratios), kept; with `carry` also row, the document's own columns."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keep = ("row",) if carry else ()
     docs = docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").cast("string").alias("text"), *([whole] if carry else []))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios(docs, labels))), ",").cast("array<double>")
     c = counted(docs, *keep)
-    total = F.aggregate("words", F.lit(0.0), lambda a, w: a + F.get(table, bucket(w)))
+
+    def total(buckets: Column) -> Column:
+        return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(table, b))
+
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    llr = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(F.lit(0.0))
+    llr = F.when(F.col("n_words") > 0, total(of_words(F.col("words"))) / F.col("n_words") + total(of_pairs(F.col("words"))) / F.greatest(F.col("n_words") - 1, F.lit(1))).otherwise(F.lit(0.0))
     scored = c.withColumn("base_failed", failed).withColumn("llr", F.round(llr, 6))
     return scored.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= THRESHOLD)).alias("kept"))
 
