@@ -1,8 +1,10 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over the text; a chunk ends where its top bits are zero, but not before ``MIN`` bytes, and at ``MAX``
-at the latest. The hash covers the last 32 bytes only, so an insertion moves the cuts next to it and no others, and a
-passage is cut alike wherever it stands. Chunks are compared by a 128-bit digest: the first one (smallest doc_id, then
+at the latest. The hash covers the last 4 bytes only (the table's entries are multiples of 2**28), and ends are twice as
+frequent as what ``MIN`` skips, so an insertion moves the cuts next to it and no others, and two copies of a passage fall
+into step within a few dozen bytes wherever they stand. Left in part are passages that are one short phrase over and over:
+they hold no place to tell from others, and their cuts depend on where they begin. Chunks are compared by a 128-bit digest: the first one (smallest doc_id, then
 place) stays, the others are removed. A bucket gets one digest for each distinct chunk of a block.
 
 Defined cases: null text is empty and has no chunk; a null doc_id comes last; of rows with one doc_id the one read
@@ -21,15 +23,15 @@ from pyspark.sql import DataFrame
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
 from .common import columns_of, corpus_size, written
 
-#: Bytes of a chunk; ends are 1 in 2**CUT_BITS after the first MIN bytes. A repeated passage of 50 words holds whole chunks.
-MIN, MAX, CUT_BITS = 48, 256, 5
+#: Bytes of a chunk; an end has CUT_BITS zeros on top, of which the table leaves one always zero: ends are 1 in 16.
+MIN, MAX, CUT_BITS = 16, 256, 5
 BUCKET_BYTES = 32 << 20
-GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
+GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32) & np.uint32(0xF0000000)
 SCHEMA = "doc_id long, n_bytes long, n_chunks long, n_removed_chunks long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string"
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of GEAR[b] << distance over the last 32 bytes."""
+    """The rolling hash after each byte: the sum of GEAR[b] << distance over the last bytes."""
     h = GEAR[buf]
     for shift in (1, 2, 4, 8, 16):
         h[shift:] = h[shift:] + (h[: len(h) - shift] << np.uint32(shift)) if len(h) > shift else h[shift:]
@@ -67,6 +69,11 @@ def _digests(buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(make(data[a:b], digest_size=16).digest() for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.uint64).reshape(-1, 2)
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; nearly ascending numbers take little room that way. np.cumsum with x's type undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     """The block with its cuts (kind 0); for each bucket its distinct digests and the first document of each (kind 1)."""
     buf, lengths = text_bytes(table)
@@ -77,11 +84,11 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     order = np.lexsort((np.arange(len(doc)), ids[doc], digest[:, 1], digest[:, 0]))
     new = np.r_[True, (digest[order][1:] != digest[order][:-1]).any(1)][: len(order)]
     first = order[new]
-    same = np.empty(len(doc), np.int64)
-    same[order] = np.cumsum(new) - 1  # number of each chunk's content
-    rows = [(0, block, -1, pickle.dumps((to_ipc(table), pack(counts.astype(np.uint32), sizes.astype(np.uint16), same.astype(np.uint32), first.astype(np.uint32), (digest[first, 0] % np.uint64(buckets)).astype(np.uint32))), protocol=5))]
-    for bucket, own in by_bucket((digest[first, 0] % np.uint64(buckets)).astype(np.int64)):
-        rows.append((1, block, bucket, pack(digest[first[own]], ids[doc[first[own]]])))
+    first.sort()  # contents go by their first chunks' places
+    bucket_of = (digest[first, 0] % np.uint64(buckets)).astype(np.uint32)
+    rows = [(0, block, -1, pickle.dumps((to_ipc(table), pack(counts.astype(np.uint32), sizes.astype(np.uint16), _steps(first.astype(np.uint32)), bucket_of.astype(np.uint16) if buckets <= 1 << 16 else bucket_of)), protocol=5))]
+    for bucket, own in by_bucket(bucket_of.astype(np.int64)):
+        rows.append((1, block, bucket, pack(digest[first[own]], _steps(ids[doc[first[own]]]))))
     return rows
 
 
@@ -89,7 +96,7 @@ def resolve(table: pa.Table) -> pa.Table:
     """Of one bucket: for each digest of each block, whether that block's first chunk is the first of all."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
     sent = [unpack(p) for _, p in rows]
-    digest, ids = np.concatenate([x[0] for x in sent]), np.concatenate([x[1] for x in sent])
+    digest, ids = np.concatenate([x[0] for x in sent]), np.concatenate([np.cumsum(x[1]) for x in sent])
     order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
     answer = np.empty(len(ids), bool)
     answer[order] = np.r_[True, (digest[order][1:] != digest[order][:-1]).any(1)]
@@ -100,7 +107,8 @@ def resolve(table: pa.Table) -> pa.Table:
 def mark(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     payload, shape = pickle.loads(blocks.column("payload")[0].as_py())
     table = from_ipc(payload)
-    counts, sizes, same, first, bucket = unpack(shape)
+    counts, sizes, first, bucket = unpack(shape)
+    first = np.cumsum(first, dtype=np.uint32)
     buf, lengths = text_bytes(table)
     stays = np.zeros(len(sizes), bool)
     places = dict(by_bucket(bucket.astype(np.int64)))
