@@ -6,8 +6,9 @@ bag are averaged and go through a linear softmax; vectors and softmax are traine
 by how often it stands in toxic and in clean training documents. A document is as toxic as its most toxic word: the
 largest word logit and the logarithm of the number of words go through a logistic fit on the same documents.
 
-Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never),
-collected to the driver; what the tasks get is one number for each of ``BUCKETS`` n-gram buckets. Scoring is one pass
+Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never).
+Their texts stay in Spark: the driver gets each distinct word once with the number of clean and toxic documents that have
+it, and two features a document for the logistic fit; what the tasks get is one number for each of ``BUCKETS`` n-gram buckets. Scoring is one pass
 over all texts without a shuffle.
 
 Defined cases: a null or empty text has no words and gets the score of the smallest logit; without labelled documents
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, written
 
 #: Labelled documents of each class at most, hash buckets, length of a vector, passes over the words.
-TRAIN, BUCKETS, SIZE, PASSES = 2_000, 1 << 17, 16, 6
+TRAIN, BUCKETS, SIZE, PASSES = 3_000, 1 << 17, 16, 6
 GRAMS = (3, 4, 5)
 FOLDS = 5
 #: Logit of a text without words.
@@ -74,10 +75,14 @@ def trained(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndar
             counts[w] = counts.get(w, 0) + (1 << 20 * t)
     words = sorted(counts)
     both = np.fromiter((counts[w] for w in words), np.int64, len(words))
-    weight = np.c_[both & ((1 << 20) - 1), both >> 20].astype(np.float32)
-    del counts
+    return trained_on(words, np.c_[both & ((1 << 20) - 1), both >> 20].astype(np.float32), seed)
+
+
+def trained_on(words: list[bytes], weight: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+    """The same from distinct words in ascending order and, for each, its clean and toxic documents."""
+    if not words:
+        return np.zeros(BUCKETS, np.float32), 0.0
     parts = [ngrams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
-    del words
     buckets, sizes = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
     del parts
     keep = sizes > 0
@@ -138,25 +143,57 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
+def word_counts(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of docs (text, mark), ascending, and for each the clean and the toxic documents that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = list(set(words_of(text or "")))
+                for at in range(0, len(own), 10_000):
+                    words = own[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([mark] * len(words), pa.int64())], ["word", "mark"])
+
+    counts = docs.select("text", "mark").mapInArrow(run, "word binary, mark long").groupBy("word").agg(F.sum(1 - F.col("mark")).cast("float").alias("clean"), F.sum("mark").cast("float").alias("toxic")).toArrow()
+    counts = counts.sort_by("word")
+    return counts.column("word").to_pylist(), np.c_[counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()].astype(np.float32)
+
+
+def two_features(docs: DataFrame, table: np.ndarray, bias: float) -> np.ndarray:
+    """Mark and features of docs (doc_id, text, mark), by ascending id."""
+    model = docs.sparkSession.sparkContext.broadcast((table, bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                x = features(part.column(1).to_pylist(), *model.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "mark", "largest", "words"])
+
+    rows = docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark int, largest double, words double").collect()
+    return np.array([(r["mark"], r["largest"], r["words"]) for r in sorted(rows, key=lambda r: r["doc_id"])], float).reshape(-1, 3)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray] | None:
     """Bucket table, bias, and the logistic weights; None without both classes."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), FOLDS)).groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.max("toxic").cast("int").alias("mark"))
     usual = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
     chosen = [marks.where(F.col("mark") == k).orderBy(F.xxhash64("marked"), "marked").limit(TRAIN) for k in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("marked")).select("doc_id", "text", "mark").dropDuplicates(["doc_id"]).collect()
-    rows = sorted((r["doc_id"], r["text"] or "", r["mark"]) for r in rows)
-    toxic = np.array([m for _, _, m in rows], int)
+    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("marked")).select("doc_id", "mark").distinct().collect()  # 2 TRAIN rows at most
+    rows = sorted((r["doc_id"], r["mark"]) for r in rows)
+    toxic = np.array([m for _, m in rows], int)
     if len(set(toxic.tolist())) < 2:
         return None
-    texts = [t for _, t, _ in rows]
-    del rows
     # vectors learn from one part, the logistic fit from the other, where their logits are as they will be
-    part = np.arange(len(texts)) % 4 == 0
-    table, bias = trained([t for t, p in zip(texts, part) if not p], toxic[~part])
+    part = np.arange(len(rows)) % 4 == 0
+    places = docs.sparkSession.createDataFrame([(d, m, p) for (d, m), p in zip(rows, part.tolist())], "marked long, mark int, fits boolean")
+    own = docs.join(F.broadcast(places), F.col("doc_id") == F.col("marked")).select("doc_id", "text", "mark", "fits").dropDuplicates(["doc_id"])
+    own = written(own, "labelled-texts")
+    table, bias = trained_on(*word_counts(own.where("not fits")))
     share = np.array([usual[k] / max(1, (toxic == k).sum()) for k in (0, 1)])
-    own, x = toxic[part], features([t for t, p in zip(texts, part) if p], table, bias)
-    if len(set(own.tolist())) < 2:
-        own, x = toxic, features(texts, table, bias)
+    fits = own.where("fits") if len(set(toxic[part].tolist())) == 2 else own
+    x = two_features(fits, table, bias)
+    own, x = x[:, 0].astype(int), x[:, 1:]
     weight = share[own] / share[own].mean()
     return table, bias, logistic(x, own, weight)
 
