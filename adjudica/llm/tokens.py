@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import functools
 import json
+import sys
+import types
 from collections.abc import Callable
 
 import numpy as np
@@ -21,13 +22,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-@functools.cache
+def worker_cache() -> dict:
+    """What a worker process keeps from task to task. Functions travel by value, each time with a new module of their own,
+    so it can't be kept there."""
+    return sys.modules.setdefault("_adjudica_worker", types.ModuleType("_adjudica_worker")).__dict__
+
+
 def encoder(path: str | None = None) -> Callable[[str], np.ndarray]:
     """Ids of a text under the vocabulary file at `path` (add_special_tokens=False).
 
     Merges run in tiktoken, which is several times faster on the same vocabulary; a text with the special token's mark
     goes to the tokenizers library itself.
     """
+    kept = worker_cache().setdefault("encoders", {})
+    if path not in kept:
+        kept[path] = _encoder(path)
+    return kept[path]
+
+
+def _encoder(path: str | None) -> Callable[[str], np.ndarray]:
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
