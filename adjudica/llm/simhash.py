@@ -4,16 +4,17 @@ A fingerprint is embedded as the bit counts of its ``SEGMENTS`` two-bit segments
 vectors is at most the Hamming distance, so it serves as a lower bound. The range join works on a grid: the coordinates
 are dealt to B blocks, and two vectors within distance 3 agree in all coordinates of at least B - 3 blocks, so every
 choice of B - 3 blocks gives a grid whose cells hold all pairs in range that agree there. Inside a cell the bound is
-tested, then the exact distance. B grows with the number of distinct fingerprints, so that cells stay small. A cell
-that is large all the same is searched on finer grids of the fingerprints' own bits; no pair is lost. Of a cell's links
-only a spanning forest leaves the task. Components come from alternating star contraction, written to the shared folder
-after each round.
+tested, then the exact distance. B grows with the number of distinct fingerprints, so that cells stay small. Cells are
+streamed, one after another, through the tasks; one with more than ``BLOCK`` fingerprints goes on to a second pass, which
+deals it out as pairs of blocks and tests these alike. Of a cell's links only a spanning forest leaves the task.
+Components come from alternating star contraction, written to the shared folder after each round.
 
-Equal fingerprints are one node, so copies cost one row each and are never paired.
+Equal fingerprints are one node, so copies cost one row each and are never paired. Fingerprints that more than one row
+in ``HOT`` has (so ``HOT`` of them at most) reach their rows by broadcast, the others by a shuffle.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; a null doc_id gets a fingerprint
-and the component of equal fingerprints, but is never a component's id; repeated rows fall together; an empty table
-gives no rows; other columns are ignored.
+and links others like any row, and its component is named by the smallest doc_id in it, null if there is none; repeated
+rows fall together; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from .common import columns_of, written
 
 SHINGLE, BITS, SEED = 3, 3, 42
 SEGMENTS = 32
-#: Fingerprints that a cell of random ones holds on average, at most; larger groups than BRUTE go to finer grids.
-PER_CELL, BRUTE = 4, 2048
+#: Fingerprints that a cell of random ones holds on average, at most; fingerprints of one task's comparison.
+PER_CELL, BLOCK = 4, 8192
+#: A fingerprint of more than one row in HOT is hot.
+HOT = 2000
 LOW = np.uint64(0x5555555555555555)
 ONE = np.uint64(1)
 
@@ -85,16 +88,12 @@ def choose_blocks(rows: int, bits: int = BITS) -> int:
     return next(b for b in range(bits + 2, 17) if b == 16 or rows <= PER_CELL * 2 ** (1.5 * SEGMENTS * (b - bits) / b))
 
 
-def close_pairs(fp: np.ndarray, bits: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that span what is linked within one cell. A large cell goes to grids of the bits themselves (8 blocks, all
-    but `bits` equal); what is large even there is compared block by block."""
-    if len(fp) > BRUTE and not fine:
-        found = [cell_links(fp & np.uint64(mask), fp, bits, True) for mask in block_masks(8, bits, 1)]
-        return tuple(np.concatenate(x) for x in zip(*found))
+def close_pairs(fp: np.ndarray, bits: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that span what is linked within one cell."""
     unary, left, right = counts_in_unary(fp), [], []
-    for a in range(0, len(fp), BRUTE):
-        for b in range(a, len(fp), BRUTE):
-            i, j = np.nonzero(np.bitwise_count(unary[a : a + BRUTE, None] ^ unary[None, b : b + BRUTE]) <= bits)
+    for a in range(0, len(fp), step):
+        for b in range(a, len(fp), step):
+            i, j = np.nonzero(np.bitwise_count(unary[a : a + step, None] ^ unary[None, b : b + step]) <= bits)
             i, j = i + a, j + b
             keep = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= bits)
             names, both = np.unique(np.concatenate([i[keep], j[keep]]), return_inverse=True)
@@ -118,7 +117,7 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def cell_links(key: np.ndarray, fp: np.ndarray, bits: int, fine: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(key: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of rows that spans what is linked inside the cells; small cells are compared lag by lag."""
     order = np.lexsort((fp, key))
     key, at = key[order], fp[order]
@@ -140,15 +139,40 @@ def cell_links(key: np.ndarray, fp: np.ndarray, bits: int, fine: bool = False) -
         lag += 1
         todo = todo[room[todo] > lag]
     for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        i, j = close_pairs(at[s : s + n], bits, fine)
+        i, j = close_pairs(at[s : s + n], bits)
         left.append(i + s), right.append(j + s)
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
+def spanning(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Edges (a > b) between the values of fp that connect what the pairs (i, j) do."""
+    names, both = np.unique(np.concatenate([fp[i], fp[j]]).view(np.int64), return_inverse=True)
+    root = forest(both[: len(i)], both[len(i) :], len(names))
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Whole groups of equal first column from batches sorted by it: about `rows` rows at a time, more if one group has more."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            if cut:
+                yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), len(key) - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges (a > b) between nodes whose fingerprints differ in at most `bits` bits; what they connect is complete."""
+    """Edges (a > b) between the distinct fingerprints of `nodes` that differ in at most `bits` bits; what they connect is complete."""
     masks = np.array(block_masks(choose_blocks(nodes.count(), bits), bits), np.uint64)
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,22 +183,39 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
                 grid = counts_in_unary(fp)[:, None] & masks[None, :]
                 grid = (grid ^ (np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).ravel()
                 again = np.repeat(np.arange(len(fp)), len(masks))
-                yield pa.RecordBatch.from_arrays([pa.array(grid.view(np.int64)), part.column(0).take(again), part.column(1).take(again)], ["cell", "fp", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(grid.view(np.int64)), part.column(0).take(again)], ["cell", "fp"])
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        cell, fp, node = (table.column(k).to_numpy() for k in range(3))
-        i, j = cell_links(cell.view(np.uint64), fp.view(np.uint64), bits)
-        names, both = np.unique(np.concatenate([node[i], node[j]]), return_inverse=True)
-        root = forest(both[: len(i)], both[len(i) :], len(names))
-        own = np.flatnonzero(root != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
-
-    cells = nodes.select("fp", "node").mapInArrow(to_cells, "cell long, fp long, node long")
-    return cells.repartition("cell").mapInArrow(in_cells, "a long, b long").distinct()
+        """Links of the cells (cell null), and the rows of those that are larger than one block."""
+        for table in in_groups(batches, 2 * BLOCK):
+            cell, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            size = np.diff(np.r_[start, len(cell)])
+            large = np.repeat(size > BLOCK, size)
+            found = spanning(fp[~large], *cell_links(cell[~large].view(np.uint64), fp[~large], bits))
+            none = pa.nulls(found.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, found.column(0), found.column(1)], ["cell", "a", "b"])
+            over = fp[large].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[large]), pa.array(over), pa.array(over)], ["cell", "a", "b"])
+
+    def in_blocks(table: pa.Table) -> pa.Table:
+        fp = np.unique(table.column("a").to_numpy()).view(np.uint64)
+        return pa.Table.from_batches([spanning(fp, *close_pairs(fp, bits))])
+
+    cells = nodes.select("fp").mapInArrow(to_cells, "cell long, fp long")
+    found = written(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(in_cells, "cell long, a long, b long"), "cells")
+    over = dealt_in_pairs(found.where("cell is not null").select("cell", "a"), "cell", "a", BLOCK)
+    return found.where("cell is null").select("a", "b").unionByName(over.groupBy("cell", "p", "q").applyInArrow(in_blocks, "a long, b long")).distinct()
+
+
+def dealt_in_pairs(members: DataFrame, key: str, member: str, block: int) -> DataFrame:
+    """members with p and q: each group of `key` is dealt to blocks of about `block` members, and a row goes to all pairs
+    of blocks that hold its own."""
+    count = F.ceil(F.col("_n") / block)
+    mine = F.pmod(F.xxhash64(member, F.lit(1)), count)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.struct(F.least(k, mine).alias("p"), F.greatest(k, mine).alias("q")))
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return members.join(sizes, key).select(*members.columns, F.explode(pairs).alias("_e")).select(*members.columns, "_e.p", "_e.q")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,15 +241,12 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id that links reach)."""
     own = written(fingerprints(docs, width), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    tied = components(links(written(nodes.where("node is not null"), "fp-nodes"), bits))
-    labels = nodes.join(tied, F.col("node") == F.col("a"), "left").select("fp", F.coalesce("b", "node").alias("component_id"))
-    return own.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The document with the smallest id of each component, with its own columns; of rows with that id one stays. Rows
-    without an id stay, one for each text."""
-    own = grouped(docs, width, bits).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(own, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "fp-nodes")
+    tied = components(links(nodes, bits))
+    rooted = nodes.join(tied, F.col("fp") == F.col("a"), "left").select("fp", "rows", "id", F.coalesce("b", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    labels = written(rooted.join(least, "root").select("fp", "rows", "component_id"), "fp-components")
+    often = F.col("rows") * HOT > own.count()
+    hot = F.broadcast(labels.where(often).select("fp", "component_id"))  # HOT rows at most
+    rare = own.join(hot.select("fp"), "fp", "left_anti").join(labels.where(~often).select("fp", "component_id"), "fp")
+    return own.join(hot, "fp").unionByName(rare).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

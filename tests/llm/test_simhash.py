@@ -39,10 +39,8 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("n,brute", [(300, 2048), (300, 100)])
-def test_cells_lose_no_link(monkeypatch, n, brute):
-    monkeypatch.setattr(simhash, "BRUTE", brute)
-    rng = np.random.default_rng(1)
+def test_cells_lose_no_link():
+    n, rng = 300, np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
     fps = base[rng.integers(0, 6, n)]
     for _ in range(4):
@@ -54,8 +52,43 @@ def test_cells_lose_no_link(monkeypatch, n, brute):
             i, j = simhash.cell_links(simhash.counts_in_unary(fps) & np.uint64(mask), fps, 3)
             left.append(i), right.append(j)
         assert simhash.forest(np.concatenate(left), np.concatenate(right), n).tolist() == want
-    i, j = simhash.cell_links(np.zeros(n, np.uint64), fps, 3)
-    assert simhash.forest(i, j, n).tolist() == want
+    for i, j in (simhash.cell_links(np.zeros(n, np.uint64), fps, 3), simhash.close_pairs(fps, 3, 70)):
+        assert simhash.forest(i, j, n).tolist() == want
+
+
+@pytest.mark.parametrize("block", [8192, 40])
+def test_large_cells_are_dealt_out(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.uint64(0x0123456789ABCDEF) ^ (np.uint64(1) << rng.integers(0, 64, (400, 5), dtype=np.uint64)).sum(1, dtype=np.uint64))
+    want = slow_components([int(x) for x in fps])
+    nodes = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(3)
+    place = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    edges = [(place[r["a"]], place[r["b"]]) for r in simhash.links(nodes).collect()]
+    i, j = (np.array([e[k] for e in edges], int) for k in (0, 1))
+    assert simhash.forest(i, j, len(fps)).tolist() == want
+
+
+def test_groups_are_whole():
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 5, 9], [3, 10, 1, 4])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 2])], ["key"]) for k in range(0, len(key), 2)]
+    got = [t.column(0).to_pylist() for t in simhash.in_groups(iter(batches), 4)]
+    assert sum(got, []) == key.tolist() and all(set(a).isdisjoint(b) for a, b in zip(got, got[1:]))
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    prints = {"p": 0, "q": 0b111, "r": 0b111111, "far": 1 << 40 | 0xFFF00}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
+    rows = [(1, prints["p"]), (None, prints["q"]), (2, prints["r"]), (None, prints["far"])]
+    got = {r["fingerprint"]: r["component_id"] for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    assert got == {f"{prints['p']:016x}": 1, f"{prints['q']:016x}": 1, f"{prints['r']:016x}": 1, f"{prints['far']:016x}": None}
+
+
+def test_very_long_text():
+    text = " ".join(f"w{k % 5003}" for k in range(120_000))
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
 
 
 def test_against_brute_force(spark, sf):
