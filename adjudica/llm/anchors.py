@@ -64,8 +64,7 @@ def fragments(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
 def _fragments(buf, lengths, first, start):
     n = len(buf)
     h = gram_hashes(buf)
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64(0xFFFFFFFF)  # the same bits for every stretch: equal windows then tie alike, and the leftmost wins in each
     best = (h & ~low) | np.arange(n, dtype=np.uint64)
     size = 1
     while size * 2 <= MOST:

@@ -69,7 +69,7 @@ def _digests(buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(make(data[a:b], digest_size=16).digest() for a, b in zip((ends - sizes).tolist(), ends.tolist())), np.uint64).reshape(-1, 2)
 
 
-def _steps(x: np.ndarray) -> np.ndarray:
+def steps(x: np.ndarray) -> np.ndarray:
     """Differences of neighbours; nearly ascending numbers take little room that way. np.cumsum with x's type undoes it."""
     return np.diff(x, prepend=x.dtype.type(0))
 
@@ -86,9 +86,9 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     first = order[new]
     first.sort()  # contents go by their first chunks' places
     bucket_of = (digest[first, 0] % np.uint64(buckets)).astype(np.uint32)
-    rows = [(0, block, -1, pickle.dumps((to_ipc(table), pack(counts.astype(np.uint32), sizes.astype(np.uint16), _steps(first.astype(np.uint32)), bucket_of.astype(np.uint16) if buckets <= 1 << 16 else bucket_of)), protocol=5))]
+    rows = [(0, block, -1, pickle.dumps((to_ipc(table), pack(counts.astype(np.uint32), sizes.astype(np.uint16), steps(first.astype(np.uint32)), bucket_of.astype(np.uint16) if buckets <= 1 << 16 else bucket_of)), protocol=5))]
     for bucket, own in by_bucket(bucket_of.astype(np.int64)):
-        rows.append((1, block, bucket, pack(digest[first[own]], _steps(ids[doc[first[own]]]))))
+        rows.append((1, block, bucket, pack(digest[first[own]], steps(ids[doc[first[own]]]))))
     return rows
 
 

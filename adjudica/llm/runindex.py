@@ -1,10 +1,15 @@
 """A run-length index of a collection of byte strings.
 
 The strings are laid end to end, each closed by a separator of its own below all bytes. Of the suffix array only the
-Burrows-Wheeler transform is kept, as runs, with the text positions at both ends of each run sampled, and the intervals
-of rows that share their first ``depth`` bytes, each with its earliest text position. Walking a string from its end,
-one LF step a byte, yields for each of its positions the row of the best match in the collection, and so whether
-``depth`` bytes from there also start earlier.
+Burrows-Wheeler transform is kept, as runs, with the text positions at both ends of each run sampled, and for each run
+the number of bytes that its first suffix shares with the last one of the run before.
+
+These samples give the matching statistics of every position. The suffix before that of a run's head, in the order of
+suffixes, is the tail of the run before; and where a position's suffix doesn't begin a run, the suffix before it is one
+further than that of the position to the left, and shares one byte less. So one stream over the text, which takes up the
+sample at each run's head and counts on from it, knows for each position which other one matches it best among the smaller
+suffixes, and how far. Positions that share ``depth`` bytes are chains of such matches; the earliest of a chain is the first
+occurrence, and all others are repeats.
 """
 
 from __future__ import annotations
@@ -16,18 +21,15 @@ import numpy as np
 
 @dataclass
 class RunIndex:
-    run_start: np.ndarray
-    run_char: np.ndarray
-    run_lf: np.ndarray  # row that LF gives for the run's first row
+    run_char: np.ndarray  # the runs' characters, -1 for a separator
     head: np.ndarray  # text position at the run's first row
     tail: np.ndarray  # and at its last
-    match_start: np.ndarray  # rows [start, end) that share `depth` bytes
-    match_end: np.ndarray
-    match_first: np.ndarray  # their smallest text position
+    shared: np.ndarray  # bytes that the suffix at the head shares with the tail of the run before
+    size: int  # length of the text, separators included
 
 
-def _suffixes(text: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by prefix doubling from 7 bytes, and a class for each position: equal where `depth` bytes (8 or more) are.
+def _suffixes(text: np.ndarray, left: np.ndarray, string: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling from 7 bytes.
 
     left: bytes before the separator of the position's string (0 at the separator); string: its number.
     """
@@ -43,12 +45,9 @@ def _suffixes(text: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int
     head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
     rank[sa] = np.repeat(head, np.diff(np.r_[head, n]))
-    size, longest, classes = 7, int(left.max(initial=0)), None
+    size, longest = 7, int(left.max(initial=0))
     active = np.flatnonzero(np.repeat(np.diff(np.r_[head, n]) > 1, np.diff(np.r_[head, n])))
     while len(active):
-        if classes is None and 2 * size >= depth:
-            other = np.minimum(np.arange(n) + (depth - size), n - 1)
-            classes = rank * n + rank[other]
         here = sa[active]
         # a suffix that ended within `size` bytes ties only with others of its length: their strings' order decides
         second = np.where(left[here] < size, string[here], rank[np.minimum(here + size, n - 1)])
@@ -64,54 +63,73 @@ def _suffixes(text: np.ndarray, left: np.ndarray, string: np.ndarray, depth: int
         size *= 2
         if size > 2 * longest + 14:
             break
-    return sa, np.arange(n) if classes is None else classes  # without classes, all are told apart before `depth` bytes
+    return sa
+
 
+def _shared(text: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the strings at a and at b have in common, up to the end of the shorter one."""
+    padded = np.zeros(len(text) + 8, np.uint8)
+    padded[: len(text)] = text
+    words = np.lib.stride_tricks.as_strided(padded, (len(text), 8), (1, 1))
+    most, out = np.minimum(left[a], left[b]), np.zeros(len(a), np.int64)
+    todo = np.flatnonzero(most > 0)
+    while len(todo):
+        at = out[todo]
+        unlike = words[a[todo] + at] != words[b[todo] + at]
+        stop = unlike.any(1)
+        out[todo] = np.minimum(at + np.where(stop, unlike.argmax(1), 8), most[todo])
+        todo = todo[~stop & (out[todo] < most[todo])]
+    return out
 
-def build(text: np.ndarray, lengths: np.ndarray, depth: int) -> RunIndex:
+
+def build(text: np.ndarray, lengths: np.ndarray) -> RunIndex:
     """text: the strings, each followed by one byte (of any value) in the separator's place."""
     n, ends = len(text), np.cumsum(lengths + 1) - 1
     string = np.repeat(np.arange(len(lengths)), lengths + 1)
     left = ends[string] - np.arange(n)
-    sa, classes = _suffixes(text, left, string, depth)
+    sa = _suffixes(text, left, string)
     symbols = text.astype(np.int16)
     symbols[ends] = -1
     bwt = symbols[sa - 1]  # position 0 wraps to the last separator
-    start = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-    char, size = bwt[start], np.diff(np.r_[start, n])
-    by_char = np.argsort(char, kind="stable")
-    lf = np.empty(len(start), np.int64)
-    lf[by_char] = np.cumsum(size[by_char]) - size[by_char]
-    whole = left[sa] >= depth
-    ordered = classes[sa]
-    same = np.r_[False, (ordered[1:] == ordered[:-1]) & whole[1:] & whole[:-1]]
-    edge = np.flatnonzero(np.diff(np.r_[same, False].astype(np.int8)) == 1) if n else np.zeros(0, np.int64)
-    stop = np.flatnonzero(np.diff(np.r_[same, False].astype(np.int8)) == -1) + 1
-    firsts = np.minimum.reduceat(np.append(sa, n), np.c_[edge, stop].ravel())[::2] if len(edge) else edge
-    return RunIndex(start, char, lf, sa[start], sa[start + size - 1], edge, stop, firsts)
+    start = np.flatnonzero(np.r_[True, (bwt[1:] != bwt[:-1]) | (bwt[1:] < 0)][:n])  # no two separators are alike
+    head, tail = sa[start], sa[np.r_[start[1:], n][: len(start)] - 1]
+    shared = np.zeros(len(start), np.int64)
+    shared[1:] = _shared(text, left, head[1:], tail[:-1])
+    return RunIndex(bwt[start], head, tail, shared, n)
 
 
-def matches(index: RunIndex, lengths: np.ndarray, depth: int) -> np.ndarray:
-    """For each string, a long whose bit p is set if the `depth` bytes from p start earlier in the collection too.
+def statistics(index: RunIndex) -> tuple[np.ndarray, np.ndarray]:
+    """For each text position the best match among the smaller suffixes, and its length."""
+    run = np.zeros(index.size, np.int64)
+    run[index.head] = np.arange(len(index.head))
+    at = np.zeros(index.size, np.int64)
+    at[index.head] = index.head
+    at = np.maximum.accumulate(at)  # the last head at or before each position
+    run = run[at]
+    on = np.arange(index.size) - at
+    return np.r_[0, index.tail[:-1]][run] + on, np.maximum(index.shared[run] - on, 0)
 
-    All strings are walked at once from their separators, whose rows are the first ones in order. The runs say which row
-    comes next; where a row lies in an interval of long matches, the interval's earliest position is compared.
-    """
-    order = np.argsort(-lengths, kind="stable")
-    sizes = lengths[order]
-    begin = (np.cumsum(lengths + 1) - lengths - 1)[order]
-    row = order.copy()
+
+def matches(index: RunIndex, lengths: np.ndarray, depth: int) -> np.ndarray:
+    """For each string, a long whose bit p is set if the `depth` bytes from p start earlier in the collection too."""
     bits = np.zeros(len(lengths), np.uint64)
-    for step in range(1, int(sizes.max(initial=0)) + 1):
-        live = int(np.searchsorted(-sizes, -step, side="right"))
-        own = row[:live]
-        run = np.searchsorted(index.run_start, own, side="right") - 1
-        own = index.run_lf[run] + (own - index.run_start[run])
-        row[:live] = own
-        if step >= depth and len(index.match_start):
-            place = np.searchsorted(index.match_start, own, side="right") - 1
-            at = sizes[:live] - step
-            hit = (place >= 0) & (own < index.match_end[place]) & (index.match_first[place] < begin[:live] + at)
-            bits[:live][hit] |= np.uint64(1) << at[hit].astype(np.uint64)
-    out = np.empty_like(bits)
-    out[order] = bits
-    return out
+    if not index.size:
+        return bits
+    other, length = statistics(index)
+    linked = np.flatnonzero(length >= depth)
+    root = np.arange(index.size)
+    root[linked] = other[linked]
+    while len(linked):  # to the chain's end, the jumps doubling
+        further = root[root[linked]]
+        moved = further != root[linked]
+        root[linked] = further
+        linked = linked[moved]
+    linked = np.flatnonzero(length >= depth)
+    first = np.arange(index.size)
+    np.minimum.at(first, root[linked], linked)
+    repeats = np.union1d(linked, root[linked])
+    repeats = repeats[first[root[repeats]] < repeats]
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    string = np.searchsorted(begin, repeats, side="right") - 1
+    np.bitwise_or.at(bits, string, np.uint64(1) << (repeats - begin[string]).astype(np.uint64))
+    return bits

@@ -10,7 +10,7 @@ them. Four passes over blocks of whole documents, each a Spark job whose result
    contents have to be indexed.
 3. index: the blocks send these fragments to their bucket. What shares neither the bytes to the left nor to the right of
    its anchor with another is set aside; of the others a run-length index is built, group by group of bounded size, and
-   each fragment's matching statistics are streamed through it.
+   the matching statistics that stream from its sampled run ends tell which windows start earlier too.
 4. marks: the blocks turn both answers into removed spans.
 
 An anchor that is too frequent for one bucket (a line that a third of all documents share) is found beforehand by counts in
@@ -40,6 +40,7 @@ from . import runindex
 from .anchors import GRAM, MOST, WINDOW, digests, fragments, gram_hashes_at, mixed
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
 from .chunks import resolve as first_of_each
+from .chunks import steps
 from .common import columns_of, corpus_size, written
 
 BUCKET_BYTES, INDEX_BYTES = 32 << 20, 1 << 20
@@ -68,7 +69,7 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     doc, start, windows, anchor, h = fragments(buf, lengths)
     shape = pack(np.bincount(doc, minlength=len(ids)).astype(np.uint32), windows.astype(np.uint8), (anchor - start).astype(np.uint8))
     rows = [(0, block, -1, pickle.dumps((to_ipc(table), shape), protocol=5))]
-    d, h = six(digests(buf, start, windows + WINDOW - 1)), six(h)
+    d, h = digests(buf, start, windows + WINDOW - 1), six(h)
     cell = np.bincount((from_six(h) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
     rows.append((5, block, -1, pack(cell.astype(np.uint32))))
     for bucket, own in by_bucket((from_six(h) % np.uint64(buckets)).astype(np.int64)):
@@ -146,7 +147,7 @@ def resolve(table: pa.Table) -> pa.Table:
     """Of one bucket: an answer for each fragment."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
     parts_ = [unpack(p) for _, p in rows]
-    h, d = (from_six(np.concatenate([p[k] for p in parts_])) for k in (0, 1))
+    h, d = from_six(np.concatenate([p[0] for p in parts_])), np.concatenate([p[1] for p in parts_])
     doc = np.concatenate([p[2][p[3]] for p in parts_])
     order = np.lexsort((doc, d, h))
     new_h = np.r_[True, h[order][1:] != h[order][:-1]]
@@ -171,11 +172,11 @@ def send(blocks: pa.Table, answers: pa.Table, buckets: int, hot: np.ndarray) ->
         if len(at):
             lengths = own.windows[at] + WINDOW - 1
             take = np.repeat(own.start[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take].tobytes(), own.offset[at])))
+            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take], own.offset[at])))
     if own.hot.any():
         start, first, digest, dealt = own.hot_windows(buckets)
         owner = own.ids[np.searchsorted(np.cumsum(own.lengths), start[first], side="right")]
-        out += [(6, block, bucket, pack(digest[at], owner[at])) for bucket, at in dealt.items()]
+        out += [(6, block, bucket, pack(digest[at], steps(owner[at]))) for bucket, at in dealt.items()]
     return parts(out)
 
 
@@ -238,7 +239,7 @@ def index(table: pa.Table) -> pa.Table:
         at = np.cumsum(n + 1) - n - 1
         laid = np.zeros(int((n + 1).sum()), np.uint8)
         laid[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        masks[chosen[own]] = runindex.matches(runindex.build(laid, n, WINDOW), n, WINDOW) << low[chosen[own]].astype(np.uint64)
+        masks[chosen[own]] = runindex.matches(runindex.build(laid, n), n, WINDOW) << low[chosen[own]].astype(np.uint64)
         first = last
     bucket = table.column("bucket")[0].as_py()
     ends = np.cumsum([len(p[0]) for p in parts_])

@@ -46,9 +46,38 @@ def test_index(strings, depth):
             seen.add(s[p : p + depth])
         want.append(bits)
     lengths = np.array([len(s) for s in data])
-    built = runindex.build(np.frombuffer(b"".join(s + b"!" for s in data), np.uint8), lengths, depth)
+    built = runindex.build(np.frombuffer(b"".join(s + b"!" for s in data), np.uint8), lengths)
     assert runindex.matches(built, lengths, depth).tolist() == want
-    assert len(built.head) == len(built.tail) == len(built.run_start)
+
+
+def test_matching_statistics_come_from_the_run_ends():
+    rng = np.random.default_rng(6)
+    passage = rng.integers(97, 123, 130, dtype=np.uint8)
+    strings = [np.r_[rng.integers(97, 123, 5, dtype=np.uint8), passage] for _ in range(30)]
+    lengths = np.array([len(s) for s in strings])
+    text = np.concatenate([np.r_[s, 0] for s in strings]).astype(np.uint8)
+    index = runindex.build(text, lengths)
+    assert len(index.head) < len(text) / 8  # runs, not rows
+    other, length = runindex.statistics(index)
+    order = sorted(range(len(text)), key=lambda i: (text[i : (i // 136 + 1) * 136 - 1].tobytes(), i))
+    for a, b in zip(order, order[1:]):
+        if text[b]:
+            x, y = (text[i : (i // 136 + 1) * 136 - 1].tobytes() for i in (a, b))
+            n = next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
+            assert length[b] == n and (n == 0 or other[b] == a)
+    good = runindex.matches(index, lengths, 100)
+    assert good[0] == 0 and all(good[1:])
+
+    def outcome(index):
+        try:
+            return runindex.matches(index, lengths, 100).tolist()
+        except IndexError:  # samples that point nowhere
+            return None
+
+    for name in ("head", "tail"):
+        spoilt = runindex.build(text, lengths)
+        setattr(spoilt, name, np.roll(getattr(spoilt, name), 1))
+        assert outcome(spoilt) != good.tolist()
 
 
 def test_fragments_cover_every_window_once():
