@@ -1,26 +1,29 @@
-"""A hidden Markov language model over word classes, trained by Baum-Welch on the whole corpus.
+"""A hidden Markov language model over words, trained by Baum-Welch on the whole corpus.
 
-Tokens are words and one end for each document. Every token has a class: the ``FREQUENT`` most frequent training tokens
-are classes of their own, other words share classes by their last characters, the end and the unseen word have one
-each. The latent states emit classes; a word within its class has its share of the class in the smoothed unigram model
-(the base). So the model is a proper distribution over the same tokens as the base, unseen ones included:
+Tokens are words and one end for each document. The latent states emit tokens: every training token has an emission
+probability of its own in every state, and one unseen token stands for all others, as in the smoothed unigram model (the
+base). So the model is a proper distribution over the same tokens as the base.
 
-    log10 P(text) = log10 HMM(classes) + sum over tokens of log10 (base(token) / base(class))
+The emissions grow with the vocabulary and never meet in one place. They stay in buckets by the word's hash; blocks of
+whole documents hold their documents as numbers into a list of the block's distinct words. Passes, each a Spark job
+whose result is written to the shared folder:
 
-Passes, each a Spark job over blocks of documents:
+1. words: each block sends its distinct words (64-bit hash, training count) to their buckets.
+2. counts: a bucket adds up what the blocks sent and keeps the corpus counts, with the place of every block's words.
+3. emissions: a bucket answers each block with its words' emissions.
+4. expected: blocks and answers meet; scaled forward and backward recursions over whole documents, from the first token
+   to the last, give the expected counts. Those of a word in a state are sent to its bucket, those of starts and moves
+   (states x states) are added up for the driver. Passes 3 and 4 are a round.
+5. score: emissions once more; the scaled forward recursion over each whole document.
 
-1. blocks: each block lists its distinct words (64-bit hash, training count, suffix class) and its documents as numbers
-   into that list; the lists go to buckets by hash.
-2. counts: a bucket adds up what the blocks sent and answers each with the corpus counts; the most frequent words and
-   the classes' sums, bounded by FREQUENT and SUFFIXES, go to the driver.
-3. encoded: blocks and answers meet; each document becomes a string of class numbers, with its base score.
-4. Baum-Welch: every round adds up expected counts over all training tokens, in stretches of ``STRETCH`` tokens, by
-   partition, and re-estimates the tables (states x classes, bounded) on the driver.
-5. score: the scaled forward recursion over each whole document.
+A state adds its part of what the base adds to the counts, and ``SMOOTH`` counts spread as in the base, so that every
+state's emissions sum to one over the training tokens and the unseen one. A document longer than ``STEPS`` tokens goes
+through the backward recursion stretch by stretch, from forward vectors kept at the stretches' edges: the counts are the
+same, and memory is bounded.
 
 Defined cases: null and empty texts are the end alone; a null doc_id is trained on; repeated rows count repeatedly;
-if nothing is left to train on, N = V = 0 and the base is uniform over nothing but unseen tokens; an empty table gives
-no rows; other columns are ignored.
+if nothing is left to train on, N = V = 0 and both models know only the unseen token; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +37,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_bucket, in_blocks, pack, parts, unpack
+from . import blocks
+from .blocks import PART, by_bucket, in_blocks, pack, parts, unpack
 from .common import columns_of, corpus_size, written
 from .toxicity import held_out
 
 FOLDS, PRIOR = 10, 0.1
-STATES, ROUNDS, FREQUENT, SUFFIXES = 6, 3, 2000, 500
-STRETCH = 64
-SMOOTH = 50.0
-BUCKET_BYTES = 64 << 20
+STATES, ROUNDS, SMOOTH, SEED = 8, 3, 50.0, 3
+#: Bytes of text in a block and of a bucket; tokens of one recursion, and of a stretch of a longer document.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+TOKENS, STEPS = 1 << 20, 1 << 18
 END = b"\n"  # no word is white space
-PART = "kind byte, block long, bucket int, payload binary"
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, classes binary, inside double"
+WORDS, STATE, EMIT, EXPECT, SUMS = 1, 2, 3, 4, 5
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def small(x: np.ndarray, top: int) -> np.ndarray:
+    return x.astype(np.uint16 if top <= 1 << 16 else np.uint32)
 
 
 def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
-    """The block as numbers (kind 0) and its words for each bucket (kind 1)."""
+    """The block as numbers (kind 0), its words ordered by bucket, and its words for each bucket."""
     number: dict[bytes, int] = {END: 0}
     documents, held = [], np.array(table.column("held").to_pylist(), bool)
     for text in table.column("text").cast(pa.binary()).to_pylist():
@@ -61,237 +69,261 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     train = np.bincount(flat[np.repeat(~held, sizes)], minlength=len(number)).astype(np.uint32)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(w) for w in number), np.uint64, len(number))
-    suffix = np.fromiter((1 + digest(w[-3:]) % SUFFIXES for w in number), np.uint16, len(number))
-    suffix[0] = 0
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    ids = table.column("doc_id")
-    body = pack(flat, sizes, suffix)
-    rows = [(0, block, -1, pickle.dumps((ids.to_pylist(), held, body, pack(bucket.astype(np.uint16))), protocol=5))]
-    for b, own in by_bucket(bucket):
-        rows.append((1, block, b, pack(hashes[own], train[own], suffix[own])))
+    order = np.lexsort((hashes, bucket))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    names, counts = np.unique(bucket, return_counts=True)
+    rows = [(0, block, -1, pickle.dumps((table.column("doc_id").to_pylist(), held, pack(small(place[flat], len(number)), sizes, names.astype(np.uint32), counts)), protocol=5))]
+    for b, own in by_bucket(bucket[order]):
+        rows.append((WORDS, block, b, pack(hashes[order][own], train[order][own])))
     return rows
 
 
 def count_bucket(table: pa.Table) -> pa.Table:
-    """Corpus counts for every block (kind 2); the bucket's totals, suffix sums and most frequent words (kind 3)."""
+    """The bucket's words: hash, corpus count, and each block's places; with the bucket's tokens and distinct words."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
     sent = [unpack(p) for _, p in rows]
-    words, first, place = np.unique(np.concatenate([s[0] for s in sent]), return_index=True, return_inverse=True)
+    words, place = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
     count = np.bincount(place, np.concatenate([s[1] for s in sent]).astype(float), minlength=len(words)).astype(np.int64)
-    suffix = np.concatenate([s[2] for s in sent])[first]
-    bucket, ends = table.column("bucket")[0].as_py(), np.cumsum([len(s[0]) for s in sent])
-    top = np.lexsort((words, -count))[:FREQUENT]
-    top = top[count[top] > 0]
-    leading = np.zeros(len(words), bool)  # only these can turn out to be frequent: blocks get their hashes back
-    leading[top] = True
-    answers = []
-    for (block, _), own in zip(rows, np.split(place, ends[:-1])):
-        at = np.flatnonzero(leading[own])
-        answers.append((2, block, bucket, pack(count[own].astype(np.uint32 if count.max() < 1 << 32 else np.uint64), at.astype(np.uint32), words[own[at]])))
-    kinds = np.bincount(suffix, count > 0, minlength=SUFFIXES + 1).astype(np.int64)
-    sums = np.bincount(suffix, count, minlength=SUFFIXES + 1).astype(np.int64)
-    return parts([*answers, (3, -1, bucket, pack(words[top], count[top], suffix[top], kinds, sums))])
-
-
-class Vocabulary:
-    """Classes and base counts; bounded by FREQUENT + SUFFIXES + 2."""
-
-    def __init__(self, summaries: Iterator[bytes]) -> None:
-        words, counts, suffix = [], [], []
-        kinds, sums = np.zeros(SUFFIXES + 1, np.int64), np.zeros(SUFFIXES + 1, np.int64)
-        for payload in summaries:
-            w, c, s, k, total = unpack(payload)
-            words.append(w), counts.append(c), suffix.append(s)
-            kinds, sums = kinds + k, sums + total
-        words, counts, suffix = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((words, np.uint64), (counts, np.int64), (suffix, np.int64)))
-        self.tokens, self.kinds = int(sums.sum()), int(kinds.sum())
-        end = np.uint64(xxhash.xxh64_intdigest(END))
-        top = np.lexsort((words, -counts))
-        top = top[words[top] != end][:FREQUENT]
-        np.subtract.at(kinds, suffix[top], 1)
-        np.subtract.at(sums, suffix[top], counts[top])
-        order = np.argsort(words[top])
-        self.words, own = words[top][order], counts[top][order]
-        self.total = self.tokens + PRIOR * (self.kinds + 1)
-        # classes: end, suffixes, unseen, frequent words
-        self.unseen, self.first = SUFFIXES + 1, SUFFIXES + 2
-        mass = np.r_[sums + PRIOR * kinds, PRIOR, own + PRIOR]
-        if not self.kinds:
-            mass[0] = 0
-        self.classes = len(mass)
-        self.prior = np.r_[PRIOR * kinds, PRIOR, np.full(len(own), PRIOR)]  # what the base adds to the counts of each class
-        with np.errstate(divide="ignore"):
-            self.mass = np.log10(mass / self.total)
-
-    def encode(self, hashes: np.ndarray, suffix: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log10 base probability of each word; the hash of a word that can't be frequent may be zero."""
-        kind = np.where(count > 0, suffix.astype(np.int64), self.unseen)
-        if len(self.words):
-            place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            kind = np.where(self.words[place] == hashes, self.first + place, kind)
-        return kind, np.log10((count + PRIOR) / self.total)
-
-
-def encode_block(blocks: pa.Table, answers: pa.Table, vocabulary: Vocabulary) -> pa.Table:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.float64()]
-    rows = []
-    if blocks.num_rows:
-        ids, held, body, dealt = pickle.loads(blocks.column("payload")[0].as_py())
-        flat, sizes, suffix = unpack(body)
-        places, count, hashes = dict(by_bucket(unpack(dealt)[0].astype(np.int64))), np.zeros(len(suffix), np.int64), np.zeros(len(suffix), np.uint64)
-        for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()):
-            own, at, words = unpack(payload)
-            count[places[bucket]] = own
-            hashes[places[bucket][at]] = words
-        kind, base = vocabulary.encode(hashes, suffix, count)
-        inside = base - vocabulary.mass[kind]
-        at = np.cumsum(sizes) - sizes
-        known, scores, insides = (np.add.reduceat(x[flat], at) for x in ((count > 0).astype(np.int64), base, inside))
-        classes = kind[flat].astype(np.uint16)
-        rows = [(ids[k], bool(held[k]), int(sizes[k]), int(known[k]), float(scores[k]), classes[at[k] : at[k] + sizes[k]].tobytes(), float(insides[k])) for k in range(len(ids))]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
-
-
-class Tables:
-    """Start, transition and emission probabilities."""
-
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit
-
-    @staticmethod
-    def first(mass: np.ndarray, states: int, seed: int = 3) -> Tables:
-        """Emissions near the classes' shares, told apart by chance, the same in every run."""
-        rng = np.random.default_rng(seed)
-        emit = mass[None, :] * rng.uniform(0.3, 1.7, (states, len(mass)))
-        move = np.full((states, states), 0.2 / max(1, states - 1)) + np.eye(states) * (0.8 - 0.2 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
-        return Tables(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-    def estimated(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, vocabulary: Vocabulary) -> Tables:
-        """From expected counts. A state adds its part of what the base adds, so that unseen words keep their share, and
-        SMOOTH counts spread as in the base."""
-        mass, share = np.power(10.0, vocabulary.mass), emit.sum(1, keepdims=True) / max(1.0, emit.sum())
-        emit = emit + share * vocabulary.prior + SMOOTH * mass
-        part = lambda x: x / x.sum(-1, keepdims=True)
-        return Tables(part(start + 1e-3), part(move + 1e-3), part(emit))
-
-
-def forward(tables: Tables, documents: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each class string: scaled forward recursion, all strings step by step together."""
+    payload = pack(words, count, place.astype(np.uint32), np.array([b for b, _ in rows], np.int64), np.array([len(s[0]) for s in sent], np.int64))
+    return pa.table({"kind": pa.array([STATE], pa.int8()), "block": pa.array([-1], pa.int64()), "bucket": pa.array(table.column("bucket")[:1].to_pylist(), pa.int32()), "payload": pa.array([payload], pa.binary()), "tokens": pa.array([int(count.sum())]), "known": pa.array([int((count > 0).sum())])})
+
+
+def first_emissions(words: np.ndarray, base: np.ndarray, states: int) -> np.ndarray:
+    """Near the base, told apart by a chance that depends on the word alone: the same in every run."""
+    x = (words[:, None] ^ np.uint64(SEED)) + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    chance = (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    return base[:, None] * (0.3 + 1.4 * chance)
+
+
+def emissions(expected: np.ndarray, base: np.ndarray, gathered: np.ndarray, known: int) -> np.ndarray:
+    """From expected counts of words (rows) in states, and `gathered`, the states' counts of all words."""
+    share = gathered / max(1e-300, gathered.sum())
+    return (expected + share * PRIOR + SMOOTH * base[:, None]) / (gathered + share * PRIOR * (known + 1) + SMOOTH)
+
+
+def answers_of(state: pa.Table, sums: pa.Table | None, tokens: int, known: int, states: int, gathered: np.ndarray | None, counts: bool) -> pa.Table:
+    """For each block its words' emissions and, if asked for, their corpus counts."""
+    if not state.num_rows:
+        return parts([])
+    words, count, place, of_block, sizes = unpack(state.column("payload")[0].as_py())
+    base = (count + PRIOR) / (tokens + PRIOR * (known + 1))
+    ends = np.cumsum(sizes)
+    if gathered is None:
+        emit = first_emissions(words, base, states)
+    else:
+        got = dict(zip(sums.column("block").to_pylist(), sums.column("payload").to_pylist()))
+        expected = np.zeros((len(words), states))
+        for block, end, n in zip(of_block.tolist(), ends.tolist(), sizes.tolist()):
+            if block in got:
+                expected[place[end - n : end]] += unpack(got[block])[0]  # a block's places differ
+        emit = emissions(expected, base, gathered, known)
+    emit, bucket = emit.astype(np.float32), state.column("bucket")[0].as_py()
+    return parts([(EMIT, block, bucket, pack(emit[own], *([count[own]] if counts else []))) for block, own in zip(of_block.tolist(), np.split(place, ends[:-1]))])
+
+
+def with_answers(block: pa.Table, answers: pa.Table) -> tuple:
+    """The block's ids, held-out marks, documents (words by place), and its buckets with their numbers of words; and each
+    answer's arrays, put together in the words' order."""
+    ids, held, body = pickle.loads(block.column("payload")[0].as_py())
+    flat, sizes, names, counts = unpack(body)
+    got = dict(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()))
+    arrays = [np.concatenate(x) for x in zip(*(unpack(got[b]) for b in names.tolist()))]
+    return ids, held, np.split(flat, np.cumsum(sizes)[:-1]), names, counts, arrays
+
+
+def time_major(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all documents step by step, longest document first in each step; documents in each step; their order."""
     sizes = np.array([len(d) for d in documents])
     order = np.argsort(-sizes, kind="stable")
     lengths = sizes[order]
-    laid = np.concatenate([documents[k] for k in order]).astype(np.int64)
-    begin = np.cumsum(lengths) - lengths
-    emit = np.ascontiguousarray(tables.emit.T)
     live = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")
-    total, a = np.zeros(len(documents)), np.repeat(tables.start[None, :], len(documents), 0)
-    for t, n in enumerate(live.tolist()):
-        a = a[:n] if t == 0 else a[:n] @ tables.move
-        a = a * emit[laid[begin[:n] + t]]
-        scale = a.sum(1)
-        a /= scale[:, None]
-        total[:n] += np.log10(scale)
+    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    laid = np.empty(len(step), np.int64)
+    laid[(np.cumsum(live) - live)[step] + np.repeat(np.arange(len(lengths)), lengths)] = np.concatenate([documents[k] for k in order])
+    return laid, live, order
+
+
+def groups_of(documents: list[np.ndarray]) -> Iterator[list[int]]:
+    """Runs of documents of about TOKENS tokens, or one longer one."""
+    own, size = [], 0
+    for k, d in enumerate(documents):
+        if own and size + len(d) > TOKENS:
+            yield own
+            own, size = [], 0
+        own.append(k)
+        size += len(d)
+    if own:
+        yield own
+
+
+def forward(start: np.ndarray, move: np.ndarray, emit: np.ndarray, documents: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of each document: scaled forward recursion, all documents step by step together."""
+    laid, live, order = time_major(documents)
+    emit, total, a, at, t = emit.astype(float), np.zeros(len(documents)), np.repeat(start[None, :], len(documents), 0), 0, 0
+    steps = live.tolist()
+    while t < len(steps):
+        until = t + 1
+        size = steps[t]
+        while until < len(steps) and size + steps[until] <= STEPS:
+            size += steps[until]
+            until += 1
+        e, own = emit[laid[at : at + size]], 0
+        for n in steps[t:until]:
+            a = a[:n] if t == 0 else a[:n] @ move
+            a = a * e[own : own + n]
+            scale = a.sum(1)
+            a /= scale[:, None]
+            total[:n] += np.log10(scale)
+            own += n
+            t += 1
+        at += size
     out = np.empty_like(total)
     out[order] = total
     return out
 
 
-def expected(tables: Tables, documents: list[np.ndarray], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of starts, moves and emissions; strings are cut into stretches, and only a string's own start counts as one.
-
-    A stretch that is not the first of its string starts from the states' usual shares."""
-    k = len(tables.start)
-    sizes = np.array([len(d) for d in documents])
-    flat = np.concatenate(documents).astype(np.int64)
-    pieces = -(-sizes // STRETCH)
-    n = int(pieces.sum())
-    first = np.cumsum(pieces) - pieces
-    which = np.arange(n) - np.repeat(first, pieces)
-    begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + which * STRETCH
-    length = np.minimum(STRETCH, np.repeat(sizes, pieces) - which * STRETCH)
-    order = np.argsort(-length, kind="stable")
-    begin, length, head = begin[order], length[order], (which == 0)[order]
-    usual = np.linalg.matrix_power(tables.move, 64).mean(0)
-    move, emit = tables.move.astype(np.float32), np.ascontiguousarray(tables.emit.T).astype(np.float32)
-    top = int(length[0])
-    live = np.searchsorted(-length, -np.arange(top), side="left").tolist()
-    a = np.where(head[:, None], tables.start, usual).astype(np.float32)
-    seen, forwards, scales = [], [], []
-    for t in range(top):
-        m = live[t]
-        e = emit[flat[begin[:m] + t]]
-        a = a[:m] * e if t == 0 else (a[:m] @ move) * e
-        s = a.sum(1, keepdims=True)
-        a = a / s
-        seen.append(e), forwards.append(a), scales.append(s)
-    moves, emits, starts = np.zeros((k, k)), np.zeros((classes, k)), np.zeros(k)
-    back = np.ones((live[-1], k), np.float32)
-    gammas = np.empty((len(flat), k), np.float32)
-    for t in range(top - 1, -1, -1):
-        m = live[t]
-        if len(back) < m:
-            back = np.concatenate([back, np.ones((m - len(back), k), np.float32)])
-        gammas[begin[:m] + t] = forwards[t] * back
+def _ahead(first: np.ndarray, move: np.ndarray, e: np.ndarray, steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward vectors and scales of the steps, from the states' probabilities before the first emission."""
+    a, scales, at = np.empty_like(e), np.empty((len(e), 1), e.dtype), 0
+    now = first
+    for t, n in enumerate(steps):
+        now = (now[:n] @ move if t else now[:n]) * e[at : at + n]
+        s = now.sum(1, keepdims=True)
+        now /= s
+        a[at : at + n], scales[at : at + n] = now, s
+        at += n
+    return a, scales
+
+
+def _back(a: np.ndarray, scales: np.ndarray, e: np.ndarray, move: np.ndarray, steps: list[int], back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turns forward vectors into state probabilities, in place; the sums of moves, and what the steps hand back."""
+    moves, at, ones, turned = np.zeros_like(move), len(a), np.ones((steps[0], len(move)), e.dtype), np.ascontiguousarray(move.T)
+    e /= scales
+    for t in range(len(steps) - 1, -1, -1):
+        n = steps[t]
+        at -= n
+        if len(back) < n:
+            back = np.concatenate([back, ones[len(back) : n]])
+        a[at : at + n] *= back
+        ahead = e[at : at + n] * back
         if t:
-            ahead = seen[t] * back / scales[t]
-            moves += forwards[t - 1][:m].T.astype(float) @ ahead
-            back = ahead @ move.T
-    starts += gammas[begin[head]].sum(0)
-    for j in range(k):
-        emits[:, j] = np.bincount(flat, gammas[:, j], minlength=classes)
-    return starts, moves * tables.move, emits.T
-
-
-def trained(encoded: DataFrame, vocabulary: Vocabulary, states: int, rounds: int) -> Tables:
-    mass = np.power(10.0, vocabulary.mass)
-    tables = Tables.first(mass, states)
-    classes, context = vocabulary.classes, encoded.sparkSession.sparkContext
-    train = encoded.where("not held_out").select("classes")
-    for _ in range(rounds):
-        now = context.broadcast(tables)
-
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = None
-            for batch in batches:
-                documents = [np.frombuffer(c, np.uint16) for c in batch.column(0).to_pylist()]
-                ends = np.cumsum([len(d) for d in documents])
-                for group in np.split(np.arange(len(documents)), np.searchsorted(ends, np.arange(500_000, ends[-1] if len(ends) else 0, 500_000))):
-                    if len(group):
-                        own = expected(now.value, [documents[k] for k in group], classes)
-                        total = own if total is None else tuple(x + y for x, y in zip(total, own))
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.ravel() for x in total])], pa.list_(pa.float64()))], ["sums"])
-
-        # one array a partition; added place by place, so that what reaches the driver does not grow with the corpus
-        sums = train.mapInArrow(run, "sums array<double>").select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
-        if not sums:
-            break
-        flat = np.zeros(len(sums))
-        flat[[r["pos"] for r in sums]] = [r["s"] for r in sums]
-        start, move, emit = np.split(flat, [states, states + states * states])
-        tables = tables.estimated(start, move.reshape(states, states), emit.reshape(states, classes), vocabulary)
-    return tables
+            moves += a[at - steps[t - 1] : at - steps[t - 1] + n].T @ ahead
+            back = ahead @ turned
+    return moves, ahead
+
+
+def expected(start: np.ndarray, move: np.ndarray, emit: np.ndarray, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts of starts, moves and emissions (rows as in `emit`), over whole documents."""
+    k, words = len(start), len(emit)
+    kind = emit.dtype
+    laid, live, _ = time_major(documents)
+    now, steps = move.astype(kind), live.tolist()
+    first = np.repeat(start[None, :], len(documents), 0).astype(kind)
+    emits = np.zeros((words, k))
+    count = lambda own, gamma: np.stack([np.bincount(own, gamma[:, j], minlength=words) for j in range(k)], 1)
+    if len(documents) > 1 or len(laid) <= STEPS:
+        e = emit[laid]
+        a, scales = _ahead(first, now, e, steps)
+        moves, _ = _back(a, scales, e, now, steps, np.ones((steps[-1], k), kind))
+        return a[: steps[0]].sum(0, dtype=float), moves * move, count(laid, a)
+    edges, before, lasts = list(range(0, len(laid), STEPS)), [first], [first]
+    for at in edges[:-1]:
+        a, _ = _ahead(before[-1], now, emit[laid[at : at + STEPS]], [1] * STEPS)
+        before.append(a[-1:] @ now)
+        lasts.append(a[-1:])
+    moves, back, starts = np.zeros((k, k)), np.ones((1, k), kind), None
+    for at, came, last in zip(reversed(edges), reversed(before), reversed(lasts)):
+        own = laid[at : at + STEPS]
+        e = emit[own]
+        a, scales = _ahead(came, now, e, [1] * len(own))
+        inside, ahead = _back(a, scales, e, now, [1] * len(own), back)
+        moves += inside * move
+        emits += count(own, a)
+        if at:
+            moves += (last.T @ ahead) * move
+            back = ahead @ now.T
+        starts = a[0].astype(float)
+    return starts, moves, emits
+
+
+def expect_block(block: pa.Table, answers: pa.Table, start: np.ndarray, move: np.ndarray) -> pa.Table:
+    """Expected counts of one block: of its words, for their buckets, and one row of starts, moves and states."""
+    if not block.num_rows:
+        return parts([])
+    _, held, documents, names, counts, (emit,) = with_answers(block, answers)
+    train = [d for d, out in zip(documents, held) if not out]
+    if not train:
+        return parts([])
+    total = None
+    for group in groups_of(train):
+        own = expected(start, move, emit, [train[k] for k in group])
+        total = own if total is None else tuple(x + y for x, y in zip(total, own))
+    starts, moves, emits = total
+    number = block.column("block")[0].as_py()
+    rows = [(EXPECT, number, b, pack(x.astype(np.float32))) for b, x in zip(names.tolist(), np.split(emits, np.cumsum(counts)[:-1]))]
+    return parts([*rows, (SUMS, number, -1, pack(np.concatenate([starts, moves.ravel(), emits.sum(0)])))])
+
+
+def added(rows: DataFrame) -> np.ndarray | None:
+    """The sum of all packed arrays: first in each task, then place by place, so that the driver gets one array's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for payload in batch.column(0).to_pylist():
+                own = unpack(payload)[0]
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["pos", "x"])
+
+    sums = rows.select("payload").mapInArrow(run, "pos long, x double").groupBy("pos").agg(F.sum("x").alias("s")).collect()
+    return np.array([s for _, s in sorted((r["pos"], r["s"]) for r in sums)]) if sums else None
+
+
+def score_block(block: pa.Table, answers: pa.Table, tokens: int, known: int, start: np.ndarray, move: np.ndarray) -> pa.Table:
+    fields = [f.split() for f in SCHEMA.split(", ")]
+    kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    columns: list = [[]] * len(fields)
+    if block.num_rows:
+        ids, held, documents, _, _, (emit, count) = with_answers(block, answers)
+        base = np.log10((count + PRIOR) / (tokens + PRIOR * (known + 1)))
+        sizes = np.array([len(d) for d in documents])
+        flat, at = np.concatenate(documents), np.cumsum(sizes) - sizes
+        score = np.concatenate([forward(start, move, emit, [documents[k] for k in group]) for group in groups_of(documents)])
+        columns = [ids, held, sizes, np.add.reduceat((count > 0)[flat].astype(np.int64), at), np.add.reduceat(base[flat], at), score]
+    return pa.table([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = columns_of(docs, "doc_id", "text").select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held"))
     buckets = max(8, -(-corpus_size(docs)[1] // BUCKET_BYTES))
-    table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets)), "words")
-    answers = written(table.where("kind = 1").groupBy("bucket").applyInArrow(count_bucket, PART), "word-counts")
-    vocabulary = Vocabulary(r["payload"] for r in answers.where("kind = 3").select("payload").toLocalIterator())
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    together = table.where("kind = 0").groupBy("block").cogroup(answers.where("kind = 2").groupBy("block"))
-    encoded = written(together.applyInArrow(lambda b, a: encode_block(b, a, shared.value), SCHEMA), "classes")
-    model = docs.sparkSession.sparkContext.broadcast(trained(encoded, vocabulary, states, rounds))
+    table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets), BLOCK_BYTES), "words")
+    state = written(table.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(count_bucket, PART + ", tokens long, known long"), "word-counts")
+    row = state.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
+    tokens, known = row["tokens"] or 0, row["known"] or 0
+    state, bodies = state.select("kind", "block", "bucket", "payload"), table.where("kind = 0").groupBy("block")
+    start = np.full(states, 1 / states)
+    move = np.full((states, states), 0.2 / states) + np.eye(states) * 0.8
+    gathered, sums = None, table.where("false")
+
+    def emitted(gathered: np.ndarray | None, sums: DataFrame, counts: bool = False) -> DataFrame:
+        found = state.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(lambda w, s: answers_of(w, s, tokens, known, states, gathered, counts), PART)
+        return written(found, "emissions")
+
+    def round_of(answers: DataFrame, start: np.ndarray, move: np.ndarray) -> DataFrame:
+        return written(bodies.cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: expect_block(b, a, start, move), PART), "expected")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                documents = [np.frombuffer(c, np.uint16) for c in batch.column(5).to_pylist()]
-                score = forward(model.value, documents) + np.asarray(batch.column(6))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    done = encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    for _ in range(rounds):
+        found = round_of(emitted(gathered, sums), start, move)
+        total = added(found.where(F.col("kind") == SUMS))
+        if total is None:
+            break
+        start, move, gathered = total[:states] + 1e-3, total[states : states + states * states].reshape(states, states) + 1e-3, total[-states:]
+        start, move = start / start.sum(), move / move.sum(1, keepdims=True)
+        sums = found.where(F.col("kind") == EXPECT)
+    done = bodies.cogroup(emitted(gathered, sums, True).groupBy("block")).applyInArrow(lambda b, a: score_block(b, a, tokens, known, start, move), SCHEMA)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
