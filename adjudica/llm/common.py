@@ -34,12 +34,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here, and lost executors cost only their own tasks."""
+#: Shuffle files of a written table's job go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder (in subfolders by the column `by`), read again: lineage ends here, and
+    lost executors cost only their own tasks. Nothing needs the job's shuffle files any more, so they are cleared."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/adjudica/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Deletes a written table, or a subfolder of it, that nothing reads any more."""
+    jvm, context = table.sparkSession._jvm, table.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(f"{table.written_to}/{part}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def corpus_size(docs: DataFrame) -> tuple[int, int]:

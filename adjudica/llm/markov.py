@@ -10,13 +10,14 @@ whose result is written to the shared folder:
 
 1. words: each block sends its distinct words (64-bit hash, training count) to their buckets.
 2. counts: a bucket adds up what the blocks sent and keeps the corpus counts, with the place of every block's words.
-3. emissions: a bucket answers each block with its words' emissions.
+3. shares: a bucket answers each block with its words' corpus counts and the states' shares of each word's count.
 4. expected: blocks and answers meet; scaled forward and backward recursions over whole documents, from the first token
-   to the last, give the expected counts. Those of a word in a state are sent to its bucket, those of starts and moves
-   (states x states) are added up for the driver. Passes 3 and 4 are a round.
-5. score: emissions once more; the scaled forward recursion over each whole document.
+   to the last, give the expected counts. The states' shares of a word go back to its bucket, the counts of starts and
+   moves (states x states) are added up for the driver. Passes 3 and 4 are a round.
+5. score: shares once more; the scaled forward recursion over each whole document.
 
-A state adds its part of what the base adds to the counts, and ``SMOOTH`` counts spread as in the base, so that every
+Shares travel as 16-bit fractions; the states' sums, which the driver adds up, are taken from these very fractions. A
+state adds its part of what the base adds to the counts, and ``SMOOTH`` counts spread as in the base, so that every
 state's emissions sum to one over the training tokens and the unseen one. A document longer than ``STEPS`` tokens goes
 through the backward recursion stretch by stretch, from forward vectors kept at the stretches' edges: the counts are the
 same, and memory is bounded.
@@ -37,18 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blocks
 from .blocks import PART, by_bucket, in_blocks, pack, parts, unpack
-from .common import columns_of, corpus_size, written
+from .common import columns_of, corpus_size, discard, written
 from .toxicity import held_out
 
 FOLDS, PRIOR = 10, 0.1
-STATES, ROUNDS, SMOOTH, SEED = 8, 3, 50.0, 3
+STATES, ROUNDS, SMOOTH, SEED = 6, 3, 50.0, 3
+#: What a share of one is sent as.
+WHOLE = 65_535
 #: Bytes of text in a block and of a bucket; tokens of one recursion, and of a stretch of a longer document.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 64 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 TOKENS, STEPS = 1 << 20, 1 << 18
 END = b"\n"  # no word is white space
-WORDS, STATE, EMIT, EXPECT, SUMS = 1, 2, 3, 4, 5
+BODY, WORDS, STATE, SHARES, SUMS = 0, 1, 2, 3, 4
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -74,54 +76,63 @@ def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     names, counts = np.unique(bucket, return_counts=True)
-    rows = [(0, block, -1, pickle.dumps((table.column("doc_id").to_pylist(), held, pack(small(place[flat], len(number)), sizes, names.astype(np.uint32), counts)), protocol=5))]
+    rows = [(BODY, block, -1, pickle.dumps((table.column("doc_id").to_pylist(), held, pack(small(place[flat], len(number)), sizes, names.astype(np.uint32), counts)), protocol=5))]
     for b, own in by_bucket(bucket[order]):
         rows.append((WORDS, block, b, pack(hashes[order][own], train[order][own])))
     return rows
 
 
 def count_bucket(table: pa.Table) -> pa.Table:
-    """The bucket's words: hash, corpus count, and each block's places; with the bucket's tokens and distinct words."""
+    """The bucket's words: hash, corpus count, and each block's places and counts; with the bucket's tokens and distinct words."""
     rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist()))
     sent = [unpack(p) for _, p in rows]
     words, place = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
     count = np.bincount(place, np.concatenate([s[1] for s in sent]).astype(float), minlength=len(words)).astype(np.int64)
-    payload = pack(words, count, place.astype(np.uint32), np.array([b for b, _ in rows], np.int64), np.array([len(s[0]) for s in sent], np.int64))
+    payload = pack(words, count, small(place, len(words)), np.concatenate([s[1] for s in sent]), np.array([b for b, _ in rows], np.int64), np.array([len(s[0]) for s in sent], np.int64))
     return pa.table({"kind": pa.array([STATE], pa.int8()), "block": pa.array([-1], pa.int64()), "bucket": pa.array(table.column("bucket")[:1].to_pylist(), pa.int32()), "payload": pa.array([payload], pa.binary()), "tokens": pa.array([int(count.sum())]), "known": pa.array([int((count > 0).sum())])})
 
 
-def first_emissions(words: np.ndarray, base: np.ndarray, states: int) -> np.ndarray:
-    """Near the base, told apart by a chance that depends on the word alone: the same in every run."""
+def first_shares(words: np.ndarray, states: int) -> np.ndarray:
+    """About alike, told apart by a chance that depends on the word alone: the same in every run."""
     x = (words[:, None] ^ np.uint64(SEED)) + np.arange(1, states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    chance = (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
-    return base[:, None] * (0.3 + 1.4 * chance)
+    chance = 0.3 + 1.4 * (x >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    return chance / chance.sum(1, keepdims=True)
 
 
-def emissions(expected: np.ndarray, base: np.ndarray, gathered: np.ndarray, known: int) -> np.ndarray:
-    """From expected counts of words (rows) in states, and `gathered`, the states' counts of all words."""
+def as_shares(x: np.ndarray) -> np.ndarray:
+    """Rows as fractions of their sums."""
+    return np.rint(x * (WHOLE / np.maximum(x.sum(1, keepdims=True), 1e-300))).astype(np.uint16)
+
+
+def base_of(count: np.ndarray, tokens: int, known: int) -> np.ndarray:
+    return (count + PRIOR) / (tokens + PRIOR * (known + 1))
+
+
+def emissions(shares: np.ndarray, count: np.ndarray, tokens: int, known: int, gathered: np.ndarray) -> np.ndarray:
+    """Of words (rows) in states, from shares and counts, and `gathered`, the states' sums over all words."""
     share = gathered / max(1e-300, gathered.sum())
-    return (expected + share * PRIOR + SMOOTH * base[:, None]) / (gathered + share * PRIOR * (known + 1) + SMOOTH)
+    own = shares * (count / WHOLE)[:, None]
+    return (own + share * PRIOR + SMOOTH * base_of(count, tokens, known)[:, None]) / (gathered + share * PRIOR * (known + 1) + SMOOTH)
 
 
-def answers_of(state: pa.Table, sums: pa.Table | None, tokens: int, known: int, states: int, gathered: np.ndarray | None, counts: bool) -> pa.Table:
-    """For each block its words' emissions and, if asked for, their corpus counts."""
+def answers_of(state: pa.Table, sums: pa.Table, states: int, first: bool) -> pa.Table:
+    """For each block its words' shares and corpus counts; and the states' sums over the bucket's words."""
     if not state.num_rows:
         return parts([])
-    words, count, place, of_block, sizes = unpack(state.column("payload")[0].as_py())
-    base = (count + PRIOR) / (tokens + PRIOR * (known + 1))
+    words, count, place, train, of_block, sizes = unpack(state.column("payload")[0].as_py())
     ends = np.cumsum(sizes)
-    if gathered is None:
-        emit = first_emissions(words, base, states)
+    if first:
+        total = first_shares(words, states)
     else:
-        got = dict(zip(sums.column("block").to_pylist(), sums.column("payload").to_pylist()))
-        expected = np.zeros((len(words), states))
+        got, total = dict(zip(sums.column("block").to_pylist(), sums.column("payload").to_pylist())), np.zeros((len(words), states))
         for block, end, n in zip(of_block.tolist(), ends.tolist(), sizes.tolist()):
-            if block in got:
-                expected[place[end - n : end]] += unpack(got[block])[0]  # a block's places differ
-        emit = emissions(expected, base, gathered, known)
-    emit, bucket = emit.astype(np.float32), state.column("bucket")[0].as_py()
-    return parts([(EMIT, block, bucket, pack(emit[own], *([count[own]] if counts else []))) for block, own in zip(of_block.tolist(), np.split(place, ends[:-1]))])
+            if block in got:  # a block's places differ from each other
+                total[place[end - n : end]] += unpack(got[block])[0] * (train[end - n : end] / WHOLE)[:, None]
+    shares, bucket = as_shares(total), state.column("bucket")[0].as_py()
+    sent = small(count, int(count.max()) + 1) if count.max() < 1 << 32 else count
+    rows = [(SHARES, block, bucket, pack(shares[own], sent[own])) for block, own in zip(of_block.tolist(), np.split(place, ends[:-1]))]
+    return parts([*rows, (SUMS, -1, bucket, pack((shares * (count / WHOLE)[:, None]).sum(0)))])
 
 
 def with_answers(block: pa.Table, answers: pa.Table) -> tuple:
@@ -249,11 +260,12 @@ def expected(start: np.ndarray, move: np.ndarray, emit: np.ndarray, documents: l
     return starts, moves, emits
 
 
-def expect_block(block: pa.Table, answers: pa.Table, start: np.ndarray, move: np.ndarray) -> pa.Table:
-    """Expected counts of one block: of its words, for their buckets, and one row of starts, moves and states."""
+def expect_block(block: pa.Table, answers: pa.Table, tokens: int, known: int, start: np.ndarray, move: np.ndarray, gathered: np.ndarray) -> pa.Table:
+    """Of one block: the states' shares of its words, for their buckets, and one row of starts and moves."""
     if not block.num_rows:
         return parts([])
-    _, held, documents, names, counts, (emit,) = with_answers(block, answers)
+    _, held, documents, names, counts, (shares, count) = with_answers(block, answers)
+    emit = emissions(shares, count, tokens, known, gathered).astype(np.float32)
     train = [d for d, out in zip(documents, held) if not out]
     if not train:
         return parts([])
@@ -263,8 +275,8 @@ def expect_block(block: pa.Table, answers: pa.Table, start: np.ndarray, move: np
         total = own if total is None else tuple(x + y for x, y in zip(total, own))
     starts, moves, emits = total
     number = block.column("block")[0].as_py()
-    rows = [(EXPECT, number, b, pack(x.astype(np.float32))) for b, x in zip(names.tolist(), np.split(emits, np.cumsum(counts)[:-1]))]
-    return parts([*rows, (SUMS, number, -1, pack(np.concatenate([starts, moves.ravel(), emits.sum(0)])))])
+    rows = [(SHARES, number, b, pack(x)) for b, x in zip(names.tolist(), np.split(as_shares(emits), np.cumsum(counts)[:-1]))]
+    return parts([*rows, (SUMS, number, -1, pack(np.concatenate([starts, moves.ravel()])))])
 
 
 def added(rows: DataFrame) -> np.ndarray | None:
@@ -283,13 +295,13 @@ def added(rows: DataFrame) -> np.ndarray | None:
     return np.array([s for _, s in sorted((r["pos"], r["s"]) for r in sums)]) if sums else None
 
 
-def score_block(block: pa.Table, answers: pa.Table, tokens: int, known: int, start: np.ndarray, move: np.ndarray) -> pa.Table:
+def score_block(block: pa.Table, answers: pa.Table, tokens: int, known: int, start: np.ndarray, move: np.ndarray, gathered: np.ndarray) -> pa.Table:
     fields = [f.split() for f in SCHEMA.split(", ")]
     kinds = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     columns: list = [[]] * len(fields)
     if block.num_rows:
-        ids, held, documents, _, _, (emit, count) = with_answers(block, answers)
-        base = np.log10((count + PRIOR) / (tokens + PRIOR * (known + 1)))
+        ids, held, documents, _, _, (shares, count) = with_answers(block, answers)
+        emit, base = emissions(shares, count, tokens, known, gathered), np.log10(base_of(count, tokens, known))
         sizes = np.array([len(d) for d in documents])
         flat, at = np.concatenate(documents), np.cumsum(sizes) - sizes
         score = np.concatenate([forward(start, move, emit, [documents[k] for k in group]) for group in groups_of(documents)])
@@ -301,29 +313,34 @@ def scored(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataF
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = columns_of(docs, "doc_id", "text").select("doc_id", "text", held_out(F.col("doc_id"), FOLDS).alias("held"))
     buckets = max(8, -(-corpus_size(docs)[1] // BUCKET_BYTES))
-    table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets), BLOCK_BYTES), "words")
+    table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets), BLOCK_BYTES), "words", "kind")
     state = written(table.where(F.col("kind") == WORDS).groupBy("bucket").applyInArrow(count_bucket, PART + ", tokens long, known long"), "word-counts")
+    discard(table, f"kind={WORDS}")
     row = state.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
     tokens, known = row["tokens"] or 0, row["known"] or 0
-    state, bodies = state.select("kind", "block", "bucket", "payload"), table.where("kind = 0").groupBy("block")
+    by_buckets, bodies = state.select("kind", "block", "bucket", "payload").groupBy("bucket"), table.where(F.col("kind") == BODY).groupBy("block")
     start = np.full(states, 1 / states)
     move = np.full((states, states), 0.2 / states) + np.eye(states) * 0.8
-    gathered, sums = None, table.where("false")
 
-    def emitted(gathered: np.ndarray | None, sums: DataFrame, counts: bool = False) -> DataFrame:
-        found = state.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(lambda w, s: answers_of(w, s, tokens, known, states, gathered, counts), PART)
-        return written(found, "emissions")
+    def of(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.where(F.col("kind") == kind)
+
+    def answered(sums: DataFrame, first: bool = False) -> tuple[DataFrame, np.ndarray]:
+        found = written(by_buckets.cogroup(of(sums, SHARES).groupBy("bucket")).applyInArrow(lambda w, s: answers_of(w, s, states, first), PART), "shares")
+        total = added(of(found, SUMS))
+        return found, np.zeros(states) if total is None else total
 
-    def round_of(answers: DataFrame, start: np.ndarray, move: np.ndarray) -> DataFrame:
-        return written(bodies.cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: expect_block(b, a, start, move), PART), "expected")
+    def round_of(answers: DataFrame, gathered: np.ndarray, start: np.ndarray, move: np.ndarray) -> DataFrame:
+        return written(bodies.cogroup(of(answers, SHARES).groupBy("block")).applyInArrow(lambda b, a: expect_block(b, a, tokens, known, start, move, gathered), PART), "expected")
 
-    for _ in range(rounds):
-        found = round_of(emitted(gathered, sums), start, move)
-        total = added(found.where(F.col("kind") == SUMS))
-        if total is None:
-            break
-        start, move, gathered = total[:states] + 1e-3, total[states : states + states * states].reshape(states, states) + 1e-3, total[-states:]
+    answers, gathered = answered(state.select("kind", "block", "bucket", "payload"), True)
+    for _ in range(rounds if tokens else 0):
+        found = round_of(answers, gathered, start, move)
+        total = added(of(found, SUMS))
+        discard(answers)
+        start, move = total[:states] + 1e-3, total[states:].reshape(states, states) + 1e-3
         start, move = start / start.sum(), move / move.sum(1, keepdims=True)
-        sums = found.where(F.col("kind") == EXPECT)
-    done = bodies.cogroup(emitted(gathered, sums, True).groupBy("block")).applyInArrow(lambda b, a: score_block(b, a, tokens, known, start, move), SCHEMA)
+        answers, gathered = answered(found)
+        discard(found)
+    done = bodies.cogroup(of(answers, SHARES).groupBy("block")).applyInArrow(lambda b, a: score_block(b, a, tokens, known, start, move, gathered), SCHEMA)
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

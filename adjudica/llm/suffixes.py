@@ -43,7 +43,7 @@ from .chunks import resolve as first_of_each
 from .chunks import steps
 from .common import columns_of, corpus_size, written
 
-BUCKET_BYTES, INDEX_BYTES = 32 << 20, 1 << 20
+BUCKET_BYTES, INDEX_BYTES = 32 << 20, 1 << 18
 #: Cells in which anchors are counted; a cell with more than HOT_ANCHORS, or HOT_MEANS times the mean, takes the other way.
 CELLS, HOT_ANCHORS, HOT_MEANS = 1 << 16, 200_000, 8
 NOTHING, COPY, INDEXED = 0, 1, 2
