@@ -1,11 +1,13 @@
 """Substring dedup by content-defined chunks.
 
-A gear hash rolls over the text; a chunk ends where its top bits are zero, but not before ``MIN`` bytes, and at ``MAX``
-at the latest. The hash covers the last 4 bytes only (the table's entries are multiples of 2**28), and ends are twice as
-frequent as what ``MIN`` skips, so an insertion moves the cuts next to it and no others, and two copies of a passage fall
-into step within a few dozen bytes wherever they stand. Left in part are passages that are one short phrase over and over:
-they hold no place to tell from others, and their cuts depend on where they begin. Chunks are compared by a 128-bit digest: the first one (smallest doc_id, then
-place) stays, the others are removed. A bucket gets one digest for each distinct chunk of a block.
+A gear hash of the last 16 bytes rolls over the text; a chunk ends where the hash is larger than at the ``REACH`` bytes on
+either side (at equal values the first counts), and at ``MAX`` bytes at the latest. So a cut depends on the bytes next to
+it and on nothing else: an insertion moves the cuts around it and no others, and two copies of a passage have the same
+cuts from some forty bytes on, wherever they stand. Chunks are compared by a 128-bit digest: the first one (smallest
+doc_id, then place) stays, the others are repeats. Single chunks are so short that phrases of a language repeat them too;
+so repeats are removed where ``LEAST`` bytes or more of them stand together, or where they are all of a text. Left in part
+are passages that are one short phrase over and over, as they hold no place to tell from others. A bucket gets one digest
+for each distinct chunk of a block.
 
 Defined cases: null text is empty and has no chunk; a null doc_id comes last; of rows with one doc_id the one read
 first comes first; an empty table gives no rows; other columns are ignored.
@@ -23,44 +25,50 @@ from pyspark.sql import DataFrame
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
 from .common import columns_of, corpus_size, written
 
-#: Bytes of a chunk; an end has CUT_BITS zeros on top, of which the table leaves one always zero: ends are 1 in 16.
-MIN, MAX, CUT_BITS = 16, 256, 5
+#: Bytes on either side of a cut that have smaller hashes; bytes of a chunk at most; of repeats that are removed at least.
+REACH, MAX, LEAST = 16, 256, 80
 BUCKET_BYTES = 32 << 20
-GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32) & np.uint32(0xF0000000)
+GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32) & np.uint32(0xFFFF0000)
 SCHEMA = "doc_id long, n_bytes long, n_chunks long, n_removed_chunks long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string"
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the sum of GEAR[b] << distance over the last bytes."""
+    """The rolling hash after each byte: the sum of GEAR[b] << distance over the last 16 bytes."""
     h = GEAR[buf]
-    for shift in (1, 2, 4, 8, 16):
-        h[shift:] = h[shift:] + (h[: len(h) - shift] << np.uint32(shift)) if len(h) > shift else h[shift:]
+    for shift in (1, 2, 4, 8):
+        h[shift:] = h[shift:] + (h[:-shift] << np.uint32(shift))
+    return h
+
+
+def largest(h: np.ndarray, size: int) -> np.ndarray:
+    """The largest of the `size` values from each place on."""
+    h, reach = h.copy(), 1
+    while reach < size:
+        step = min(reach, size - reach)
+        h[: len(h) - step] = np.maximum(h[: len(h) - step], h[step:])
+        reach += step
     return h
 
 
 def cuts(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks for each document, and the chunks' lengths."""
+    room = 2 * REACH  # zeros between documents, so that a cut depends on its own text alone
+    at = np.arange(len(buf)) + np.repeat(np.arange(1, len(lengths) + 1) * room, lengths)
+    laid = np.zeros(len(buf) + (len(lengths) + 1) * room, np.uint8)
+    laid[at] = buf
+    h = np.zeros(len(laid), np.uint32)
+    h[at] = gear(laid)[at]
+    around = largest(h, REACH)
+    cut = (h[at] > around[at - REACH]) & (h[at] >= around[at + 1])
     ends = np.cumsum(lengths)
-    stops = (np.flatnonzero(gear(buf) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist()
-    counts, sizes, k = [], [], 0
-    for end, n in zip(ends.tolist(), lengths.tolist()):
-        at, before = end - n, len(sizes)
-        while k < len(stops) and stops[k] < end:
-            stop = stops[k]
-            k += 1
-            while stop - at > MAX:
-                sizes.append(MAX)
-                at += MAX
-            if stop - at >= MIN:
-                sizes.append(stop - at)
-                at = stop
-        while end - at > MAX:
-            sizes.append(MAX)
-            at += MAX
-        if end > at:
-            sizes.append(end - at)
-        counts.append(len(sizes) - before)
-    return np.array(counts, np.int64), np.array(sizes, np.int64)
+    cut[ends[lengths > 0] - 1] = True
+    stops = np.flatnonzero(cut) + 1
+    sizes = np.diff(np.r_[0, stops])
+    pieces = -(-sizes // MAX)
+    out = np.full(pieces.sum(), MAX, np.int64)
+    out[np.cumsum(pieces) - 1] = sizes - (pieces - 1) * MAX
+    counts = np.diff(np.r_[0, np.r_[0, np.cumsum(pieces)][np.searchsorted(stops, ends, side="right")]])
+    return counts, out
 
 
 def _digests(buf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -104,6 +112,14 @@ def resolve(table: pa.Table) -> pa.Table:
     return parts([(2, block, bucket, pack(a)) for (block, _), a in zip(rows, np.split(answer, ends[:-1]))])
 
 
+def removable(repeat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which repeats of one document stand in LEAST bytes of them or more, or are all it has."""
+    if repeat.all():
+        return repeat
+    run = np.cumsum(np.r_[0, np.diff(repeat.astype(np.int8)) != 0])
+    return repeat & (np.bincount(run, sizes)[run] >= LEAST)
+
+
 def mark(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     payload, shape = pickle.loads(blocks.column("payload")[0].as_py())
     table = from_ipc(payload)
@@ -116,7 +132,8 @@ def mark(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         stays[first[places[own]]] = unpack(answer)[0]
     out, at, byte = [], 0, 0
     for doc_id, n, count in zip(table.column("doc_id").to_pylist(), lengths.tolist(), counts.tolist()):
-        own, keep = sizes[at : at + count].astype(np.int64), stays[at : at + count]
+        own = sizes[at : at + count].astype(np.int64)
+        keep = ~removable(~stays[at : at + count], own)
         flags = np.repeat(~keep, own)
         edges = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2).tolist()
         rest = buf[byte : byte + n][~flags].tobytes()
