@@ -1,11 +1,23 @@
 """Near-duplicates by exact Jaccard similarity: sets of 5-word shingles that share 4 in 5 or more are linked.
 
-Candidates come from MinHash signatures: ``BANDS`` bands of ``ROWS`` minima; two texts meet if one band is equal, which
-at the similarity of 0.8 holds for 99.96 of 100 pairs. 64-bit SimHashes of such pairs differ by about 10 bits, which no
-grid of a few blocks can find. Every candidate is verified on the whole sets. Equal sets are one node and never paired;
-bands that hold the same nodes are searched once; bands of more than ``BLOCK`` nodes are dealt out as pairs of blocks. In
-a group each node is compared with what no link has reached yet, so a group of copies costs one comparison a node, and
-of its links only a spanning forest leaves the task.
+The method is that of ``simhash``, with a fingerprint that tells such texts apart: 64 majority bits differ in about 10
+places at this similarity, which no grid of a few blocks can find. Here the fingerprint has one bit for each hashed
+shingle, and it is embedded as the bit counts of its segments. The Manhattan distance of two such vectors is at most the
+number of unequal bits, and that is at most (a + b) / 9 for sets of a and b shingles with a similarity of 0.8.
+
+1. Grid: texts are dealt to classes by the size of their sets (a class spans a ratio of 5 to 4, and a text is also laid
+   into the class below, so that all sizes in range meet). A class has a number of grids; each looks at a share of the
+   segments, chosen by chance, and a cell holds the texts whose counts agree there. The share is so small that a pair in
+   range agrees in one grid with the probability ``p``, and there are ``SURE / p`` grids: a pair right at 0.8 is missed in
+   all of them once in e**SURE times, closer pairs far less. Shares shrink and grids grow with the number of texts, so that
+   cells of texts that have nothing in common stay small.
+2. Bound: within a cell the Manhattan distances of ``COARSE`` segment counts are tested; what no bound connects is parted.
+3. Exact: what is left is verified on the whole sets, first every text once, in the largest group that it is in; then the
+   groups that still hold texts of different components.
+
+Equal sets are one node and never paired. Cells of more than ``BLOCK`` nodes are dealt out as pairs of blocks. In a group
+each node is compared with what no link has reached yet, so a group of copies costs one comparison a node, and of its
+links only a spanning forest leaves the task.
 
 Defined cases: words are cut and lower-cased as in op1; a text of fewer than 5 words is one shingle; texts without words
 are one node; nodes are numbered by their smallest doc_id, those without an id come last.
@@ -13,7 +25,8 @@ are one node; nodes are numbered by their smallest doc_id, those without an id c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, written
-from .simhash import SEED, components
+from .simhash import SEED, components, dealt_in_pairs, in_groups
 
 SHINGLE = 5
 #: Similarity that links, as a fraction.
 PART, WHOLE = 4, 5
-BANDS, ROWS, BLOCK = 20, 5, 4096
-_RNG = np.random.default_rng(11)
-_FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Grids for each pair's chance; segments of the bound; nodes of one comparison.
+SURE, COARSE, BLOCK = 7.0, 64, 4096
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -49,25 +61,61 @@ def content(own: np.ndarray) -> bytes:
     return xxhash.xxh128_digest(own.tobytes())
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """One number for each band; equal sets have equal ones."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), 2048):
-        np.minimum(least, (own[at : at + 2048, None] * _FACTORS).min(0), out=least)
-    return ((least.reshape(BANDS, ROWS) >> np.uint64(7)) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+class Grids:
+    """The grids for a number of texts: bits that a cell tells apart, and how many grids there are."""
+
+    def __init__(self, texts: int) -> None:
+        self.bits = max(14.0, math.log2(max(1, texts)))
+        ratio = WHOLE / PART
+        # sets in range in one class have (ratio + ratio**2) * lower / 9 unequal bits at most
+        self.count = math.ceil(SURE / 2 ** (-self.bits / 2 * (ratio + ratio**2) * (WHOLE - PART) / (WHOLE + PART)))
+
+    @staticmethod
+    def classes(n: int) -> list[int]:
+        """The class of a set of n shingles, and the one below, if sets in range can be there."""
+        own = next(k for k in range(int(math.log(n) / math.log(WHOLE / PART)), -1, -1) if (WHOLE / PART) ** k <= n) if n else -1
+        return [own, own - 1] if own > 0 else [own]
+
+    def cells(self, own: np.ndarray) -> np.ndarray:
+        """A number for each class and grid; equal counts in the segments that the grid looks at give equal numbers."""
+        out = []
+        for k in self.classes(len(own)):
+            lower = (WHOLE / PART) ** max(k, 0)
+            segments = np.uint64(max(256, 1 << math.ceil(math.log2(4 * lower))))
+            looks = np.uint64(min(2**64 - 1, int((1 - 2 ** (-self.bits / 2 / lower)) * 2**64)))
+            grid = mixed(np.arange(self.count, dtype=np.uint64) * _MIX[0] + np.uint64(k + 1))
+            sums = grid.copy()
+            for at in range(0, len(own), 1024):
+                x = mixed((own[at : at + 1024, None] & (segments - np.uint64(1))) * _MIX[0] + grid)
+                shingle, seen = np.nonzero(x < looks)
+                np.add.at(sums, seen, mixed(x[shingle, seen]))
+            out.append(sums)
+        return np.concatenate(out).view(np.int64)
+
+
+def coarse(own: np.ndarray) -> bytes:
+    """Counts of COARSE segments; at 255 they end, which shortens no distance but makes none longer."""
+    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, content (digest of the set), bands."""
+def signatures(docs: DataFrame, grids: Grids) -> DataFrame:
+    """doc_id, content (digest of the set), size, counts, cells."""
+    fields = "doc_id long, content binary, size long, counts binary, cells array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            keys = pa.array(np.concatenate([bands(s) for s in sets] or [np.zeros(0, np.int64)]))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content, sets), pa.binary()), lists], ["doc_id", "content", "bands"])
+            cells = [grids.cells(s) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cells)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *cells])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(content, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(coarse, sets), pa.binary()), lists], [f.split()[0] for f in fields.split(", ")])
 
-    return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, content binary, bands array<long>")
+    return columns_of(docs, "doc_id", "text").mapInArrow(run, fields)
 
 
 def with_content(docs: DataFrame) -> DataFrame:
@@ -109,37 +157,126 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     return root
 
 
+def reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The smallest index that links reach, for each of n; near(k, rest) tells which of the indices `rest` are linked with k."""
+    root, rest = np.full(n, -1), np.arange(n)
+    while len(rest):
+        start, rest = int(rest[0]), rest[1:]
+        root[start], todo = start, [start]
+        while todo and len(rest):
+            hit = near(todo.pop(), rest)
+            if hit.any():
+                root[rest[hit]] = start
+                todo += rest[hit].tolist()
+                rest = rest[~hit]
+    return root
+
+
+def within_bound(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Whether the counts' Manhattan distance allows the similarity."""
+    size = table.column("size").to_numpy()
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16)
+    return lambda k, rest: (WHOLE + PART) * np.abs(counts[rest] - counts[k]).sum(1, dtype=np.int64) <= (WHOLE - PART) * (size[rest] + size[k])
+
+
+def distinct_nodes(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.unique(table.column("node").to_numpy(), return_index=True)[1]))
+
+
+def _part_cell(table: pa.Table) -> pa.Table:
+    """What the bound connects within one cell, as groups of two nodes or more, each with a name that its nodes decide."""
+    table = distinct_nodes(table)
+    node, root = table.column("node").to_numpy(), reached(table.num_rows, within_bound(table))
+    name = np.zeros(len(node), np.uint64)
+    np.add.at(name, root, mixed(node.view(np.uint64) + _MIX[0]))
+    size = np.bincount(root, minlength=len(node))
+    own = size[root] > 1
+    return pa.table({"cell": name[root][own].view(np.int64), "n": size[root][own], "node": node[own]})
+
+
+def _open_cell(table: pa.Table) -> pa.Table:
+    """The nodes of a group that the bound allows a link with one of another component."""
+    table = distinct_nodes(table)
+    root, node, near = table.column("root").to_numpy(), table.column("node").to_numpy(), within_bound(table)
+    everyone = np.arange(len(node))
+    own = np.array([bool((near(k, everyone) & (root != root[k])).any()) for k in everyone], bool)
+    return pa.table({"cell": table.column("cell").to_numpy()[own], "node": node[own]})
+
+
 def _link_group(table: pa.Table) -> pa.Table:
-    node, at = np.unique(table.column("node").to_numpy(), return_index=True)
-    texts = table.column("text").take(pa.array(at)).cast(pa.binary()).to_pylist()
-    root = linked([shingles(t or b"") for t in texts])
+    """Verified links: a forest that spans them."""
+    table = distinct_nodes(table)
+    node, sets = table.column("node").to_numpy(), [shingles(t or b"") for t in table.column("text").cast(pa.binary()).to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    begin, flat = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0, np.uint64), *sets])
+
+    def near(k: int, rest: np.ndarray) -> np.ndarray:
+        own, out = sets[k], np.zeros(len(rest), bool)
+        fit = np.flatnonzero((PART * sizes[rest] <= WHOLE * len(own)) & (PART * len(own) <= WHOLE * sizes[rest]) & (sizes[rest] > 0))
+        if len(fit):
+            n = sizes[rest[fit]]
+            ends = np.cumsum(n)
+            other = flat[np.repeat(begin[rest[fit]] - (ends - n), n) + np.arange(ends[-1])]
+            same = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+            common = np.add.reduceat(same.astype(np.int64), ends - n)
+            out[fit] = WHOLE * common >= PART * (n + len(own) - common)
+        return out
+
+    root = reached(len(node), near)
     own = np.flatnonzero(root != np.arange(len(node)))
     return pa.table({"a": node[own], "b": node[root[own]]})
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """node, id (smallest doc_id, null if no row has one), content, bands: one row for each distinct set."""
-    own = written(signatures(docs), "signatures")
-    one = own.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    return written(one.sort(F.col("id").asc_nulls_last(), "content").select(F.monotonically_increasing_id().alias("node"), "id", "content", "bands"), "near-nodes")
+    """node, id (smallest doc_id, null if no row has one), content, size, counts, cells: one row for each distinct set."""
+    own = written(signatures(docs, Grids(docs.count())), "signatures")
+    one = own.groupBy("content").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in ("size", "counts", "cells")])
+    return written(one.sort(F.col("id").asc_nulls_last(), "content").select(F.monotonically_increasing_id().alias("node"), "id", "content", "size", "counts", "cells"), "near-nodes")
+
+
+def shared_cells(nodes: DataFrame) -> DataFrame:
+    """cell, node: the cells that hold two nodes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in in_groups(batches, 100_000):
+            cell = table.column(0).to_numpy()
+            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            size = np.diff(np.r_[start, len(cell)])
+            yield from table.filter(pa.array(np.repeat(size > 1, size))).to_batches()
+
+    cells = nodes.select(F.explode("cells").alias("cell"), "node")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "cell long, node long")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: one text for each node."""
+    some = docs.select("doc_id", "text")
+    named = with_content(some.join(nodes.where("id is not null").select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi"))
+    named = named.join(nodes, (F.col("doc_id") == F.col("id")) & (F.col("_content") == F.col("content"))).select("node", "text")
+    bare = with_content(some.where("doc_id is null").dropDuplicates(["text"])).join(nodes.where("id is null"), F.col("_content") == F.col("content")).select("node", "text")
+    return written(named.unionByName(bare).dropDuplicates(["node"]), "near-texts")
 
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a > b) between nodes; what they connect is what verified candidates connect."""
-    keys = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("n > 1")
-    full = full.groupBy("n", "who").agg(F.min("key").alias("key"))
-    count = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), count)
-    dealt = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.struct(F.least(k, mine).alias("p"), F.greatest(k, mine).alias("q")))
-    members = written(keys.join(full.select("key", "n"), "key").select("node", "key", F.explode(dealt).alias("e")).select("node", "key", "e.p", "e.q"), "near-members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "id", "content"), "node")
-    some = docs.select("doc_id", "text")
-    named = with_content(some.join(wanted.where("id is not null").select("id").distinct(), F.col("doc_id") == F.col("id"), "left_semi"))
-    named = named.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("_content") == F.col("content"))).select("node", "text")
-    bare = with_content(some.where("doc_id is null").dropDuplicates(["text"])).join(wanted.where("id is null"), F.col("_content") == F.col("content")).select("node", "text")
-    texts = written(named.unionByName(bare).dropDuplicates(["node"]), "near-texts")
-    return members.join(texts, "node").groupBy("key", "p", "q").applyInArrow(_link_group, "a long, b long").distinct()
+    vectors, edge = nodes.select("node", "size", "counts"), "a long, b long"
+    cells = dealt_in_pairs(written(shared_cells(nodes), "near-cells"), "cell", "node", BLOCK)
+    parted = cells.join(vectors, "node").groupBy("cell", "p", "q").applyInArrow(_part_cell, "cell long, n long, node long")
+    groups = written(parted.dropDuplicates(["cell", "node"]), "near-groups")
+    texts = texts_of(docs, groups.select("node").distinct().join(nodes.select("node", "id", "content"), "node"))
+
+    def verified(members: DataFrame) -> DataFrame:
+        dealt = dealt_in_pairs(members, "cell", "node", BLOCK)
+        return dealt.join(texts, "node").groupBy("cell", "p", "q").applyInArrow(_link_group, edge).distinct()
+
+    once = groups.groupBy("node").agg(F.max(F.struct("n", "cell")).alias("m")).select("m.cell", "node")
+    first = written(verified(once), "near-links")
+    tied = components(first)
+    rooted = groups.join(tied, F.col("node") == F.col("a"), "left").select("cell", "node", F.coalesce("b", "node").alias("root"))
+    several = rooted.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
+    left = dealt_in_pairs(rooted.join(several, "cell"), "cell", "node", BLOCK).join(vectors, "node")
+    open_ = left.groupBy("cell", "p", "q").applyInArrow(_open_cell, "cell long, node long").distinct()
+    return first.unionByName(verified(written(open_, "near-open")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -47,14 +47,27 @@ def test_stage_against_brute_force_jaccard(spark, sf, monkeypatch, block):
     assert sorted(r["doc_id"] for r in got.collect()) == [rows[k][0] for k in sorted(set(groups))]
 
 
-def test_recall_of_bands():
-    rng = np.random.default_rng(3)
-    found = 0
-    for _ in range(1000):
-        both = rng.integers(0, 1 << 63, 90, dtype=np.uint64)  # 80 in common of 100
-        a, b = np.r_[both[:80], both[80:]], np.r_[both[:80], rng.integers(0, 1 << 63, 10, dtype=np.uint64)]
-        found += (neardup.bands(a) == neardup.bands(b)).any()
-    assert found >= 990
+@pytest.mark.parametrize("texts,size", [(1000, 90), (1 << 30, 90), (1000, 900), (1000, 9)])
+def test_recall_of_the_grids(texts, size):
+    """Pairs right at the similarity of 0.8; texts with nothing in common seldom meet."""
+    rng, found, met, grids = np.random.default_rng(3), 0, 0, neardup.Grids(texts)
+    trials = 300
+    for _ in range(trials):
+        n, both = size // 9, np.sort(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        common, own = both[n:], both[:n]
+        a, b = (np.unique(np.r_[common, x]) for x in (own, rng.integers(0, 1 << 63, n, dtype=np.uint64)))
+        found += bool(set(grids.cells(a).tolist()) & set(grids.cells(b).tolist()))
+        met += bool(set(grids.cells(a).tolist()) & set(grids.cells(rng.integers(0, 1 << 63, size, dtype=np.uint64)).tolist()))
+    assert found >= 0.99 * trials and met <= 0.1 * trials
+
+
+def test_bound_never_exceeds_the_distance():
+    rng = np.random.default_rng(5)
+    for n in (5, 300, 30_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[n // 3 :], rng.integers(0, 1 << 64, n // 4, dtype=np.uint64)])
+        x, y = (np.frombuffer(neardup.coarse(s), np.uint8).astype(int) for s in (a, b))
+        assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
 
 
 def test_chains_and_rows_without_id(spark):
