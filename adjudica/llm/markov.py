@@ -48,7 +48,7 @@ STATES, ROUNDS, SMOOTH, SEED = 6, 3, 50.0, 3
 WHOLE = 65_535
 #: Bytes of text in a block and of a bucket; tokens of one recursion, and of a stretch of a longer document.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
-TOKENS, STEPS = 1 << 20, 1 << 18
+TOKENS, STEPS = 1 << 19, 1 << 18
 END = b"\n"  # no word is white space
 BODY, WORDS, STATE, SHARES, SUMS = 0, 1, 2, 3, 4
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"

@@ -7,7 +7,8 @@ are summed along it, one offset per source is added, and a document is emitted o
 of the sum crosses. As no document expects more than ``cap`` copies, none gets more than ``cap`` rounded up.
 
 The sums along a source run over cells (source, size band, salt), first counted, then added up over the few bands and
-over the salts of a band, so that a source with a third of all rows is spread over as many tasks as it needs.
+over the salts of a band, so that a source with a third of all rows is spread over as many tasks as it needs. Targets are
+found from one row a source, which one task puts in order: sources are names of collections, not of pages.
 
 Defined cases: null or empty text has size 0; a null source is a source of its own, last in order; a null doc_id comes
 last among equals; repeated rows are separate documents; an empty table gives an empty result; if all sizes are 0 all
@@ -60,41 +61,60 @@ def targets(sized: DataFrame) -> DataFrame:
     return per_source.select("rank", "source", "source_size", F.least(F.col("weight") * final, (CAP * F.col("source_size")).cast("double")).alias("target"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies (how often the mix has the document)."""
-    sized = written(columns_of(docs, "doc_id", "text", "source").select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+def stand_in(doc_id: Column, text: Column) -> Column:
+    """doc_id, or a number made from the text where there is none, so that such rows are dealt out too."""
+    return F.coalesce(doc_id, F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 8), 16, 10).cast("long"))
+
+
+def copies(sized: DataFrame) -> DataFrame:
+    """sized: doc_id, key (see stand_in), source, size, and other columns, which are carried along and break ties last.
+    The same with source_size, target and copies (how often the mix has the row)."""
+    others = [c for c in sized.columns if c not in ("doc_id", "key", "source", "size")]
     salts = sized.count() // CELL_ROWS + 1
     per_source = targets(sized)
     ranked = sized.join(per_source.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    ranked = ranked.withColumn("band", band(F.col("size"))).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(salts)))
+    ranked = ranked.withColumn("band", band(F.col("size"))).withColumn("salt", F.pmod(F.col("key"), F.lit(salts)))
     cells = ranked.groupBy("rank", "band", "salt").agg(F.count(F.lit(1)).alias("rows"))
     bands = cells.groupBy("rank", "band").agg(F.sum("rows").alias("rows"))
     earlier = lambda keys, order: F.coalesce(F.sum("rows").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bands = bands.select("rank", "band", earlier(["rank"], F.col("band").desc()).alias("band_start"))
     cells = cells.select("rank", "band", "salt", earlier(["rank", "band"], F.col("salt")).alias("cell_start"))
-    inside = Window.partitionBy("rank", "band", "salt").orderBy(F.col("size").desc(), F.col("doc_id").asc_nulls_last())
+    inside = Window.partitionBy("rank", "band", "salt").orderBy(F.col("size").desc(), F.col("doc_id").asc_nulls_last(), "key", *others)
     placed = ranked.withColumn("place", F.row_number().over(inside)).join(cells, ["rank", "band", "salt"]).join(bands, ["rank", "band"])
     place = F.col("band_start") + F.col("cell_start") + F.col("place")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     crossed = lambda at: F.floor(share * at.cast("double") + offset(F.col("rank")))
-    return placed.select("doc_id", "size", "source", "source_size", "target", (crossed(place) - crossed(place - 1)).alias("copies"))
+    return placed.select("doc_id", *others, "size", "source_size", "target", (crossed(place) - crossed(place - 1)).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """Words that the mix takes of each document."""
-    return copies(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    own = columns_of(docs, "doc_id", "text", "source")
+    sized = written(own.select("doc_id", stand_in(F.col("doc_id"), F.col("text")).alias("key"), "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, with their own columns: a row for each copy."""
-    keyed = written(docs.withColumn("mix_key", F.monotonically_increasing_id()), "mix-documents")
-    taken = copies(keyed.select(F.col("mix_key").alias("doc_id"), "text", "source")).where("copies > 0").select(F.col("doc_id").alias("mix_key"), "copies")
-    return keyed.join(taken, "mix_key").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents of the mix, with their own columns: a row for each copy.
+
+    A row is known by its doc_id and two hashes of all its columns, so the mix does not depend on how the rows are dealt
+    to partitions. Rows alike in all columns are known as one, whose copies are added up."""
+    row = [F.col(f"`{c}`").cast("string") for c in docs.columns]
+    own = docs.withColumn("mix_id", F.col("`doc_id`").cast("long")).withColumn("mix_hash", F.xxhash64(*row)).withColumn("mix_hash_2", F.hash(*row))
+    text = F.col("`text`").cast("string")
+    sized = own.select(F.col("mix_id").alias("doc_id"), stand_in(F.col("mix_id"), text).alias("key"), F.col("`source`").cast("string").alias("source"), word_count(text).alias("size"), "mix_hash", "mix_hash_2")
+    taken = copies(written(sized, "mix-sizes")).groupBy(F.col("doc_id").alias("id"), F.col("mix_hash").alias("h"), F.col("mix_hash_2").alias("h2")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = written(taken.where("copies > 0"), "mix-taken")
+    same = F.col("mix_id").eqNullSafe(F.col("id")) & (F.col("mix_hash") == F.col("h")) & (F.col("mix_hash_2") == F.col("h2"))
+    single = own.join(taken.where("rows = 1"), same)
+    several = own.join(taken.where("rows > 1"), same).dropDuplicates(["mix_id", "mix_hash", "mix_hash_2"])
+    return single.unionByName(several).withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, coalesce(doc_id, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT) AS key, source,
+    coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 weighted AS (
@@ -110,7 +130,7 @@ targets AS (
 ranked AS (
   SELECT s.doc_id, s.size, t.rank, t.source_size, t.target,
     row_number() OVER (PARTITION BY t.rank ORDER BY length(bin(s.size)) * 16 + (s.size >> greatest(length(bin(s.size)) - 4, 0)) DESC,
-      ((coalesce(s.doc_id, 0) % k.salts) + k.salts) % k.salts, s.size DESC, s.doc_id NULLS LAST) AS place,
+      ((s.key % k.salts) + k.salts) % k.salts, s.size DESC, s.doc_id NULLS LAST, s.key) AS place,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0 END AS share,
     ('0x' || substr(md5('mix' || t.rank), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS start
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (SELECT count(*) // {CELL_ROWS} + 1 AS salts FROM sized) k)

@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 import corpus_pipeline as cp
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
+from test_neardup import slow_groups
 from test_packing import check_rows
-from test_simhash import slow_components, slow_fingerprint
 from tokenizers import Tokenizer
 
 from adjudica.llm import mixing
@@ -27,8 +28,8 @@ def test_stages(spark, sf):
     assert all(d in kept for d in good) and not [d for d in kept if labels.get(d) == 0]
     # near-duplicates: the smallest id of every component
     rows = sorted(kept.items())
-    root = slow_components([slow_fingerprint(t) for _, t in rows])
-    docs = written(cp.simhash_dedup(spark, docs, sf), "t2")
+    root, _ = slow_groups([t for _, t in rows])
+    docs = written(cp.near_dedup(spark, docs, sf), "t2")
     assert tuple(docs.columns) == cp.COLUMNS and sorted(r["doc_id"] for r in docs.collect()) == [rows[k][0] for k in sorted(set(root))]
     # suffixes: what is left of each text
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
@@ -80,3 +81,17 @@ def test_run_and_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} <= {None, 3}
+
+
+def test_empty_tables(spark, sf):
+    for _, stage in cp.STAGES:
+        assert stage(spark, documents(spark, sf).limit(0), sf).count() == 0
+
+
+def test_mix_does_not_depend_on_partitions(spark, sf):
+    docs = documents(spark, sf).select(*cp.COLUMNS)
+    odd = docs.where("doc_id < 40").withColumn("doc_id", (docs["doc_id"] * 0 + 7))
+    none = docs.where("doc_id < 60").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(odd).unionByName(odd).unionByName(none)
+    got = [Counter((r["doc_id"], r["text"]) for r in mixing.mixed(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and max(got[0].values()) <= 6
