@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adjudica.llm import mixing, neardup, packing, quality, simhash, suffixes
+from adjudica.llm import mixing, neardup, packing, quality, suffixes
 from adjudica.llm.common import documents, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,11 +24,6 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept(own_columns(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By op1's own rule (3-word shingles, 3 bits); not a stage, as it finds few near copies that aren't identical."""
-    return simhash.one_of_each(own_columns(docs))
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.one_of_each(own_columns(docs))
 
