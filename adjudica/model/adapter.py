@@ -23,8 +23,9 @@ def money(c: Column, scale: int = 2) -> Column:
     return c.cast(f"decimal(12,{scale})")
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """All claims, or those of some rows of orders."""
+    orders, customer = table(spark, sf_dir, "orders") if orders is None else orders, table(spark, sf_dir, "customer")
     day = F.to_date("o_orderdate")
     rank = F.substring("o_orderpriority", 1, 1)
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
@@ -41,9 +42,9 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line numbers repeat within a claim: the lines are a bag."""
-    orders, items = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem")
+def lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Line numbers repeat within a claim: the lines are a bag. All lines, or those of some rows of orders."""
+    orders, items = (table(spark, sf_dir, "orders") if orders is None else orders).select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem")
     day = F.expr("date_add(to_date(o_orderdate), cast((l_partkey * 7 + l_linenumber) % 93 as int))")
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("procedure_code"),
@@ -64,7 +65,12 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"))
+    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"), (F.col("r_regionkey") % 2).alias("organization_id"))
+
+
+def organizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = (F.col("r_regionkey") % 2).alias("organization_id")
+    return table(spark, sf_dir, "region").select(own).distinct().withColumn("organization_name", F.concat(F.lit("Organization "), F.col("organization_id").cast("string")))
 
 
 def financial_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,8 @@ rvu AS (
     CASE WHEN p_size > 5 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status, DATE '1998-12-01' - p_size AS updated_on FROM part),
 facilities AS (
   SELECT n_nationkey AS facility_id, n_name AS facility_name, n_regionkey AS region_id, n_nationkey % 5 <> 0 AS active FROM nation),
-regions AS (SELECT r_regionkey AS region_id, r_name AS region_name FROM region),
+regions AS (SELECT r_regionkey AS region_id, r_name AS region_name, r_regionkey % 2 AS organization_id FROM region),
+organizations AS (SELECT DISTINCT r_regionkey % 2 AS organization_id, 'Organization ' || r_regionkey % 2 AS organization_name FROM region),
 classes AS (SELECT DISTINCT c_mktsegment AS financial_class, c_mktsegment <> 'FURNITURE' AS active FROM customer),
 samples AS (SELECT event_id, event_type AS name, ts AS at, value, user_id, props FROM events),
 line_faults AS (

@@ -46,15 +46,13 @@ def totals(claims: DataFrame, *keys: str) -> DataFrame:
     return claims.groupBy(*keys).agg(F.count(F.lit(1)).alias("claims"), as_double(F.sum(F.coalesce("total_charge_amount", F.lit(0)))).alias("charges"))
 
 
-def daily_summary(validated: DataFrame, priced: DataFrame) -> DataFrame:
-    """Per day and facility: claims, failed, lines, charges, reimbursement and the rates. Lines are added up per claim
-    before they meet the claims."""
-    per_claim = priced.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("reimbursement").alias("paid"))
-    joined = validated.join(per_claim, "claim_id", "left")
+def daily_summary(judged: DataFrame) -> DataFrame:
+    """Per day and facility: claims, failed, lines, charges, reimbursement and the rates, from validated claims with n_lines
+    and revenue."""
     bad = (F.size("errors") > 0).cast("long")
-    out = joined.groupBy(F.col("service_from_date").alias("day"), "facility_id").agg(
+    out = judged.groupBy(F.col("service_from_date").alias("day"), "facility_id").agg(
         F.count(F.lit(1)).alias("claims"), F.sum(bad).alias("failed"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"),
-        as_double(F.sum("total_charge_amount")).alias("charges"), as_double(F.coalesce(F.sum("paid"), F.lit(0))).alias("reimbursement"))
+        as_double(F.sum("total_charge_amount")).alias("charges"), as_double(F.coalesce(F.sum("revenue"), F.lit(0))).alias("reimbursement"))
     return out.withColumn("reimbursement_rate", share(F.col("reimbursement"), F.col("charges"))).withColumn("error_rate", share(F.col("failed"), F.col("claims"))).withColumn("pass_rate", share(F.col("claims") - F.col("failed"), F.col("claims")))
 
 
@@ -118,11 +116,26 @@ def rvu_stats(rvu: DataFrame) -> DataFrame:
 
 
 def dashboard(failed: DataFrame, audit_events: DataFrame, archived: DataFrame, since: Column, top: int = 5) -> DataFrame:
-    """One row: audit events, archives and the latest, the most frequent error lists, days with failures, losses."""
-    reasons = counts(failed.withColumn("errors", F.coalesce("errors", F.lit("unknown"))), "errors").orderBy(F.desc("n"), "errors").limit(top).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "errors", "n"))), lambda x: F.concat_ws(":", x["errors"], x["n"])), ";").alias("top_errors"))
-    days = counts(failed.where(F.col("failed_on") >= since), "failed_on").agg(F.count(F.lit(1)).alias("days"), F.coalesce(F.max("n"), F.lit(0)).alias("most_in_a_day"))
-    parts = [audit_events.agg(F.count(F.lit(1)).alias("audit_events")), archived.agg(F.count(F.lit(1)).alias("archives"), F.max("day").alias("latest_archive")), reasons, days, revenue_loss(failed)]
-    out = parts[0]
-    for one in parts[1:]:  # single rows
+    """One row: audit events, archives and the latest, the most frequent error lists, the failures of each day since, the
+    loss, and the loss by category. The failures are added up once; all lists come from that small frame."""
+    money = F.sum("potential_revenue_loss").cast("decimal(28,4)")
+    errors, category = F.coalesce("errors", F.lit("unknown")).alias("errors"), F.coalesce("failure_category", F.lit("unknown")).alias("category")
+    small = failed.groupBy(errors, category, "failed_on").agg(F.count(F.lit(1)).alias("n"), money.alias("loss"))
+    # one row for each key of each list
+    keys = F.array(
+        F.struct(F.lit("errors").alias("kind"), F.col("errors").alias("key")), F.struct(F.lit("category").alias("kind"), F.col("category").alias("key")),
+        F.struct(F.when(F.col("failed_on") >= since, "day").alias("kind"), F.col("failed_on").cast("string").alias("key")),
+    )
+    rows = small.select("n", "loss", F.explode(keys).alias("k")).where("k.kind is not null").groupBy("k.kind", "k.key").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+    listed = lambda kind, *order: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], "key", "n", F.coalesce("loss", F.lit(0)).cast("double").alias("loss")))))
+    text = lambda items, value: F.array_join(F.transform(items, lambda x: F.concat_ws(":", x["key"], value(x))), ";")
+    lists = rows.agg(listed("errors", -F.col("n"), F.col("key")).alias("e"), listed("day", F.col("key")).alias("d"), listed("category", F.col("key")).alias("c"), F.sum(F.when(F.col("kind") == "category", F.col("loss"))).alias("total"))
+    cents = lambda x: F.format_string("%.2f", x["loss"])
+    done = lists.select(
+        text(F.slice("e", 1, top), lambda x: x["n"]).alias("top_errors"), text(F.col("d"), lambda x: x["n"]).alias("trend"), text(F.col("c"), cents).alias("loss_by_category"),
+        as_double(F.coalesce("total", F.lit(0))).alias("loss"),
+    )
+    out = audit_events.agg(F.count(F.lit(1)).alias("audit_events"))
+    for one in (archived.agg(F.count(F.lit(1)).alias("archives"), F.max("day").alias("latest_archive")), done):  # single rows
         out = out.join(one, F.lit(True))
     return out

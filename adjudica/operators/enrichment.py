@@ -31,11 +31,21 @@ def enrich(df: DataFrame, rvu: DataFrame, factor: str | None = FACTOR, units: st
     return df.join(own, F.col("procedure_code") == F.col("_code"), "left").withColumn("reimbursement", F.when(F.col("_code").isNotNull(), paid)).drop("_code", "_factor")
 
 
+def summarise(priced: DataFrame, nested: bool = False) -> DataFrame:
+    """One row a claim: first and last date of its lines, their number, what they pay (null if none has a price), and if
+    asked for the lines themselves as a sorted array. One pass over the lines serves validation, prices and rules."""
+    more = [F.sort_array(F.collect_list(F.struct(*LINE))).alias("line_items")] if nested else []
+    return priced.groupBy("claim_id").agg(
+        F.min("service_from_date").alias("first_from"), F.max("service_to_date").alias("last_to"),
+        F.count(F.lit(1)).alias("n_lines"), F.sum("reimbursement").alias("revenue"), *more,
+    )
+
+
 def lookup(rvu: DataFrame, codes: list[int]) -> DataFrame:
     """Active rows of these codes."""
     return rvu.where(F.col("procedure_code").isin(codes) & (F.lower("status") == "active"))
 
 
-def hierarchy(facilities: DataFrame, regions: DataFrame) -> DataFrame:
-    """Facility, region, and the organisation that a region belongs to."""
-    return facilities.join(regions, "region_id", "left")
+def hierarchy(facilities: DataFrame, regions: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Facility, region, and the organization that the region belongs to."""
+    return facilities.join(regions, "region_id", "left").join(organizations, "organization_id", "left")

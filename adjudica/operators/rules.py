@@ -1,7 +1,7 @@
 """Business rules held as JSON, compiled to columns once and evaluated in one projection.
 
 A rule is (name, logic, facilities, classes, active). Logic of the first shape is {"field", "operator", "value",
-"values"}; of the second {"condition", "validation"} with "field LIKE 'x%'" or "always", checked over the claim's lines.
+"values"}; of the second {"condition", "validation"} with "field LIKE 'x%'" or "always", checked over the claim's lines: a range of a field ("min", "max"), or {"type": "dates"}. Other shapes are refused.
 Nulls compare as values: null equals null, any comparison by size with a null is false.
 """
 
@@ -52,13 +52,17 @@ def predicate(logic: dict[str, Any], columns: list[str]) -> Column:
 
 def lines_predicate(logic: dict[str, Any]) -> Column:
     """Every line that the condition selects has its charge in the range, or its dates inside the claim's."""
-    check = logic.get("validation", {})
-    like = re.fullmatch(r"\s*(\w+)\s+LIKE\s+'(\w*)%'\s*", logic["condition"])
+    check, condition = logic.get("validation", {}), logic["condition"].strip()
+    like = re.fullmatch(r"(\w+)\s+LIKE\s+'(\w*)%'", condition)
+    if not like and condition.lower() != "always":
+        raise ValueError(f"a rule's condition is neither a prefix nor always: {condition}")
     chosen = (lambda x: x[like[1]].cast("string").startswith(like[2])) if like else (lambda x: F.lit(True))
     if "min" in check or "max" in check:
         good = lambda x: x[check.get("field", "charge_amount")].between(check.get("min", 0), check.get("max", 10**12))
-    else:
+    elif check.get("type") == "dates":
         good = lambda x: (x["service_from_date"] >= F.col("service_from_date")) & (x["service_to_date"] <= F.col("service_to_date"))
+    else:
+        raise ValueError(f"a rule's validation has neither a range nor the type dates: {check}")
     return F.coalesce(F.forall("line_items", lambda x: ~F.coalesce(chosen(x), F.lit(False)) | F.coalesce(good(x), F.lit(False))), F.lit(True))
 
 

@@ -37,9 +37,14 @@ def latency_p99(samples: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def rolling_hour(samples: DataFrame) -> DataFrame:
-    """Sum of the last 3600 s at each sample, both ends included."""
-    hour = Window.partitionBy("name").orderBy(F.unix_micros("at")).rangeBetween(-3_600_000_000, 0)
-    return samples.withColumn("hour_sum", F.sum(F.col("value").cast("decimal(20,6)")).over(hour).cast("double"))
+    """Sum of the last 3600 s at each sample, both ends included. Every sample is laid into its hour and the next one, and
+    each hour of a name is a window of its own, as a few names may hold all samples."""
+    micros, hour = F.unix_micros("at"), 3_600_000_000
+    own = samples.withColumn("_at", micros).withColumn("_own", F.floor(micros / hour))
+    laid = own.withColumn("_hour", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    window = Window.partitionBy("name", "_hour").orderBy("_at").rangeBetween(-hour, 0)
+    summed = laid.withColumn("hour_sum", F.sum(F.col("value").cast("decimal(20,6)")).over(window).cast("double"))
+    return summed.where("_own = _hour or _at is null and _own is null and _hour is null").drop("_at", "_own", "_hour")
 
 
 def next_code_counts(df: DataFrame, k: int, entity: str, code: str, *order: str) -> DataFrame:
