@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,9 @@ SECRET = ("patient_account_number", "patient_name")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that spark.checkpoint.dir names, or that was set with setCheckpointDir; a temporary one only
+    where both are unset (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return f"{(found or tempfile.mkdtemp(prefix='spark-shared-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -45,10 +47,26 @@ def queue_claims(df: DataFrame, path: str) -> None:
 
 
 def replay_claims(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Queued claims; the queue is removed by the caller once they are committed."""
+    """Queued claims."""
     return spark.read.schema(schema).json(path)
 
 
+def drain_queue(spark: SparkSession, path: str, schema: StructType | str, commit: Callable[[DataFrame], None]) -> None:
+    """Hands the queued claims to `commit`, and removes the files that were read once it has returned: what it fails on
+    stays queued, and what is queued meanwhile is left for the next time."""
+    queued = replay_claims(spark, path, schema)
+    read = queued.inputFiles()
+    commit(spark.read.schema(schema).json(read) if read else queued)
+    remove(spark, read)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes files and folders of any store that Spark reads."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def split_by_age(claims: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """Claims before the cutoff, and those that stay; a null date stays."""
     old = F.coalesce(F.col("service_to_date") < cutoff, F.lit(False))
@@ -77,6 +95,12 @@ def retained(df: DataFrame, now: Column, years: int = 5) -> DataFrame:
     return df.where(F.col("service_year") >= F.year(now) - years)
 
 
+def drop_old_years(spark: SparkSession, path: str, now: str, years: int = 5) -> None:
+    """Removes the partitions that `retained` would leave out. The list holds one number a year."""
+    found = [r[0] for r in spark.read.parquet(path).select("service_year").distinct().collect()]
+    remove(spark, [f"{path}/service_year={y}" for y in found if y is not None and y < int(now[:4]) - years])
+
+
 def archive_date(name: Column) -> Column:
     """The date in an archive's name, claims_yyyy_MM_dd.jsonl; null if there is none."""
     found = F.regexp_extract(name, r"(\d{4}_\d{2}_\d{2})\.jsonl$", 1)
@@ -86,3 +110,15 @@ def archive_date(name: Column) -> Column:
 def purgeable(listing: DataFrame, now: Column, years: int = 7) -> DataFrame:
     """Archives older than the window; names without a date stay."""
     return listing.where(archive_date(F.col("name")) < F.add_months(now, -12 * years))
+
+
+def retention_job(claims: DataFrame, path: str, key: str, cutoff: str, now: str, years: int = 7) -> DataFrame:
+    """Archives the claims before the cutoff, then removes the archived months that lie wholly before the window of
+    `years`; gives the claims that stay live. Both dates are texts such as 2024-12-31."""
+    spark = claims.sparkSession
+    old, live = split_by_age(claims, F.to_date(F.lit(cutoff)))
+    archive(old, path, key)
+    months = [(r["year"], r["month"]) for r in spark.read.text(path).select("year", "month").distinct().collect()]  # a row a month
+    oldest = (int(now[:4]) - years, int(now[5:7]))
+    remove(spark, [f"{path}/year={y}/month={str(mm).zfill(2)}" for y, mm in months if str(y).isdigit() and (int(y), int(mm)) < oldest])
+    return live

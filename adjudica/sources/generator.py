@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Classes, priorities, procedure codes.
 CLASSES = ("COM", "MED", "MCR", "PPO", "HMO", "WRK", "OTH", "SELF")
 PRIORITIES = ("low", "normal", "high")
-CODES = ("99213", "99214", "99215", "99203", "99204", "99205", "99282", "99283", "99284", "99285", "36415", "85025", "80053", "80061", "71020", "73060", "74177", "29881", "64483", "90834", "90837", "G0438", "99490")
-#: Lines and diagnoses of a claim with their cumulative shares in percent.
+#: Parameters of the stated distributions. Procedure codes: families, and codes made for each. Lines and diagnoses of a
+#: claim: cumulative shares in percent. Charges of a unit: least and most by family, and otherwise.
+FAMILIES, CODES_EACH = ("99", "80", "70", "20", "60", "36", "90"), 12
 LINES = ((40, 1), (70, 2), (85, 3), (95, 4), (100, 5))
 DIAGNOSES = ((50, 1), (80, 2), (95, 3), (100, 4))
-#: Charge of a unit by the code's first characters: least, most.
 CHARGES = (("99", 200, 600), ("8", 50, 300), ("7", 300, 1500), ("2", 1000, 5000), ("6", 1000, 5000))
 OTHER = (100, 800)
 
 
+def procedure_codes() -> tuple[str, ...]:
+    """Codes of five digits: the family and a running number in steps of 37."""
+    return tuple(f"{family}{37 * k % 1000:03d}" for family in FAMILIES for k in range(1, CODES_EACH + 1))
+
+
 def _roll(seed: int, n: int, *keys: str) -> Column:
     """0 .. n-1, evenly, by the keys and the seed."""
     return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(n))
@@ -41,7 +45,7 @@ def generate_claims(spark: SparkSession, n: int, seed: int = 42, until: str = "2
     base = base.withColumn("service_from_date", start).withColumn("stay", F.when(_roll(seed + 1, 100, "claim_id") < 80, 0).otherwise(_roll(seed + 2, 30, "claim_id") + 1).cast("int"))
     base = base.withColumn("service_to_date", F.date_add("service_from_date", F.col("stay"))).withColumn("date_of_birth", F.date_sub("service_from_date", (_roll(seed + 3, 77 * 365, "claim_id") + 18 * 365 + 5).cast("int")))
     lines = base.select("claim_id", "service_from_date", "service_to_date", F.explode(F.sequence(F.lit(1), _weighted(seed + 4, LINES, "claim_id"))).alias("line_number"))
-    lines = lines.withColumn("procedure_code", _pick(seed + 5, CODES, "claim_id", "line_number")).withColumn("units", (_roll(seed + 6, 3, "claim_id", "line_number") + 1).cast("int"))
+    lines = lines.withColumn("procedure_code", _pick(seed + 5, procedure_codes(), "claim_id", "line_number")).withColumn("units", (_roll(seed + 6, 3, "claim_id", "line_number") + 1).cast("int"))
     cents = _roll(seed + 7, 10_000, "claim_id", "line_number") / 10_000
     each = F.lit(OTHER[0]) + cents * (OTHER[1] - OTHER[0])
     for prefix, least, most in reversed(CHARGES):

@@ -48,6 +48,24 @@ def checkpoints(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return existing.unionByName(batch).groupBy("claim_id", "stage").agg(F.max("checkpoint_at").alias("checkpoint_at"))
 
 
+class CheckpointSink:
+    """Merges micro-batches of (claim_id, stage, checkpoint_at) into one table. Each batch writes the next version from the
+    one before, so a batch that is run again replaces its own version and nothing is read while it is overwritten."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{self.path}/version={number - 1}") if number else batch.limit(0)
+        checkpoints(before, batch).write.mode("overwrite").parquet(f"{self.path}/version={number}")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        versions = spark.read.parquet(self.path)
+        last = versions.agg(F.max("version")).first()[0]  # one number
+        return versions.where(F.col("version") == last).drop("version")
+
+
 def pattern_watch(validated: DataFrame, threshold: int, alert: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "300 seconds") -> StreamingQuery:
     """Runs `alert` on errors at or above the threshold, at most once an interval."""
     watch = lambda batch, number: alert(batch.where(F.col("n") >= threshold), number)
