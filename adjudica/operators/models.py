@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml import PipelineModel, Transformer
@@ -39,14 +39,13 @@ def predict_filter(df: DataFrame, model: Transformer | Callable[[pd.DataFrame],
     if isinstance(model, Transformer | PipelineModel):
         names = [*df.columns, "filter_number"]
         return model.transform(assembled(df, pipeline)).withColumn("filter_number", F.col("prediction").cast("int")).select(*names)
-    features = sorted(pipeline.columns(df))
+    features = pipeline.columns(df)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.drop(columns=features).assign(filter_number=model(frame[features]))
+    def run(frame: pd.DataFrame) -> pd.Series:
+        return model(frame)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", filter_number int"
-    return pipeline.run(df).mapInPandas(run, schema)
+    # only the features travel to Python
+    return df.withColumn("filter_number", F.pandas_udf(run, "int")(F.struct(*[features[n].alias(n) for n in sorted(features)])))
 
 
 def failure_probability(df: DataFrame, label: str, pipeline: FeaturePipeline | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adjudica.functions.scalar import priority_rank
+from adjudica.functions.scalar import encrypted, priority_rank
 
 #: Repair text for each error, in the order in which they are joined.
 REPAIRS = {
@@ -41,15 +44,39 @@ def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(good), df.where(~good)
 
 
-def failed_records(failed: DataFrame, loss: Column, reason: str = "validation") -> DataFrame:
-    """Rows of the failed-claims table."""
+def failed_records(failed: DataFrame, loss: Column, key: str | None = None, original: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of the failed-claims table. A claim with validation errors failed there, any other in the rules. With a key,
+    original_data holds the claim's `original` columns as encrypted JSON."""
+    stage = F.when(F.size("validation_errors") > 0, "validation").otherwise("rules") if "validation_errors" in failed.columns else F.lit("validation")
+    whole = [encrypted(F.to_json(F.struct(*original), {"ignoreNullFields": "false"}), key).alias("original_data")] if key else []
     return failed.select(
-        "claim_id", "patient_account_number", "facility_id", F.lit(reason).alias("failure_reason"), F.lit("validation").alias("failure_category"),
-        F.lit("validation").alias("processing_stage"), F.concat_ws(",", "errors").alias("errors"), suggest_repairs(F.col("errors")).alias("repair_suggestions"),
-        loss.cast("decimal(12,2)").alias("potential_revenue_loss"), F.col("service_from_date").alias("failed_on"),
+        "claim_id", "patient_account_number", "facility_id", stage.alias("failure_reason"), stage.alias("failure_category"),
+        stage.alias("processing_stage"), F.concat_ws(",", "errors").alias("errors"), suggest_repairs(F.col("errors")).alias("repair_suggestions"),
+        loss.cast("decimal(12,2)").alias("potential_revenue_loss"), F.col("service_from_date").alias("failed_on"), *whole,
     )
 
 
+def advise(failed: DataFrame, advisor: Callable[[pd.DataFrame], pd.Series] | None, *inputs: str) -> DataFrame:
+    """advice: further suggestions (an array of text) of an outside model on a pandas frame of the inputs. Without one, and
+    where it fails, there are none."""
+    kind = "array<string>"
+    if advisor is None:
+        return failed.withColumn("advice", F.array().cast(kind))
+
+    def run(frame: pd.DataFrame) -> pd.Series:
+        try:
+            return advisor(frame)
+        except Exception:  # an adviser must never stop a batch
+            return pd.Series([[]] * len(frame))
+
+    return failed.withColumn("advice", F.pandas_udf(run, kind)(F.struct(*inputs)))
+
+
+def search(df: DataFrame, text: str) -> DataFrame:
+    """Rows with the text in any column, in any case."""
+    return df.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns])), F.lit(text.lower())))
+
+
 def truncated(df: DataFrame) -> DataFrame:
     """Text columns cut to the widths of the table."""
     return df.withColumns({c: F.substring(F.col(c).cast("string"), 1, n) for c, n in WIDTHS.items() if c in df.columns})
@@ -130,10 +157,32 @@ def route_shard(key: Column, n: int) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
-def insertable(claims: DataFrame) -> DataFrame:
-    """Claims with account and facility; a missing id gets a new one, missing status, stage and date their defaults."""
+def insertable(claims: DataFrame, key: str) -> DataFrame:
+    """Claims with account and facility, the account encrypted; a missing id is made from the row, so that it is the same
+    when a task runs again; missing status, stage and date get their defaults."""
     ok = claims.where(F.col("patient_account_number").isNotNull() & (F.col("patient_account_number") != "") & F.col("facility_id").isNotNull())
-    return ok.withColumns({"claim_id": F.coalesce(F.col("claim_id").cast("string"), F.expr("uuid()")), "processing_status": F.coalesce("processing_status", F.lit("completed")), "service_to_date": F.coalesce("service_to_date", "service_from_date")})
+    digest = F.md5(F.to_json(F.struct(*claims.columns), {"ignoreNullFields": "false"}))
+    made = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    stage = F.coalesce(F.col("processing_stage") if "processing_stage" in claims.columns else F.lit(None), F.lit("completed"))
+    return ok.withColumns({
+        "claim_id": F.coalesce(F.col("claim_id").cast("string"), made), "processing_status": F.coalesce("processing_status", F.lit("completed")), "processing_stage": stage,
+        "service_to_date": F.coalesce("service_to_date", "service_from_date"), "patient_account_number": encrypted(F.col("patient_account_number"), key),
+    })
+
+
+def transitions(judged: DataFrame, *keys: str) -> DataFrame:
+    """A row for every stage that a claim reaches: validation, then rules and the model if nothing was found before, and
+    the outcome."""
+    good, ruled = F.size("validation_errors") == 0, F.size("rule_errors") == 0
+    stages = F.array_compact(F.array(F.lit("validation"), F.when(good, "rules"), F.when(good & ruled, "ml"), F.when(good & ruled, "completed").otherwise("failed")))
+    return judged.select(*keys, "claim_id", F.posexplode(stages).alias("step", "stage"))
+
+
+def reprocess(letters: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of the n oldest dead letters, those with a claim's id, to be inserted, and the others, which have failed."""
+    oldest = letters.orderBy("inserted_at", "dlq_id").limit(n)
+    known = F.col("claim_id").isNotNull()
+    return oldest.where(known).withColumn("resolution", F.lit("inserted")), oldest.where(~known).withColumn("resolution", F.lit("failed"))
 
 
 def queue_order(df: DataFrame, *partition: str) -> DataFrame:

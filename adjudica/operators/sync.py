@@ -8,11 +8,27 @@ from pyspark.sql import functions as F
 from .outcomes import amend, reconcile, upsert
 
 
-def incremental(source: DataFrame, cache: DataFrame, log: DataFrame) -> DataFrame:
-    """The cache with the rows that changed since the latest completed sync. The mark is one row, joined, not collected."""
+def changed_since(source: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows that changed since the latest completed sync, all if there was none. The mark is one row, joined, not collected."""
     mark = log.where("sync_status = 'completed'").agg(F.max("completed_on").alias("_mark"))
-    changed = source.join(mark, F.lit(True)).where(F.col("_mark").isNull() | (F.col("updated_on") > F.col("_mark"))).drop("_mark")
-    return upsert(cache, changed, "procedure_code")
+    return source.join(mark, F.lit(True)).where(F.col("_mark").isNull() | (F.col("updated_on") > F.col("_mark"))).drop("_mark")
+
+
+def incremental(source: DataFrame, cache: DataFrame, log: DataFrame) -> DataFrame:
+    """The cache with the changed rows."""
+    return upsert(cache, changed_since(source, log), "procedure_code")
+
+
+def log_row(source: DataFrame, log: DataFrame, today: Column) -> DataFrame:
+    """What such a sync adds to the log."""
+    return changed_since(source, log).agg(F.count(F.lit(1)).alias("records_processed")).select(F.lit("incremental").alias("sync_type"), "records_processed", F.lit("completed").alias("sync_status"), today.alias("completed_on"))
+
+
+def force_if_needed(source: DataFrame, cache: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The cache, synchronised only if both sides differ, and the states before and after. One flag is looked at."""
+    before = status(source, cache)
+    after = incremental(source, cache, log) if before.select("sync_required").first()[0] else cache
+    return after, before.withColumn("phase", F.lit("before")).unionByName(status(source, after).withColumn("phase", F.lit("after")))
 
 
 def full(source: DataFrame) -> DataFrame:

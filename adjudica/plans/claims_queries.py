@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adjudica.catalog import CLAIMS
-from adjudica.functions.scalar import priority_rank, remedy
+from adjudica.functions.scalar import decrypted, priority_rank, remedy
 from adjudica.model import adapter as m
 from adjudica.model.adapter import CTE
-from adjudica.operators import analytics, enrichment, outcomes, rules, validation
+from adjudica.operators import analytics, enrichment, flow, outcomes, rules, validation
 from adjudica.operators.analytics import as_double
+from adjudica.sources import files
 
 #: The priced amount of a query's result, and of its SQL.
 PAID = "reimbursement::DECIMAL(28,4)::DOUBLE"
+KEY = "key of the claims"
 
 
 def checked(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,10 +28,14 @@ def priced(spark: SparkSession, sf: str) -> DataFrame:
     return enrichment.enrich(m.lines(spark, sf), m.rvu(spark, sf))
 
 
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Validated claims with n_lines and revenue, from one pass over the lines."""
+    return validation.validate(m.claims(spark, sf), m.facilities(spark, sf), m.financial_classes(spark, sf), enrichment.summarise(priced(spark, sf)))
+
+
 def failed(spark: SparkSession, sf: str) -> DataFrame:
-    _, bad = outcomes.split(checked(spark, sf))
-    loss = priced(spark, sf).groupBy("claim_id").agg(F.sum("reimbursement").alias("loss"))
-    return outcomes.failed_records(bad.join(loss, "claim_id", "left"), F.coalesce("loss", "total_charge_amount"))
+    _, bad = outcomes.split(judged(spark, sf))
+    return outcomes.failed_records(bad, F.coalesce("revenue", "total_charge_amount"))
 
 
 def errors_text() -> F.Column:
@@ -75,9 +81,9 @@ def bulk_validate_ids(spark, sf):
     return validation.known_ids(m.claims(spark, sf).select("facility_id").distinct(), m.facilities(spark, sf), "facility_id")
 
 
-@CLAIMS.add("facility_details", CTE + "SELECT facility_id, facility_name, region_id, region_name, active FROM facilities LEFT JOIN regions USING (region_id)")
+@CLAIMS.add("facility_details", CTE + "SELECT facility_id, facility_name, region_id, region_name, organization_name, active FROM facilities LEFT JOIN regions USING (region_id) LEFT JOIN organizations USING (organization_id)")
 def facility_details(spark, sf):
-    return enrichment.hierarchy(m.facilities(spark, sf), m.regions(spark, sf)).select("facility_id", "facility_name", "region_id", "region_name", "active")
+    return enrichment.hierarchy(m.facilities(spark, sf), m.regions(spark, sf), m.organizations(spark, sf)).select("facility_id", "facility_name", "region_id", "region_name", "organization_name", "active")
 
 
 @CLAIMS.add("validation_pass_rate", CTE + "SELECT round(avg((errors = '')::INT), 6) AS pass_rate FROM validated")
@@ -257,18 +263,19 @@ def shard_route(spark, sf):
 
 @CLAIMS.add("process_claims_batch", CTE + "SELECT patient_account_number, facility_id FROM claims WHERE patient_account_number <> '' AND facility_id IS NOT NULL")
 def process_claims_batch(spark, sf):
-    return outcomes.insertable(m.claims(spark, sf)).select("patient_account_number", "facility_id")
+    return outcomes.insertable(m.claims(spark, sf), KEY).select(decrypted(F.col("patient_account_number"), KEY).alias("patient_account_number"), "facility_id")
 
 
 @CLAIMS.add("process_sharded", CTE + "SELECT (('0x' || substr(md5(facility_id::VARCHAR), 1, 8))::BIGINT % 4)::INT AS shard, count(*) AS accepted FROM claims WHERE patient_account_number <> '' AND facility_id IS NOT NULL GROUP BY 1")
 def process_sharded(spark, sf):
-    own = outcomes.insertable(m.claims(spark, sf)).withColumn("shard", outcomes.route_shard(F.col("facility_id"), 4))
+    own = outcomes.insertable(m.claims(spark, sf), KEY).withColumn("shard", outcomes.route_shard(F.col("facility_id"), 4))
     return analytics.counts(own, "shard", name="accepted")
 
 
-@CLAIMS.add("insertable_claims", CTE + "SELECT claim_id::VARCHAR AS claim_id, patient_account_number, processing_status, service_to_date FROM claims WHERE patient_account_number <> '' AND facility_id IS NOT NULL")
+@CLAIMS.add("insertable_claims", CTE + "SELECT claim_id::VARCHAR AS claim_id, patient_account_number, true AS hidden, processing_status, 'completed' AS processing_stage, service_to_date FROM claims WHERE patient_account_number <> '' AND facility_id IS NOT NULL")
 def insertable_claims(spark, sf):
-    return outcomes.insertable(m.claims(spark, sf)).select("claim_id", "patient_account_number", "processing_status", "service_to_date")
+    account = F.col("patient_account_number")
+    return outcomes.insertable(m.claims(spark, sf), KEY).select("claim_id", decrypted(account, KEY).alias("patient_account_number"), (F.length(account) > 20).alias("hidden"), "processing_status", "processing_stage", "service_to_date")
 
 
 @CLAIMS.add("union_outcomes", CTE + "SELECT count(*) AS claims, count(*) FILTER (errors = '') AS valid, count(*) FILTER (errors <> '') AS failed FROM validated")
@@ -285,20 +292,63 @@ def id_difference(spark, sf):
 # --- flows
 
 
-def batch(spark: SparkSession, sf: str, short_circuit: bool = False) -> DataFrame:
-    """Claims with validation and rule errors, prices and the filter number of no model."""
-    judged = rules.evaluate(checked(spark, sf), RULES, short_circuit)
-    paid = priced(spark, sf).groupBy("claim_id").agg(F.sum("reimbursement").alias("revenue"))
-    joined = judged.join(paid, "claim_id", "left").withColumn("filter_number", F.lit(0))
-    return joined.withColumn("errors", F.concat("errors", "rule_errors")).withColumn("revenue", F.coalesce("revenue", F.lit(0)))
+def code_filter(frame):
+    """A filter model as a function of the features: what the SQL below says."""
+    return ((frame["procedure_code_len"] * 3 + frame["financial_class_id"] + frame["has_diagnosis"]) % 7).astype("int32")
+
+
+def class_filter(frame):
+    return ((frame["financial_class_id"] + 5 * frame["has_diagnosis"]) % 11).astype("int32")
+
+
+_CLASS_ID = "('0x' || substr(md5(financial_class), 1, 8))::BIGINT % 1000"
+CODE_FILTER = f"((length(procedure_code::VARCHAR) * 3 + {_CLASS_ID} + (primary_diagnosis IS NOT NULL)::INT) % 7)::INT"
+CLASS_FILTER = f"(({_CLASS_ID} + 5 * (primary_diagnosis IS NOT NULL)::INT) % 11)::INT"
+
+
+def batch(spark: SparkSession, sf: str, short_circuit: bool = False, claims: DataFrame | None = None, lines: DataFrame | None = None, model=None) -> DataFrame:
+    """All claims, or some, through the flow up to the two sinks."""
+    claims, lines = m.claims(spark, sf) if claims is None else claims, m.lines(spark, sf) if lines is None else lines
+    return flow.judge(claims, lines, m.facilities(spark, sf), m.financial_classes(spark, sf), m.rvu(spark, sf), tuple(RULES), model, short_circuit)
 
 
 _BATCH = CTE + f", judged AS (SELECT *, {_RULE_SET} AS rule_errors FROM validated LEFT JOIN (SELECT claim_id, sum(reimbursement) AS revenue FROM priced GROUP BY claim_id) USING (claim_id))"
+#: What the sinks hold of some claims.
+SINKS = f"""SELECT claim_id, CASE WHEN errors = '' AND rule_errors = '' THEN 'valid' ELSE 'failed' END AS sink, CASE WHEN errors = '' AND rule_errors = '' THEN 'completed' ELSE 'failed' END AS processing_status,
+  CASE WHEN errors <> '' THEN 'validation' WHEN rule_errors <> '' THEN 'rules' ELSE 'completed' END AS processing_stage, concat_ws(',', nullif(errors, ''), nullif(rule_errors, '')) AS errors,
+  CASE WHEN errors = '' AND rule_errors = '' THEN {CODE_FILTER} END AS filter_number, CASE WHEN errors = '' AND rule_errors = '' THEN coalesce(revenue, 0)::DECIMAL(28,4)::DOUBLE ELSE coalesce(revenue, total_charge_amount)::DECIMAL(12,2)::DOUBLE END AS amount,
+  CASE WHEN errors <> '' OR rule_errors <> '' THEN financial_class END AS original_class FROM judged WHERE processing_status IN ('pending', 'received', 'processing')"""
+
+
+def sinks(spark: SparkSession, path: str, claims: DataFrame) -> DataFrame:
+    """The claims with their new status, and what was written of each."""
+    text = F.get_json_object(decrypted(F.col("original_data"), KEY), "$.financial_class")
+    good = spark.read.parquet(f"{path}/valid").select("claim_id", F.lit("valid").alias("sink"), F.lit("").alias("errors"), "filter_number", as_double(F.col("revenue")).alias("amount"), F.lit(None).cast("string").alias("original_class"))
+    bad = spark.read.parquet(f"{path}/failed").select(F.col("claim_id").cast("long").alias("claim_id"), F.lit("failed").alias("sink"), "errors", F.lit(None).cast("int").alias("filter_number"), F.col("potential_revenue_loss").cast("double").alias("amount"), text.alias("original_class"))
+    updated = outcomes.update_status(claims.withColumn("processing_stage", F.lit(None).cast("string")), spark.read.parquet(f"{path}/status").drop("batch"))
+    return updated.select("claim_id", "processing_status", "processing_stage").join(good.unionByName(bad), "claim_id")
+
+
+@CLAIMS.add("process_batch_sinks", _BATCH + SINKS)
+def process_batch_sinks(spark, sf):
+    """Waiting claims through the whole flow, written to both sides and read again."""
+    claims, path = flow.pending(m.claims(spark, sf)), files.shared_folder(spark)
+    flow.write(batch(spark, sf, claims=claims, model=code_filter), path, 0, KEY, tuple(claims.columns))
+    return sinks(spark, path, claims)
+
+
+def flow_failed(spark: SparkSession, sf: str) -> DataFrame:
+    """Failed records of the whole flow: those of the rules as well."""
+    return outcomes.failed_records(outcomes.split(batch(spark, sf))[1], F.coalesce("revenue", "total_charge_amount"))
+
+
+FLOW_FAILED = """, flow_failed AS (SELECT claim_id, CASE WHEN errors <> '' THEN 'validation' ELSE 'rules' END AS failure_category, concat_ws(',', nullif(errors, ''), nullif(rule_errors, '')) AS errors, coalesce(revenue, total_charge_amount)::DECIMAL(12,2) AS potential_revenue_loss, service_from_date AS failed_on
+  FROM judged WHERE errors <> '' OR rule_errors <> '')"""
 
 
 @CLAIMS.add("process_batch", _BATCH + " SELECT claim_id, CASE WHEN errors = '' AND rule_errors = '' THEN 'completed' ELSE 'failed' END AS processing_status, concat_ws(',', nullif(errors, ''), nullif(rule_errors, '')) AS errors, coalesce(revenue, 0)::DECIMAL(28,4)::DOUBLE AS revenue FROM judged")
 def process_batch(spark, sf):
-    return batch(spark, sf).select("claim_id", F.when(F.size("errors") == 0, "completed").otherwise("failed").alias("processing_status"), errors_text(), as_double(F.col("revenue")).alias("revenue"))
+    return batch(spark, sf).select("claim_id", F.when(F.size("errors") == 0, "completed").otherwise("failed").alias("processing_status"), errors_text(), as_double(F.coalesce("revenue", F.lit(0))).alias("revenue"))
 
 
 @CLAIMS.add("process_claim_mode", _BATCH + " SELECT claim_id, CASE WHEN errors <> '' THEN errors ELSE rule_errors END AS errors FROM judged")
@@ -313,13 +363,34 @@ def batch_summary(spark, sf):
     return analytics.batch_summary(own, seconds)
 
 
-@CLAIMS.add("retry_by_priority", CTE + """, fixed AS (SELECT c.*, CASE WHEN e3 THEN service_from_date ELSE date_of_birth END AS dob, CASE WHEN e4 THEN service_from_date ELSE service_to_date END AS until FROM validated c WHERE errors <> '')
-SELECT claim_id, concat_ws(',', CASE WHEN e1 THEN 'invalid_facility' END, CASE WHEN e2 THEN 'invalid_financial_class' END, CASE WHEN coalesce(bool_or(l.service_from_date < f.service_from_date OR l.service_to_date > until), false) THEN 'line_item_date_out_of_range' END) AS errors,
-  CASE priority WHEN 'high' THEN 3 WHEN 'normal' THEN 2 ELSE 1 END AS priority FROM fixed f LEFT JOIN lines l USING (claim_id) GROUP BY claim_id, e1, e2, priority""")
+@CLAIMS.add("retry_by_priority", CTE + """, fixed AS (SELECT c.*, CASE WHEN e4 THEN service_from_date ELSE service_to_date END AS until FROM validated c WHERE errors <> ''),
+again AS (SELECT claim_id, concat_ws(',', CASE WHEN e1 THEN 'invalid_facility' END, CASE WHEN e2 THEN 'invalid_financial_class' END, CASE WHEN coalesce(bool_or(l.service_from_date < f.service_from_date OR l.service_to_date > until), false) THEN 'line_item_date_out_of_range' END) AS errors,
+  priority, created_at FROM fixed f LEFT JOIN lines l USING (claim_id) GROUP BY claim_id, e1, e2, priority, created_at)
+SELECT claim_id, errors, CASE WHEN errors = '' THEN 'completed' ELSE 'failed' END AS outcome, priority, row_number() OVER (PARTITION BY priority ORDER BY created_at, claim_id) AS queue_place FROM again""")
 def retry_by_priority(spark, sf):
+    """Failed claims repaired and judged again; each priority has a queue of its own, in the order of arrival."""
     fixed = outcomes.auto_repair(outcomes.split(checked(spark, sf))[1]).drop("errors").withColumn("facility_id", F.col("facility_id").cast("int"))
     again = validation.validate(fixed, m.facilities(spark, sf), m.financial_classes(spark, sf), m.lines(spark, sf))
-    return again.select("claim_id", errors_text(), priority_rank(F.col("priority")).alias("priority"))
+    return outcomes.queue_order(again, "priority").select("claim_id", errors_text(), F.when(F.size("errors") == 0, "completed").otherwise("failed").alias("outcome"), "priority", "queue_place")
+
+
+def advisor(frame):
+    """Advice for claims with two errors or more."""
+    return frame["errors"].map(lambda e: [f"Review {x}" for x in e] if len(e) > 1 else [])
+
+
+@CLAIMS.add("repair_advice", CTE + "SELECT claim_id, CASE WHEN errors LIKE '%,%' THEN 'Review ' || replace(errors, ',', ';Review ') ELSE '' END AS advice FROM failed")
+def repair_advice(spark, sf):
+    bad = outcomes.split(checked(spark, sf))[1]
+    return outcomes.advise(bad, advisor, "errors").select("claim_id", F.concat_ws(";", "advice").alias("advice"))
+
+
+@CLAIMS.add("original_data", CTE + "SELECT claim_id, financial_class, patient_name, primary_diagnosis FROM validated WHERE errors <> ''")
+def original_data(spark, sf):
+    claims = m.claims(spark, sf).columns
+    bad = outcomes.failed_records(outcomes.split(judged(spark, sf))[1], F.coalesce("revenue", "total_charge_amount"), KEY, tuple(claims))
+    text = decrypted(F.col("original_data"), KEY)
+    return bad.select("claim_id", *[F.get_json_object(text, f"$.{c}").alias(c) for c in ("financial_class", "patient_name", "primary_diagnosis")])
 
 
 @CLAIMS.add("error_patterns", CTE + "SELECT error, n, CASE error WHEN 'invalid_facility' THEN 'Verify facility_id mappings in source data' WHEN 'invalid_financial_class' THEN 'Check financial_class values' WHEN 'invalid_dob' THEN 'Ensure patient date_of_birth is valid' ELSE 'Investigate data quality issues' END AS remedy FROM (SELECT error, count(*) AS n FROM (SELECT unnest(string_split(errors, ',')) AS error FROM validated WHERE errors <> '') GROUP BY error) WHERE n >= 20")

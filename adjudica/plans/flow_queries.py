@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from adjudica.catalog import CLAIMS
 from adjudica.model import adapter as m
 from adjudica.model.adapter import CTE
-from adjudica.operators import validation
+from adjudica.operators import flow
 from adjudica.sources import files
 from adjudica.streaming import claims_stream as cs
 
+from .claims_queries import _BATCH, SINKS, batch, code_filter, sinks
+from .claims_queries import KEY as CLAIMS_KEY
+
 CUTOFF = "1996-01-01"
 KEY = "key of the archive"
 
@@ -36,9 +39,20 @@ def archive_restore(spark, sf):
 
 @CLAIMS.add("partition_retention", CTE + "SELECT claim_id, year(service_to_date)::INT AS service_year FROM claims WHERE year(service_to_date) >= 1998 - 3")
 def partition_retention(spark, sf):
+    """Older years are removed from the table, not only left out."""
     path = files.shared_folder(spark)
     files.write_by_year(m.claims(spark, sf).select("claim_id", "service_to_date"), path)
-    return files.retained(spark.read.parquet(path), F.to_date(F.lit(m.NOW)), 3).select("claim_id", "service_year")
+    files.drop_old_years(spark, path, m.NOW, 3)
+    return spark.read.parquet(path).select("claim_id", "service_year")
+
+
+@CLAIMS.add("retention_job", CTE + f"SELECT claim_id, CASE WHEN service_to_date < DATE '{CUTOFF}' THEN 'archived' ELSE 'live' END AS place FROM claims WHERE service_to_date >= DATE '1994-12-01'")
+def retention_job(spark, sf):
+    """What is live and what the archive still holds after the job."""
+    own, path = m.claims(spark, sf).select("claim_id", "patient_account_number", "service_to_date"), files.shared_folder(spark)
+    live = files.retention_job(own, path, KEY, CUTOFF, m.NOW, 4)
+    kept = files.restore(spark, path, KEY, own.schema)
+    return live.select("claim_id", F.lit("live").alias("place")).unionByName(kept.select("claim_id", F.lit("archived").alias("place")))
 
 
 @CLAIMS.add("purge_archives", CTE + "SELECT 'claims_' || strftime(day, '%Y_%m_%d') || '.jsonl' AS name FROM (SELECT DISTINCT service_to_date AS day FROM claims) WHERE day < DATE '1998-12-01' - INTERVAL 4 YEAR")
@@ -51,7 +65,9 @@ def purge_archives(spark, sf):
 def queue_replay(spark, sf):
     own, path = m.claims(spark, sf).where("processing_status = 'pending'").select("claim_id", "priority", F.col("total_charge_amount").cast("double").alias("charge"), "primary_diagnosis"), files.shared_folder(spark)
     files.queue_claims(own, path)
-    return files.replay_claims(spark, path, own.schema)
+    files.drain_queue(spark, path, own.schema, lambda queued: queued.write.parquet(f"{path}-committed"))
+    left = files.replay_claims(spark, path, own.schema)  # nothing
+    return spark.read.parquet(f"{path}-committed").unionByName(left)
 
 
 @CLAIMS.add("bulk_load", CTE + "SELECT claim_id, procedure_code, units FROM lines")
@@ -83,21 +99,25 @@ def stream_hourly(spark, sf):
     return spark.read.parquet(path).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "name", "processed", "total")
 
 
-@CLAIMS.add("stream_process", CTE + "SELECT claim_id, errors FROM validated")
+@CLAIMS.add("stream_process", _BATCH + SINKS)
 def stream_process(spark, sf):
-    """Orders arrive as a stream; every micro-batch is validated against the reference tables."""
-    path, stream = files.shared_folder(spark), stream_of(spark, sf, "orders")
+    """Orders arrive as a stream; each micro-batch's own claims go through the whole flow into the sinks."""
+    path = files.shared_folder(spark)
 
-    def process(batch: DataFrame) -> DataFrame:
-        claims = m.claims(spark, sf).join(batch.select(F.col("o_orderkey").alias("claim_id")), "claim_id", "left_semi")
-        done = validation.validate(claims, m.facilities(spark, sf), m.financial_classes(spark, sf), m.lines(spark, sf))
-        return done.select("claim_id", F.concat_ws(",", "errors").alias("errors"))
+    def process(orders: DataFrame, number: int) -> None:
+        claims = flow.pending(m.claims(spark, sf, orders))
+        flow.write(batch(spark, sf, claims=claims, lines=m.lines(spark, sf, orders), model=code_filter), path, number, CLAIMS_KEY, tuple(claims.columns))
 
-    cs.drain(stream, cs.batch_sink(path, process), f"{path}-offsets")
-    return spark.read.parquet(path).select("claim_id", "errors")
+    cs.drain(stream_of(spark, sf, "orders"), process, f"{path}-offsets")
+    return sinks(spark, path, flow.pending(m.claims(spark, sf)))
 
 
 @CLAIMS.add("checkpoint_upsert", "SELECT user_id AS claim_id, event_type AS stage, max(ts) AS checkpoint_at FROM events GROUP BY 1, 2")
 def checkpoint_upsert(spark, sf):
-    own = m.events(spark, sf).select(F.col("user_id").alias("claim_id"), F.col("name").alias("stage"), F.col("at").cast("timestamp_ntz").alias("checkpoint_at"), "value")
-    return cs.checkpoints(own.where("value < 50").drop("value"), own.where("not value < 50 or value is null").drop("value"))
+    """Events in three files, each a micro-batch that is merged into the table of checkpoints."""
+    path = files.shared_folder(spark)
+    own = m.events(spark, sf).select(F.col("user_id").alias("claim_id"), F.col("name").alias("stage"), F.col("at").cast("timestamp_ntz").alias("checkpoint_at"))
+    own.repartition(3).write.parquet(f"{path}/in")
+    sink = cs.CheckpointSink(f"{path}/out")
+    cs.drain(cs.cdc_source(spark, f"{path}/in", own.schema, 1), sink, f"{path}/offsets")
+    return sink.table(spark)

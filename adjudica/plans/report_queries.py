@@ -13,7 +13,8 @@ from adjudica.model.adapter import CTE, NOW
 from adjudica.operators import analytics, models, outcomes, privacy, sync, windows
 from adjudica.operators.analytics import as_double
 
-from .claims_queries import checked, failed, priced
+from .claims_queries import _BATCH, CLASS_FILTER, CODE_FILTER, FLOW_FAILED, batch, checked, class_filter, code_filter, failed, flow_failed, judged
+
 SAMPLES = "SELECT event_id, event_type AS name, ts, value FROM events"
 #: Seconds that each user's claims took, as batches.
 BATCHES = "SELECT user_id AS batch_id, count(*) AS claims, sum(value::DECIMAL(20,6))::DOUBLE AS seconds FROM events GROUP BY user_id"
@@ -40,9 +41,9 @@ def failure_reason_counts(spark, sf):
     return analytics.counts(failed(spark, sf), F.col("errors").alias("reason"))
 
 
-@CLAIMS.add("failure_counts_by_category", CTE + "SELECT failure_category, count(*) AS n FROM failed GROUP BY failure_category")
+@CLAIMS.add("failure_counts_by_category", _BATCH + FLOW_FAILED + "SELECT failure_category, count(*) AS n FROM flow_failed GROUP BY failure_category")
 def failure_counts_by_category(spark, sf):
-    return analytics.counts(failed(spark, sf), "failure_category")
+    return analytics.counts(flow_failed(spark, sf), "failure_category")
 
 
 @CLAIMS.add("failure_trend", CTE + f"SELECT failed_on, count(*) AS n FROM failed WHERE failed_on >= DATE '{NOW}' - 180 GROUP BY failed_on")
@@ -96,7 +97,7 @@ sums AS (SELECT service_from_date AS day, facility_id, count(*) AS claims, count
   FROM validated LEFT JOIN per_claim USING (claim_id) GROUP BY 1, 2)
 SELECT *, round(CASE WHEN charges <> 0 THEN reimbursement / charges ELSE 0 END, 6) AS reimbursement_rate, round(failed::DOUBLE / claims, 6) AS error_rate, round((claims - failed)::DOUBLE / claims, 6) AS pass_rate FROM sums""")
 def daily_processing_summary(spark, sf):
-    return analytics.daily_summary(checked(spark, sf), priced(spark, sf))
+    return analytics.daily_summary(judged(spark, sf))
 
 
 @CLAIMS.add("sla_violations", f"SELECT coalesce(sum(claims), 0)::BIGINT AS violations FROM ({BATCHES}) WHERE claims > 0 AND seconds / claims > 50.0")
@@ -112,13 +113,15 @@ def alerts(spark, sf):
     return analytics.alerts(metrics)
 
 
-@CLAIMS.add("compliance_dashboard", CTE + f""", top AS (SELECT errors, count(*) AS n FROM failed GROUP BY errors ORDER BY n DESC, errors LIMIT 5),
-days AS (SELECT failed_on, count(*) AS n FROM failed WHERE failed_on >= DATE '{NOW}' - 180 GROUP BY failed_on)
+@CLAIMS.add("compliance_dashboard", _BATCH + FLOW_FAILED + f""", top AS (SELECT errors, count(*) AS n FROM flow_failed GROUP BY errors ORDER BY n DESC, errors LIMIT 5),
+days AS (SELECT failed_on, count(*) AS n FROM flow_failed WHERE failed_on >= DATE '{NOW}' - 180 GROUP BY failed_on),
+losses AS (SELECT failure_category, sum(potential_revenue_loss)::DECIMAL(28,4)::DOUBLE AS loss FROM flow_failed GROUP BY failure_category)
 SELECT (SELECT count(*) FROM events) AS audit_events, (SELECT count(DISTINCT service_to_date) FROM claims WHERE service_to_date < DATE '1996-06-01') AS archives, (SELECT max(service_to_date) FROM claims WHERE service_to_date < DATE '1996-06-01') AS latest_archive,
-  (SELECT string_agg(errors || ':' || n, ';' ORDER BY n DESC, errors) FROM top) AS top_errors, (SELECT count(*) FROM days) AS days, (SELECT coalesce(max(n), 0) FROM days) AS most_in_a_day, (SELECT coalesce(sum(potential_revenue_loss), 0)::DECIMAL(28,4)::DOUBLE FROM failed) AS loss""")
+  (SELECT string_agg(errors || ':' || n, ';' ORDER BY n DESC, errors) FROM top) AS top_errors, (SELECT coalesce(string_agg(failed_on || ':' || n, ';' ORDER BY failed_on), '') FROM days) AS trend,
+  (SELECT string_agg(failure_category || ':' || printf('%.2f', loss), ';' ORDER BY failure_category) FROM losses) AS loss_by_category, (SELECT coalesce(sum(potential_revenue_loss), 0)::DECIMAL(28,4)::DOUBLE FROM flow_failed) AS loss""")
 def compliance_dashboard(spark, sf):
     archived = m.claims(spark, sf).where("service_to_date < date'1996-06-01'").select(F.col("service_to_date").alias("day")).distinct()
-    return analytics.dashboard(failed(spark, sf), m.events(spark, sf), archived, days_ago(180))
+    return analytics.dashboard(flow_failed(spark, sf), m.events(spark, sf), archived, days_ago(180))
 
 
 @CLAIMS.add("audit_event_count", "SELECT count(*) AS n FROM events")
@@ -141,10 +144,10 @@ def top_slowest(spark, sf):
     return windows.top(analytics.log_summary(query_log(spark, sf).withColumn("database", F.lit("all"))).select("verb", "mean_duration"), 3, F.desc("mean_duration"), F.asc("verb"))
 
 
-@CLAIMS.add("where_columns", "SELECT regexp_extract('select * from t Where ' || r_name || ' = 1', '(?i)where\\s+(\\w+)', 1) AS column_name, r_regionkey FROM region")
+@CLAIMS.add("where_columns", "SELECT regexp_extract('select * from t Where ' || event_type || '_' || user_id || ' = 1', '(?i)where\\s+(\\w+)', 1) AS column_name, event_id FROM events")
 def where_columns(spark, sf):
-    r = m.table(spark, sf, "region")
-    return r.select(where_column(F.concat(F.lit("select * from t Where "), "r_name", F.lit(" = 1"))).alias("column_name"), "r_regionkey")
+    e = m.events(spark, sf)
+    return e.select(where_column(F.concat(F.lit("select * from t Where "), "name", F.lit("_"), F.col("user_id").cast("string"), F.lit(" = 1"))).alias("column_name"), "event_id")
 
 
 # --- windows and ranked lists
@@ -224,7 +227,7 @@ def top_rvu_codes(spark, sf):
 
 @CLAIMS.add("sort_failed", CTE + "SELECT claim_id, potential_revenue_loss::DOUBLE AS loss FROM failed")
 def sort_failed(spark, sf):
-    return failed(spark, sf).orderBy(F.desc("potential_revenue_loss")).select("claim_id", F.col("potential_revenue_loss").cast("double").alias("loss"))
+    return failed(spark, sf).orderBy(F.desc("potential_revenue_loss"), "claim_id").select("claim_id", F.col("potential_revenue_loss").cast("double").alias("loss"))
 
 
 @CLAIMS.add("sync_history", "SELECT event_id AS sync_id, event_type AS sync_type FROM events WHERE event_type <> 'view' ORDER BY ts DESC, event_id DESC LIMIT 20")
@@ -232,9 +235,11 @@ def sync_history(spark, sf):
     return windows.top(m.events(spark, sf).where("name <> 'view'"), 20, F.desc("at"), F.desc("event_id")).select(F.col("event_id").alias("sync_id"), F.col("name").alias("sync_type"))
 
 
-@CLAIMS.add("search_failed", CTE + "SELECT claim_id FROM failed WHERE contains(lower(concat_ws(' ', claim_id, errors, failure_reason)), 'dob')")
+@CLAIMS.add("search_failed", CTE + """SELECT claim_id FROM failed WHERE contains(lower(concat_ws(' ', claim_id, patient_account_number, facility_id, failure_reason, failure_category, 'validation', errors,
+  CASE WHEN errors LIKE '%invalid_facility%' THEN 'Verify facility_id' END, CASE WHEN errors LIKE '%invalid_financial_class%' THEN 'Check financial_class' END, CASE WHEN errors LIKE '%invalid_dob%' THEN 'Check date_of_birth' END,
+  CASE WHEN errors LIKE '%invalid_service_dates%' THEN 'Correct service dates' END, potential_revenue_loss, failed_on)), 'date_of')""")
 def search_failed(spark, sf):
-    return failed(spark, sf).where(F.lower(F.concat_ws(" ", "claim_id", "errors", "failure_reason")).contains("dob")).select("claim_id")
+    return outcomes.search(failed(spark, sf), "Date_Of").select("claim_id")
 
 
 # --- privacy and text
@@ -314,7 +319,7 @@ def failure_frequency(spark, sf):
 @CLAIMS.add("train_filter")
 def train_filter(spark, sf):
     data = checked(spark, sf).withColumn("bad", (F.size("errors") > 0).cast("double"))
-    model, accuracy = models.train_filter(data, "bad", trees=20)
+    model, accuracy = models.train_filter(data, "bad")
     return analytics.counts(models.predict_filter(data, model), "filter_number").withColumn("accuracy", F.lit(float(accuracy)))
 
 
@@ -324,9 +329,22 @@ def failure_probability(spark, sf):
     return models.failure_probability(data, "bad").select("claim_id", "p_fail")
 
 
-@CLAIMS.add("ab_predictions", CTE + f"SELECT claim_id, {_AB} AS variant, 0 AS filter_number FROM claims")
+@CLAIMS.add("predict_filter", CTE + f"SELECT claim_id, {CODE_FILTER} AS filter_number FROM claims")
+def predict_filter(spark, sf):
+    return models.predict_filter(m.claims(spark, sf), code_filter).select("claim_id", "filter_number")
+
+
+@CLAIMS.add("ab_predictions", CTE + f"SELECT claim_id, {_AB} AS variant, CASE {_AB} WHEN 'a' THEN {CODE_FILTER} ELSE {CLASS_FILTER} END AS filter_number FROM claims")
 def ab_predictions(spark, sf):
-    return models.ab_predict(m.claims(spark, sf), None, None, "claim_id", 0.3).select("claim_id", "variant", "filter_number")
+    return models.ab_predict(m.claims(spark, sf), code_filter, class_filter, "claim_id", 0.3).select("claim_id", "variant", "filter_number")
+
+
+@CLAIMS.add("ab_fitted")
+def ab_fitted(spark, sf):
+    """Both variants are forests, fitted on claims of either half of the facilities."""
+    data = checked(spark, sf).withColumn("bad", (F.size("errors") > 0).cast("double"))
+    a, b = (models.train_filter(data.where(F.col("facility_id") % 2 == k), "bad", trees=10)[0] for k in (0, 1))
+    return analytics.counts(models.ab_predict(data, a, b, "claim_id", 0.3), "variant", "filter_number")
 
 
 # --- reference data and records that change
@@ -363,8 +381,27 @@ def rvu_status(spark, sf):
 @CLAIMS.add("rvu_incremental_sync", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER}")
 def rvu_incremental_sync(spark, sf):
     source, cache = source_and_cache(spark, sf)
-    log = m.table(spark, sf, "region").select(F.lit("completed").alias("sync_status"), F.date_sub(F.to_date(F.lit(CHANGED)), F.col("r_regionkey")).alias("completed_on"))
-    return sync.incremental(source, cache, log).select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
+    return sync.incremental(source, cache, sync_log(spark, sf)).select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
+
+
+def sync_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A completed sync a day before CHANGED for each region."""
+    return m.table(spark, sf, "region").select(F.lit("completed").alias("sync_status"), F.date_sub(F.to_date(F.lit(CHANGED)), F.col("r_regionkey")).alias("completed_on"))
+
+
+@CLAIMS.add("rvu_sync_log", CTE + f"SELECT 'incremental' AS sync_type, count(*) AS records_processed, 'completed' AS sync_status, DATE '{NOW}' AS completed_on FROM rvu r WHERE {_NEWER}")
+def rvu_sync_log(spark, sf):
+    return sync.log_row(source_and_cache(spark, sf)[0], sync_log(spark, sf), F.to_date(F.lit(NOW)))
+
+
+_STATES = "count(*) FILTER (c.total_rvu IS NULL OR r.total_rvu IS NULL OR abs(r.total_rvu - c.total_rvu) > 0.01) AS unequal"
+
+
+@CLAIMS.add("rvu_force_sync", CTE + f""", {_CACHE}, synced AS (SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END AS total_rvu, r.status FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER})
+SELECT 'before' AS phase, {_STATES} FROM (SELECT * FROM rvu WHERE status = 'ACTIVE') r FULL JOIN (SELECT * FROM cache WHERE status = 'ACTIVE') c USING (procedure_code)
+UNION ALL SELECT 'after', {_STATES} FROM (SELECT * FROM rvu WHERE status = 'ACTIVE') r FULL JOIN (SELECT * FROM synced WHERE status = 'ACTIVE') c USING (procedure_code)""")
+def rvu_force_sync(spark, sf):
+    return sync.force_if_needed(*source_and_cache(spark, sf), sync_log(spark, sf))[1].select("phase", "unequal")
 
 
 @CLAIMS.add("rvu_full_sync", CTE + "SELECT procedure_code, status FROM rvu WHERE status = 'ACTIVE'")
@@ -396,13 +433,25 @@ def seed_classes(spark, sf):
     return outcomes.seed_classes(m.facilities(spark, sf), m.financial_classes(spark, sf), present)
 
 
-@CLAIMS.add("dlq_reprocess", CTE + "SELECT count(*) AS processed, count(*) FILTER (user_id % 3 <> 0) AS resolved, count(*) FILTER (user_id % 3 = 0) AS failed FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 500)")
+def letters(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as dead letters, a third of them without a claim's id."""
+    e = m.events(spark, sf)
+    return e.select(F.col("event_id").alias("dlq_id"), F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("claim_id"), F.col("name").alias("error_reason"), F.col("at").alias("inserted_at"))
+
+
+@CLAIMS.add("dlq_reprocess", "SELECT event_id AS dlq_id, CASE WHEN user_id % 3 <> 0 THEN user_id END AS claim_id, event_type AS error_reason, CASE WHEN user_id % 3 <> 0 THEN 'inserted' ELSE 'failed' END AS resolution FROM events ORDER BY ts, event_id LIMIT 500")
 def dlq_reprocess(spark, sf):
-    oldest = windows.top(m.events(spark, sf), 500, F.asc("at"), F.asc("event_id")).withColumn("claim_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
-    return oldest.agg(F.count(F.lit(1)).alias("processed"), F.count("claim_id").alias("resolved"), F.sum(F.col("claim_id").isNull().cast("long")).alias("failed"))
+    good, bad = outcomes.reprocess(letters(spark, sf), 500)
+    return good.unionByName(bad).drop("inserted_at")
+
+
+@CLAIMS.add("dlq_counts", "SELECT count(*) AS processed, count(*) FILTER (user_id % 3 <> 0) AS resolved, count(*) FILTER (user_id % 3 = 0) AS failed FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 500)")
+def dlq_counts(spark, sf):
+    both = dlq_reprocess(spark, sf)
+    return both.agg(F.count(F.lit(1)).alias("processed"), F.count("claim_id").alias("resolved"), F.sum(F.col("claim_id").isNull().cast("long")).alias("failed"))
 
 
-@CLAIMS.add("stage_transitions", CTE + "SELECT stage, count(*) AS claims FROM (SELECT unnest(CASE WHEN errors = '' THEN ['validation', 'rules', 'ml', 'completed'] ELSE ['validation', 'rules', 'ml', 'failed'] END) AS stage FROM validated) GROUP BY stage")
+@CLAIMS.add("stage_transitions", _BATCH + """SELECT batch_id, stage, count(*) AS claims FROM (SELECT claim_id // 1000 AS batch_id, unnest(CASE WHEN errors <> '' THEN ['validation', 'failed'] WHEN rule_errors <> '' THEN ['validation', 'rules', 'failed'] ELSE ['validation', 'rules', 'ml', 'completed'] END) AS stage FROM judged) GROUP BY batch_id, stage""")
 def stage_transitions(spark, sf):
-    stages = F.array(F.lit("validation"), F.lit("rules"), F.lit("ml"), F.when(F.size("errors") == 0, "completed").otherwise("failed"))
-    return analytics.counts(checked(spark, sf).select(F.explode(stages).alias("stage")), "stage", name="claims")
+    own = batch(spark, sf).withColumn("batch_id", F.expr("claim_id div 1000"))
+    return analytics.counts(outcomes.transitions(own, "batch_id"), "batch_id", "stage", name="claims")

@@ -78,3 +78,30 @@ def test_schemas(spark, tmp_path):
     assert len(SCHEMAS) == 16
     for ddl in SCHEMAS.values():
         assert files.read_table(spark, str(tmp_path / "c"), ddl).count() == 1
+
+
+def test_queue_stays_where_the_commit_fails(spark, tmp_path):
+    queue, schema = str(tmp_path / "q"), claims(spark).schema
+    files.queue_claims(claims(spark), queue)
+
+    def broken(df):
+        raise RuntimeError("database is down")
+
+    try:
+        files.drain_queue(spark, queue, schema, broken)
+    except RuntimeError:
+        pass
+    assert files.replay_claims(spark, queue, schema).count() == 3
+    files.drain_queue(spark, queue, schema, lambda df: df.write.parquet(str(tmp_path / "done")))
+    assert files.replay_claims(spark, queue, schema).count() == 0 and spark.read.parquet(str(tmp_path / "done")).count() == 3
+
+
+def test_checkpoint_sink_goes_on_after_a_restart(spark, tmp_path):
+    kind = "claim_id int, stage string, checkpoint_at string"
+    source, sink = str(tmp_path / "in"), cs.CheckpointSink(str(tmp_path / "out"))
+    run = lambda: cs.drain(cs.cdc_source(spark, source, spark.createDataFrame([], kind).schema), sink, str(tmp_path / "offsets"))
+    for rows in ([(1, "ml", "2020-01-02"), (1, "rules", "2020-01-01")], [(1, "ml", "2020-01-01"), (2, "ml", "2020-01-05")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        run()
+    got = cs.CheckpointSink(str(tmp_path / "out")).table(spark)
+    assert sorted(map(tuple, got.collect())) == [(1, "ml", "2020-01-02"), (1, "rules", "2020-01-01"), (2, "ml", "2020-01-05")]

@@ -106,18 +106,21 @@ def test_changes(spark):
 
 def test_insertable_gets_an_id(spark):
     rows = [(None, "1", 1, None, None, D("2020-01-01")), ("7", "", 1, None, None, None), ("8", "1", None, None, None, None)]
-    got = outcomes.insertable(spark.createDataFrame(rows, "claim_id string, patient_account_number string, facility_id int, processing_status string, service_to_date date, service_from_date date")).collect()
+    df = outcomes.insertable(spark.createDataFrame(rows, "claim_id string, patient_account_number string, facility_id int, processing_status string, service_to_date date, service_from_date date"), "k")
+    got, again = df.collect(), df.collect()
     assert len(got) == 1 and len(got[0]["claim_id"]) == 36 and got[0]["processing_status"] == "completed" and got[0]["service_to_date"] == D("2020-01-01")
+    assert got[0]["processing_stage"] == "completed" and got[0]["claim_id"] == again[0]["claim_id"] and len(got[0]["patient_account_number"]) > 20
+    assert privacy.decrypt(df, "k").first()["patient_account_number"] == "1"
 
 
 def test_scalars(spark):
     df = spark.createDataFrame([("High",), ("2",), ("odd",), (None,), ("LOW",), ("7",)], "p string")
     assert one(df.select(scalar.priority_rank(F.col("p")).alias("r")), "r") == [3, 2, 2, 2, 1, 7]
-    masked = privacy.mask(spark.createDataFrame([("123456", "Jane Doe", D("1990-01-01"), "value"), ("", None, None, "v")], "patient_account_number string, patient_name string, date_of_birth date, other string"))
-    assert [tuple(r) for r in masked.collect()] == [("12***", "***", "***", "value"), ("", "***", "***", "v")]
-    plain = spark.createDataFrame([("123", "Jane"), ("", None)], "patient_account_number string, patient_name string")
+    masked = privacy.mask(spark.createDataFrame([("AC-88301", "Ola Quist", D("1971-05-09"), "kept"), ("", None, None, "v")], "patient_account_number string, patient_name string, date_of_birth date, other string"))
+    assert [tuple(r) for r in masked.collect()] == [("AC***", "***", "***", "kept"), ("", "***", "***", "v")]
+    plain = spark.createDataFrame([("A7", "Ola"), ("", None)], "patient_account_number string, patient_name string")
     secret = privacy.encrypt(plain, "k" * 32)
-    assert secret.first()["patient_name"] != "Jane" and [tuple(r) for r in privacy.decrypt(secret, "k" * 32).collect()] == [("123", "Jane"), ("", None)]
+    assert secret.first()["patient_name"] != "Ola" and [tuple(r) for r in privacy.decrypt(secret, "k" * 32).collect()] == [("A7", "Ola"), ("", None)]
     x = spark.range(1)
     assert x.select(scalar.following_codes(F.lit("A0099"), 2)).first()[0] == ["A0100", "A0101"] and x.select(scalar.following_codes(F.lit("none"), 2)).first()[0] is None
     assert x.select(scalar.where_column(F.lit("SELECT 1 wHeRe  code = 1"))).first()[0] == "code" and x.select(scalar.sanitized(F.lit("a<b>c"))).first()[0] == "abc"
@@ -141,12 +144,13 @@ def test_windows(spark):
 
 
 def test_reports(spark):
-    failed = spark.createDataFrame([("x", Decimal(50), D("2020-01-01")), (None, Decimal(30), D("2020-01-02")), ("x", None, D("2020-01-02"))], "errors string, potential_revenue_loss decimal(12,2), failed_on date")
+    failed = spark.createDataFrame([("x", "rules", Decimal(50), D("2020-01-01")), (None, None, Decimal(30), D("2020-01-02")), ("x", "rules", None, D("2020-01-02"))], "errors string, failure_category string, potential_revenue_loss decimal(12,2), failed_on date")
     assert {tuple(r) for r in analytics.revenue_loss_by(failed, F.col("errors"), "c").collect()} == {("x", 50.0), ("unknown", 30.0)} and analytics.revenue_loss(failed.limit(0)).first()[0] == 0
     v = spark.createDataFrame([(["invalid_facility"],), (["invalid_facility"],), ([],)], "errors array<string>")
     assert [tuple(r) for r in analytics.error_patterns(v, 2).collect()] == [("invalid_facility", 2, "Verify facility_id mappings in source data")] and analytics.error_patterns(v, 3).collect() == []
     board = analytics.dashboard(failed, spark.range(5), spark.createDataFrame([(D("2024-01-01"),)], "day date"), F.lit(D("2020-01-02")))
-    assert tuple(board.first()) == (5, 1, D("2024-01-01"), "x:2;unknown:1", 1, 2, 80.0)
+    assert tuple(board.first()) == (5, 1, D("2024-01-01"), "x:2;unknown:1", "2020-01-02:2", "rules:50.00;unknown:30.00", 80.0)
+    assert tuple(analytics.dashboard(failed.limit(0), spark.range(0), spark.createDataFrame([], "day date"), F.lit(D("2020-01-02"))).first()) == (0, 0, None, "", "", "", 0.0)
     fired = analytics.alerts(spark.createDataFrame([("cpu_usage_percent", 90.0), ("batch_processing_rate_per_sec", 0.0), ("memory_usage_percent", None), ("error_rate", 0.125)], "metric string, value double"))
     assert [tuple(r) for r in fired.collect()] == [("cpu_usage_percent", "CPU usage high: 90.00"), ("error_rate", "High error rate: 12.50%")]
     assert analytics.sla_violations(spark.createDataFrame([(10, 30.0), (0, 9.0), (5, 1.0)], "claims long, seconds double")).first()[0] == 10
@@ -167,3 +171,31 @@ def test_models(spark):
     assert both.count() == 60 and both.select("variant").distinct().count() == 2
     with pytest.raises(ValueError, match="between"):
         models.ab_variant(F.col("claim_id"), 1.0)
+
+
+def test_rules_that_cannot_be_read_are_refused():
+    for logic in ('{"condition":"procedure_code IS 1","validation":{"type":"dates"}}', '{"condition":"always","validation":{"field":"charge_amount"}}'):
+        with pytest.raises(ValueError, match="rule"):
+            rules.predicate(rules.json.loads(logic), [])
+
+
+def test_advice_that_fails_is_none(spark):
+    df = spark.createDataFrame([(["a", "b"],), ([],)], "errors array<string>")
+
+    def broken(frame):
+        raise RuntimeError("no model")
+
+    assert one(outcomes.advise(df, broken, "errors"), "advice") == [[], []] == one(outcomes.advise(df, None, "errors"), "advice")
+    assert one(outcomes.advise(df, lambda f: f["errors"].map(list), "errors"), "advice") == [["a", "b"], []]
+
+
+def test_rolling_hour_over_hours_and_names(spark):
+    rows = [(f"m{k % 2}", datetime.fromtimestamp(1_000_000 + 700 * k), k, float(k)) for k in range(40)] + [("m0", datetime.fromtimestamp(1_000_000), 99, 5.0)]
+    got = {r["event_id"]: r["hour_sum"] for r in windows.rolling_hour(spark.createDataFrame(rows, "name string, at timestamp, event_id int, value double")).collect()}
+    assert got == {e: sum(v for m, b, _, v in rows if m == n and 0 <= (a - b).total_seconds() <= 3600) for n, a, e, _ in rows}
+
+
+def test_dead_letters(spark):
+    rows = [(k, k if k % 2 else None, "r", datetime.fromtimestamp(1000 - k)) for k in range(6)]
+    good, bad = outcomes.reprocess(spark.createDataFrame(rows, "dlq_id int, claim_id int, error_reason string, inserted_at timestamp"), 3)
+    assert sorted(one(good, "dlq_id")) == [3, 5] and one(bad, "dlq_id") == [4]

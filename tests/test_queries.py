@@ -41,5 +41,10 @@ def test_entry(spark):
 def test_plans(spark):
     plan = claims_queries.checked(spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+    # every table is read as often as the mapping onto claims and lines needs it, and no more
+    for name, scans in (("process_batch", {"lineitem": 1, "orders": 2}), ("daily_processing_summary", {"lineitem": 1, "orders": 2}), ("validate_claims", {"lineitem": 1, "orders": 2}), ("compliance_dashboard", {"lineitem": 1, "orders": 3})):
+        plan = CLAIMS.queries[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        for table, n in scans.items():
+            assert plan.count(f"{table}.parquet") == n, (name, table)
     plan = CLAIMS.queries["pending_claims"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "o_totalprice" not in plan.split("== Physical Plan ==")[1]
