@@ -11,7 +11,8 @@ number of unequal bits, and that is at most (a + b) / 9 for sets of a and b shin
    range agrees in one grid with the probability ``p``, and there are ``SURE / p`` grids: a pair right at 0.8 is missed in
    all of them once in e**SURE times, closer pairs far less. Shares shrink and grids grow with the number of texts, so that
    cells of texts that have nothing in common stay small.
-2. Bound: within a cell the Manhattan distances of ``COARSE`` segment counts are tested; what no bound connects is parted.
+2. Bound: within a cell the Manhattan distances of segment counts are tested, of 64 segments or more (see ``coarse``);
+   what no bound connects is parted.
 3. Exact: what is left is verified on the whole sets, first every text once, in the largest group that it is in; then the
    groups that still hold texts of different components.
 
@@ -35,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, written
-from .simhash import SEED, components, dealt_in_pairs, in_groups
+from .simhash import SEED, components, dealt_in_pairs, forest, in_groups
 
 SHINGLE = 5
 #: Similarity that links, as a fraction.
 PART, WHOLE = 4, 5
-#: Grids for each pair's chance; segments of the bound; nodes of one comparison.
-SURE, COARSE, BLOCK = 7.0, 64, 4096
+#: Grids for each pair's chance; segments of the bound at least, and shingles for which these are enough; nodes of one comparison.
+SURE, COARSE, ENOUGH, BLOCK = 7.0, 64, 512, 4096
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -88,20 +89,33 @@ class Grids:
         for k in self.classes(len(own)):
             lower = (WHOLE / PART) ** max(k, 0)
             segments = np.uint64(max(256, 1 << math.ceil(math.log2(4 * lower))))
-            looks = np.uint64(min(2**64 - 1, int((1 - 2 ** (-self.bits / 2 / lower)) * 2**64)))
+            looks = np.uint32(min(2**32 - 1, int((1 - 2 ** (-self.bits / 2 / lower)) * 2**32)))
             grid = mixed(np.arange(self.count, dtype=np.uint64) * _MIX[0] + np.uint64(k + 1))
-            sums = grid.copy()
+            factor, shift, sums = (grid >> np.uint64(32)).astype(np.uint32) | np.uint32(1), grid.astype(np.uint32), grid.copy()
+            segment = (own & (segments - np.uint64(1))).astype(np.uint32)
             for at in range(0, len(own), 1024):
-                x = mixed((own[at : at + 1024, None] & (segments - np.uint64(1))) * _MIX[0] + grid)
+                x = (segment[at : at + 1024, None] ^ shift) * factor
+                x ^= x >> np.uint32(15)
+                x *= np.uint32(0x846CA68B)
                 shingle, seen = np.nonzero(x < looks)
-                np.add.at(sums, seen, mixed(x[shingle, seen]))
+                np.add.at(sums, seen, mixed(segment[at + shingle] * _MIX[0] + grid[seen]))
             out.append(sums)
         return np.concatenate(out).view(np.int64)
 
 
 def coarse(own: np.ndarray) -> bytes:
-    """Counts of COARSE segments; at 255 they end, which shortens no distance but makes none longer."""
-    return np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=COARSE), 255).astype(np.uint8).tobytes()
+    """Counts of segments: COARSE of them, and four times as many for every four times ENOUGH, as long texts need more to
+    be told apart. At 255 counts end, which shortens distances but makes none longer."""
+    bits = COARSE.bit_length() - 1
+    while len(own) >= ENOUGH << (bits - 6) and bits < 14:
+        bits += 2
+    return np.minimum(np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: list[bytes]) -> np.ndarray:
+    """Counts of several texts, put together to the fewest segments that any of them has."""
+    least = min(map(len, counts))
+    return np.stack([np.frombuffer(c, np.uint8).reshape(least, -1).sum(1, dtype=np.int16) for c in counts])
 
 
 def signatures(docs: DataFrame, grids: Grids) -> DataFrame:
@@ -172,40 +186,90 @@ def reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray
     return root
 
 
-def within_bound(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Whether the counts' Manhattan distance allows the similarity."""
-    size = table.column("size").to_numpy()
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, COARSE).astype(np.int16)
-    return lambda k, rest: (WHOLE + PART) * np.abs(counts[rest] - counts[k]).sum(1, dtype=np.int64) <= (WHOLE - PART) * (size[rest] + size[k])
-
-
-def distinct_nodes(table: pa.Table) -> pa.Table:
-    return table.take(pa.array(np.unique(table.column("node").to_numpy(), return_index=True)[1]))
-
-
-def _part_cell(table: pa.Table) -> pa.Table:
-    """What the bound connects within one cell, as groups of two nodes or more, each with a name that its nodes decide."""
-    table = distinct_nodes(table)
-    node, root = table.column("node").to_numpy(), reached(table.num_rows, within_bound(table))
-    name = np.zeros(len(node), np.uint64)
-    np.add.at(name, root, mixed(node.view(np.uint64) + _MIX[0]))
-    size = np.bincount(root, minlength=len(node))
-    own = size[root] > 1
-    return pa.table({"cell": name[root][own].view(np.int64), "n": size[root][own], "node": node[own]})
-
-
-def _open_cell(table: pa.Table) -> pa.Table:
-    """The nodes of a group that the bound allows a link with one of another component."""
-    table = distinct_nodes(table)
-    root, node, near = table.column("root").to_numpy(), table.column("node").to_numpy(), within_bound(table)
-    everyone = np.arange(len(node))
-    own = np.array([bool((near(k, everyone) & (root != root[k])).any()) for k in everyone], bool)
-    return pa.table({"cell": table.column("cell").to_numpy()[own], "node": node[own]})
+def in_bound(distance: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a Manhattan distance of the counts allows the similarity of sets with a and b shingles."""
+    return (WHOLE + PART) * distance <= (WHOLE - PART) * (a + b)
+
+
+def within_bound(size: np.ndarray, counts: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
+    return lambda k, rest: in_bound(np.abs(counts[rest] - counts[k]).sum(1, dtype=np.int64), size[rest], size[k])
+
+
+def bounded_roots(size: np.ndarray, counts: list[bytes], group: np.ndarray) -> np.ndarray:
+    """The smallest index that the bound connects each row with, inside the groups (starts of runs of rows, of up to 64
+    rows each): all groups are compared together, neighbours at growing distances."""
+    ends = np.r_[group[1:], len(size)]
+    room = np.repeat(ends, ends - group) - np.arange(len(size))
+    least = np.minimum.reduceat(np.array([len(c) for c in counts]), group)
+    wide = np.repeat(least, ends - group)
+    left, right = [], []
+    for width in np.unique(least):
+        own = np.flatnonzero(wide == width)
+        vector = np.stack([np.frombuffer(counts[k], np.uint8).reshape(width, -1).sum(1, dtype=np.int16) for k in own])
+        place = np.zeros(len(size), np.int64)
+        place[own] = np.arange(len(own))
+        lag, todo = 1, own[room[own] > 1]
+        while len(todo):
+            near = in_bound(np.abs(vector[place[todo]] - vector[place[todo + lag]]).sum(1, dtype=np.int64), size[todo], size[todo + lag])
+            left.append(todo[near]), right.append(todo[near] + lag)
+            lag += 1
+            todo = todo[room[todo] > lag]
+    none = np.zeros(0, np.int64)
+    return forest(np.concatenate([none, *left]), np.concatenate([none, *right]), len(size))
+
+
+def part_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, size, counts) in the order of their keys: what the bound connects within a key, as groups of two
+    nodes or more, each with a name that its nodes decide."""
+    for table in in_groups(batches, 20_000):
+        key, node, size = (table.column(k).to_numpy() for k in range(3))
+        counts = table.column(3).to_pylist()
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        n = np.diff(np.r_[start, len(key)])
+        root = np.arange(len(key))
+        few = np.flatnonzero(np.repeat(n <= 64, n))
+        if len(few):
+            begin = np.cumsum(n[n <= 64]) - n[n <= 64]
+            root[few] = few[bounded_roots(size[few], [counts[k] for k in few], begin)]
+        for a, m in zip(start[n > 64].tolist(), n[n > 64].tolist()):
+            root[a : a + m] = a + reached(m, within_bound(size[a : a + m], folded(counts[a : a + m])))
+        name = np.zeros(len(key), np.uint64)
+        np.add.at(name, root, mixed(node.view(np.uint64) + _MIX[0]))
+        members = np.bincount(root, minlength=len(key))[root]
+        own = members > 1
+        yield pa.RecordBatch.from_arrays([pa.array(name[root][own].view(np.int64)), pa.array(members[own]), pa.array(node[own])], ["cell", "n", "node"])
+
+
+def open_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, cell, node, root, size, counts) in the order of their keys: the nodes of each key that the bound allows a
+    link with one of another component."""
+    for table in in_groups(batches, 5_000):
+        key = table.column(0).to_numpy()
+        for a, b in zip(cut := np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), np.r_[cut[1:], len(key)]):
+            part = table.slice(a, b - a)
+            cell, node, root, size = (part.column(k).to_numpy() for k in range(1, 5))
+            counts = folded(part.column(5).to_pylist())
+            names, component = np.unique(root, return_inverse=True)
+            own = np.zeros(len(node), bool)
+            largest = np.bincount(component).argmax()
+            near = within_bound(size, counts)
+            for k in np.flatnonzero(component != largest):  # every pair of components has one side here
+                hit = near(k, np.arange(len(node))) & (component != component[k])
+                own |= hit
+                own[k] |= hit.any()
+            yield pa.RecordBatch.from_arrays([pa.array(cell[own]), pa.array(node[own])], ["cell", "node"])
+
+
+def link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, text) in the order of their keys: verified links of each key."""
+    for table in in_groups(batches, 200):
+        key = table.column(0).to_numpy()
+        for a, b in zip(cut := np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), np.r_[cut[1:], len(key)]):
+            yield from _link_group(table.slice(a, b - a)).to_batches()
 
 
 def _link_group(table: pa.Table) -> pa.Table:
     """Verified links: a forest that spans them."""
-    table = distinct_nodes(table)
     node, sets = table.column("node").to_numpy(), [shingles(t or b"") for t in table.column("text").cast(pa.binary()).to_pylist()]
     sizes = np.array([len(s) for s in sets])
     begin, flat = np.cumsum(sizes) - sizes, np.concatenate([np.zeros(0, np.uint64), *sets])
@@ -257,26 +321,32 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(named.unionByName(bare).dropDuplicates(["node"]), "near-texts")
 
 
+def sorted_by_key(rows: DataFrame, *key: str) -> DataFrame:
+    """rows with `key`, a hash of these columns, first; dealt and sorted by it, so that a task streams through whole groups."""
+    own = rows.select(F.xxhash64(*key).alias("key"), *[c for c in rows.columns if c != "p" and c != "q"])
+    return own.repartition("key").sortWithinPartitions("key")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (a > b) between nodes; what they connect is what verified candidates connect."""
-    vectors, edge = nodes.select("node", "size", "counts"), "a long, b long"
+    vectors = nodes.select("node", "size", "counts")
     cells = dealt_in_pairs(written(shared_cells(nodes), "near-cells"), "cell", "node", BLOCK)
-    parted = cells.join(vectors, "node").groupBy("cell", "p", "q").applyInArrow(_part_cell, "cell long, n long, node long")
-    groups = written(parted.dropDuplicates(["cell", "node"]), "near-groups")
+    parted = sorted_by_key(cells.join(vectors, "node").select("node", "size", "counts", "cell", "p", "q"), "cell", "p", "q").drop("cell")
+    groups = written(parted.mapInArrow(part_cells, "cell long, n long, node long").dropDuplicates(["cell", "node"]), "near-groups")
     texts = texts_of(docs, groups.select("node").distinct().join(nodes.select("node", "id", "content"), "node"))
 
     def verified(members: DataFrame) -> DataFrame:
-        dealt = dealt_in_pairs(members, "cell", "node", BLOCK)
-        return dealt.join(texts, "node").groupBy("cell", "p", "q").applyInArrow(_link_group, edge).distinct()
+        dealt = dealt_in_pairs(members, "cell", "node", BLOCK).join(texts, "node").select("node", "text", "cell", "p", "q")
+        return sorted_by_key(dealt, "cell", "p", "q").drop("cell").mapInArrow(link_groups, "a long, b long").distinct()
 
     once = groups.groupBy("node").agg(F.max(F.struct("n", "cell")).alias("m")).select("m.cell", "node")
     first = written(verified(once), "near-links")
     tied = components(first)
     rooted = groups.join(tied, F.col("node") == F.col("a"), "left").select("cell", "node", F.coalesce("b", "node").alias("root"))
     several = rooted.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-    left = dealt_in_pairs(rooted.join(several, "cell"), "cell", "node", BLOCK).join(vectors, "node")
-    open_ = left.groupBy("cell", "p", "q").applyInArrow(_open_cell, "cell long, node long").distinct()
-    return first.unionByName(verified(written(open_, "near-open")))
+    left = dealt_in_pairs(rooted.join(several, "cell"), "cell", "node", BLOCK).join(vectors, "node").select("cell", "node", "root", "size", "counts", "p", "q")
+    still = written(sorted_by_key(left, "cell", "p", "q").mapInArrow(open_cells, "cell long, node long").distinct(), "near-open")
+    return first.unionByName(verified(still))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def test_bound_never_exceeds_the_distance():
     for n in (5, 300, 30_000):
         a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
         b = np.unique(np.r_[a[n // 3 :], rng.integers(0, 1 << 64, n // 4, dtype=np.uint64)])
-        x, y = (np.frombuffer(neardup.coarse(s), np.uint8).astype(int) for s in (a, b))
+        x, y = neardup.folded([neardup.coarse(s) for s in (a, b)]).astype(int)
         assert np.abs(x - y).sum() <= len(np.setxor1d(a, b))
 
 
