@@ -1,10 +1,11 @@
 """Nearest neighbours by inner product: collision counting over sorted projections.
 
 Every vector is lengthened by one coordinate to the largest norm, so that large inner products become small distances,
-and projected on ``PROJECTIONS`` random lines; each line is one sorted array. A query is placed on every line, and a
-window around it is opened. A vector collides where it lies in the window; windows are widened together (virtual
-rehashing over the steps ``RADII``) until ``share`` of the vectors have collided on at least ``THRESHOLD`` of the
-lines. These are verified on the original vectors in double precision, and the nearest k stay.
+and projected on ``PROJECTIONS`` random lines; each line is one sorted array, cut into ``BUCKETS`` equal buckets. A query
+is placed on every line, and a window of buckets around it is opened. A vector collides where its bucket lies in the
+window; windows are widened together (virtual rehashing over the steps ``RADII``: neighbouring buckets are merged, nothing
+is hashed again) until ``share`` of the vectors have collided on at least ``THRESHOLD`` of the lines. These are verified on
+the original vectors in double precision, and the nearest k stay.
 
 The vectors are dealt to blocks, the stated queries too, and every pair of blocks is searched in one task: all rows are
 indexed, none is left out, and a task holds two blocks. Of equal vectors the k + 1 smallest ids are kept: others can't
@@ -27,6 +28,8 @@ from .common import written
 K, EVERY = 20, 20
 #: Lines, collisions asked for, and the share of a block's vectors to verify at least.
 PROJECTIONS, THRESHOLD, SHARE = 48, 32, 0.18
+#: Buckets of a line: their numbers fit a byte.
+BUCKETS = 256
 #: Vectors in a block, queries in a block.
 BLOCK, QUERIES = 8192, 2048
 SEED = 11
@@ -50,31 +53,30 @@ def search(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.nd
     norms = np.sqrt((x * x).sum(1))
     top = norms.max()
     flat = x @ lines[:dim] + np.sqrt(np.maximum(top * top - norms * norms, 0))[:, None] * lines[dim]
-    order = np.ascontiguousarray(np.argsort(flat, axis=0, kind="stable").T)
+    ranks = np.argsort(flat, axis=0, kind="stable")
+    width = -(-n // BUCKETS)
+    bucket = np.empty((PROJECTIONS, n), np.uint8)
+    for j in range(PROJECTIONS):
+        bucket[j, ranks[:, j]] = np.arange(n) // width
     placed = (queries / np.sqrt((queries * queries).sum(1))[:, None] * top) @ lines[:dim]
-    spread = flat.std(0)
-    # window edges for every line, radius and query; the last window is the whole array
-    reach = np.array(RADII)[:, None] * spread
+    # window edges for every radius, query and line, as places in the sorted arrays; the last window is the whole array
+    reach = np.array(RADII)[:, None] * flat.std(0)
     edges = np.empty((2, len(RADII) + 1, len(queries), PROJECTIONS), np.int64)
     for j in range(PROJECTIONS):
-        array = flat[order[j], j]
+        array = flat[ranks[:, j], j]
         edges[0, :-1, :, j] = np.searchsorted(array, placed[:, j] - reach[:, j, None])
         edges[1, :-1, :, j] = np.searchsorted(array, placed[:, j] + reach[:, j, None], side="right")
     edges[0, -1], edges[1, -1] = 0, n
     want = min(n, max(4 * k, int(share * n)))
     enough = (edges[1] - edges[0]).sum(-1) >= THRESHOLD * want  # narrower windows can't have `want` vectors collide so often
-    edges = edges.tolist()
+    low = np.minimum(edges[0], n - 1) // width
+    span = np.maximum(edges[1] - 1, 0) // width - low  # an empty window counts the bucket where it would be, or none
+    low, none, span = low.astype(np.uint8)[..., None], (span < 0)[..., None], np.maximum(span, 0).astype(np.uint8)[..., None]
     out: list[tuple] = []
     for q in range(len(queries)):
-        counts, low, high = np.zeros(n, np.int64), None, None
         for step in range(int(np.argmax(enough[:, q])), len(RADII) + 1):
-            wide_low, wide_high = edges[0][step][q], edges[1][step][q]
-            if low is None:
-                new = [order[j][a:b] for j, (a, b) in enumerate(zip(wide_low, wide_high))]
-            else:  # counts only ever grow: a wider window adds what lies outside the last one
-                new = [order[j][a:b] for j, (a, b) in enumerate(zip(wide_low, low))] + [order[j][a:b] for j, (a, b) in enumerate(zip(high, wide_high))]
-            counts += np.bincount(np.concatenate(new), minlength=n)
-            low, high = wide_low, wide_high
+            inside = (bucket - low[step, q]) <= span[step, q]  # modulo 256: smaller buckets become large numbers
+            counts = np.where(none[step, q], False, inside).sum(0, dtype=np.uint8) if none[step, q].any() else inside.sum(0, dtype=np.uint8)
             hits = np.flatnonzero(counts >= THRESHOLD)
             if len(hits) >= want:
                 break
