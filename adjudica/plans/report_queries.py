@@ -416,6 +416,21 @@ def rvu_bulk_update(spark, sf):
     return sync.bulk_update(rvu, changes)[1]
 
 
+_BULK = "(SELECT procedure_code * 3 AS procedure_code, 'changed ' || description AS description, 'NEW' AS category, CASE WHEN procedure_code % 2 = 0 THEN 'SUB' END AS subcategory, total_rvu + 1 AS total_rvu, 'INACTIVE' AS status, updated_on + 1 AS updated_on FROM rvu)"
+
+
+@CLAIMS.add("rvu_bulk_update_rows", CTE + f"SELECT procedure_code, coalesce(c.description, r.description) AS description, coalesce(c.category, r.category) AS category, coalesce(c.subcategory, r.subcategory) AS subcategory, coalesce(c.total_rvu, r.total_rvu)::DOUBLE AS total_rvu, coalesce(c.status, r.status) AS status, coalesce(c.updated_on, r.updated_on)::DATE AS updated_on FROM rvu r LEFT JOIN {_BULK} c USING (procedure_code)")
+def rvu_bulk_update_rows(spark, sf):
+    """All six columns; a null in the changes leaves what was there."""
+    rvu = m.rvu(spark, sf).withColumn("total_rvu", F.col("total_rvu").cast("decimal(12,5)"))
+    changes = rvu.select(
+        (F.col("procedure_code") * 3).alias("procedure_code"), F.concat(F.lit("changed "), "description").alias("description"), F.lit("NEW").alias("category"),
+        F.when(F.col("procedure_code") % 2 == 0, "SUB").alias("subcategory"), (F.col("total_rvu") + 1).cast("decimal(12,5)").alias("total_rvu"),
+        F.lit("INACTIVE").alias("status"), F.date_add("updated_on", 1).alias("updated_on"),
+    )
+    return sync.bulk_update(rvu, changes)[0].withColumn("total_rvu", F.col("total_rvu").cast("double"))
+
+
 @CLAIMS.add("recent_changes", CTE + "SELECT procedure_code, updated_on FROM rvu WHERE updated_on >= DATE '1998-12-01' - 10")
 def recent_changes(spark, sf):
     return sync.recent(m.rvu(spark, sf), days_ago(10)).select("procedure_code", "updated_on").orderBy(F.desc("updated_on"))

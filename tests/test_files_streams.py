@@ -105,3 +105,13 @@ def test_checkpoint_sink_goes_on_after_a_restart(spark, tmp_path):
         run()
     got = cs.CheckpointSink(str(tmp_path / "out")).table(spark)
     assert sorted(map(tuple, got.collect())) == [(1, "ml", "2020-01-02"), (1, "rules", "2020-01-01"), (2, "ml", "2020-01-05")]
+
+
+def test_tables_of_a_database(spark):
+    """Over JDBC, with the database that comes with Spark, in memory."""
+    own = claims(spark).withColumn("part", F.col("claim_id") * 10)
+    url = {"url": "jdbc:derby:memory:claims;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    files.bulk_load(own, "claims", **url)
+    files.bulk_load(own, "claims", **url)
+    read = files.read_table(spark, "claims", own.schema, partitionColumn="part", lowerBound="0", upperBound="40", numPartitions="3", **url)
+    assert read.rdd.getNumPartitions() == 3 and sorted(map(tuple, read.select(*own.columns).collect()), key=str) == sorted(map(tuple, [*own.collect(), *own.collect()]), key=str)
