@@ -10,7 +10,8 @@ deals it out as pairs of blocks and tests these alike. Of a cell's links only a
 Components come from alternating star contraction, written to the shared folder after each round.
 
 Equal fingerprints are one node, so copies cost one row each and are never paired. Fingerprints that more than one row
-in ``HOT`` has (so ``HOT`` of them at most) reach their rows by broadcast, the others by a shuffle.
+in ``HOT`` has (so ``HOT`` of them at most) reach their rows by broadcast, the others by a shuffle; likewise the hubs of
+large components and their neighbours.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; a null doc_id gets a fingerprint
 and links others like any row, and its component is named by the smallest doc_id in it, null if there is none; repeated
@@ -225,17 +226,20 @@ def components(edges: DataFrame) -> DataFrame:
     written, and rounds go on until the edges no longer change.
     """
     edges, mark = written(edges, "links"), None
+    size = edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        hub = F.broadcast(least.where(F.col("n") * HOT > 2 * size))  # HOT rows at most; a hub's neighbours stay where they are
+        rare = both.where("b > a").join(hub.select("a"), "a", "left_anti").join(least, "a")
+        large = both.where("b > a").join(hub, "a").unionByName(rare).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = written(small.where("a <> b").distinct(), "stars")
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             return edges
-        mark = tuple(row)
+        mark, size = tuple(row), row[0]
 
 
 def grouped(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFrame:

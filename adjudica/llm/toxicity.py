@@ -6,7 +6,8 @@ bag are averaged and go through a linear softmax; vectors and softmax are traine
 by how often it stands in toxic and in clean training documents. A document is as toxic as its most toxic word: the
 largest word logit and the logarithm of the number of words go through a logistic fit on the same documents.
 
-Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never).
+Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never) and
+their ``WORDS`` most frequent words, so that even very long texts can't fill the driver.
 Their texts stay in Spark: the driver gets each distinct word once with the number of clean and toxic documents that have
 it, and two features a document for the logistic fit; what the tasks get is one number for each of ``BUCKETS`` n-gram buckets. Scoring is one pass
 over all texts without a shuffle.
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, written
 
-#: Labelled documents of each class at most, hash buckets, length of a vector, passes over the words.
-TRAIN, BUCKETS, SIZE, PASSES = 3_000, 1 << 17, 16, 6
+#: Labelled documents of each class at most, and distinct words of them, the most frequent ones; hash buckets, length of a
+#: vector, passes over the words.
+TRAIN, WORDS, BUCKETS, SIZE, PASSES = 3_000, 600_000, 1 << 17, 16, 6
 GRAMS = (3, 4, 5)
 FOLDS = 5
 #: Logit of a text without words.
@@ -154,8 +156,8 @@ def word_counts(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
                     words = own[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([mark] * len(words), pa.int64())], ["word", "mark"])
 
-    counts = docs.select("text", "mark").mapInArrow(run, "word binary, mark long").groupBy("word").agg(F.sum(1 - F.col("mark")).cast("float").alias("clean"), F.sum("mark").cast("float").alias("toxic")).toArrow()
-    counts = counts.sort_by("word")
+    counts = docs.select("text", "mark").mapInArrow(run, "word binary, mark long").groupBy("word").agg(F.sum(1 - F.col("mark")).cast("float").alias("clean"), F.sum("mark").cast("float").alias("toxic"))
+    counts = counts.orderBy((F.col("clean") + F.col("toxic")).desc(), "word").limit(WORDS).toArrow().sort_by("word")
     return counts.column("word").to_pylist(), np.c_[counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()].astype(np.float32)
 
 

@@ -105,6 +105,17 @@ def test_chain_of_components(spark):
     assert {(r["a"], r["b"]) for r in simhash.components(chain).collect()} == {(i, 0) for i in range(1, 61)} | {(200, 100), (300, 100)}
 
 
+def test_components_with_hubs(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(k, 0) for k in range(1, 500)] + [(1000 + k, 600 + k % 3) for k in range(300)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2400, (250, 2)) if a > b] + [(1001, 499)]
+    root = list(range(2400))
+    for _ in range(60):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["a"]: r["b"] for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {k: r for k, r in enumerate(root) if r != k}
+
+
 def test_nulls_empty_and_repeats(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "A b c d"), (7, None), (8, ""), (None, None), (9, " \n")]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, fp int, component_id string")

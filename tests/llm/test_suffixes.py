@@ -126,3 +126,13 @@ def test_special_cases(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "INDEX_BYTES", 2000)
     assert result(suffixes.summary(docs)) == slow([(i, (t or "").encode()) for i, t in texts])
     assert suffixes.summary(docs.limit(0)).collect() == []
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    """One document of many blocks' size, with a passage of its own and one of another."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 50_000)
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
+    texts = [(1, text[:200]), (2, text + text[1000:1300]), (3, "é" * 60 + text[5000:5120])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    assert result(suffixes.summary(docs)) == slow([(i, t.encode()) for i, t in texts])
