@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import chunks, editcounts, markov, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
+from . import chunks, editcounts, markov, merkle, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
 from .common import documents
 
 LLM = Catalog()
@@ -60,3 +60,8 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op10_edit_counts")
 def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editcounts.counted(editcounts.with_edits(documents(spark, sf_dir)))
+
+
+@LLM.add("op11_merkle", merkle.SQL)
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(documents(spark, sf_dir))
