@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import chunks, editcounts, markov, merkle, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
+from . import chunks, codes, editcounts, markov, merkle, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
 from .common import documents
 
 LLM = Catalog()
@@ -65,3 +65,8 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op11_merkle", merkle.SQL)
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(documents(spark, sf_dir))
+
+
+@LLM.add("op12_codes", codes.SQL)
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
