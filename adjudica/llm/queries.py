@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adjudica.catalog import Catalog
 
-from . import chunks, codes, editcounts, markov, merkle, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
+from . import chunks, codes, editcounts, language, markov, merkle, mixing, neighbours, packing, quality, simhash, suffixes, toxicity
 from .common import documents
 
 LLM = Catalog()
@@ -70,3 +70,8 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("op12_codes", codes.SQL)
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@LLM.add("op13_language")
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted(documents(spark, sf_dir))
