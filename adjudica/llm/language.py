@@ -161,8 +161,12 @@ def fit(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray] | None]:
     """Languages in order, and the network's tables (None with fewer than two languages)."""
     own = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     own = own.withColumn("key", F.xxhash64("doc_id", "text"))
-    by_key = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = own.select("doc_id", "lang", "key").distinct().withColumn("place", F.row_number().over(by_key)).where(F.col("place") <= PER_LANGUAGE).drop("place")
+    keys = own.select("doc_id", "lang", "key").distinct().withColumn("draw", F.pmod("key", F.lit(1 << 30)))
+    usual = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # the PER_LANGUAGE smallest draws: of a common language only those are ordered that can be among them (four times as many)
+    low = keys.join(usual, "lang").where(F.col("draw") * F.col("n") < F.lit(4 * PER_LANGUAGE << 30)).drop("n")
+    by_draw = Window.partitionBy("lang").orderBy("draw", "key", "doc_id")
+    chosen = low.withColumn("place", F.row_number().over(by_draw)).where(F.col("place") <= PER_LANGUAGE).drop("place", "draw")
     rows = own.join(F.broadcast(chosen), ["doc_id", "lang", "key"]).dropDuplicates(["doc_id", "lang", "key"])  # PER_LANGUAGE rows a language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
