@@ -41,12 +41,13 @@ def nested_line_fault(items: str = "line_items") -> Column:
 
 def validate(claims: DataFrame, facilities: DataFrame, classes: DataFrame, lines: DataFrame | None = None, require_active: bool = True) -> DataFrame:
     """The claims with `errors`, an ordered array of names. Lines come as a table, as one row a claim with first_from and
-    last_to (whose other columns are joined on too), or nested in line_items. A line that begins before its claim or ends
-    after it is a fault; a missing date is none."""
+    last_to (whose other columns are joined on too), as first_from and last_to of the claims, or nested in line_items. A line
+    that begins before its claim or ends after it is a fault; a missing date is none."""
     out = flag_unknown(claims, active_ids(facilities, "facility_id", require_active), "facility_id", "_e1")
     out = flag_unknown(out, active_ids(classes, "financial_class", require_active), "financial_class", "_e2")
     if lines is not None:
         out = out.join(lines if "first_from" in lines.columns else line_dates(lines), "claim_id", "left")
+    if "first_from" in out.columns:
         dated = F.col("service_from_date").isNotNull() & F.col("service_to_date").isNotNull()
         out = out.withColumn("_e5", dated & (later("service_from_date", "first_from") | later("last_to", "service_to_date"))).drop("first_from", "last_to")
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from adjudica.model.adapter import CTE
 from adjudica.operators import flow
 from adjudica.sources import files
 from adjudica.streaming import claims_stream as cs
+from adjudica.streaming import claims_with_lines as cl
 
-from .claims_queries import _BATCH, SINKS, batch, code_filter, sinks
+from .claims_queries import _BATCH, RULES, SINKS, code_filter, sinks
 from .claims_queries import KEY as CLAIMS_KEY
 
 CUTOFF = "1996-01-01"
@@ -99,16 +102,37 @@ def stream_hourly(spark, sf):
     return spark.read.parquet(path).select(F.col("hour").cast("timestamp_ntz").alias("hour"), "name", "processed", "total")
 
 
+#: Periods in which the feeds of the sample arrive.
+PERIODS = 4
+
+
+def feeds(spark: SparkSession, sf: str, path: str) -> tuple[DataFrame, DataFrame, str]:
+    """Waiting claims and all lines, written as they would arrive; both as streams that read a period a micro-batch, and how
+    far the rows of a period may be out of order."""
+    claims = flow.pending(m.claims(spark, sf)).withColumn("arrived_at", F.col("created_at"))
+    lines = m.lines(spark, sf).withColumn("arrived_at", F.col("service_from_date").cast("timestamp"))
+    first, last = claims.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    period = (last - first) / PERIODS
+    files_each = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, rows, mark in (("claims", claims, None), ("lines", lines, 0)):
+        cl.write_feed(rows, f"{path}/{name}", [first + period * k for k in range(1, PERIODS)], files_each)
+        cl.heartbeat(spark, f"{path}/{name}", rows, last + timedelta(days=3650), mark)
+    stream = lambda name, rows: cs.cdc_source(spark, f"{path}/{name}", rows.schema, files_each)
+    return stream("claims", claims), stream("lines", lines), f"{period.days + 1} days"
+
+
 @CLAIMS.add("stream_process", _BATCH + SINKS)
 def stream_process(spark, sf):
-    """Orders arrive as a stream; each micro-batch's own claims go through the whole flow into the sinks."""
+    """Claims and lines arrive as two feeds; complete claims go through the whole flow into the sinks."""
     path = files.shared_folder(spark)
+    claims, lines, delay = feeds(spark, sf, f"{path}/feeds")
+    kept = tuple(c for c in claims.columns if c != "arrived_at")
 
-    def process(orders: DataFrame, number: int) -> None:
-        claims = flow.pending(m.claims(spark, sf, orders))
-        flow.write(batch(spark, sf, claims=claims, lines=m.lines(spark, sf, orders), model=code_filter), path, number, CLAIMS_KEY, tuple(claims.columns))
+    def each(batch: DataFrame, number: int) -> None:
+        judged = flow.judge_summarised(batch.drop("arrived_at"), m.facilities(spark, sf), m.financial_classes(spark, sf), tuple(RULES), code_filter)
+        flow.write(judged, path, number, CLAIMS_KEY, kept)
 
-    cs.drain(stream_of(spark, sf, "orders"), process, f"{path}-offsets")
+    cl.process(claims, lines, m.rvu(spark, sf), each, f"{path}/offsets", delay=delay, nested=flow.needs_lines(tuple(RULES)))
     return sinks(spark, path, flow.pending(m.claims(spark, sf)))
 
 
