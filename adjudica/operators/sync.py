@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adjudica.sources.keyed_table import KeyedTable
+
 from .outcomes import amend, reconcile, upsert
 
 
@@ -19,6 +21,16 @@ def incremental(source: DataFrame, cache: DataFrame, log: DataFrame) -> DataFram
     return upsert(cache, changed_since(source, log), "procedure_code")
 
 
+def incremental_into(table: KeyedTable, source: DataFrame, log: DataFrame, writer: str | None = None, batch: int | None = None) -> int | None:
+    """The same into a standing table (keyed by procedure_code), at the cost of the changed rows."""
+    return table.merge(changed_since(source, log), writer, batch)
+
+
+def full_into(table: KeyedTable, source: DataFrame) -> int:
+    """All active rows as the table's next version; readers see all of them or the version before."""
+    return table.replace(full(source))
+
+
 def log_row(source: DataFrame, log: DataFrame, today: Column) -> DataFrame:
     """What such a sync adds to the log."""
     return changed_since(source, log).agg(F.count(F.lit(1)).alias("records_processed")).select(F.lit("incremental").alias("sync_type"), "records_processed", F.lit("completed").alias("sync_status"), today.alias("completed_on"))

@@ -142,6 +142,6 @@ def checkpoint_upsert(spark, sf):
     path = files.shared_folder(spark)
     own = m.events(spark, sf).select(F.col("user_id").alias("claim_id"), F.col("name").alias("stage"), F.col("at").cast("timestamp_ntz").alias("checkpoint_at"))
     own.repartition(3).write.parquet(f"{path}/in")
-    sink = cs.CheckpointSink(f"{path}/out")
+    sink = cs.CheckpointSink(f"{path}/out", ", ".join(f"{c} {kind}" for c, kind in own.dtypes))
     cs.drain(cs.cdc_source(spark, f"{path}/in", own.schema, 1), sink, f"{path}/offsets")
     return sink.table(spark)

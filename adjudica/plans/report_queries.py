@@ -12,6 +12,8 @@ from adjudica.model import adapter as m
 from adjudica.model.adapter import CTE, NOW
 from adjudica.operators import analytics, models, outcomes, privacy, sync, windows
 from adjudica.operators.analytics import as_double
+from adjudica.sources import files
+from adjudica.sources.keyed_table import KeyedTable
 
 from .claims_queries import _BATCH, CLASS_FILTER, CODE_FILTER, FLOW_FAILED, batch, checked, class_filter, code_filter, failed, flow_failed, judged
 
@@ -380,8 +382,30 @@ def rvu_status(spark, sf):
 
 @CLAIMS.add("rvu_incremental_sync", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER}")
 def rvu_incremental_sync(spark, sf):
+    """Into a standing table: only the changed rows are written."""
     source, cache = source_and_cache(spark, sf)
-    return sync.incremental(source, cache, sync_log(spark, sf)).select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
+    table = rvu_table(spark, cache)
+    sync.incremental_into(table, source, sync_log(spark, sf))
+    return table.read().select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
+
+
+def rvu_table(spark: SparkSession, cache: DataFrame) -> KeyedTable:
+    """A new keyed table with the rows of the cache."""
+    table = KeyedTable(spark, files.shared_folder(spark), cache.schema, ("procedure_code",), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table.replace(cache)
+    return table
+
+
+@CLAIMS.add("rvu_table_merge", CTE + f", {_CACHE} SELECT r.procedure_code, CASE WHEN c.procedure_code IS NULL OR {_NEWER} THEN r.total_rvu ELSE c.total_rvu END::DOUBLE AS total_rvu FROM rvu r LEFT JOIN cache c USING (procedure_code) WHERE c.procedure_code IS NOT NULL OR {_NEWER}")
+def rvu_table_merge(spark, sf):
+    """The changes as three batches into a standing table, one of them delivered twice; older versions cleared away."""
+    source, cache = source_and_cache(spark, sf)
+    table = rvu_table(spark, cache)
+    changes = source.where(F.col("updated_on") > F.to_date(F.lit(CHANGED)))
+    for batch in (0, 1, 1, 2):
+        table.merge(changes.where(F.col("procedure_code") % 3 == batch), "feed", batch)
+    table.vacuum()
+    return table.read().select("procedure_code", F.col("total_rvu").cast("double").alias("total_rvu"))
 
 
 def sync_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -406,7 +430,10 @@ def rvu_force_sync(spark, sf):
 
 @CLAIMS.add("rvu_full_sync", CTE + "SELECT procedure_code, status FROM rvu WHERE status = 'ACTIVE'")
 def rvu_full_sync(spark, sf):
-    return sync.full(m.rvu(spark, sf)).select("procedure_code", "status")
+    """Swapped in for the standing table's rows as a whole."""
+    table = rvu_table(spark, m.rvu(spark, sf).where("status = 'INACTIVE'").select("procedure_code", "status"))
+    sync.full_into(table, m.rvu(spark, sf).select("procedure_code", "status"))
+    return table.read().select("procedure_code", "status")
 
 
 @CLAIMS.add("rvu_bulk_update", CTE + "SELECT count(*) FILTER (code <= top) AS updated, count(*) FILTER (code > top) AS failed FROM (SELECT procedure_code * 3 AS code, (SELECT max(procedure_code) FROM rvu) AS top FROM rvu)")

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from adjudica.operators.analytics import error_counts
+from adjudica.sources.keyed_table import KeyedTable, largest
 
 
 def cdc_source(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -49,21 +50,20 @@ def checkpoints(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 class CheckpointSink:
-    """Merges micro-batches of (claim_id, stage, checkpoint_at) into one table. Each batch writes the next version from the
-    one before, so a batch that is run again replaces its own version and nothing is read while it is overwritten."""
+    """Merges micro-batches of (claim_id, stage, checkpoint_at) into a keyed table, of which each batch writes its own rows
+    and now and then a bucket. A batch that is run again changes nothing."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, schema: str = "claim_id long, stage string, checkpoint_at timestamp_ntz", buckets: int = 16) -> None:
+        self.path, self.schema, self.buckets = path, schema, buckets
+
+    def keyed(self, spark: SparkSession) -> KeyedTable:
+        return KeyedTable(spark, self.path, self.schema, ("claim_id", "stage"), self.buckets, {"checkpoint_at": largest})
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{self.path}/version={number - 1}") if number else batch.limit(0)
-        checkpoints(before, batch).write.mode("overwrite").parquet(f"{self.path}/version={number}")
+        self.keyed(batch.sparkSession).merge(batch, "checkpoints", number)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        versions = spark.read.parquet(self.path)
-        last = versions.agg(F.max("version")).first()[0]  # one number
-        return versions.where(F.col("version") == last).drop("version")
+        return self.keyed(spark).read()
 
 
 def pattern_watch(validated: DataFrame, threshold: int, alert: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "300 seconds") -> StreamingQuery:

@@ -98,12 +98,12 @@ def test_queue_stays_where_the_commit_fails(spark, tmp_path):
 
 def test_checkpoint_sink_goes_on_after_a_restart(spark, tmp_path):
     kind = "claim_id int, stage string, checkpoint_at string"
-    source, sink = str(tmp_path / "in"), cs.CheckpointSink(str(tmp_path / "out"))
+    source, sink = str(tmp_path / "in"), cs.CheckpointSink(str(tmp_path / "out"), kind)
     run = lambda: cs.drain(cs.cdc_source(spark, source, spark.createDataFrame([], kind).schema), sink, str(tmp_path / "offsets"))
     for rows in ([(1, "ml", "2020-01-02"), (1, "rules", "2020-01-01")], [(1, "ml", "2020-01-01"), (2, "ml", "2020-01-05")]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
         run()
-    got = cs.CheckpointSink(str(tmp_path / "out")).table(spark)
+    got = cs.CheckpointSink(str(tmp_path / "out"), kind).table(spark)
     assert sorted(map(tuple, got.collect())) == [(1, "ml", "2020-01-02"), (1, "rules", "2020-01-01"), (2, "ml", "2020-01-05")]
 
 
