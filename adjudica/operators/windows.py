@@ -6,25 +6,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a metric that one window holds; samples are numbered within stretches of time first.
+BLOCK, STRETCH = 100_000, 3600
+
+
+def in_blocks(samples: DataFrame, n: int, block: int | None = None, seconds: int = STRETCH) -> DataFrame:
+    """The samples with _block, and _own, which is false for those that are carried over: each block of a name begins with
+    the n - 1 samples before it, so a frame of n rows never looks beyond its block.
+
+    Places of samples in their name come from two numbers: how many stand in earlier stretches of time (sums over one row
+    a stretch) and how many before them in their own stretch. No window holds all samples of a name."""
+    block = max(block or BLOCK, n)
+    own = samples.withColumn("_at", F.coalesce(F.floor(F.unix_micros("at") / (seconds * 1_000_000)), F.lit(-(2**60))))  # nulls come first
+    counts = own.groupBy("name", "_at").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("name").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("name").alias("_name"), F.col("_at").alias("_stretch"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("name", "_at").orderBy("at", "event_id"))
+    placed = own.withColumn("_inside", inside).join(counts, F.col("name").eqNullSafe(F.col("_name")) & (F.col("_at") == F.col("_stretch")))
+    placed = placed.withColumn("_place", F.col("_before") + F.col("_inside") - 1)
+    first = F.floor(F.col("_place") / block)
+    carried = F.col("_place") % block >= block - (n - 1)
+    laid = placed.withColumn("_first", first).withColumn("_block", F.explode(F.when(carried, F.array(first, first + 1)).otherwise(F.array(first))))
+    return laid.withColumn("_own", F.col("_block") == F.col("_first")).drop("_at", "_name", "_stretch", "_before", "_inside", "_first")
+
+
 def _last(n: int):
-    return Window.partitionBy("name").orderBy("at", "event_id").rowsBetween(-(n - 1), 0)
+    return Window.partitionBy("name", "_block").orderBy("_place").rowsBetween(-(n - 1), 0)
+
+
+def _framed(samples: DataFrame, n: int, block: int | None, **columns: Column) -> DataFrame:
+    """samples with columns over their last n, computed block by block."""
+    return in_blocks(samples, n, block).withColumns(columns).where("_own").drop("_own", "_block", "_place")
 
 
-def moving_average(samples: DataFrame, n: int) -> DataFrame:
+def moving_average(samples: DataFrame, n: int, block: int | None = None) -> DataFrame:
     total = F.sum(F.col("value").cast("decimal(20,6)")).over(_last(n)).cast("double")
-    return samples.withColumn("moving_average", F.round(total / F.count("value").over(_last(n)), 6))
+    return _framed(samples, n, block, moving_average=F.round(total / F.count("value").over(_last(n)), 6))
 
 
-def trend(samples: DataFrame, n: int) -> DataFrame:
+def trend(samples: DataFrame, n: int, block: int | None = None) -> DataFrame:
     """Last minus first of the window; 0 for a single sample."""
-    return samples.withColumn("trend", F.round(F.col("value") - F.first("value").over(_last(n)), 6))
+    return _framed(samples, n, block, trend=F.round(F.col("value") - F.first("value").over(_last(n)), 6))
 
 
-def forecast(samples: DataFrame, n: int = 10) -> DataFrame:
+def forecast(samples: DataFrame, n: int = 10, block: int | None = None) -> DataFrame:
     """Mean of the window plus its mean step."""
     size = F.count("value").over(_last(n))
     total = F.sum(F.col("value").cast("decimal(20,6)")).over(_last(n)).cast("double")
-    return samples.withColumn("forecast", F.round(total / size + (F.col("value") - F.first("value").over(_last(n))) / F.greatest(size - 1, F.lit(1)), 6))
+    step = (F.col("value") - F.first("value").over(_last(n))) / F.greatest(size - 1, F.lit(1))
+    return _framed(samples, n, block, forecast=F.round(total / size + step, 6))
 
 
 def latency_p99(samples: DataFrame, n: int = 1000) -> DataFrame:
