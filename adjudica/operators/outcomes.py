@@ -157,6 +157,24 @@ def route_shard(key: Column, n: int) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % n).cast("int")
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, n: int, key: str = "claim_id") -> DataFrame:
+    """df as the table `name` with its files under path, in n buckets by the key, sorted in each. Tables with as many
+    buckets are joined and grouped by the key where they lie, without an exchange."""
+    spark = df.sparkSession
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
+def process_shards(claims: DataFrame, lines: DataFrame, n: int, key: str) -> DataFrame:
+    """What every shard accepts, of bucketed claims and lines: shard, claims, lines, charges. The lines are summed and joined
+    within their buckets; only the sums of n shards are exchanged. Hot facilities fill a shard, but no task: buckets are
+    by claim."""
+    own = lines.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("charge_amount").alias("line_charges"))
+    joined = claims.join(own, "claim_id", "left").withColumn("shard", route_shard(F.col("facility_id"), n))
+    accepted = insertable(joined, key)
+    return accepted.groupBy("shard").agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"), F.sum("line_charges").cast("double").alias("charges"))
+
+
 def insertable(claims: DataFrame, key: str) -> DataFrame:
     """Claims with account and facility, the account encrypted; a missing id is made from the row, so that it is the same
     when a task runs again; missing status, stage and date get their defaults."""

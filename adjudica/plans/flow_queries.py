@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from adjudica.catalog import CLAIMS
 from adjudica.model import adapter as m
 from adjudica.model.adapter import CTE
-from adjudica.operators import flow
-from adjudica.sources import files
+from adjudica.operators import analytics, flow, outcomes, validation
+from adjudica.sources import files, id_feed
+from adjudica.sources.keyed_table import KeyedTable
 from adjudica.streaming import claims_stream as cs
 from adjudica.streaming import claims_with_lines as cl
+from adjudica.streaming import dead_letters
 
-from .claims_queries import _BATCH, RULES, SINKS, code_filter, sinks
+from .claims_queries import _BATCH, RULES, SINKS, batch, code_filter, sinks
 from .claims_queries import KEY as CLAIMS_KEY
+from .report_queries import letters
 
 CUTOFF = "1996-01-01"
 KEY = "key of the archive"
@@ -116,7 +119,7 @@ def feeds(spark: SparkSession, sf: str, path: str) -> tuple[DataFrame, DataFrame
     files_each = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name, rows, mark in (("claims", claims, None), ("lines", lines, 0)):
         cl.write_feed(rows, f"{path}/{name}", [first + period * k for k in range(1, PERIODS)], files_each)
-        cl.heartbeat(spark, f"{path}/{name}", rows, last + timedelta(days=3650), mark)
+        cl.heartbeat(spark, f"{path}/{name}", rows, "arrived_at", last + timedelta(days=3650), claim_id=mark)
     stream = lambda name, rows: cs.cdc_source(spark, f"{path}/{name}", rows.schema, files_each)
     return stream("claims", claims), stream("lines", lines), f"{period.days + 1} days"
 
@@ -145,3 +148,100 @@ def checkpoint_upsert(spark, sf):
     sink = cs.CheckpointSink(f"{path}/out", ", ".join(f"{c} {kind}" for c, kind in own.dtypes))
     cs.drain(cs.cdc_source(spark, f"{path}/in", own.schema, 1), sink, f"{path}/offsets")
     return sink.table(spark)
+
+
+@CLAIMS.add("cdc_feed", "SELECT o_orderkey AS claim_id, ((o_orderkey - least(0, (SELECT min(o_orderkey) FROM orders))) // (((SELECT max(o_orderkey) - least(0, min(o_orderkey)) FROM orders) // 4 + 1)))::BIGINT AS batch FROM orders")
+def cdc_feed(spark, sf):
+    """Orders in id order, a quarter of the ids a micro-batch, each written with its batch's number."""
+    path = files.shared_folder(spark)
+    low, high = m.table(spark, sf, "orders").agg(F.least(F.lit(0), F.min("o_orderkey")), F.max("o_orderkey")).first()
+    feed = id_feed.id_feed(spark, sf, "orders", "o_orderkey", "o_orderkey long", f"{path}/offsets", ids_per_batch=(high - low) // 4 + 1, starting_id=low - 1)
+    id_feed.follow(feed, lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}"), f"{path}/offsets")
+    return spark.read.schema("o_orderkey long, batch long").parquet(f"{path}/out").select(F.col("o_orderkey").alias("claim_id"), "batch")
+
+
+_LATE = "(event_id % 50 = 0 AND ts < (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events))"
+
+
+@CLAIMS.add("stream_hourly_late", f"SELECT date_trunc('hour', ts) AS hour, event_type AS name, count(*) AS processed, sum(value::DECIMAL(20,6))::DOUBLE AS total FROM events WHERE NOT {_LATE} GROUP BY 1, 2 UNION ALL SELECT NULL, 'late', count(*), NULL FROM events WHERE {_LATE} HAVING count(*) > 0")
+def stream_hourly_late(spark, sf):
+    """Events of the first half that arrive after all others are late: they are in no hour, but counted."""
+    path = files.shared_folder(spark)
+    events = m.events(spark, sf).select("event_id", "name", "at", "value").withColumn("arrived_at", F.col("at"))
+    first, last = events.agg(F.min("at"), F.max("at")).first()
+    period, files_each = (last - first) / 3, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    late = (F.col("event_id") % 50 == 0) & (F.col("at") < F.lit(first + (last - first) / 2))
+    cl.write_feed(events.where(~late), f"{path}/in", [first + period, first + 2 * period], files_each)
+    events.where(late).repartition(files_each).write.mode("append").parquet(f"{path}/in")
+    cl.heartbeat(spark, f"{path}/in", events, "at", last + timedelta(days=3650))
+    hours = KeyedTable(spark, f"{path}/hours", "hour timestamp, name string, processed long, total double", ("hour", "name"), 4)
+    lost = KeyedTable(spark, f"{path}/late", "batch long, late_rows long", ("batch",), 1)
+    cs.run_counted_hours(cs.cdc_source(spark, f"{path}/in", events.schema, files_each).drop("arrived_at"), hours, lost, f"{path}/offsets")
+    counted = lost.read().agg(F.sum("late_rows").alias("processed")).where("processed > 0").select(F.lit(None).cast("timestamp_ntz").alias("hour"), F.lit("late").alias("name"), "processed", F.lit(None).cast("double").alias("total"))
+    return hours.read().select(F.col("hour").cast("timestamp_ntz").alias("hour"), "name", "processed", "total").unionByName(counted)
+
+
+_PATTERNS = "SELECT unnest(list_filter([CASE WHEN e1 THEN 'invalid_facility' END, CASE WHEN e2 THEN 'invalid_financial_class' END, CASE WHEN e3 THEN 'invalid_dob' END, CASE WHEN e4 THEN 'invalid_service_dates' END], lambda x: x IS NOT NULL)) AS error, epoch(created_at)::BIGINT // 2592000 AS stretch FROM checked"
+
+
+@CLAIMS.add("pattern_watch", CTE + f"SELECT make_timestamp(stretch * 2592000000000) AS start, error, count(*) AS n, CASE error WHEN 'invalid_facility' THEN 'Verify facility_id mappings in source data' WHEN 'invalid_financial_class' THEN 'Check financial_class values' WHEN 'invalid_dob' THEN 'Ensure patient date_of_birth is valid' ELSE 'Investigate data quality issues' END AS remedy FROM ({_PATTERNS}) GROUP BY stretch, error HAVING count(*) >= 5")
+def pattern_watch(spark, sf):
+    """Errors of claims as they arrive, by stretches of 30 days, with at least five of a kind; in complete mode, where each
+    alert holds all stretches and replaces the one before."""
+    path = files.shared_folder(spark)
+    validated = validation.validate(m.claims(spark, sf, stream_of(spark, sf, "orders")), m.facilities(spark, sf), m.financial_classes(spark, sf))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/alerts")
+    cs.pattern_watch(cs.error_windows(validated, "30 days"), 5, write, f"{path}/offsets", None, "complete").awaitTermination()
+    return spark.read.parquet(f"{path}/alerts").select(F.col("start").cast("timestamp_ntz").alias("start"), "error", "n", "remedy")
+
+
+_OLDEST = "(SELECT event_id, user_id FROM events ORDER BY ts, event_id LIMIT 800)"
+
+
+@CLAIMS.add("dlq_stream", f"SELECT 'inserted' AS place, user_id AS id, max(event_id) AS letter FROM {_OLDEST} WHERE user_id % 3 <> 0 GROUP BY user_id UNION ALL SELECT 'failed', event_id, event_id FROM {_OLDEST} WHERE user_id % 3 = 0 UNION ALL SELECT 'waiting', event_id, event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM {_OLDEST})")
+def dlq_stream(spark, sf):
+    """Letters arrive in four periods; each micro-batch settles the 200 oldest that wait."""
+    path = files.shared_folder(spark)
+    own = letters(spark, sf).withColumn("arrived_at", F.col("inserted_at"))
+    first, last = own.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    files_each = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cl.write_feed(own, f"{path}/in", [first + (last - first) / 4 * k for k in (1, 2, 3)], files_each)
+    sink = dead_letters.DeadLetters(spark, f"{path}/tables", 200, files_each)
+    dead_letters.run(cs.cdc_source(spark, f"{path}/in", own.schema, files_each).drop("arrived_at"), sink, f"{path}/offsets")
+    one = lambda rows, place, key: rows.select(F.lit(place).alias("place"), F.col(key).alias("id"), F.col("dlq_id").alias("letter"))
+    return one(sink.inserted.read(), "inserted", "claim_id").unionByName(one(sink.failed(), "failed", "dlq_id")).unionByName(one(sink.waiting(), "waiting", "dlq_id"))
+
+
+@CLAIMS.add("batch_runs", _BATCH + """SELECT (claim_id % 3)::BIGINT AS batch_id, count(*) AS processed, count(*) FILTER (errors <> '' OR rule_errors <> '') AS failed, coalesce(sum(CASE WHEN errors = '' AND rule_errors = '' THEN revenue END), 0)::DECIMAL(28,4)::DOUBLE AS revenue, true AS timed, 0 AS violations
+FROM judged WHERE processing_status IN ('pending', 'received', 'processing') GROUP BY 1""")
+def batch_runs(spark, sf):
+    """Three batches written by the whole flow, and what each tells of itself; no claim took an hour."""
+    path, claims = files.shared_folder(spark), flow.pending(m.claims(spark, sf))
+    for number in range(3):
+        own = claims.where(F.col("claim_id") % 3 == number)
+        flow.write(batch(spark, sf, claims=own, model=code_filter), path, number, CLAIMS_KEY, tuple(claims.columns))
+    runs = flow.summaries(spark, path)
+    late = analytics.sla_violations(runs.withColumnRenamed("processed", "claims"), 3600.0).select(F.col("violations").cast("int").alias("violations"))
+    timed = (F.col("seconds") > 0) & (analytics.share(F.col("processed"), F.col("seconds")) > 0)
+    return runs.join(late, F.lit(True)).select("batch_id", "processed", "failed", analytics.as_double(F.col("revenue")).alias("revenue"), timed.alias("timed"), "violations")
+
+
+@CLAIMS.add("shards_bucketed", CTE + "SELECT (('0x' || substr(md5(facility_id::VARCHAR), 1, 8))::BIGINT % 4)::INT AS shard, count(*) AS accepted, coalesce(sum(n), 0)::BIGINT AS lines, sum(charges)::DOUBLE AS charges FROM claims LEFT JOIN (SELECT claim_id, count(*) AS n, sum(charge_amount) AS charges FROM lines GROUP BY claim_id) USING (claim_id) WHERE patient_account_number <> '' AND facility_id IS NOT NULL GROUP BY 1")
+def shards_bucketed(spark, sf):
+    return outcomes.process_shards(*bucketed(spark, sf), 4, CLAIMS_KEY)
+
+
+def bucketed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Claims and lines as bucketed tables with names of their own."""
+    path, n = files.shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"b_{path.rsplit('/', 1)[1]}"
+    return outcomes.save_bucketed(m.claims(spark, sf), f"claims_{name}", f"{path}/claims", n), outcomes.save_bucketed(m.lines(spark, sf), f"lines_{name}", f"{path}/lines", n)
+
+
+@CLAIMS.add("archives_purged", CTE + ", archives AS (SELECT DISTINCT 'claims_' || strftime(date_trunc('month', service_to_date), '%Y_%m_%d') || '.jsonl' AS name, date_trunc('month', service_to_date) AS month FROM claims) SELECT name, CASE WHEN month < DATE '1998-12-01' - INTERVAL 2 YEAR THEN 'purged' ELSE 'kept' END AS place FROM archives")
+def archives_purged(spark, sf):
+    """Archives written as files, listed, purged, and listed again."""
+    path = files.shared_folder(spark)
+    files.write_archives(m.claims(spark, sf).select("claim_id", "service_to_date"), path, KEY)
+    gone = files.purge_archives(spark, path, m.NOW, 2)
+    return gone.select("name", F.lit("purged").alias("place")).unionByName(files.list_archives(spark, path).select("name", F.lit("kept").alias("place")))

@@ -107,6 +107,31 @@ def archive_date(name: Column) -> Column:
     return F.try_to_date(F.when(found != "", found), "yyyy_MM_dd")
 
 
+def write_archives(claims: DataFrame, path: str, key: str) -> None:
+    """Encrypted lines in one archive a month of service, named after its first day: claims_yyyy_MM_01.jsonl, a folder
+    of parts."""
+    name = F.concat(F.lit("claims_"), F.date_format(F.trunc("service_to_date", "month"), "yyyy_MM_dd"), F.lit(".jsonl"))
+    rows = claims.select(encrypted(F.to_json(F.struct(*claims.columns), {"ignoreNullFields": "false"}), key).alias("value"), F.coalesce(name, F.lit("claims_undated.jsonl")).alias("archive"))
+    rows.repartition("archive").write.mode("append").partitionBy("archive").text(path)
+
+
+def list_archives(spark: SparkSession, path: str) -> DataFrame:
+    """name, files and modified (the newest file's) of each archive under a path: files named *.jsonl, or folders so named
+    (also as a partition, archive=...). Only names and times are read, no contents."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+    name = F.regexp_extract("path", r"/(?:[^/=]+=)?([^/=]+\.jsonl)(?:/[^/]*)?$", 1)
+    return found.withColumn("name", name).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("files"), F.max("modificationTime").alias("modified"))
+
+
+def purge_archives(spark: SparkSession, path: str, now: str, years: int = 7) -> DataFrame:
+    """Removes the archives that are older than the window, and lists them as they were. One name an archive comes to the
+    driver, as with any listing."""
+    old = purgeable(list_archives(spark, path), F.to_date(F.lit(now)), years)
+    rows = old.collect()
+    remove(spark, [f"{path}/{form}{r['name']}" for r in rows for form in ("", "archive=")])
+    return spark.createDataFrame(rows, old.schema)
+
+
 def purgeable(listing: DataFrame, now: Column, years: int = 7) -> DataFrame:
     """Archives older than the window; names without a date stay."""
     return listing.where(archive_date(F.col("name")) < F.add_months(now, -12 * years))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from adjudica.operators.analytics import error_counts
+from adjudica.functions.scalar import remedy
 from adjudica.sources.keyed_table import KeyedTable, largest
 
 
@@ -66,7 +66,43 @@ class CheckpointSink:
         return self.keyed(spark).read()
 
 
-def pattern_watch(validated: DataFrame, threshold: int, alert: Callable[[DataFrame, int], None], checkpoint: str, interval: str = "300 seconds") -> StreamingQuery:
-    """Runs `alert` on errors at or above the threshold, at most once an interval."""
-    watch = lambda batch, number: alert(batch.where(F.col("n") >= threshold), number)
-    return error_counts(validated).writeStream.outputMode("complete").foreachBatch(watch).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+def counted_hours(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """Processed and value sum per hour and name, each hour once, when the watermark has passed it. events: event_id, name,
+    at, value. Events that are delivered again within the watermark count once; later ones than the watermark are dropped
+    row by row before anything is summed, so that the stream's progress tells their number (see late_rows). The engine holds
+    a micro-batch's rows against the watermark that the batch before it started with."""
+    once = events.withWatermark("at", watermark).dropDuplicates(["event_id", "at"])
+    sums = once.groupBy(F.window("at", "1 hour").alias("hour"), "name").agg(F.count(F.lit(1)).alias("processed"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"))
+    return sums.select(F.col("hour.start").alias("hour"), "name", "processed", F.col("total").cast("double").alias("total"))
+
+
+def late_rows(query: StreamingQuery) -> dict[int, int]:
+    """Rows that each micro-batch dropped as late, where some were. The query remembers the last hundred batches
+    (spark.sql.streaming.numRecentProgressUpdates)."""
+    late = {p["batchId"]: sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]) for p in query.recentProgress}
+    return {batch: n for batch, n in late.items() if n}
+
+
+def run_counted_hours(events: DataFrame, hours: KeyedTable, late: KeyedTable, checkpoint: str, watermark: str = "1 hour") -> StreamingQuery:
+    """All that is there now: closed hours into `hours` (hour, name, processed, total), numbers of late rows into `late`
+    (batch, late_rows). What is in both, and what is still open, are all events."""
+    query = drain(counted_hours(events, watermark), lambda batch, number: hours.merge(batch, "hours", number), checkpoint)
+    found = late_rows(query)
+    if found:
+        late.merge(events.sparkSession.createDataFrame(list(found.items()), "batch long, late_rows long"))
+    return query
+
+
+def error_windows(validated: DataFrame, length: str, at: str = "created_at", watermark: str = "1 day") -> DataFrame:
+    """Errors per stretch of event time: start, error, n. As a stream, a stretch is forgotten once the watermark passed it."""
+    own = validated.withWatermark(at, watermark).withColumn("error", F.explode("errors"))
+    counts = own.groupBy(F.window(at, length).alias("stretch"), "error").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("stretch.start").alias("start"), "error", "n")
+
+
+def pattern_watch(counts: DataFrame, threshold: int, alert: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = "300 seconds", mode: str = "update") -> StreamingQuery:
+    """Hands the errors at or above the threshold to `alert`, with a remedy, at most once an interval; without an interval
+    all that is there now. counts: error_windows of a stream (update: the stretches that changed; complete: all)."""
+    watch = lambda batch, number: alert(batch.where(F.col("n") >= threshold).withColumn("remedy", remedy(F.col("error"))), number)
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    return counts.writeStream.outputMode(mode).foreachBatch(watch).option("checkpointLocation", checkpoint).trigger(**trigger).start()

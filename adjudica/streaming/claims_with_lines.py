@@ -52,8 +52,8 @@ def write_feed(rows: DataFrame, path: str, edges: list[datetime], files: int) ->
         own.repartition(files).write.mode("append").parquet(path)
 
 
-def heartbeat(spark: SparkSession, path: str, like: DataFrame, at: datetime, claim_id: int | None) -> None:
-    """A row that says only that all before `at` has arrived. Among claims its id is null; among lines it is any number, as
-    lines without an id are left out before their time is looked at."""
-    own = {"arrived_at": F.lit(at), "claim_id": F.lit(claim_id)}
+def heartbeat(spark: SparkSession, path: str, like: DataFrame, time: str, at: datetime, **values) -> None:
+    """A row that says only that all before `at` has arrived. Among claims its id stays null; among lines it is given any
+    number, as lines without an id are left out before their time is looked at."""
+    own = {time: F.lit(at)} | {c: F.lit(v) for c, v in values.items()}
     spark.range(1).select(*[own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in like.dtypes]).write.mode("append").parquet(path)

@@ -1,6 +1,6 @@
 """Files, archives, generated claims and streams."""
 
-from datetime import date
+from datetime import date, datetime
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -65,12 +65,24 @@ def test_streams(spark, tmp_path):
 
 def test_pattern_watch(spark, tmp_path):
     source, seen = str(tmp_path / "in"), []
-    df = spark.createDataFrame([(["a", "b"],), (["a"],)], "errors array<string>")
-    df.write.parquet(source)
-    query = cs.pattern_watch(cs.cdc_source(spark, source, df.schema), 2, lambda b, n: seen.extend(map(tuple, b.collect())), str(tmp_path / "offsets"), "1 second")
-    query.processAllAvailable()
-    query.stop()
-    assert seen == [("a", 2)]
+    kind = "errors array<string>, created_at timestamp"
+    make = lambda *rows: spark.createDataFrame([(list(e), datetime(2024, 1, d, h)) for e, d, h in rows], kind).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        counts = cs.error_windows(cs.cdc_source(spark, source, spark.createDataFrame([], kind).schema), "1 day", watermark="2 days")
+        query = cs.pattern_watch(counts, 2, lambda b, n: seen.extend((r["start"].day, r["error"], r["n"]) for r in b.collect()), str(tmp_path / "offsets"), "1 second")
+        query.processAllAvailable()
+        query.stop()
+
+    make(("ab", 1, 3), ("a", 1, 23), ("b", 2, 0))
+    run()
+    assert seen == [(1, "a", 2)]
+    make(("b", 2, 5), ("b", 9, 5), ("a", 1, 5))
+    run()  # goes on with the counts of before; only stretches that changed are looked at
+    assert sorted(seen) == [(1, "a", 2), (1, "a", 3), (2, "b", 2)]
+    make(("a", 1, 6), ("b", 9, 7))
+    run()  # the first day lies behind the watermark now
+    assert sorted(seen) == [(1, "a", 2), (1, "a", 3), (2, "b", 2), (9, "b", 2)]
 
 
 def test_schemas(spark, tmp_path):
@@ -115,3 +127,17 @@ def test_tables_of_a_database(spark):
     files.bulk_load(own, "claims", **url)
     read = files.read_table(spark, "claims", own.schema, partitionColumn="part", lowerBound="0", upperBound="40", numPartitions="3", **url)
     assert read.rdd.getNumPartitions() == 3 and sorted(map(tuple, read.select(*own.columns).collect()), key=str) == sorted(map(tuple, [*own.collect(), *own.collect()]), key=str)
+
+
+def test_archives_are_listed_by_name_and_time(spark, tmp_path):
+    path = str(tmp_path / "a")
+    files.write_archives(claims(spark), path, "k")
+    (tmp_path / "a" / "claims_1999_05_01.jsonl").write_text("one file")
+    (tmp_path / "a" / "notes.txt").write_text("not an archive")
+    listing = files.list_archives(spark, path)
+    assert sorted((r["name"], r["files"]) for r in listing.collect()) == [("claims_1999_05_01.jsonl", 1), ("claims_2020_01_01.jsonl", 1), ("claims_2024_05_01.jsonl", 1), ("claims_undated.jsonl", 1)]
+    assert "content" not in listing._jdf.queryExecution().executedPlan().toString()
+    gone = files.purge_archives(spark, path, "2026-01-01", 5)
+    assert sorted(r["name"] for r in gone.collect()) == ["claims_1999_05_01.jsonl", "claims_2020_01_01.jsonl"]
+    assert sorted(r["name"] for r in files.list_archives(spark, path).collect()) == ["claims_2024_05_01.jsonl", "claims_undated.jsonl"]
+    assert files.purge_archives(spark, path, "2026-01-01", 5).count() == 0
