@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adjudica.functions.scalar import encrypted, priority_rank
+from adjudica.sources.files import queue_claims
 
 #: Repair text for each error, in the order in which they are joined.
 REPAIRS = {
@@ -209,6 +210,17 @@ def queue_order(df: DataFrame, *partition: str) -> DataFrame:
     return df.withColumn("queue_place", F.row_number().over(order).cast("long"))
 
 
+def requeue(tried: DataFrame, path: str, attempt: int) -> None:
+    """After a retry: claims without errors go to path/completed, the others back to path/queue as attempt number
+    `attempt`. tried has errors as text; it is kept for both writes."""
+    kept = tried.persist()
+    try:
+        queue_claims(kept.where("errors <> ''").withColumn("attempt", F.lit(attempt)), f"{path}/queue")
+        kept.where("errors = ''").write.mode("append").parquet(f"{path}/completed")
+    finally:
+        kept.unpersist()
+
+
 def fetch_batch(claims: DataFrame, n: int, offset: int = 0) -> DataFrame:
     """n claims in queue order; limited before any lines are joined."""
     return claims.orderBy(priority_rank(F.col("priority")).desc(), "created_at", "claim_id").offset(offset).limit(n)

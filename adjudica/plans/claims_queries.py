@@ -363,15 +363,33 @@ def batch_summary(spark, sf):
     return analytics.batch_summary(own, seconds)
 
 
-@CLAIMS.add("retry_by_priority", CTE + """, fixed AS (SELECT c.*, CASE WHEN e4 THEN service_from_date ELSE service_to_date END AS until FROM validated c WHERE errors <> ''),
+_AGAIN = """, fixed AS (SELECT c.*, CASE WHEN e4 THEN service_from_date ELSE service_to_date END AS until FROM validated c WHERE errors <> ''),
 again AS (SELECT claim_id, concat_ws(',', CASE WHEN e1 THEN 'invalid_facility' END, CASE WHEN e2 THEN 'invalid_financial_class' END, CASE WHEN coalesce(bool_or(l.service_from_date < f.service_from_date OR l.service_to_date > until), false) THEN 'line_item_date_out_of_range' END) AS errors,
-  priority, created_at FROM fixed f LEFT JOIN lines l USING (claim_id) GROUP BY claim_id, e1, e2, priority, created_at)
+  priority, created_at FROM fixed f LEFT JOIN lines l USING (claim_id) GROUP BY claim_id, e1, e2, priority, created_at)"""
+
+
+@CLAIMS.add("retry_by_priority", CTE + _AGAIN + """
 SELECT claim_id, errors, CASE WHEN errors = '' THEN 'completed' ELSE 'failed' END AS outcome, priority, row_number() OVER (PARTITION BY priority ORDER BY created_at, claim_id) AS queue_place FROM again""")
 def retry_by_priority(spark, sf):
     """Failed claims repaired and judged again; each priority has a queue of its own, in the order of arrival."""
+    return outcomes.queue_order(tried_again(spark, sf), "priority").select("claim_id", errors_text(), F.when(F.size("errors") == 0, "completed").otherwise("failed").alias("outcome"), "priority", "queue_place")
+
+
+def tried_again(spark: SparkSession, sf: str) -> DataFrame:
     fixed = outcomes.auto_repair(outcomes.split(checked(spark, sf))[1]).drop("errors").withColumn("facility_id", F.col("facility_id").cast("int"))
-    again = validation.validate(fixed, m.facilities(spark, sf), m.financial_classes(spark, sf), m.lines(spark, sf))
-    return outcomes.queue_order(again, "priority").select("claim_id", errors_text(), F.when(F.size("errors") == 0, "completed").otherwise("failed").alias("outcome"), "priority", "queue_place")
+    return validation.validate(fixed, m.facilities(spark, sf), m.financial_classes(spark, sf), m.lines(spark, sf))
+
+
+@CLAIMS.add("retry_requeued", CTE + _AGAIN + """
+SELECT claim_id, CASE WHEN errors = '' THEN 'completed' ELSE 'queued' END AS place, errors, CASE WHEN errors <> '' THEN 2 END::INT AS attempt, CASE WHEN errors <> '' THEN row_number() OVER (PARTITION BY priority, errors <> '' ORDER BY created_at, claim_id) END AS queue_place FROM again""")
+def retry_requeued(spark, sf):
+    """What is right after the repair is written out; what is not goes back into the queue of its priority for a further
+    attempt."""
+    path = files.shared_folder(spark)
+    outcomes.requeue(tried_again(spark, sf).select("claim_id", errors_text(), "priority", "created_at"), path, 2)
+    done = spark.read.parquet(f"{path}/completed").select("claim_id", F.lit("completed").alias("place"), "errors", F.lit(None).cast("int").alias("attempt"), F.lit(None).cast("long").alias("queue_place"))
+    queued = files.replay_claims(spark, f"{path}/queue", "claim_id long, errors string, priority string, created_at timestamp, attempt int")
+    return done.unionByName(outcomes.queue_order(queued, "priority").select("claim_id", F.lit("queued").alias("place"), "errors", "attempt", "queue_place"))
 
 
 def advisor(frame):

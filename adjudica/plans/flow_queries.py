@@ -106,7 +106,7 @@ def stream_hourly(spark, sf):
 
 
 #: Periods in which the feeds of the sample arrive.
-PERIODS = 4
+PERIODS = 3
 
 
 def feeds(spark: SparkSession, sf: str, path: str) -> tuple[DataFrame, DataFrame, str]:

@@ -345,7 +345,7 @@ def ab_predictions(spark, sf):
 def ab_fitted(spark, sf):
     """Both variants are forests, fitted on claims of either half of the facilities."""
     data = checked(spark, sf).withColumn("bad", (F.size("errors") > 0).cast("double"))
-    a, b = (models.train_filter(data.where(F.col("facility_id") % 2 == k), "bad", trees=10)[0] for k in (0, 1))
+    a, b = (models.train_filter(data.where(F.col("facility_id") % 2 == k), "bad")[0] for k in (0, 1))
     return analytics.counts(models.ab_predict(data, a, b, "claim_id", 0.3), "variant", "filter_number")
 
 

@@ -86,8 +86,9 @@ def restore(spark: SparkSession, path: str, key: str, schema: StructType | str)
 
 
 def write_by_year(df: DataFrame, path: str, date: str = "service_to_date") -> None:
-    """A folder for each year; readers that filter on service_year read only those."""
-    df.withColumn("service_year", F.year(date)).repartition("service_year", F.pmod(F.xxhash64("claim_id"), F.lit(8))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_year").parquet(path)
+    """A folder for each year; readers that filter on service_year read only those. Years are dealt out and split by their
+    size when it is known (spark.sql.adaptive.advisoryPartitionSizeInBytes), so small ones become one file."""
+    df.withColumn("service_year", F.year(date)).hint("rebalance", "service_year").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("service_year").parquet(path)
 
 
 def retained(df: DataFrame, now: Column, years: int = 5) -> DataFrame:

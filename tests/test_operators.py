@@ -49,7 +49,7 @@ def test_inactive_facility_can_count(spark, sets):
 
 
 @pytest.mark.parametrize(("logic", "good", "bad"), [
-    ('{"field":"a","operator":"equals","value":1}', 1, 2), ('{"field":"a","operator":"gt","value":5}', 10, 4), ('{"field":"a","operator":"not_equals","value":2}', 1, 2),
+    ('{"field":"a","operator":"equals","value":1}', 1, 2), ('{"field":"a","operator":"gt","value":6}', 10, 4), ('{"field":"a","operator":"not_equals","value":2}', 1, 2),
     ('{"field":"a","operator":"exists"}', 1, None), ('{"field":"a","operator":"lt","value":10}', 5, 20), ('{"field":"a","operator":"between","values":[1,3]}', 2, 5),
     ('{"field":"a","operator":"in","values":[1,2]}', 1, 3), ('{"field":"a","operator":"not_equals","value":2}', None, 2), ('{"field":"a","value":null}', None, 2),
 ])
