@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, written
-from .simhash import SEED, components, dealt_in_pairs, forest, in_groups
+from .simhash import SEED, components, dealt_in_pairs, forest, in_groups, in_pieces
 
 SHINGLE = 5
 #: Similarity that links, as a fraction.
@@ -302,7 +302,10 @@ def shared_cells(nodes: DataFrame) -> DataFrame:
     """cell, node: the cells that hold two nodes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in in_groups(batches, 100_000):
+        for table, whole in in_pieces(batches, 100_000):
+            if not whole:
+                yield from table.to_batches()
+                continue
             cell = table.column(0).to_numpy()
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             size = np.diff(np.r_[start, len(cell)])
@@ -336,7 +339,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = texts_of(docs, groups.select("node").distinct().join(nodes.select("node", "id", "content"), "node"))
 
     def verified(members: DataFrame) -> DataFrame:
-        dealt = dealt_in_pairs(members, "cell", "node", BLOCK).join(texts, "node").select("node", "text", "cell", "p", "q")
+        dealt = dealt_in_pairs(written(members, "near-members"), "cell", "node", BLOCK).join(texts, "node").select("node", "text", "cell", "p", "q")
         return sorted_by_key(dealt, "cell", "p", "q").drop("cell").mapInArrow(link_groups, "a long, b long").distinct()
 
     once = groups.groupBy("node").agg(F.max(F.struct("n", "cell")).alias("m")).select("m.cell", "node")
@@ -344,7 +347,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     tied = components(first)
     rooted = groups.join(tied, F.col("node") == F.col("a"), "left").select("cell", "node", F.coalesce("b", "node").alias("root"))
     several = rooted.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("cell")
-    left = dealt_in_pairs(rooted.join(several, "cell"), "cell", "node", BLOCK).join(vectors, "node").select("cell", "node", "root", "size", "counts", "p", "q")
+    left = dealt_in_pairs(written(rooted.join(several, "cell"), "near-left"), "cell", "node", BLOCK).join(vectors, "node").select("cell", "node", "root", "size", "counts", "p", "q")
     still = written(sorted_by_key(left, "cell", "p", "q").mapInArrow(open_cells, "cell long, node long").distinct(), "near-open")
     return first.unionByName(verified(still))
 

@@ -37,6 +37,8 @@ SEGMENTS = 32
 PER_CELL, BLOCK = 4, 8192
 #: A fingerprint of more than one row in HOT is hot.
 HOT = 2000
+#: Rows of a group that is not dealt by its key.
+LARGE = 20_000
 LOW = np.uint64(0x5555555555555555)
 ONE = np.uint64(1)
 
@@ -155,10 +157,18 @@ def spanning(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[root[own]])], ["a", "b"])
 
 
-def in_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
-    """Whole groups of equal first column from batches sorted by it: about `rows` rows at a time, more if one group has more."""
-    held, size = [], 0
+def in_pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, bool]]:
+    """From batches sorted by their first column: tables of about `rows` rows that hold whole groups of equal value, and of
+    groups with more rows than that, pieces as they come (False), so that no group is ever held."""
+    held, size, larger = [], 0, None
     for batch in batches:
+        if larger is not None:
+            n = int(np.searchsorted(batch.column(0).to_numpy(), larger, side="right"))
+            if n:
+                yield pa.Table.from_batches([batch.slice(0, n)]), False
+            if n == batch.num_rows:
+                continue
+            batch, larger = batch.slice(n), None
         held.append(batch)
         size += batch.num_rows
         if size >= rows:
@@ -166,10 +176,29 @@ def in_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table
             key = table.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
             if cut:
-                yield table.slice(0, cut)
-            held, size = table.slice(cut).to_batches(), len(key) - cut
+                yield table.slice(0, cut), True
+                held, size = table.slice(cut).to_batches(), len(key) - cut
+            else:
+                yield table, False
+                held, size, larger = [], 0, key[-1]
     if size:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), True
+
+
+def in_groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The same with whole groups only, for groups that are bounded: more than `rows` rows at a time if one group has more.
+    Its pieces are put together once."""
+    open_group: list[pa.Table] = []
+    for table, whole in in_pieces(batches, rows):
+        if open_group and (whole or table.column(0)[0] != open_group[0].column(0)[0]):
+            yield pa.concat_tables(open_group).combine_chunks()
+            open_group = []
+        if whole:
+            yield table
+        else:
+            open_group.append(table)
+    if open_group:
+        yield pa.concat_tables(open_group).combine_chunks()
 
 
 def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
@@ -188,11 +217,11 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
     def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links of the cells (cell null), and the rows of those that are larger than one block."""
-        for table in in_groups(batches, 2 * BLOCK):
+        for table, whole in in_pieces(batches, 2 * BLOCK):
             cell, fp = table.column(0).to_numpy(), table.column(1).to_numpy().view(np.uint64)
             start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             size = np.diff(np.r_[start, len(cell)])
-            large = np.repeat(size > BLOCK, size)
+            large = np.repeat(size > BLOCK, size) if whole else np.ones(len(cell), bool)
             found = spanning(fp[~large], *cell_links(cell[~large].view(np.uint64), fp[~large], bits))
             none = pa.nulls(found.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none, found.column(0), found.column(1)], ["cell", "a", "b"])
@@ -216,7 +245,15 @@ def dealt_in_pairs(members: DataFrame, key: str, member: str, block: int) -> Dat
     mine = F.pmod(F.xxhash64(member, F.lit(1)), count)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda k: F.struct(F.least(k, mine).alias("p"), F.greatest(k, mine).alias("q")))
     sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return members.join(sizes, key).select(*members.columns, F.explode(pairs).alias("_e")).select(*members.columns, "_e.p", "_e.q")
+    return joined_with(members, sizes, key, "_n").select(*members.columns, F.explode(pairs).alias("_e")).select(*members.columns, "_e.p", "_e.q")
+
+
+def joined_with(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with what `groups` says of their group (one row a key, with its size). Groups of more than LARGE rows are
+    broadcast, one row for LARGE of rows at most, and their rows stay where they are; only the others are dealt by the key."""
+    large = F.broadcast(groups.where(F.col(size) > LARGE))
+    small = rows.join(large.select(key), key, "left_anti").join(groups.where(F.col(size) <= LARGE), key)
+    return rows.join(large, key).unionByName(small)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,8 +285,8 @@ def grouped(docs: DataFrame, width: int = SHINGLE, bits: int = BITS) -> DataFram
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows")), "fp-nodes")
     tied = components(links(nodes, bits))
     rooted = nodes.join(tied, F.col("fp") == F.col("a"), "left").select("fp", "rows", "id", F.coalesce("b", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    labels = written(rooted.join(least, "root").select("fp", "rows", "component_id"), "fp-components")
+    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    labels = written(joined_with(rooted, least, "root", "members").select("fp", "rows", "component_id"), "fp-components")
     often = F.col("rows") * HOT > own.count()
     hot = F.broadcast(labels.where(often).select("fp", "component_id"))  # HOT rows at most
     rare = own.join(hot.select("fp"), "fp", "left_anti").join(labels.where(~often).select("fp", "component_id"), "fp")

@@ -78,6 +78,42 @@ def test_groups_are_whole():
     assert sum(got, []) == key.tolist() and all(set(a).isdisjoint(b) for a, b in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("rows", [1, 4, 7, 1000])
+def test_pieces_of_a_large_group_are_passed_on(rows):
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 3, 5, 9, 11], [3, 40, 1, 4, 25, 2])
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[k : k + 3]), pa.array(np.arange(len(key))[k : k + 3])], ["key", "n"]) for k in range(0, len(key), 3)]
+    got = list(simhash.in_pieces(iter(batches), rows))
+    assert sum((t.column(1).to_pylist() for t, _ in got), []) == list(range(len(key)))
+    assert all(t.num_rows < rows + 6 for t, _ in got)
+    broken = {k for t, whole in got if not whole for k in t.column(0).to_pylist()}
+    assert all(len(set(t.column(0).to_pylist())) == 1 for t, whole in got if not whole)
+    for k in set(key.tolist()) - broken:
+        assert sum(k in t.column(0).to_pylist() for t, _ in got) == 1
+    assert broken.isdisjoint(k for t, whole in got if whole for k in t.column(0).to_pylist())
+    groups = list(simhash.in_groups(iter(batches), rows))
+    assert sum((t.column(1).to_pylist() for t in groups), []) == list(range(len(key)))
+    assert sum(len(set(t.column(0).to_pylist())) for t in groups) == 6
+
+
+def test_a_hot_cell_is_neither_held_nor_copied_again():
+    """100,000 rows of one cell: no piece is larger than two blocks and a batch, and each row is copied once."""
+    import pyarrow as pa
+
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.zeros(2000, np.int64))], ["key"]) for _ in range(50))
+    pieces = [(t.num_rows, whole) for t, whole in simhash.in_pieces(batches, 2 * simhash.BLOCK)]
+    assert sum(n for n, _ in pieces) == 100_000 and max(n for n, _ in pieces) <= 2 * simhash.BLOCK + 2000 and not any(whole for _, whole in pieces)
+
+
+def test_large_groups_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", 10)
+    rows = spark.range(100).selectExpr("if(id < 60, 7, id) as key", "id")
+    groups = rows.groupBy("key").count()
+    got = simhash.joined_with(rows, groups, "key", "count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "key").collect()))
+
+
 def test_rows_without_id_link_others(spark, monkeypatch):
     prints = {"p": 0, "q": 0b111, "r": 0b111111, "far": 1 << 40 | 0xFFF00}
     monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
