@@ -1,39 +1,45 @@
 """Toxicity scores from subword bags.
 
-A word is the bag of its character n-grams (bytes of the lower-cased word with a space at both ends, 3 to 5 of them,
-hashed), so a misspelling that was never seen shares most of its vectors with the word it comes from. The vectors of a
-bag are averaged and go through a linear softmax; vectors and softmax are trained together in numpy, each word weighted
-by how often it stands in toxic and in clean training documents. A document is as toxic as its most toxic word: the
-largest word logit and the logarithm of the number of words go through a logistic fit on the same documents.
-
-Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never) and
-their ``WORDS`` most frequent words, so that even very long texts can't fill the driver.
-Their texts stay in Spark: the driver gets each distinct word once with the number of clean and toxic documents that have
-it, and two features a document for the logistic fit; what the tasks get is one number for each of ``BUCKETS`` n-gram buckets. Scoring is one pass
-over all texts without a shuffle.
-
-Defined cases: a null or empty text has no words and gets the score of the smallest logit; without labelled documents
-of both classes every score is 0; labels with a null doc_id or mark are ignored, of several marks for one document the
-largest counts; repeated rows get equal scores; a null doc_id is not held out; other columns are ignored.
+A document is the bag of its words' subwords: each word itself and its character n-grams (bytes of the lower-cased word with
+a space at both ends, 3 to 5 of them), all hashed into buckets, as often as they occur. A misspelling that was never seen
+shares most of its n-grams with the word it comes from. The vectors of a bag are averaged, rarer subwords with more weight
+(the logarithm of the share of documents that have them), and go through a linear softmax; vectors and softmax are trained
+together in numpy. As all of it is linear, what is broadcast is two numbers a bucket: its weight, and its weight times its
+vector's part of the toxic logit.
+
+Each half of the training documents also gets logits from a model of the other half, as new documents would. On these,
+weighed as the classes are in all labels, a logistic fit gives the slope of the score, and its 0.5 is put at the logit that
+separates them best (largest F1).
+
+Training uses at most ``TRAIN`` labelled documents of either class (chosen by a hash of their id, held-out ones never), over
+their whole texts. The driver gets their bags without subwords that few of them have. Scoring is one pass over all texts
+without a shuffle.
+
+Defined cases: a null or empty text, or one without a known subword, has the smallest logit; without labelled documents of
+both classes every score is 0; labels with a null doc_id or mark are ignored, of several marks for one document the largest
+counts, of several texts of one document the first in order teaches; repeated rows get equal scores; a null doc_id is not
+held out; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, written
 
-#: Labelled documents of each class at most, and distinct words of them, the most frequent ones; hash buckets, length of a
-#: vector, passes over the words.
-TRAIN, WORDS, BUCKETS, SIZE, PASSES = 3_000, 600_000, 1 << 17, 16, 6
+#: Labelled documents of each class at most; hash buckets, length of a vector, passes over the documents, documents a step.
+TRAIN, BUCKETS, SIZE, PASSES, STEP = 3_000, 1 << 20, 8, 3, 32
+#: A subword counts if this many training documents have it (with fewer than 800 of these: one in 100).
+LEAST = 8
 GRAMS = (3, 4, 5)
 FOLDS = 5
-#: Logit of a text without words.
+#: Logit of a text without known subwords.
 FLOOR = -12.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Punctuation and control characters separate words, like spaces.
@@ -48,8 +54,8 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of all words, in the words' order, and how many each word has."""
+def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all subwords of all words, each with the place of its word: n-grams first, then the words themselves."""
     buf = np.frombuffer(b" " + b" ".join(words) + b" " + bytes(8), np.uint8)
     n = len(buf) - 8
     space = np.flatnonzero(buf[:n] == 32)
@@ -62,74 +68,77 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(at + size - 1 <= stop)
         own = own[word[own] < len(words)]
         value = ((packed[own] & np.uint64((1 << 8 * size) - 1)) + np.uint64(size)) * _MIX
-        buckets.append((value >> np.uint64(64 - 17)).astype(np.int64))
+        buckets.append((value >> np.uint64(64 - 20)).astype(np.int64))
         owner.append(word[own])
-    owner = np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(buckets)[order], np.bincount(owner, minlength=len(words))
+    whole = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    buckets.append(((whole * _MIX) >> np.uint64(64 - 20)).astype(np.int64))
+    owner.append(np.arange(len(words)))
+    return np.concatenate(buckets), np.concatenate(owner)
 
 
-def trained(texts: list[str], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """One number for each bucket (its vector's part of the toxic logit) and the bias."""
-    counts: dict[bytes, int] = {}  # clean documents with the word, and toxic ones above bit 20
-    for text, t in zip(texts, toxic.tolist()):
-        for w in set(words_of(text)):
-            counts[w] = counts.get(w, 0) + (1 << 20 * t)
-    words = sorted(counts)
-    both = np.fromiter((counts[w] for w in words), np.int64, len(words))
-    return trained_on(words, np.c_[both & ((1 << 20) - 1), both >> 20].astype(np.float32), seed)
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text, ascending, and how often each occurs."""
+    words = words_of(text or "")
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.unique(subwords(words)[0], return_counts=True)
 
 
-def trained_on(words: list[bytes], weight: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
-    """The same from distinct words in ascending order and, for each, its clean and toxic documents."""
-    if not words:
-        return np.zeros(BUCKETS, np.float32), 0.0
-    parts = [ngrams(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
-    buckets, sizes = np.concatenate([b.astype(np.int32) for b, _ in parts]), np.concatenate([n for _, n in parts])
-    del parts
-    keep = sizes > 0
-    start = np.cumsum(sizes) - sizes
+def known_weights(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weight of each bucket: log of (documents + 1) / (those that have it + 1), 0 for those that few have."""
+    have = np.zeros(BUCKETS, np.int64)
+    for buckets, _ in bags:
+        have[buckets] += 1
+    least = max(1, min(LEAST, len(bags) // 100))
+    return np.where(have >= least, np.log((len(bags) + 1) / (have + 1)), 0).astype(np.float32)
+
+
+def trained(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """For each bucket its weight times its part of the toxic logit, and its weight; and the bias."""
+    weight = known_weights(bags)
+    own = [(b[weight[b] > 0], (n * weight[b])[weight[b] > 0].astype(np.float32)) for b, n in bags]
+    some = np.array([k for k, (b, _) in enumerate(own) if len(b)], int)
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
-    softmax, bias = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
-    seen_v, seen_s = np.full(BUCKETS, 1e-6, np.float32), np.full((SIZE, 2), 1e-6, np.float32)
-    rate, total = 0.5, weight.sum(1)
-    usual = weight.sum(0) / weight.sum()
-    bias[:] = np.log(usual + 1e-9)
+    softmax, bias = rng.normal(0, 0.3, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
+    seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((SIZE, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(PASSES):
-        for own in np.array_split(rng.permutation(np.flatnonzero(keep)), max(1, keep.sum() // 2048)):
-            n = sizes[own]
-            at = np.cumsum(n) - n
-            flat = buckets[np.repeat(start[own] - at, n) + np.arange(n.sum())]
-            mean = np.add.reduceat(vectors[flat], at, axis=0) / n[:, None]
+        for step in np.array_split(rng.permutation(some), max(1, len(some) // STEP)) if len(some) else ():
+            flat, share = (np.concatenate([own[k][j] for k in step]) for j in (0, 1))
+            sizes = np.array([len(own[k][0]) for k in step])
+            start = np.cumsum(sizes) - sizes
+            doc = np.repeat(np.arange(len(step)), sizes)
+            share = share / np.add.reduceat(share, start)[doc]
+            mean = np.add.reduceat(vectors[flat] * share[:, None], start)
             logit = mean @ softmax + bias
             p = np.exp(logit - logit.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            gradient = (p * total[own, None] - weight[own]) / np.sqrt(total[own, None])  # frequent words weigh less than in proportion
-            back = (gradient @ softmax.T / n[:, None]).astype(np.float32)
-            change = mean.T @ gradient / len(own)
+            p[np.arange(len(step)), toxic[step]] -= 1
+            back = p @ softmax.T
+            change = mean.T @ p / len(step)
             seen_s += change**2
-            softmax -= (rate * change / np.sqrt(seen_s)).astype(np.float32)
+            softmax -= (0.5 * change / np.sqrt(seen_s)).astype(np.float32)
+            level = p.mean(0)
+            seen_b += level**2
+            bias -= (0.1 * level / np.sqrt(seen_b)).astype(np.float32)
             hit, place = np.unique(flat, return_inverse=True)
-            step = np.zeros((len(hit), SIZE), np.float32)
-            np.add.at(step, place, np.repeat(back, n, axis=0))
-            seen_v[hit] += (step**2).mean(1)
-            vectors[hit] -= rate * step / np.sqrt(seen_v[hit])[:, None]
-    return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0])
-
-
-def features(texts: list[str | None], table: np.ndarray, bias: float) -> np.ndarray:
-    """Largest word logit and log(1 + words) of each text."""
-    own = [words_of(t) if t else [] for t in texts]
-    sizes = np.array([len(w) for w in own])
-    out = np.c_[np.full(len(own), FLOOR), np.log1p(sizes)]
-    if sizes.sum():
-        buckets, counts = ngrams([w for ws in own for w in ws])
-        sums = np.add.reduceat(np.append(table[buckets], 0), np.minimum(np.cumsum(counts) - counts, len(buckets)))
-        logit = np.where(counts > 0, sums / np.maximum(counts, 1), 0) + bias
-        some = np.flatnonzero(sizes)
-        out[some, 0] = np.maximum(np.maximum.reduceat(logit, (np.cumsum(sizes) - sizes)[some]), FLOOR)
-    return out
+            down = np.stack([np.bincount(place, weights=back[doc, d] * share) for d in range(SIZE)], axis=1).astype(np.float32)
+            seen_v[hit] += (down**2).mean(1)
+            vectors[hit] -= 0.5 * down / np.sqrt(seen_v[hit])[:, None]
+    return (vectors @ (softmax[:, 1] - softmax[:, 0]) * weight).astype(np.float32), weight, float(bias[1] - bias[0])
+
+
+def logits(texts: list[str | None], part: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
+    """The softmax's logit of each text's averaged bag."""
+    words = [words_of(t) if t else [] for t in texts]
+    sizes = np.array([len(w) for w in words])
+    if not sizes.sum():
+        return np.full(len(texts), FLOOR)
+    buckets, owner = subwords([w for ws in words for w in ws])
+    doc = np.repeat(np.arange(len(texts)), sizes)[owner]
+    total = np.bincount(doc, weights=weight[buckets], minlength=len(texts))
+    mean = np.bincount(doc, weights=part[buckets], minlength=len(texts)) / np.where(total > 0, total, 1)
+    return np.where(total > 0, np.maximum(mean + bias, FLOOR), FLOOR)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -145,59 +154,74 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def word_counts(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of docs (text, mark), ascending, and for each the clean and the toxic documents that have it."""
+def best_cut(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The logit with the largest F1 of those at or above it, halfway to the next lower one."""
+    order = np.argsort(-x, kind="stable")
+    x, hit, all_ = x[order], np.cumsum((weight * y)[order]), np.cumsum(weight[order])
+    f1 = np.where(np.append(x[1:] != x[:-1], True), 2 * hit / (all_ + hit[-1]), -1)
+    k = int(f1.argmax())
+    return float((x[k] + x[k + 1]) / 2) if k + 1 < len(x) else float(x[k])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = list(set(words_of(text or "")))
-                for at in range(0, len(own), 10_000):
-                    words = own[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([mark] * len(words), pa.int64())], ["word", "mark"])
 
-    counts = docs.select("text", "mark").mapInArrow(run, "word binary, mark long").groupBy("word").agg(F.sum(1 - F.col("mark")).cast("float").alias("clean"), F.sum("mark").cast("float").alias("toxic"))
-    counts = counts.orderBy((F.col("clean") + F.col("toxic")).desc(), "word").limit(WORDS).toArrow().sort_by("word")
-    return counts.column("word").to_pylist(), np.c_[counts.column("clean").to_numpy(), counts.column("toxic").to_numpy()].astype(np.float32)
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope (at least a small one, so that scores rise with the logit) and cut."""
+    return max(float(logistic(x[:, None], y, weight)[0]), 1e-3), best_cut(x, y, weight)
 
 
-def two_features(docs: DataFrame, table: np.ndarray, bias: float) -> np.ndarray:
-    """Mark and features of docs (doc_id, text, mark), by ascending id."""
-    model = docs.sparkSession.sparkContext.broadcast((table, bias))
+def bags_of(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Buckets, counts and mark of docs (doc_id, text, mark), by ascending id; buckets that few documents have are left out in
+    Spark, where they can't count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x = features(part.column(1).to_pylist(), *model.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x[:, 0]), pa.array(x[:, 1])], ["doc_id", "mark", "largest", "words"])
-
-    rows = docs.select("doc_id", "text", "mark").mapInArrow(run, "doc_id long, mark int, largest double, words double").collect()
-    return np.array([(r["mark"], r["largest"], r["words"]) for r in sorted(rows, key=lambda r: r["doc_id"])], float).reshape(-1, 3)
+            for k in range(batch.num_rows):
+                buckets, counts = bag(batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(buckets), batch.column(0)[k].as_py(), np.int64)), pa.array(buckets.astype(np.int32)), pa.array(counts.astype(np.int32))], ["doc_id", "bucket", "n"])
+
+    least = max(1, min(LEAST, docs.count() // 100))
+    rows = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bucket int, n int"), "toxic-bags")
+    known = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= least).select("bucket")  # BUCKETS rows at most
+    packed = rows.join(F.broadcast(known), "bucket").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("bag"))
+    found = docs.select("doc_id", "mark").join(packed, "doc_id", "left").select("doc_id", "mark", "bag.bucket", "bag.n").toArrow().sort_by("doc_id")
+    empty = np.zeros(0, np.int64)
+    pick = lambda v: empty if v.as_py() is None else np.asarray(v.values).astype(np.int64)
+    return [(pick(b), pick(n), m.as_py()) for b, n, m in zip(found.column("bucket"), found.column("n"), found.column("mark"))]
+
+
+def bag_logits(bags: list[tuple[np.ndarray, np.ndarray]], model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    """The same as `logits` from bags."""
+    part, weight, bias = model
+    total = np.array([(n * weight[b]).sum() for b, n in bags])
+    mean = np.array([(n * part[b]).sum() for b, n in bags]) / np.where(total > 0, total, 1)
+    return np.where(total > 0, np.maximum(mean + bias, FLOOR), FLOOR)
+
+
+def unseen_logits(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Logits of each half's bags by a model of the other half; where a half lacks a class, by one of all."""
+    half = np.random.default_rng(seed).permutation(len(bags)) % 2
+    if any(len(set(toxic[half == k].tolist())) < 2 for k in (0, 1)):
+        return bag_logits(bags, trained(bags, toxic))
+    out = np.empty(len(bags))
+    for k in (0, 1):
+        model = trained([b for b, h in zip(bags, half) if h != k], toxic[half != k])
+        out[half == k] = bag_logits([b for b, h in zip(bags, half) if h == k], model)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, np.ndarray] | None:
-    """Bucket table, bias, and the logistic weights; None without both classes."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float, float] | None:
+    """What `logits` takes, slope and cut; None without both classes."""
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), FOLDS)).groupBy(F.col("doc_id").cast("long").alias("marked")).agg(F.max("toxic").cast("int").alias("mark"))
     usual = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
     chosen = [marks.where(F.col("mark") == k).orderBy(F.xxhash64("marked"), "marked").limit(TRAIN) for k in (0, 1)]
-    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("marked")).select("doc_id", "mark").distinct().collect()  # 2 TRAIN rows at most
-    rows = sorted((r["doc_id"], r["mark"]) for r in rows)
-    toxic = np.array([m for _, m in rows], int)
+    own = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("marked")).select("doc_id", "text", "mark")  # 2 TRAIN ids at most
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    own = own.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
+    found = bags_of(written(own, "labelled-texts"))
+    bags, toxic = [(b, n) for b, n, _ in found], np.array([m for _, _, m in found], int)
     if len(set(toxic.tolist())) < 2:
         return None
-    # vectors learn from one part, the logistic fit from the other, where their logits are as they will be
-    part = np.arange(len(rows)) % 4 == 0
-    places = docs.sparkSession.createDataFrame([(d, m, p) for (d, m), p in zip(rows, part.tolist())], "marked long, mark int, fits boolean")
-    own = docs.join(F.broadcast(places), F.col("doc_id") == F.col("marked")).select("doc_id", "text", "mark", "fits").dropDuplicates(["doc_id"])
-    own = written(own, "labelled-texts")
-    table, bias = trained_on(*word_counts(own.where("not fits")))
-    share = np.array([usual[k] / max(1, (toxic == k).sum()) for k in (0, 1)])
-    fits = own.where("fits") if len(set(toxic[part].tolist())) == 2 else own
-    x = two_features(fits, table, bias)
-    own, x = x[:, 0].astype(int), x[:, 1:]
-    weight = share[own] / share[own].mean()
-    return table, bias, logistic(x, own, weight)
+    share = np.array([usual[k] / (toxic == k).sum() for k in (0, 1)])[toxic]
+    return *trained(bags, toxic), *calibrated(unseen_logits(bags, toxic), toxic, share / share.mean())
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -208,14 +232,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 if own.value is None:
                     score = np.zeros(part.num_rows)
                 else:
-                    table, bias, w = own.value
-                    x = features(part.column(1).to_pylist(), table, bias)
-                    score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+                    *parts, slope, cut = own.value
+                    score = 1 / (1 + np.exp(-np.clip(slope * (logits(part.column(1).to_pylist(), *parts) - cut), -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score)], ["doc_id", "score"])
 
     done = docs.mapInArrow(run, "doc_id long, score double")

@@ -44,20 +44,18 @@ def test_quality_ratio(spark, sf):
 
 def test_toxicity_score(spark, sf):
     docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
-    table, bias, w = toxicity.fit(docs.select("doc_id", "text"), labels)
+    part, weight, bias, slope, cut = toxicity.fit(docs.select("doc_id", "text"), labels)
     got = {r["doc_id"]: r for r in toxicity.scored(docs, labels).collect()}
-
-    def logit(word):
-        data = b" " + word + b" "
-        grams = [data[k : k + n] for n in toxicity.GRAMS for k in range(len(data) - n + 1)]
-        place = [((int.from_bytes(g, "little") + len(g)) * int(toxicity._MIX) % (1 << 64)) >> 47 for g in grams]
-        return (np.mean([float(table[p]) for p in place]) if place else 0.0) + bias
-
-    known = {}
     for r in docs.limit(400).collect():
-        words = toxicity.words_of(r["text"] or "")
-        largest = max([toxicity.FLOOR, *(known.setdefault(x, logit(x)) for x in words)])
-        score = 1 / (1 + math.exp(-(largest * w[0] + math.log1p(len(words)) * w[1] + w[2])))
+        total = mean = 0.0
+        for word in toxicity.words_of(r["text"] or ""):
+            data = b" " + word + b" "
+            grams = [data[k : k + n] for n in toxicity.GRAMS for k in range(len(data) - n + 1)]
+            places = [int.from_bytes(g, "little") + len(g) for g in grams] + [toxicity.zlib.crc32(word)]
+            for place in (p * int(toxicity._MIX) % (1 << 64) >> 44 for p in places):
+                total, mean = total + float(weight[place]), mean + float(part[place])
+        logit = max(mean / total + bias, toxicity.FLOOR) if total else toxicity.FLOOR
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (logit - cut)))))
         assert abs(got[r["doc_id"]]["score"] - score) < 1e-4 and got[r["doc_id"]]["predicted"] == int(got[r["doc_id"]]["score"] >= 0.5)
 
 
