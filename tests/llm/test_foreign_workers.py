@@ -20,9 +20,9 @@ def importable(batches):
 
 assert spark.range(8).mapInPandas(importable, "id long").agg(F.max("id")).first()[0] == 0
 for name, run in entry.queries().items():
-    if name == "pipeline" or name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op9", "op10"):
+    if name == "pipeline" or name.split("_")[0] in ("op1", "op2", "op3", "op4", "op5", "op7", "op9", "op10", "op12", "op13"):
         print(name, run(spark, {small!r}).count(), flush=True)
-for name in ("ab_predictions", "repair_advice"):
+for name in ("ab_predictions", "repair_advice", "cdc_feed"):
     print(name, entry.queries()[name](spark, {small!r}).count(), flush=True)
 """
 
@@ -32,5 +32,5 @@ def test_queries_run_on_workers_without_the_repository(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     (tmp_path / "run.py").write_text(SCRIPT.format(root=root, small="/root/testdata/sf0.001"))
     done = subprocess.run([sys.executable, str(tmp_path / "run.py")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
-    names = [line.split()[0] for line in done.stdout.splitlines() if line.startswith(("op", "pipeline", "ab_", "repair_"))]
-    assert done.returncode == 0 and len(names) == 11, done.stdout[-500:] + done.stderr[-3000:]
+    names = [line.split()[0] for line in done.stdout.splitlines() if line.startswith(("op", "pipeline", "ab_", "repair_", "cdc_"))]
+    assert done.returncode == 0 and len(names) == 14, done.stdout[-500:] + done.stderr[-3000:]
