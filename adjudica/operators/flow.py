@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import enrichment, models, outcomes, rules, validation
@@ -53,23 +53,24 @@ SUMMARY = "batch_id long, processed long, failed long, revenue decimal(38,4), se
 def write(judged: DataFrame, path: str, number: int, key: str, original: tuple[str, ...]) -> dict:
     """Valid claims, failed ones (cut to the table's widths, with the encrypted original), statuses, and one row about the
     run, each in a folder of the batch's own, so that a batch that is run again replaces itself. The frame is kept for the
-    three writes; the counts and the revenue are observed while the statuses are written, the seconds are the writes' own."""
-    began, seen = time.perf_counter(), Observation()
+    three writes, and counts and revenue come from what was kept; the seconds are those of the writes. (An Observation would
+    count in passing, but a session that has made one can't run Spark ML models any more: its manager isn't serializable.)"""
+    began = time.perf_counter()
     kept = judged.persist()
     try:
         good, bad = outcomes.split(kept)
         failed = outcomes.truncated(outcomes.failed_records(bad, F.coalesce("revenue", "total_charge_amount"), key, original))
         valid = good.select(*original, "filter_number", F.coalesce("revenue", F.lit(0)).alias("revenue"))
-        wrong = F.size("errors") > 0
-        counted = kept.observe(
-            seen, F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("failed"),
-            F.coalesce(F.sum(F.when(~wrong, F.col("revenue"))), F.lit(0)).cast("decimal(38,4)").alias("revenue"),
-        )
-        for name, rows in (("status", statuses(counted)), ("valid", valid), ("failed", failed)):
+        for name, rows in (("valid", valid), ("failed", failed), ("status", statuses(kept))):
             rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        seconds, wrong = time.perf_counter() - began, F.size("errors") > 0
+        counted = kept.agg(
+            F.count(F.lit(1)).alias("processed"), F.coalesce(F.sum(wrong.cast("long")), F.lit(0)).alias("failed"),
+            F.coalesce(F.sum(F.when(~wrong, F.col("revenue"))), F.lit(0)).cast("decimal(38,4)").alias("revenue"),
+        ).first()
     finally:
         kept.unpersist()
-    summary = {"batch_id": number, **seen.get, "seconds": time.perf_counter() - began}
+    summary = {"batch_id": number, **counted.asDict(), "seconds": seconds}
     judged.sparkSession.createDataFrame([summary], SUMMARY).coalesce(1).write.mode("overwrite").parquet(f"{path}/summary/batch={number}")
     return summary
 
