@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import columns_of, written
 
 #: Labelled documents of each class at most; hash buckets, length of a vector, passes over the documents, documents a step.
-TRAIN, BUCKETS, SIZE, PASSES, STEP = 3_000, 1 << 20, 8, 3, 32
+TRAIN, BUCKETS, SIZE, PASSES, STEP = 3_000, 1 << 18, 8, 3, 32
 #: A subword counts if this many training documents have it (with fewer than 800 of these: one in 100).
 LEAST = 8
 GRAMS = (3, 4, 5)
@@ -68,10 +68,10 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(at + size - 1 <= stop)
         own = own[word[own] < len(words)]
         value = ((packed[own] & np.uint64((1 << 8 * size) - 1)) + np.uint64(size)) * _MIX
-        buckets.append((value >> np.uint64(64 - 20)).astype(np.int64))
+        buckets.append((value >> np.uint64(64 - 18)).astype(np.int64))
         owner.append(word[own])
     whole = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    buckets.append(((whole * _MIX) >> np.uint64(64 - 20)).astype(np.int64))
+    buckets.append(((whole * _MIX) >> np.uint64(64 - 18)).astype(np.int64))
     owner.append(np.arange(len(words)))
     return np.concatenate(buckets), np.concatenate(owner)
 
@@ -93,19 +93,26 @@ def known_weights(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.where(have >= least, np.log((len(bags) + 1) / (have + 1)), 0).astype(np.float32)
 
 
+def weighed(one: tuple[np.ndarray, np.ndarray], weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a bag that count, and what they count in all."""
+    buckets, n = one
+    share = n * weight[buckets]
+    return buckets[share > 0], share[share > 0]
+
+
 def trained(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """For each bucket its weight times its part of the toxic logit, and its weight; and the bias."""
     weight = known_weights(bags)
-    own = [(b[weight[b] > 0], (n * weight[b])[weight[b] > 0].astype(np.float32)) for b, n in bags]
-    some = np.array([k for k, (b, _) in enumerate(own) if len(b)], int)
+    some = np.array([k for k, (b, _) in enumerate(bags) if weight[b].any()], int)
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
+    vectors = rng.standard_normal((BUCKETS, SIZE), np.float32) * np.float32(0.1)
     softmax, bias = rng.normal(0, 0.3, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((SIZE, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(PASSES):
         for step in np.array_split(rng.permutation(some), max(1, len(some) // STEP)) if len(some) else ():
-            flat, share = (np.concatenate([own[k][j] for k in step]) for j in (0, 1))
-            sizes = np.array([len(own[k][0]) for k in step])
+            own = [weighed(bags[k], weight) for k in step]
+            flat, share = (np.concatenate([o[j] for o in own]) for j in (0, 1))
+            sizes = np.array([len(o[0]) for o in own])
             start = np.cumsum(sizes) - sizes
             doc = np.repeat(np.arange(len(step)), sizes)
             share = share / np.add.reduceat(share, start)[doc]
@@ -168,7 +175,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return max(float(logistic(x[:, None], y, weight)[0]), 1e-3), best_cut(x, y, weight)
 
 
-def bags_of(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def bags_of(docs: DataFrame) -> list[list]:
     """Buckets, counts and mark of docs (doc_id, text, mark), by ascending id; buckets that few documents have are left out in
     Spark, where they can't count."""
 
@@ -182,10 +189,14 @@ def bags_of(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, int]]:
     rows = written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bucket int, n int"), "toxic-bags")
     known = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("have")).where(F.col("have") >= least).select("bucket")  # BUCKETS rows at most
     packed = rows.join(F.broadcast(known), "bucket").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("bag"))
-    found = docs.select("doc_id", "mark").join(packed, "doc_id", "left").select("doc_id", "mark", "bag.bucket", "bag.n").toArrow().sort_by("doc_id")
-    empty = np.zeros(0, np.int64)
-    pick = lambda v: empty if v.as_py() is None else np.asarray(v.values).astype(np.int64)
-    return [(pick(b), pick(n), m.as_py()) for b, n, m in zip(found.column("bucket"), found.column("n"), found.column("mark"))]
+    found = docs.select("doc_id", "mark").join(packed, "doc_id", "left").select("doc_id", "mark", "bag.bucket", "bag.n").toArrow()
+    out = []
+    for batch in found.to_batches():  # parts of the received arrays, not copies of them
+        ends = np.cumsum(np.asarray(batch.column("bucket").value_lengths().fill_null(0)))
+        buckets, n = (np.asarray(batch.column(c).flatten()) for c in ("bucket", "n"))
+        for i, m, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), np.append(0, ends)[:-1].tolist(), ends.tolist()):
+            out.append((i, buckets[a:b], n[a:b], m))
+    return [bag_and_mark for _, *bag_and_mark in sorted(out, key=lambda x: x[0])]
 
 
 def bag_logits(bags: list[tuple[np.ndarray, np.ndarray]], model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:

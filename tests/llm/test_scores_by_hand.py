@@ -52,7 +52,7 @@ def test_toxicity_score(spark, sf):
             data = b" " + word + b" "
             grams = [data[k : k + n] for n in toxicity.GRAMS for k in range(len(data) - n + 1)]
             places = [int.from_bytes(g, "little") + len(g) for g in grams] + [toxicity.zlib.crc32(word)]
-            for place in (p * int(toxicity._MIX) % (1 << 64) >> 44 for p in places):
+            for place in (p * int(toxicity._MIX) % (1 << 64) >> 46 for p in places):
                 total, mean = total + float(weight[place]), mean + float(part[place])
         logit = max(mean / total + bias, toxicity.FLOOR) if total else toxicity.FLOOR
         score = 1 / (1 + math.exp(-max(-30.0, min(30.0, slope * (logit - cut)))))

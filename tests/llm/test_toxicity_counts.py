@@ -18,10 +18,10 @@ def test_bags_come_from_spark_without_rare_subwords(spark):
 def test_a_bag_by_hand():
     def place(data):
         if len(data) <= 5:
-            return ((int.from_bytes(data, "little") + len(data)) * int(toxicity._MIX) % (1 << 64)) >> 44
+            return ((int.from_bytes(data, "little") + len(data)) * int(toxicity._MIX) % (1 << 64)) >> 46
 
     want = Counter(place(w[k : k + n]) for w in (b" bad ", b" bad ", b" x ") for n in toxicity.GRAMS for k in range(len(w) - n + 1))
-    want.update((toxicity.zlib.crc32(w) * int(toxicity._MIX) % (1 << 64)) >> 44 for w in (b"bad", b"bad", b"x"))
+    want.update((toxicity.zlib.crc32(w) * int(toxicity._MIX) % (1 << 64)) >> 46 for w in (b"bad", b"bad", b"x"))
     assert dict(zip(*(a.tolist() for a in toxicity.bag("Bad, x; BAD")))) == want
     assert [len(a) for a in toxicity.bag("  ... ")] == [0, 0]
 
