@@ -5,7 +5,8 @@ or earlier in the same one. The corpus is too large for one index, so its window
 ``anchors``): fragments whose anchors have one hash meet in one bucket, and no other fragment can share a window with
 them. Four passes over blocks of whole documents, each a Spark job whose result is written to the shared folder:
 
-1. blocks: documents are read once, cut into fragments, and each fragment's anchor hash and digest go to its bucket.
+1. blocks: documents are read once and cut into fragments. Of equal fragments of a block, all but the first are repeats; the
+   first ones' anchor hash and digest go to their bucket.
 2. resolve: copies of a fragment all but the first are repeats as a whole; first ones that share their anchor with other
    contents have to be indexed.
 3. index: the blocks send these fragments to their bucket. What shares neither the bytes to the left nor to the right of
@@ -13,9 +14,11 @@ them. Four passes over blocks of whole documents, each a Spark job whose result
    the matching statistics that stream from its sampled run ends tell which windows start earlier too.
 4. marks: the blocks turn both answers into removed spans.
 
-An anchor that is too frequent for one bucket (a line that a third of all documents share) is found beforehand by counts in
-``CELLS`` cells, and its fragments take another exact way: the digests of their windows go to buckets of their own, each
-block's distinct ones once, and the first occurrence of each is looked up there.
+Frequent anchors (a line that a third of all documents share) are cut finer, by absolute bounds. A piece is a run of windows
+at the same places around their anchor, and its key is the hash of the bytes that all windows at these places hold, which
+is more than the anchor: equal windows still meet. Fragments of a bucket that more than ``FULL`` fragments go to are dealt
+out as pieces of ``WIDTHS[0]`` windows, and those of a bucket that is full of pieces as pieces of ``WIDTHS[1]``. Likewise, a
+group of one anchor that is larger than ``GROUP_BYTES`` is indexed piece by piece.
 
 What travels is packed in one binary value for each block and bucket, so a pass costs bytes, not rows. A block holds
 ``blocks.BLOCK_BYTES`` (or one longer document) and a bucket the anchors of about ``BUCKET_BYTES`` of text.
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +42,11 @@ from pyspark.sql import functions as F
 from . import runindex
 from .anchors import GRAM, MOST, WINDOW, digests, fragments, gram_hashes_at, mixed
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
-from .chunks import resolve as first_of_each
-from .chunks import steps
 from .common import columns_of, corpus_size, written
 
-BUCKET_BYTES, INDEX_BYTES = 32 << 20, 1 << 18
-#: Cells in which anchors are counted; a cell with more than HOT_ANCHORS, or HOT_MEANS times the mean, takes the other way.
-CELLS, HOT_ANCHORS, HOT_MEANS = 1 << 16, 200_000, 8
+BUCKET_BYTES, INDEX_BYTES, GROUP_BYTES = 32 << 20, 1 << 18, 1 << 22
+#: Fragments of a full bucket (BUCKET_BYTES of text have about half as many), and the windows of the pieces they are cut into.
+FULL, WIDTHS = 2_000_000, (8, 1)
 NOTHING, COPY, INDEXED = 0, 1, 2
 #: Every window holds so many bytes beside its anchor on one side.
 SIDE = (MOST - 1) // 2
@@ -62,85 +63,122 @@ def from_six(x: np.ndarray) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def repeated(key: np.ndarray, content: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether an earlier piece has the same key and content; those of one document stand in their order."""
+    order = np.lexsort((ids, content, key))
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = (key[order][1:] == key[order][:-1]) & (content[order][1:] == content[order][:-1])
+    return out
+
+
+def finer(buf: np.ndarray, start: np.ndarray, offset: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The windows [low, high) of fragments as pieces of at most `width`: each piece's fragment, its windows, its key."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    window = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    place = (offset[of] - window) // width
+    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (place[1:] != place[:-1])][: len(of)])
+    of, place = of[new], place[new]
+    held = start[of] + offset[of] - place * width  # where the last window at these places starts
+    order = np.argsort(held, kind="stable")
+    key = np.empty(len(of), np.uint64)
+    key[order] = digests(buf, held[order], np.full(len(of), WINDOW - width + 1))
+    return of, window[new], window[new] + np.diff(np.r_[new, len(window)]), key
+
+
+def messages(block: int, h: np.ndarray, d: np.ndarray, ids: np.ndarray, doc: np.ndarray, buckets: dict[int, np.ndarray]) -> Iterator[tuple]:
+    for bucket, own in buckets.items():
+        names, at = np.unique(doc[own], return_inverse=True)
+        yield 1, block, bucket, pack(h[own], d[own], ids[names], at.astype(np.uint32))
+
+
+def fullness(block: int, buckets: dict[int, np.ndarray]) -> tuple:
+    """How many fragments go to each bucket (kind 5)."""
+    return 5, block, -1, pack(np.array(list(buckets), np.int32), np.array([len(own) for own in buckets.values()], np.uint32))
+
+
 def cut_block(table: pa.Table, block: int, buckets: int) -> list[tuple]:
     """The block itself (kind 0) and what it sends to the buckets (kind 1)."""
     buf, lengths = text_bytes(table)
     ids = ids_of(table)
     doc, start, windows, anchor, h = fragments(buf, lengths)
-    shape = pack(np.bincount(doc, minlength=len(ids)).astype(np.uint32), windows.astype(np.uint8), (anchor - start).astype(np.uint8))
-    rows = [(0, block, -1, pickle.dumps((to_ipc(table), shape), protocol=5))]
     d, h = digests(buf, start, windows + WINDOW - 1), six(h)
-    cell = np.bincount((from_six(h) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    rows.append((5, block, -1, pack(cell.astype(np.uint32))))
-    for bucket, own in by_bucket((from_six(h) % np.uint64(buckets)).astype(np.int64)):
-        names, at = np.unique(doc[own], return_inverse=True)
-        rows.append((1, block, bucket, pack(h[own], d[own], ids[names], at.astype(np.uint32))))
-    return rows
+    again = repeated(from_six(h), d, ids[doc])
+    shape = pack(np.bincount(doc, minlength=len(ids)).astype(np.uint32), windows.astype(np.uint8), (anchor - start).astype(np.uint8), again)
+    first = np.flatnonzero(~again)
+    dealt = {bucket: first[own] for bucket, own in by_bucket((from_six(h[first]) % np.uint64(buckets)).astype(np.int64))}
+    return [(0, block, -1, pickle.dumps((to_ipc(table), shape), protocol=5)), fullness(block, dealt), *messages(block, h, d, ids, doc, dealt)]
 
 
-def hot_cells(table: DataFrame) -> np.ndarray:
-    """A flag for each cell; the counts are added up by cell, and only the hot ones' numbers (CELLS at most) are collected."""
+def full_buckets(counts: DataFrame, buckets: int) -> np.ndarray:
+    """A flag for each bucket; the numbers of full ones, one in FULL fragments at most, are collected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                total += unpack(payload)[0]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-
-    counts = table.where("kind = 5").select("payload").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = written(counts, "cells")
-    mean = (counts.agg(F.sum("n")).first()[0] or 0) / CELLS
-    hot = np.zeros(CELLS, bool)
-    hot[[r["cell"] for r in counts.where(F.col("n") > max(HOT_ANCHORS, HOT_MEANS * mean)).select("cell").collect()]] = True
-    return hot
-
-
-def without_hot(hot: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What blocks send to buckets, less the hot anchors."""
-    for batch in batches:
-        rows = []
-        for kind, block, bucket, payload in zip(*(c.to_pylist() for c in batch.columns)):
-            h, d, names, at = unpack(payload)
-            stays = ~hot[(from_six(h) % np.uint64(CELLS)).astype(np.int64)]
-            if stays.any():
-                rows.append((kind, block, bucket, pack(h[stays], d[stays], names, at[stays])))
-        yield from parts(rows).to_batches()
+                bucket, n = unpack(payload)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64))], ["bucket", "n"])
+
+    full = np.zeros(buckets, bool)
+    total = counts.where("kind = 5").select("payload").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    full[[r["bucket"] for r in total.where(F.col("n") > FULL).select("bucket").collect()]] = True
+    return full
 
 
 class Block:
-    """A block with its fragments, as cut_block has left it."""
+    """A block with its fragments, as cut_block has left it. Those of full buckets are pieces: full[k] has the full buckets
+    of the k-th dealing. `copies` are repeats within the block, of which nothing is sent."""
 
-    def __init__(self, payload: bytes, buckets: int, hot: np.ndarray) -> None:
+    def __init__(self, payload: bytes, buckets: int, full: tuple[np.ndarray, ...]) -> None:
         table, shape = pickle.loads(payload)
         self.table = from_ipc(table)
         self.buf, self.lengths = text_bytes(self.table)
         self.ids = ids_of(self.table)
-        counts, windows, offset = unpack(shape)
-        self.windows = windows.astype(np.int64)
-        self.doc = np.repeat(np.arange(len(counts)), counts)
-        self.offset = offset
-        before = np.cumsum(self.windows) - self.windows
+        counts, windows, offset, again = unpack(shape)
+        windows, offset = windows.astype(np.int64), offset.astype(np.int64)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        before = np.cumsum(windows) - windows
         firsts = np.cumsum(counts, dtype=np.int64) - counts
-        self.start = before + np.repeat((np.cumsum(self.lengths) - self.lengths) - np.append(before, 0)[np.minimum(firsts, len(before))], counts)
-        self.h = six(gram_hashes_at(self.buf, self.start + offset)) if len(offset) else np.zeros((0, 6), np.uint8)
-        dealt = (from_six(self.h) % np.uint64(buckets)).astype(np.int64)
-        self.hot = hot[(from_six(self.h) % np.uint64(CELLS)).astype(np.int64)]
-        cool = np.flatnonzero(~self.hot)
-        self.buckets = {bucket: cool[own] for bucket, own in by_bucket(dealt[cool])}
-
-    def hot_windows(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-        """Starts of the windows of hot fragments, the places of each distinct one's first, its digest, and the buckets' shares of these."""
-        own = np.flatnonzero(self.hot)
-        n = self.windows[own]
-        start = np.repeat(self.start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        length = np.full(len(start), WINDOW)
-        digest = np.c_[digests(self.buf, start, length), digests(self.buf, start, length, 1)]
-        ids = self.ids[np.repeat(self.doc[own], n)]
-        order = np.lexsort((start, ids, digest[:, 1], digest[:, 0]))
-        first = order[np.r_[True, (digest[order][1:] != digest[order][:-1]).any(1)][: len(order)]]
-        return start, first, digest[first], dict(by_bucket((digest[first, 0] % np.uint64(buckets)).astype(np.int64)))
+        start = before + np.repeat((np.cumsum(self.lengths) - self.lengths) - np.append(before, 0)[np.minimum(firsts, len(before))], counts)
+        h = six(gram_hashes_at(self.buf, start + offset)) if len(offset) else np.zeros((0, 6), np.uint8)
+        level, sent, copies = (doc, start, windows, offset, h), [], []
+        for k in range(len(full) + 1):
+            copies.append((level[1][again], level[2][again]))
+            level = tuple(x[~again] for x in level)
+            bucket = (from_six(level[4]) % np.uint64(buckets)).astype(np.int64)
+            stays = ~full[k][bucket] if k < len(full) else np.ones(len(bucket), bool)
+            sent.append(tuple(x[stays] for x in level))
+            if stays.all():
+                break
+            doc, start, windows, offset, _ = (x[~stays] for x in level)
+            of, low, high, key = finer(self.buf, start, offset, np.zeros_like(windows), windows, WIDTHS[k])
+            level = doc[of], start[of] + low, high - low, offset[of] - low, six(key)
+            again = repeated(from_six(level[4]), digests(self.buf, level[1], level[2] + WINDOW - 1), self.ids[level[0]])
+        self.newest = sent[-1] if len(sent) > len(full) else tuple(x[:0] for x in sent[-1])
+        columns = [np.concatenate(x) for x in zip(*sent)]
+        order = np.argsort(columns[1], kind="stable")
+        self.doc, self.start, self.windows, self.offset, self.h = (x[order] for x in columns)
+        self.copies = tuple(np.concatenate(x) for x in zip(*copies))
+        self.buckets = dict(by_bucket((from_six(self.h) % np.uint64(buckets)).astype(np.int64)))
+
+
+def newest_pieces(block: int, own: Block, buckets: int) -> list[tuple]:
+    """How many pieces of the last dealing go to each bucket."""
+    return [fullness(block, dict(by_bucket((from_six(own.newest[4]) % np.uint64(buckets)).astype(np.int64))))]
+
+
+def all_messages(block: int, own: Block, buckets: int) -> list[tuple]:
+    """What a block sends to the buckets once full ones are known."""
+    return list(messages(block, own.h, digests(own.buf, own.start, own.windows + WINDOW - 1), own.ids, own.doc, own.buckets))
+
+
+def of_blocks(blocks: DataFrame, what: Callable[[int, Block, int], list[tuple]], buckets: int, full: tuple[np.ndarray, ...]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
+                yield from parts(what(block, Block(payload.as_py(), buckets, full), buckets)).to_batches()
+
+    return blocks.mapInArrow(run, PART)
 
 
 def resolve(table: pa.Table) -> pa.Table:
@@ -161,22 +199,18 @@ def resolve(table: pa.Table) -> pa.Table:
     return parts([(2, block, bucket, pack(a)) for (block, _), a in zip(rows, np.split(answer, ends[:-1]))])
 
 
-def send(blocks: pa.Table, answers: pa.Table, buckets: int, hot: np.ndarray) -> pa.Table:
-    """The fragments of one block that have to be indexed (kind 3), and the windows of hot ones (kind 6), to their buckets."""
+def send(blocks: pa.Table, answers: pa.Table, buckets: int, full: tuple[np.ndarray, ...]) -> pa.Table:
+    """The fragments of one block that have to be indexed (kind 3), to their buckets."""
     if not blocks.num_rows:
         return parts([])
-    own, out = Block(blocks.column("payload")[0].as_py(), buckets, hot), []
+    own, out = Block(blocks.column("payload")[0].as_py(), buckets, full), []
     block = blocks.column("block")[0].as_py()
     for bucket, payload in zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist()):
         at = own.buckets[bucket][unpack(payload)[0] == INDEXED]
         if len(at):
             lengths = own.windows[at] + WINDOW - 1
             take = np.repeat(own.start[at] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take], own.offset[at])))
-    if own.hot.any():
-        start, first, digest, dealt = own.hot_windows(buckets)
-        owner = own.ids[np.searchsorted(np.cumsum(own.lengths), start[first], side="right")]
-        out += [(6, block, bucket, pack(digest[at], steps(owner[at]))) for bucket, at in dealt.items()]
+            out.append((3, block, bucket, pack(own.h[at], lengths.astype(np.uint8), own.ids[own.doc[at]], own.buf[take], own.offset[at].astype(np.uint8))))
     return parts(out)
 
 
@@ -223,61 +257,72 @@ def index(table: pa.Table) -> pa.Table:
     offset = np.concatenate([p[4] for p in parts_]).astype(np.int64)
     begin = np.cumsum(lengths) - lengths
     low, high = sharing_windows(h, text, begin, lengths, offset)
-    chosen = np.flatnonzero(high > low)
     masks = np.zeros(len(h), np.uint64)
-    lengths, begin = (high - low)[chosen] + WINDOW - 1, (begin + low)[chosen]
-    order = np.lexsort((ids[chosen], h[chosen]))
-    new = np.flatnonzero(np.r_[True, h[chosen][order][1:] != h[chosen][order][:-1]])
+    at = np.flatnonzero(high > low)
+    low, high, key = low[at], high[at], h[at]
+    for width in WIDTHS:
+        large = too_large(key, high - low + WINDOW - 1)
+        match(text, begin, ids, masks, *(x[~large] for x in (at, low, high, key)))
+        of, low, high, key = finer(text, begin[at[large]], offset[at[large]], low[large], high[large], width)
+        at = at[large][of]
+        again = repeated(key, digests(text, begin[at] + low, high - low + WINDOW - 1), ids[at])
+        np.bitwise_or.at(masks, at[again], ((np.uint64(1) << (high - low).astype(np.uint64)) - np.uint64(1) << low.astype(np.uint64))[again])
+        at, low, high, key = (x[~again] for x in (at, low, high, key))
+        some = shared(key, np.zeros(len(key), np.uint64))
+        at, low, high, key = (x[some] for x in (at, low, high, key))
+    match(text, begin, ids, masks, at, low, high, key)
+    bucket = table.column("bucket")[0].as_py()
+    ends = np.cumsum([len(p[0]) for p in parts_])
+    return parts([(4, block, bucket, pack(m)) for (block, _), m in zip(rows, np.split(masks, ends[:-1]))])
+
+
+def too_large(key: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the pieces with this key are over GROUP_BYTES together."""
+    group = np.unique(key, return_inverse=True)[1]
+    return np.bincount(group, lengths, minlength=1)[group] > GROUP_BYTES
+
+
+def match(text, begin, ids, masks, at, low, high, key) -> None:
+    """Sets the windows [low, high) of fragments `at` that start earlier in another with the same key, by run-length indexes
+    over whole groups of one key, up to INDEX_BYTES together or one larger group."""
+    lengths, start = high - low + WINDOW - 1, begin[at] + low
+    order = np.lexsort((ids[at], key))
+    new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     size = np.cumsum(lengths[order])
     first = 0
-    while first < len(order):  # whole groups of one anchor, up to INDEX_BYTES together
+    while first < len(order):
         reach = np.searchsorted(size, (size[first - 1] if first else 0) + INDEX_BYTES)
         later = new[np.searchsorted(new, max(reach, first + 1)) :]
         last = int(later[0]) if len(later) else len(order)
         own = order[first:last]
         n = lengths[own]
-        at = np.cumsum(n + 1) - n - 1
+        end = np.cumsum(n + 1) - n - 1
         laid = np.zeros(int((n + 1).sum()), np.uint8)
-        laid[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())] = text[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        masks[chosen[own]] = runindex.matches(runindex.build(laid, n), n, WINDOW) << low[chosen[own]].astype(np.uint64)
+        laid[np.repeat(end - (np.cumsum(n) - n), n) + np.arange(n.sum())] = text[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        np.bitwise_or.at(masks, at[own], runindex.matches(runindex.build(laid, n), n, WINDOW) << low[own].astype(np.uint64))
         first = last
-    bucket = table.column("bucket")[0].as_py()
-    ends = np.cumsum([len(p[0]) for p in parts_])
-    return parts([(4, block, bucket, pack(m)) for (block, _), m in zip(rows, np.split(masks, ends[:-1]))])
-
 
-def bucket_of(table: pa.Table) -> pa.Table:
-    """A bucket of fragments, or one of window digests."""
-    if table.column("kind")[0].as_py() == 3:
-        return index(table)
-    answers = first_of_each(table)
-    return answers.set_column(0, "kind", pa.array([7] * answers.num_rows, pa.int8()))
 
-
-def removed(own: Block, answers: pa.Table, buckets: int) -> np.ndarray:
+def removed(own: Block, answers: pa.Table) -> np.ndarray:
     """A flag for each byte of a block."""
     edge = np.zeros(len(own.buf) + 1, np.int32)
+
+    def gone(start: np.ndarray, windows: np.ndarray) -> None:
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + windows + WINDOW - 1, -1)
+
+    gone(*own.copies)
     found = {(k, b): p for k, b, p in zip(answers.column("kind").to_pylist(), answers.column("bucket").to_pylist(), answers.column("payload").to_pylist())}
     for (kind, bucket), payload in found.items():
         if kind != 2:
             continue
         answer, at = unpack(payload)[0], own.buckets[bucket]
         copies = at[answer == COPY]
-        np.add.at(edge, own.start[copies], 1)
-        np.add.at(edge, own.start[copies] + own.windows[copies] + WINDOW - 1, -1)
+        gone(own.start[copies], own.windows[copies])
         if (4, bucket) in found:
             masks = unpack(found[4, bucket])[0]
             which, bit = np.nonzero(np.unpackbits(masks.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            start = own.start[at[answer == INDEXED]][which] + bit
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + WINDOW, -1)
-    if own.hot.any():
-        start, first, _, dealt = own.hot_windows(buckets)
-        repeats = np.ones(len(start), bool)
-        for bucket, at in dealt.items():
-            repeats[first[at]] = ~unpack(found[7, bucket])[0]
-        np.add.at(edge, start[repeats], 1)
-        np.add.at(edge, start[repeats] + WINDOW, -1)
+            gone(own.start[at[answer == INDEXED]][which] + bit, np.ones(len(bit), np.int64))
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -298,19 +343,20 @@ def deduplicated(docs: DataFrame, keep: tuple[str, ...] = (), texts: bool = True
 
     table = written(in_blocks(docs, lambda t, block: cut_block(t, block, buckets)), "fragments")
     blocks = table.where("kind = 0")
-    hot = hot_cells(table)
     sent = table.where("kind = 1")
-    if hot.any():
-        sent = sent.mapInArrow(lambda batches: without_hot(hot, batches), PART)
+    full = (full_buckets(table, buckets),)
+    if full[0].any():
+        full += (full_buckets(of_blocks(blocks, newest_pieces, buckets, full), buckets),)
+        sent = of_blocks(blocks, all_messages, buckets, full)
     answers = written(sent.groupBy("bucket").applyInArrow(resolve, PART), "answers")
-    to_bucket = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: send(b, a, buckets, hot), PART)
-    matched = written(to_bucket.groupBy("kind", "bucket").applyInArrow(bucket_of, PART), "matched")
+    to_bucket = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda b, a: send(b, a, buckets, full), PART)
+    matched = written(to_bucket.groupBy("bucket").applyInArrow(index, PART), "matched")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{n}` {t}" for n, t in fields.items() if n != "text") + ", n_bytes long, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept string"
 
     def mark(b: pa.Table, a: pa.Table) -> pa.Table:
-        own = Block(b.column("payload")[0].as_py(), buckets, hot)
-        gone = removed(own, a, buckets)
+        own = Block(b.column("payload")[0].as_py(), buckets, full)
+        gone = removed(own, a)
         out: list[tuple] = []
         ends = np.cumsum(own.lengths)
         absent = own.table.column("text").is_null().to_pylist()

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,15 +108,55 @@ def test_digests_do_not_depend_on_the_place():
     assert at(a, 3) == at(b, 0) != at(b, 1)
 
 
-@pytest.mark.parametrize("hot", [0, 20])
-def test_hot_anchors_take_the_other_way(spark, sf, monkeypatch, hot):
+@pytest.mark.parametrize(("full", "group"), [(0, 1 << 22), (1500, 1 << 22), (4000, 1 << 22), (2_000_000, 0), (2_000_000, 1500), (1500, 1500)])
+def test_frequent_anchors_are_cut_finer(spark, sf, monkeypatch, full, group):
+    """Small bounds: all buckets, or some of them, are full of fragments and of pieces; groups are larger than allowed."""
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 50_000)
-    monkeypatch.setattr(suffixes, "HOT_ANCHORS", hot)
-    monkeypatch.setattr(suffixes, "HOT_MEANS", 0)
+    monkeypatch.setattr(suffixes, "FULL", full)
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", group)
     docs = documents(spark, sf).where("doc_id < 300")
     assert result(suffixes.summary(docs)) == slow([(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("width", [8, 1])
+def test_equal_windows_meet_in_pieces_of_one_key(width):
+    rng = np.random.default_rng(4)
+    line = rng.integers(97, 123, 130, dtype=np.uint8)
+    lengths = np.array([400] * 50)
+    buf = np.concatenate([np.r_[rng.integers(97, 123, a), line, rng.integers(97, 123, 270 - a)] for a in rng.integers(0, 270, 50)]).astype(np.uint8)
+    doc, start, windows, anchor, h = anchors.fragments(buf, lengths)
+    of, low, high, key = suffixes.finer(buf, start, anchor - start, np.zeros_like(windows), windows, width)
+    assert (high - low).max() <= width and (np.bincount(of, high - low) == windows).all()
+    keys: dict[bytes, set] = {}
+    for k, a, b, name in zip(of.tolist(), low.tolist(), high.tolist(), key.tolist()):
+        for p in range(start[k] + a, start[k] + b):
+            keys.setdefault(buf[p : p + 100].tobytes(), set()).add(name)
+    assert len(keys) < windows.sum() and all(len(names) == 1 for names in keys.values())
+
+
+def test_a_group_over_the_bound_is_never_indexed_whole(spark, monkeypatch):
+    """2,000 texts share a line and differ beside it: no index holds more than the bound, and the rows stay right."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = word(90)
+    rows = [(k, word(60) + rng.choice("xyz") * 8 + line + rng.choice("uvw") * 8 + word(60)) for k in range(2000)]
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(suffixes, "INDEX_BYTES", 10_000)
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": [t for _, t in rows]})
+    sizes = []
+    build = suffixes.runindex.build
+    monkeypatch.setattr(suffixes.runindex, "build", lambda text, n: sizes.append(len(text)) or build(text, n))
+    made = suffixes.cut_block(table, 0, 1)
+    answers = suffixes.resolve(suffixes.parts([r for r in made if r[0] == 1]))
+    full = (np.zeros(1, bool),)
+    matched = suffixes.index(suffixes.send(suffixes.parts(made[:1]), answers, 1, full))
+    gone = suffixes.removed(suffixes.Block(made[0][3], 1, full), pa.concat_tables([answers, matched]))
+    want = slow([(i, t.encode()) for i, t in rows])
+    ends = np.cumsum([len(t) for _, t in rows])
+    assert [int(gone[e - len(t) : e].sum()) for e, (_, t) in zip(ends, rows)] == [want[i][0][1] for i, _ in rows]
+    assert gone.any() and sizes and max(sizes) <= 31_000  # a group at the bound, after less than INDEX_BYTES of others
+
+
 def test_special_cases(spark, monkeypatch):
     random.seed(5)
     word = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
