@@ -166,25 +166,42 @@ def save_bucketed(df: DataFrame, name: str, path: str, n: int, key: str = "claim
     return spark.table(name)
 
 
-def process_shards(claims: DataFrame, lines: DataFrame, n: int, key: str) -> DataFrame:
+def process_shards(claims: DataFrame, lines: DataFrame, n: int) -> DataFrame:
     """What every shard accepts, of bucketed claims and lines: shard, claims, lines, charges. The lines are summed and joined
     within their buckets; only the sums of n shards are exchanged. Hot facilities fill a shard, but no task: buckets are
     by claim."""
     own = lines.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("charge_amount").alias("line_charges"))
     joined = claims.join(own, "claim_id", "left").withColumn("shard", route_shard(F.col("facility_id"), n))
-    accepted = insertable(joined, key)
-    return accepted.groupBy("shard").agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"), F.sum("line_charges").cast("double").alias("charges"))
+    return accepted(joined).groupBy("shard").agg(F.count(F.lit(1)).alias("accepted"), F.coalesce(F.sum("n_lines"), F.lit(0)).alias("lines"), F.sum("line_charges").cast("double").alias("charges"))
+
+
+def accepted(claims: DataFrame) -> DataFrame:
+    """Claims with account and facility."""
+    return claims.where(F.col("patient_account_number").isNotNull() & (F.col("patient_account_number") != "") & F.col("facility_id").isNotNull())
+
+
+def identified(claims: DataFrame, run: int = 10_000) -> DataFrame:
+    """Claims without an id get one made from the row and from its number among equal rows, so that it is the same when a task
+    runs again. Equal rows are counted before they are exchanged, and leave in runs of bounded length that many tasks share."""
+    cols = claims.columns
+    digest = F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
+    claims = claims.withColumn("claim_id", F.col("claim_id").cast("string"))
+    own = [c for c in cols if c != "claim_id"]
+    equal = claims.where("claim_id IS NULL").groupBy(digest.alias("_row")).agg(*[F.first(c).alias(c) for c in own], F.count(F.lit(1)).alias("_n"))
+    runs = equal.withColumn("_run", F.explode(F.expr(f"sequence(0L, (_n - 1) div {run})"))).repartition("_row", "_run")
+    each = runs.withColumn("_place", F.explode(F.expr(f"sequence(_run * {run} + 1, least(_n, (_run + 1) * {run}))")))
+    name = F.when(F.col("_place") == 1, F.col("_row")).otherwise(F.md5(F.concat_ws("-", "_row", "_place")))
+    made = F.concat_ws("-", *[F.substring(name, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return claims.where("claim_id IS NOT NULL").unionByName(each.select(made.alias("claim_id"), *own))
 
 
 def insertable(claims: DataFrame, key: str) -> DataFrame:
-    """Claims with account and facility, the account encrypted; a missing id is made from the row, so that it is the same
-    when a task runs again; missing status, stage and date get their defaults."""
-    ok = claims.where(F.col("patient_account_number").isNotNull() & (F.col("patient_account_number") != "") & F.col("facility_id").isNotNull())
-    digest = F.md5(F.to_json(F.struct(*claims.columns), {"ignoreNullFields": "false"}))
-    made = F.concat_ws("-", *[F.substring(digest, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    """Claims with account and facility, the account encrypted; every claim has an id of its own (see `identified`); missing
+    status, stage and date get their defaults."""
+    ok = identified(accepted(claims))
     stage = F.coalesce(F.col("processing_stage") if "processing_stage" in claims.columns else F.lit(None), F.lit("completed"))
     return ok.withColumns({
-        "claim_id": F.coalesce(F.col("claim_id").cast("string"), made), "processing_status": F.coalesce("processing_status", F.lit("completed")), "processing_stage": stage,
+        "processing_status": F.coalesce("processing_status", F.lit("completed")), "processing_stage": stage,
         "service_to_date": F.coalesce("service_to_date", "service_from_date"), "patient_account_number": encrypted(F.col("patient_account_number"), key),
     })
 

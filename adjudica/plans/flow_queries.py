@@ -228,7 +228,7 @@ def batch_runs(spark, sf):
 
 @CLAIMS.add("shards_bucketed", CTE + "SELECT (('0x' || substr(md5(facility_id::VARCHAR), 1, 8))::BIGINT % 4)::INT AS shard, count(*) AS accepted, coalesce(sum(n), 0)::BIGINT AS lines, sum(charges)::DOUBLE AS charges FROM claims LEFT JOIN (SELECT claim_id, count(*) AS n, sum(charge_amount) AS charges FROM lines GROUP BY claim_id) USING (claim_id) WHERE patient_account_number <> '' AND facility_id IS NOT NULL GROUP BY 1")
 def shards_bucketed(spark, sf):
-    return outcomes.process_shards(*bucketed(spark, sf), 4, CLAIMS_KEY)
+    return outcomes.process_shards(*bucketed(spark, sf), 4)
 
 
 def bucketed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,18 @@ def test_insertable_gets_an_id(spark):
     assert privacy.decrypt(df, "k").first()["patient_account_number"] == "1"
 
 
+def test_equal_claims_get_ids_of_their_own(spark):
+    kinds = "claim_id string, patient_account_number string, facility_id int, tags array<string>"
+    rows = [(None, "1", 1, ["a"])] * 25 + [(None, "2", 1, None), ("7", "1", 1, ["a"]), ("7", "1", 1, ["a"])]
+    claims = spark.createDataFrame(rows, kinds).repartition(3)
+    got = outcomes.identified(claims, run=10)
+    ids = [r["claim_id"] for r in got.collect()]
+    assert got.columns == claims.columns and len(ids) == 28 and len(set(ids)) == 27 and all(ids)
+    assert sorted(ids) == sorted(r["claim_id"] for r in outcomes.identified(claims.repartition(5), run=4).collect())
+    assert sorted(map(str, got.drop("claim_id").collect())) == sorted(map(str, claims.drop("claim_id").collect()))
+    assert outcomes.identified(claims.limit(0)).collect() == []
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("High",), ("2",), ("odd",), (None,), ("LOW",), ("7",)], "p string")
     assert one(df.select(scalar.priority_rank(F.col("p")).alias("r")), "r") == [3, 2, 2, 2, 1, 7]

@@ -165,7 +165,7 @@ def test_bucketed_tables_are_joined_where_they_lie(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        done = outcomes.process_shards(*own, 4, "k")
+        done = outcomes.process_shards(*own, 4)
         plan = done._jdf.queryExecution().executedPlan().toString()
         below = plan.split("SortMergeJoin")[1]
         assert "Exchange" not in below and plan.count("Exchange") == 1
