@@ -44,7 +44,7 @@ from .anchors import GRAM, MOST, WINDOW, digests, fragments, gram_hashes_at, mix
 from .blocks import PART, by_bucket, from_ipc, ids_of, in_blocks, pack, parts, text_bytes, to_ipc, unpack
 from .common import columns_of, corpus_size, written
 
-BUCKET_BYTES, INDEX_BYTES, GROUP_BYTES = 32 << 20, 1 << 18, 1 << 22
+BUCKET_BYTES, INDEX_BYTES, GROUP_BYTES = 24 << 20, 1 << 18, 1 << 22
 #: Fragments of a full bucket (BUCKET_BYTES of text have about half as many), and the windows of the pieces they are cut into.
 FULL, WIDTHS = 2_000_000, (8, 1)
 NOTHING, COPY, INDEXED = 0, 1, 2
