@@ -66,15 +66,26 @@ def latency_p99(samples: DataFrame, n: int = 1000) -> DataFrame:
     return last.select("name", "value", rank.alias("_r"), size.alias("samples")).where("_r = least(samples * 99 div 100, samples - 1) + 1").select("name", "samples", F.col("value").alias("p99"))
 
 
-def rolling_hour(samples: DataFrame) -> DataFrame:
-    """Sum of the last 3600 s at each sample, both ends included. Every sample is laid into its hour and the next one, and
-    each hour of a name is a window of its own, as a few names may hold all samples."""
+def rolling_hour(samples: DataFrame, seconds: int = STRETCH // 60) -> DataFrame:
+    """Sum of the last 3600 s at each sample, both ends included. A sample is added at its own time and taken away right after
+    its hour, so each sum is one of running totals, however many samples the hour holds. The totals run within stretches of
+    `seconds`, on top of what the stretches before leave: a name's window holds one row a stretch, no window all its samples."""
     micros, hour = F.unix_micros("at"), 3_600_000_000
-    own = samples.withColumn("_at", micros).withColumn("_own", F.floor(micros / hour))
-    laid = own.withColumn("_hour", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    window = Window.partitionBy("name", "_hour").orderBy("_at").rangeBetween(-hour, 0)
-    summed = laid.withColumn("hour_sum", F.sum(F.col("value").cast("decimal(20,6)")).over(window).cast("double"))
-    return summed.where("_own = _hour or _at is null and _own is null and _hour is null").drop("_at", "_own", "_hour")
+    value = F.col("value").cast("decimal(20,6)")
+    own = samples.withColumns({"_at": micros, "_value": value, "_n": F.col("value").isNotNull().cast("long")})
+    gone = own.where("_at is not null").select(F.col("name"), (F.col("_at") + hour + 1).alias("_at"), (-F.col("_value")).alias("_value"), (-F.col("_n")).alias("_n"))
+    moves = own.withColumn("_own", F.lit(True)).unionByName(gone.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    moves = moves.withColumn("_stretch", F.floor(F.col("_at") / (seconds * 1_000_000)))
+    earlier = Window.partitionBy("name").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = moves.where("_stretch is not null").groupBy("name", "_stretch").agg(F.sum("_value").alias("_value"), F.sum("_n").alias("_n"))
+    before = totals.select(F.col("name").alias("_name"), F.col("_stretch").alias("_until"), F.sum("_value").over(earlier).alias("_sum_before"), F.sum("_n").over(earlier).alias("_n_before"))
+    inside = Window.partitionBy("name", "_stretch").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = moves.withColumns({"_sum": F.sum("_value").over(inside), "_count": F.sum("_n").over(inside)}).where("_own")
+    joined = run.join(before, F.col("name").eqNullSafe(F.col("_name")) & (F.col("_stretch") == F.col("_until")), "left")
+    zero = F.lit(0).cast("decimal(38,6)")
+    total = F.coalesce("_sum", zero) + F.coalesce("_sum_before", zero)
+    some = F.col("_count") + F.coalesce("_n_before", F.lit(0)) > 0
+    return joined.select(*samples.columns, F.when(some, total).cast("double").alias("hour_sum"))
 
 
 def next_code_counts(df: DataFrame, k: int, entity: str, code: str, *order: str) -> DataFrame:

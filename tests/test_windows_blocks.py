@@ -44,3 +44,17 @@ def test_no_window_holds_a_whole_metric(spark):
     by = [line.split("windowspecdefinition(")[1].split(", ")[:2] for line in plan.splitlines() if "windowspecdefinition(" in line]
     alone = [line for line in plan.splitlines() if "windowspecdefinition(name" in line and "_n#" not in line and "_at#" not in line.split("windowspecdefinition(")[1][:30] and "_block#" not in line.split("windowspecdefinition(")[1][:30]]
     assert len(by) == 3 and not alone, plan
+
+
+@pytest.mark.parametrize("seconds", [60, 3600, 10_000])
+def test_rolling_hour_is_a_running_total(spark, seconds):
+    """With ties, nulls, samples without a time or a name, and both ends of the hour; no frame is summed anew at each row."""
+    edges = [(1000 + k, "edge", datetime(2024, 1, 1) + timedelta(seconds=s, microseconds=us), float(k)) for k, (s, us) in enumerate([(0, 0), (3600, 0), (3600, 1), (7199, 999_999), (7200, 0), (7200, 1)])]
+    df = samples(spark).unionByName(spark.createDataFrame(edges, KIND))
+    micros, one = F.unix_micros("at"), 3_600_000_000
+    whole = F.sum(F.col("value").cast("decimal(20,6)")).over(Window.partitionBy("name").orderBy(micros).rangeBetween(-one, 0)).cast("double")
+    got = windows.rolling_hour(df, seconds)
+    assert got.columns == [*df.columns, "hour_sum"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.withColumn("hour_sum", whole).collect()))
+    frames = [line.split("specifiedwindowframe(")[1].split(",")[1].strip() for line in got._jdf.queryExecution().optimizedPlan().toString().split("windowspecdefinition(") if "specifiedwindowframe(" in line]
+    assert frames and set(frames) == {"unboundedpreceding$()"}
