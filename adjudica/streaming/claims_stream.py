@@ -21,9 +21,18 @@ def cdc_source(spark: SparkSession, path: str, schema: StructType, files_per_tri
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """All that is there now, in micro-batches; a batch that is run again has the number it had before."""
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, settings: dict[str, str] | None = None) -> StreamingQuery:
+    """All that is there now, in micro-batches; a batch that is run again has the number it had before. A query takes the
+    session's settings when it starts: `settings` hold for this one alone."""
+    conf = stream.sparkSession.conf
+    before = {name: conf.get(name, None) for name in settings or {}}
+    try:
+        for name, value in (settings or {}).items():
+            conf.set(name, value)
+        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     query.awaitTermination()
     return query
 

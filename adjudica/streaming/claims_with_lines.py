@@ -18,6 +18,14 @@ from adjudica.operators import enrichment
 
 from .claims_stream import drain
 
+#: State lies in RocksDB, not on the heap, where every micro-batch copies the maps of all that waits; what changed is logged,
+#: and the databases of an executor share one bounded memory.
+_ROCKS = "spark.sql.streaming.stateStore"
+STATE = {
+    f"{_ROCKS}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.rocksdb.changelogCheckpointing.enabled": "true", f"{_ROCKS}.rocksdb.boundedMemoryUsage": "true",
+}
+
 
 def claims_with_lines(claims: DataFrame, lines: DataFrame, rvu: DataFrame, within: str = "93 days", delay: str = "1 day", nested: bool = False) -> DataFrame:
     """Each claim once, with what enrichment.summarise says of its lines. claims and lines are streams with claim_id and
@@ -39,7 +47,7 @@ def claims_with_lines(claims: DataFrame, lines: DataFrame, rvu: DataFrame, withi
 def process(claims: DataFrame, lines: DataFrame, rvu: DataFrame, each: Callable[[DataFrame, int], object], checkpoint: str, **how) -> StreamingQuery:
     """Hands the claims that are complete to `each`, micro-batch by micro-batch; heartbeats, which have no id, stay out."""
     whole = claims_with_lines(claims, lines, rvu, **how)
-    return drain(whole, lambda batch, number: each(batch.where("claim_id is not null"), number), checkpoint)
+    return drain(whole, lambda batch, number: each(batch.where("claim_id is not null"), number), checkpoint, STATE)
 
 
 def write_feed(rows: DataFrame, path: str, edges: list[datetime], files: int) -> None:

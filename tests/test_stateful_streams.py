@@ -99,6 +99,14 @@ def test_nested_lines_come_with_their_claim(spark, tmp_path):
     assert [i["line_number"] for i in items] == [1, 2] and tuple(items[0].asDict()) == enrichment.LINE and none is None
 
 
+def test_waiting_rows_lie_outside_the_heap(spark, tmp_path):
+    feeds = Feeds(spark, tmp_path)
+    feeds.add([claim(1, 0)], [line(1, 1, 1)], mark=400)
+    told = feeds.run().recentProgress[-1]["stateOperators"]
+    assert len(told) == 2 and all(any("rocksdb" in name.lower() for name in o["customMetrics"]) for o in told)
+    assert all(spark.conf.get(name, None) != value for name, value in cl.STATE.items())  # the session's own stay
+
+
 EVENT = "event_id long, name string, at timestamp, value double"
 
 
