@@ -24,11 +24,15 @@ def assembled(df: DataFrame, pipeline: FeaturePipeline) -> DataFrame:
 
 
 def train_filter(df: DataFrame, label: str, pipeline: FeaturePipeline | None = None, trees: int = 100, seed: int = 42) -> tuple[Transformer, float]:
-    """A random forest on 80 of 100 rows and its accuracy on the others."""
-    data = assembled(df, pipeline or FeaturePipeline()).select("features", F.col(label).cast("double").alias("label"))
-    train, test = data.randomSplit([0.8, 0.2], seed=seed)
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(train)
-    return model, MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(test))
+    """A random forest on 80 of 100 rows and its accuracy on the others. Fitting reads its rows several times, so features and
+    labels are kept, on disk where memory ends, and df is computed once."""
+    data = assembled(df, pipeline or FeaturePipeline()).select("features", F.col(label).cast("double").alias("label")).persist()
+    try:
+        train, test = data.randomSplit([0.8, 0.2], seed=seed)
+        model = RandomForestClassifier(numTrees=trees, seed=seed).fit(train)
+        return model, MulticlassClassificationEvaluator(metricName="accuracy").evaluate(model.transform(test))
+    finally:
+        data.unpersist()
 
 
 def predict_filter(df: DataFrame, model: Transformer | Callable[[pd.DataFrame], pd.Series] | None, pipeline: FeaturePipeline | None = None) -> DataFrame:

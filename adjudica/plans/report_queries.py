@@ -318,9 +318,17 @@ def failure_frequency(spark, sf):
     return analytics.failure_frequency(checked(spark, sf), "procedure_code", F.size("errors") > 0)
 
 
+def learnable(spark: SparkSession, sf: str) -> DataFrame:
+    """What the models look at of all validated claims, written once for those that fit on it and predict from it."""
+    path = files.shared_folder(spark)
+    own = checked(spark, sf).select("claim_id", "facility_id", "procedure_code", "financial_class", "primary_diagnosis", (F.size("errors") > 0).cast("double").alias("bad"))
+    own.write.parquet(path)
+    return spark.read.schema(own.schema).parquet(path)
+
+
 @CLAIMS.add("train_filter")
 def train_filter(spark, sf):
-    data = checked(spark, sf).withColumn("bad", (F.size("errors") > 0).cast("double"))
+    data = learnable(spark, sf)
     model, accuracy = models.train_filter(data, "bad")
     return analytics.counts(models.predict_filter(data, model), "filter_number").withColumn("accuracy", F.lit(float(accuracy)))
 

@@ -211,3 +211,16 @@ def test_dead_letters(spark):
     rows = [(k, k if k % 2 else None, "r", datetime.fromtimestamp(1000 - k)) for k in range(6)]
     good, bad = outcomes.reprocess(spark.createDataFrame(rows, "dlq_id int, claim_id int, error_reason string, inserted_at timestamp"), 3)
     assert sorted(one(good, "dlq_id")) == [3, 5] and one(bad, "dlq_id") == [4]
+
+
+def test_training_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def code(k):
+        seen.add(1)
+        return k % 5
+
+    df = spark.range(200, numPartitions=4).select(F.udf(code, "long")("id").alias("procedure_code"), F.lit("A").alias("financial_class"), F.lit("D").alias("primary_diagnosis"), (F.col("id") % 2).alias("bad"))
+    models.train_filter(df, "bad", trees=3)
+    assert seen.value == 200
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
