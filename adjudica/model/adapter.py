@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adjudica.sources.files import dealt, tasks_for
+
 #: Financial classes and the one that is not active.
 CLASSES, INACTIVE_CLASS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"), "FURNITURE"
 #: The last day of the sample, for jobs that take a present moment.
@@ -26,7 +28,7 @@ def money(c: Column, scale: int = 2) -> Column:
 def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """All claims, or those of some rows of orders."""
     orders, customer = table(spark, sf_dir, "orders") if orders is None else orders, table(spark, sf_dir, "customer")
-    day = F.to_date("o_orderdate")
+    customer, day = dealt(customer, "c_custkey", tasks_for(orders)), F.to_date("o_orderdate")
     rank = F.substring("o_orderpriority", 1, 1)
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("claim_id"), F.col("c_nationkey").alias("facility_id"), F.col("c_custkey").cast("string").alias("patient_account_number"),
@@ -43,8 +45,10 @@ def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) ->
 
 
 def lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """Line numbers repeat within a claim: the lines are a bag. All lines, or those of some rows of orders."""
+    """Line numbers repeat within a claim: the lines are a bag. All lines, or those of some rows of orders. Large tables lie by
+    claim_id over as many tasks as the lines need."""
     orders, items = (table(spark, sf_dir, "orders") if orders is None else orders).select("o_orderkey", "o_orderdate"), table(spark, sf_dir, "lineitem")
+    items = dealt(items, "l_orderkey", tasks_for(items))
     day = F.expr("date_add(to_date(o_orderdate), cast((l_partkey * 7 + l_linenumber) % 93 as int))")
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_orderkey").alias("claim_id"), F.col("l_linenumber").alias("line_number"), F.col("l_partkey").alias("procedure_code"),

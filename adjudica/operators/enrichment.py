@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adjudica.sources.files import dealt, tasks_for
+
 #: The configured conversion factor.
 FACTOR = "36.04"
 LINE = ("line_number", "procedure_code", "units", "charge_amount", "service_from_date", "service_to_date")
@@ -25,6 +27,7 @@ def enrich(df: DataFrame, rvu: DataFrame, factor: str | None = FACTOR, units: st
     """rvu_value and reimbursement = rvu * units * factor; a matched row without value pays 0, an unknown code stays
     null. factor None takes the row's own conversion_factor."""
     own = rvu.where(F.lower("status") == "active").select(F.col("procedure_code").alias("_code"), F.col("total_rvu").alias("rvu_value"), *([F.col("conversion_factor").alias("_factor")] if factor is None else []))
+    own = own if df.isStreaming else dealt(own, "_code", tasks_for(df))
     rate = F.col("_factor") if factor is None else F.lit(factor).cast("decimal(6,2)")
     n = units_of(F.col(units)) if units in df.columns else F.lit(1)
     paid = F.coalesce("rvu_value", F.lit(0).cast("decimal(10,5)")) * n.cast("decimal(10,0)") * rate
@@ -35,7 +38,7 @@ def summarise(priced: DataFrame, nested: bool = False) -> DataFrame:
     """One row a claim: first and last date of its lines, their number, what they pay (null if none has a price), and if
     asked for the lines themselves as a sorted array. One pass over the lines serves validation, prices and rules."""
     more = [F.sort_array(F.collect_list(F.struct(*LINE))).alias("line_items")] if nested else []
-    return priced.groupBy("claim_id").agg(
+    return dealt(priced, "claim_id", tasks_for(priced)).groupBy("claim_id").agg(
         F.min("service_from_date").alias("first_from"), F.max("service_to_date").alias("last_to"),
         F.count(F.lit(1)).alias("n_lines"), F.sum("reimbursement").alias("revenue"), *more,
     )

@@ -67,6 +67,26 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of files that one task of a dealt join or grouping should stand for, and below which nothing is dealt.
+TASK_BYTES, DEALT_FROM = 4_000_000, 64_000_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks should share the rows of df, by the size of the files that it reads; 0 for small ones and for rows that
+    come from no files."""
+    jvm, conf, size = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return -(-size // TASK_BYTES) if size >= DEALT_FROM else 0
+
+
+def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df by a key over n tasks, unless n is 0; a join by that key takes as many. The session's number of partitions, and the
+    size to which small ones are put together, would let a task's rows grow with the tables."""
+    return df.repartition(n, key) if n else df
+
+
 def split_by_age(claims: DataFrame, cutoff: Column) -> tuple[DataFrame, DataFrame]:
     """Claims before the cutoff, and those that stay; a null date stays."""
     old = F.coalesce(F.col("service_to_date") < cutoff, F.lit(False))

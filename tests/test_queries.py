@@ -1,6 +1,7 @@
 """Every claims query gives the rows of its SQL on the small tables; plans are as they should be."""
 
 import os
+import re
 from collections import Counter
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 import __spark_entry__ as entry_module
 from adjudica.catalog import CLAIMS
 from adjudica.plans import claims_queries, registry  # noqa: F401
+from adjudica.sources import files
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -48,3 +50,16 @@ def test_plans(spark):
             assert plan.count(f"{table}.parquet") == n, (name, table)
     plan = CLAIMS.queries["pending_claims"](spark, SMALL)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "o_totalprice" not in plan.split("== Physical Plan ==")[1]
+
+
+@pytest.mark.parametrize("name", ["outcome_split", "nested_lines", "failed_records", "potential_revenue_loss", "sort_failed", "process_batch"])
+def test_tasks_grow_with_the_files(spark, monkeypatch, name):
+    """Lines are grouped and prices joined over as many tasks as the files need, not over the session's few; rows stay the same."""
+    rows = Counter(map(repr, CLAIMS.queries[name](spark, SMALL).collect()))
+    for setting, value in (("TASK_BYTES", 10_000), ("DEALT_FROM", 0)):
+        monkeypatch.setattr(files, setting, value)
+    df = CLAIMS.queries[name](spark, SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\((?:l_orderkey|claim_id|_code)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) > 4 and plan.count("Union") == 0
+    assert Counter(map(repr, df.collect())) == rows
