@@ -26,9 +26,11 @@ def money(c: Column, scale: int = 2) -> Column:
 
 
 def claims(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """All claims, or those of some rows of orders."""
-    orders, customer = table(spark, sf_dir, "orders") if orders is None else orders, table(spark, sf_dir, "customer")
-    customer, day = dealt(customer, "c_custkey", tasks_for(orders)), F.to_date("o_orderdate")
+    """All claims, or those of some rows of orders. Orders that stream in are dealt out by the size of the table, as the first
+    micro-batch may hold all of it."""
+    every, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    orders = every if orders is None else orders
+    customer, day = dealt(customer, "c_custkey", tasks_for(every if orders.isStreaming else orders)), F.to_date("o_orderdate")
     rank = F.substring("o_orderpriority", 1, 1)
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("claim_id"), F.col("c_nationkey").alias("facility_id"), F.col("c_custkey").cast("string").alias("patient_account_number"),

@@ -27,7 +27,7 @@ def enrich(df: DataFrame, rvu: DataFrame, factor: str | None = FACTOR, units: st
     """rvu_value and reimbursement = rvu * units * factor; a matched row without value pays 0, an unknown code stays
     null. factor None takes the row's own conversion_factor."""
     own = rvu.where(F.lower("status") == "active").select(F.col("procedure_code").alias("_code"), F.col("total_rvu").alias("rvu_value"), *([F.col("conversion_factor").alias("_factor")] if factor is None else []))
-    own = own if df.isStreaming else dealt(own, "_code", tasks_for(df))
+    own = dealt(own, "_code", tasks_for(df))
     rate = F.col("_factor") if factor is None else F.lit(factor).cast("decimal(6,2)")
     n = units_of(F.col(units)) if units in df.columns else F.lit(1)
     paid = F.coalesce("rvu_value", F.lit(0).cast("decimal(10,5)")) * n.cast("decimal(10,0)") * rate

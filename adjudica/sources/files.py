@@ -72,8 +72,10 @@ TASK_BYTES, DEALT_FROM = 4_000_000, 64_000_000
 
 
 def tasks_for(df: DataFrame) -> int:
-    """How many tasks should share the rows of df, by the size of the files that it reads; 0 for small ones and for rows that
-    come from no files."""
+    """How many tasks should share the rows of df, by the size of the files that it reads; 0 for small ones, for rows that
+    come from no files, and for streams, which do not know yet what they will read."""
+    if df.isStreaming:
+        return 0
     jvm, conf, size = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
     for name in df.inputFiles():
         path = jvm.org.apache.hadoop.fs.Path(name)

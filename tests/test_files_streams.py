@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from adjudica.model import adapter
 from adjudica.model.schemas import SCHEMAS
 from adjudica.sources import files, generator
 from adjudica.streaming import claims_stream as cs
@@ -85,6 +86,22 @@ def test_pattern_watch(spark, tmp_path):
     assert sorted(seen) == [(1, "a", 2), (1, "a", 3), (2, "b", 2), (9, "b", 2)]
 
 
+def test_orders_may_stream_in(spark, tmp_path, sf, monkeypatch):
+    """Streams have no files to measure; claims made of one are joined over as many tasks as the table of orders needs."""
+    orders = lambda: cs.cdc_source(spark, f"{sf}/orders.parque[t]", spark.read.parquet(f"{sf}/orders.parquet").schema)
+    assert files.tasks_for(orders()) == 0
+    for setting, value in (("TASK_BYTES", 100_000), ("DEALT_FROM", 0)):
+        monkeypatch.setattr(files, setting, value)
+    assert files.tasks_for(orders()) == 0
+    plan = adapter.claims(spark, sf, orders())._jdf.queryExecution().analyzed().toString()
+    n = files.tasks_for(spark.read.parquet(f"{sf}/orders.parquet"))
+    assert n > 1 and "RepartitionByExpression [c_custkey" in plan and f"], {n}" in plan
+    sink = cs.batch_sink(str(tmp_path / "out"), lambda b: b)
+    cs.drain(adapter.claims(spark, sf, orders()), sink, str(tmp_path / "offsets"))
+    assert spark.read.parquet(str(tmp_path / "out")).drop("batch").exceptAll(adapter.claims(spark, sf)).count() == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == adapter.claims(spark, sf).count() > 0
+
+
 def test_schemas(spark, tmp_path):
     spark.range(1).select(F.col("id").alias("claim_id")).write.parquet(str(tmp_path / "c"))
     assert len(SCHEMAS) == 16
