@@ -45,7 +45,7 @@ def sanitized_all(c: Column) -> Column:
 
 def encrypted(c: Column, key: str) -> Column:
     """AES-GCM in base64 on one line, key by SHA-256; null and empty stay."""
-    return F.when(c.isNull() | (c == ""), c).otherwise(F.translate(F.base64(F.aes_encrypt(c, F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM"))), "\r\n", ""))
+    return F.when(c.isNull() | (c == ""), c).otherwise(F.replace(F.base64(F.aes_encrypt(c, F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM"))), F.lit("\r\n"), F.lit("")))
 
 
 def decrypted(c: Column, key: str) -> Column:

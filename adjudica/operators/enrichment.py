@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from adjudica.sources.files import dealt, tasks_for
@@ -37,8 +37,13 @@ def enrich(df: DataFrame, rvu: DataFrame, factor: str | None = FACTOR, units: st
 def summarise(priced: DataFrame, nested: bool = False) -> DataFrame:
     """One row a claim: first and last date of its lines, their number, what they pay (null if none has a price), and if
     asked for the lines themselves as a sorted array. One pass over the lines serves validation, prices and rules."""
+    return summary(dealt(priced, "claim_id", tasks_for(priced)).groupBy("claim_id"), nested)
+
+
+def summary(grouped: GroupedData, nested: bool = False) -> DataFrame:
+    """What `summarise` says of each group of priced lines."""
     more = [F.sort_array(F.collect_list(F.struct(*LINE))).alias("line_items")] if nested else []
-    return dealt(priced, "claim_id", tasks_for(priced)).groupBy("claim_id").agg(
+    return grouped.agg(
         F.min("service_from_date").alias("first_from"), F.max("service_to_date").alias("last_to"),
         F.count(F.lit(1)).alias("n_lines"), F.sum("reimbursement").alias("revenue"), *more,
     )

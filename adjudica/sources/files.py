@@ -77,8 +77,8 @@ def tasks_for(df: DataFrame) -> int:
     if df.isStreaming:
         return 0
     jvm, conf, size = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), 0
-    for name in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(name)
+    for name in df.inputFiles():  # URLs
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
         size += path.getFileSystem(conf).getFileStatus(path).getLen()
     return -(-size // TASK_BYTES) if size >= DEALT_FROM else 0
 

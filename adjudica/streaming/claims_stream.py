@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,18 +22,24 @@ def cdc_source(spark: SparkSession, path: str, schema: StructType, files_per_tri
     return reader.parquet(path)
 
 
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, settings: dict[str, str] | None = None) -> StreamingQuery:
     """All that is there now, in micro-batches; a batch that is run again has the number it had before. A query takes the
     session's settings when it starts: `settings` hold for this one alone."""
-    conf = stream.sparkSession.conf
-    before = {name: conf.get(name, None) for name in settings or {}}
-    try:
-        for name, value in (settings or {}).items():
-            conf.set(name, value)
+    with set_for(stream.sparkSession, settings or {}):
         query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        for name, value in before.items():
-            conf.unset(name) if value is None else conf.set(name, value)
     query.awaitTermination()
     return query
 

@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from adjudica.model import adapter
 from adjudica.operators import enrichment, flow, outcomes
+from adjudica.plans import flow_queries
 from adjudica.sources.keyed_table import KeyedTable
 from adjudica.streaming import claims_stream as cs
 from adjudica.streaming import claims_with_lines as cl
@@ -107,6 +109,103 @@ def test_waiting_rows_lie_outside_the_heap(spark, tmp_path):
     assert all(spark.conf.get(name, None) != value for name, value in cl.STATE.items())  # the session's own stay
 
 
+class Files(Feeds):
+    """The same feeds through process_backlog."""
+
+    def run(self, fail_at=None, nested=False):
+        stream = lambda name, kind: cs.cdc_source(self.spark, f"{self.path}/{name}", self.spark.createDataFrame([], kind).schema, 1)
+
+        def each(batch, number):
+            rows = [(r["claim_id"], r["note"], r["n_lines"], r["first_from"], r["last_to"], None if r["revenue"] is None else float(r["revenue"]), *([r["line_items"]] if nested else [])) for r in batch.collect()]
+            if number == fail_at:
+                raise RuntimeError("sink is down")
+            self.got[number] = rows
+
+        return cl.process_backlog(stream("claims", CLAIM), stream("lines", LINE), rvu(self.spark), each, f"{self.path}/marks", f"{self.path}/offsets", within="10 days", delay="1 day", nested=nested)
+
+    def waiting(self, number):
+        return self.spark.read.schema(cl.MARK).parquet(f"{self.path}/marks/batch={number}").where("file is not null").count()
+
+
+def test_a_backlog_waits_in_its_files(spark, tmp_path):
+    feeds = Files(spark, tmp_path / "a folder%20of files")
+    feeds.add([claim(1, 0), claim(2, 1)], [line(1, 1, 1), line(1, 2, 2, 9)])
+    feeds.add([claim(3, 5)], [line(2, 1, 6, 2), line(2, 1, 6, 2), line(2, 2, 12)])  # the last one comes too long after its claim
+    feeds.add([claim(4, 30), claim(None, 30)], [line(3, 1, 30), line(4, 1, 31), line(None, 1, 30)])
+    query = feeds.run()
+    held = feeds.all()
+    paid = 2 * float(enrichment.FACTOR)
+    assert held == [(1, "claim 1", 2, at(1).date(), at(3).date(), paid), (2, "claim 2", 2, at(6).date(), at(7).date(), 3 * paid), (3, "claim 3", None, None, None, None)]
+    assert [len(feeds.got.get(k, [])) for k in range(3)] == [0, 0, 3] and [feeds.waiting(k) for k in range(3)] == [2, 4, 2]
+    feeds.add([claim(5, 28)], [line(4, 2, 35)])  # late: all up to day 29 had come
+    feeds.add(mark=400)
+    query = feeds.run()
+    assert [row for row in feeds.all() if row not in held] == [(4, "claim 4", 2, at(31).date(), at(36).date(), 2 * paid)]
+    assert feeds.waiting(max(feeds.got)) == 2  # the marks
+    assert all(p["stateOperators"] == [] for p in query.recentProgress)
+
+
+def test_a_backlog_that_breaks_off_goes_on(spark, tmp_path):
+    feeds = Files(spark, tmp_path)
+    for k in (0, 20, 40):
+        feeds.add([claim(k, k) for k in range(k, k + 20)], [line(k, 1, k + 1) for k in range(k, k + 20, 2)])
+    with pytest.raises(Exception, match="sink is down"):
+        feeds.run(fail_at=2)
+    held = feeds.all()
+    assert max(feeds.got) == 1 and held
+    feeds.add(mark=400)
+    feeds.run()
+    assert held == [row for row in feeds.all() if row in held]
+    assert [(r[0], r[2]) for r in feeds.all()] == [(k, 1 if k % 2 == 0 else None) for k in range(60)]
+
+
+def test_nested_lines_of_a_backlog(spark, tmp_path):
+    feeds = Files(spark, tmp_path)
+    feeds.add([claim(1, 0), claim(2, 0)], [line(1, 2, 1), line(1, 1, 1)], mark=400)
+    feeds.run(nested=True)
+    (*_, items), (*_, none) = feeds.all()
+    assert [i["line_number"] for i in items] == [1, 2] and tuple(items[0].asDict()) == enrichment.LINE and none is None
+
+
+def test_a_backlog_with_one_side_waits(spark, tmp_path):
+    feeds = Files(spark, tmp_path)
+    feeds.add([claim(1, 0)], [])
+    feeds.add([claim(2, 300)], [])
+    spark.createDataFrame([], LINE).write.parquet(f"{tmp_path}/lines")
+    feeds.run()
+    assert feeds.all() == []  # nothing tells how far the lines are
+    feeds.add([], [line(1, 1, 5)])
+    feeds.add(mark=400)
+    feeds.run()
+    assert [(r[0], r[2]) for r in feeds.all()] == [(1, 1), (2, None)]
+
+
+def test_the_query_looks_up_no_row_in_a_state_store(spark, monkeypatch):
+    told, whole = [], cl.drain
+    monkeypatch.setattr(cl, "drain", lambda *args: told.append(whole(*args)))
+    small = "/root/testdata/sf0.001"
+    flow_queries.stream_process(spark, small)
+    assert all(p["stateOperators"] == [] for p in told[0].recentProgress)
+    rows = flow.pending(adapter.claims(spark, small)).count() + adapter.lines(spark, small).count()
+    assert len(told[0].recentProgress) > 2 and sum(p["numInputRows"] for p in told[0].recentProgress) == rows + 2
+
+
+def test_a_feed_computes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(30).mapInPandas(counted, "id long").withColumn("arrived_at", F.lit(DAY) + F.make_dt_interval(F.col("id").cast("int")))
+    cl.write_feed(rows, str(tmp_path / "in"), [at(10), at(20)], 2)
+    assert seen.value == 30 and spark.read.parquet(str(tmp_path / "in")).count() == 30
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    days = [[r["id"] // 10 for r in spark.read.parquet(str(f)).collect()] for f in files]
+    assert [set(d) for d in days] == [{0}, {0}, {1}, {1}, {2}, {2}] and not (tmp_path / "in-by-period").exists()
+
+
 EVENT = "event_id long, name string, at timestamp, value double"
 
 
